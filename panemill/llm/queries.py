@@ -7,8 +7,11 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from panemill.llm import mixing
 from panemill.llm.byte_bpe import round_trip
 from panemill.llm.common import table
+from panemill.llm.media import documents_as_media
+from panemill.llm.minhash_dedup import near_duplicates
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,7 +24,19 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {"op8_byte_bpe": op8_byte_bpe}
+def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents_as_media(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_minhash, op2_mixing, op8_byte_bpe, op10_media)}
 
 #: DuckDB SQL for the queries that SQL can express.
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op2_mixing": mixing.ORACLE}
