@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from panemill.llm import mixing
+from panemill.llm import mixing, warc
 from panemill.llm.byte_bpe import round_trip
 from panemill.llm.common import table
 from panemill.llm.media import documents_as_media
@@ -32,11 +32,15 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived(spark, table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents_as_media(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_minhash, op2_mixing, op8_byte_bpe, op10_media)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_minhash, op2_mixing, op5_warc, op8_byte_bpe, op10_media)}
 
 #: DuckDB SQL for the queries that SQL can express.
 ORACLE: dict[str, str] = {"op2_mixing": mixing.ORACLE}
