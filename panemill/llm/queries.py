@@ -10,8 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from panemill.llm import mixing, warc
 from panemill.llm.byte_bpe import round_trip
 from panemill.llm.common import table
+from panemill.llm.language_id import identify
 from panemill.llm.media import documents_as_media
 from panemill.llm.minhash_dedup import near_duplicates
+from panemill.llm.toxicity import toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -32,15 +34,23 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archived(spark, table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(table(spark, sf_dir, "documents"))
+
+
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents_as_media(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_minhash, op2_mixing, op5_warc, op8_byte_bpe, op10_media)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_minhash, op2_mixing, op4_toxicity, op5_warc, op7_language, op8_byte_bpe, op10_media)}
 
 #: DuckDB SQL for the queries that SQL can express.
 ORACLE: dict[str, str] = {"op2_mixing": mixing.ORACLE}
