@@ -13,6 +13,7 @@ from panemill.llm.common import table
 from panemill.llm.language_id import identify
 from panemill.llm.media import documents_as_media
 from panemill.llm.minhash_dedup import near_duplicates
+from panemill.llm.quality import quality
 from panemill.llm.toxicity import toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,6 +35,10 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -50,7 +55,7 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents_as_media(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_minhash, op2_mixing, op4_toxicity, op5_warc, op7_language, op8_byte_bpe, op10_media)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_minhash, op2_mixing, op3_quality, op4_toxicity, op5_warc, op7_language, op8_byte_bpe, op10_media)}
 
 #: DuckDB SQL for the queries that SQL can express.
 ORACLE: dict[str, str] = {"op2_mixing": mixing.ORACLE}

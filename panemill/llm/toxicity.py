@@ -262,28 +262,49 @@ def labelled_bags(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str
     return [(r["label"], r["units"]) for r in rows]
 
 
+class Scorer:
+    """Scores the texts of one task; remembers the units it has met."""
+
+    def __init__(self, model: dict):
+        self.model, self.memo = model, {}
+
+    def scores(self, texts: pa.Array) -> np.ndarray:
+        model, out = self.model, []
+        if "weights" not in model:
+            return np.full(len(texts), model["share"])
+        for at in range(0, len(texts), 500):
+            units = [units_of(value.as_py()) for value in texts.slice(at, 500)]
+            if len(self.memo) > REMEMBERED:
+                self.memo = {}
+            if new := list(set().union(*units).difference(self.memo)):
+                self.memo.update(zip(new, np.maximum(unit_scores(new, model["weights"]) + model["offset"], NO_UNIT).tolist(), strict=True))
+            tops = np.array([top(np.fromiter(map(self.memo.__getitem__, own), float, len(own))) for own in units])
+            out.append(1 / (1 + np.exp(-np.clip(tops * model["logistic"][0] + model["logistic"][1], -30, 30))))
+        return np.concatenate(out) if out else np.zeros(0)
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
     """id, held_out, score (0 to 1), predicted (1 from 0.7 on)."""
     model = docs.sparkSession.sparkContext.broadcast(train(labelled_bags(docs, labels, id_col, text_col, label_col)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found, memo = model.value, {}
+        scorer = Scorer(model.value)
         for batch in batches:
-            for at in range(0, len(batch), 500):
-                part = batch.slice(at, 500)
-                if "weights" not in found:
-                    scores = np.full(len(part), found["share"])
-                else:
-                    units = [units_of(value.as_py()) for value in part.column(1)]
-                    if len(memo) > REMEMBERED:
-                        memo = {}
-                    if new := list(set().union(*units).difference(memo)):
-                        memo.update(zip(new, np.maximum(unit_scores(new, found["weights"]) + found["offset"], NO_UNIT).tolist(), strict=True))
-                    tops = np.array([[top(np.fromiter(map(memo.__getitem__, own), float, len(own)))] for own in units])
-                    scores = 1 / (1 + np.exp(-np.clip(tops @ found["logistic"][:-1] + found["logistic"][-1], -30, 30)))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(scores, pa.float64())], names=["id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scorer.scores(batch.column(1)), pa.float64())], names=["id", "score"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     scored = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).mapInArrow(run, f"id {kind}, score double")
     held_out = F.coalesce(crc_mod(F.col("id"), 3) == 1, F.lit(False))
     return scored.select(F.col("id").alias(id_col), held_out.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+
+
+def accepted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
+    """The documents that are not predicted toxic, all columns, without a shuffle."""
+    model = docs.sparkSession.sparkContext.broadcast(train(labelled_bags(docs, labels, id_col, text_col, label_col)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(model.value)
+        for batch in batches:
+            yield batch.filter(pa.array(scorer.scores(batch.column(text_col)) < THRESHOLD))
+
+    return docs.mapInArrow(run, docs.schema)
