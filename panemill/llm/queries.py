@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from panemill.llm import mixing, warc
+from panemill.llm import ann, mixing, warc
 from panemill.llm.byte_bpe import round_trip
 from panemill.llm.common import table
 from panemill.llm.language_id import identify
@@ -51,11 +51,15 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
 
+def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"))
+
+
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents_as_media(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_minhash, op2_mixing, op3_quality, op4_toxicity, op5_warc, op7_language, op8_byte_bpe, op10_media)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_minhash, op2_mixing, op3_quality, op4_toxicity, op5_warc, op7_language, op8_byte_bpe, op9_neighbours, op10_media)}
 
 #: DuckDB SQL for the queries that SQL can express.
 ORACLE: dict[str, str] = {"op2_mixing": mixing.ORACLE}
