@@ -14,6 +14,7 @@ from panemill.llm.language_id import identify
 from panemill.llm.media import documents_as_media
 from panemill.llm.minhash_dedup import near_duplicates
 from panemill.llm.quality import quality
+from panemill.llm.quotations import as_mail, link_quotes
 from panemill.llm.toxicity import toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -47,6 +48,10 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archived(spark, table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op6_quotations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_quotes(as_mail(table(spark, sf_dir, "conversations")))
+
+
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
@@ -59,7 +64,7 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents_as_media(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_minhash, op2_mixing, op3_quality, op4_toxicity, op5_warc, op7_language, op8_byte_bpe, op9_neighbours, op10_media)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_minhash, op2_mixing, op3_quality, op4_toxicity, op5_warc, op6_quotations, op7_language, op8_byte_bpe, op9_neighbours, op10_media)}
 
 #: DuckDB SQL for the queries that SQL can express.
 ORACLE: dict[str, str] = {"op2_mixing": mixing.ORACLE}
