@@ -7,8 +7,9 @@
 3. Candidates in a band's bucket are first compared with the bucket's least and greatest member only, so a bucket of n
    gives 2n pairs at most.  Signatures are compared batch by batch: after each, a pair is dropped once the posterior
    probability of a similarity of at least the threshold falls below ``MISS``.  Survivors are confirmed on full sets.
-4. What the confirmed links leave apart within a bucket is then compared, member by member, across those components;
-   pairs within a component need no comparison.  So no candidate pair of different components is left unexamined.
+4. What the confirmed links leave apart within a bucket is then compared on full sets across those components, in pairs
+   of bounded blocks that give out nothing but links; pairs within a component need no comparison.  So no candidate pair of different components
+   is left unexamined.
 
 Cases: a null, empty or blank text has an empty set and is linked with nothing; a text of one word has that word as its
 only shingle.  Rows that repeat a doc_id with the same text share its fate.  A null doc_id never stands for others: its row gets the
@@ -20,11 +21,10 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panemill.llm.common import written
@@ -36,6 +36,8 @@ BATCH = 32
 #: A pair is pruned when its posterior chance of reaching the threshold is below this.
 MISS = 1e-6
 SHINGLE = 2
+#: Members of a block in the comparison across components, about.
+BLOCK = 300
 
 _random = np.random.Generator(np.random.PCG64(20240613))
 _MULTIPLIERS = (_random.integers(0, 2**63, HASHES, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
@@ -112,7 +114,7 @@ def posterior_floor(n: int, threshold: float, miss: float) -> int:
 
 
 def _prepared(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, n_shingles, class digest (two longs), signature and its low bits (two longs), one row for each of docs."""
+    """id, n_shingles, class digest (two longs), signature, one row for each of docs."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,20 +131,19 @@ def _prepared(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                     digest = hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
                     if (found := seen.get(digest)) is None:
                         low = signature(shingles) if len(shingles) else np.zeros(HASHES, np.uint32)
-                        bits = np.packbits((low & 1).astype(bool)).tobytes()
-                        longs = [int.from_bytes(x[k : k + 8], "big", signed=True) for x in (digest, bits) for k in (0, 8)]
+                        longs = [int.from_bytes(digest[k : k + 8], "big", signed=True) for k in (0, 8)]
                         found = (len(shingles), *longs, low.astype(">u4").tobytes())
                         if len(seen) < 20_000:
                             seen[digest] = found
                     rows.append(found)
                 columns = list(zip(*rows, strict=True))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(at, stop - at), *(pa.array(c, pa.int64()) for c in columns[:5]), pa.array(columns[5], pa.binary())],
-                    names=["id", "n_shingles", "c1", "c2", "b1", "b2", "sig"],
+                    [batch.column(0).slice(at, stop - at), *(pa.array(c, pa.int64()) for c in columns[:3]), pa.array(columns[3], pa.binary())],
+                    names=["id", "n_shingles", "c1", "c2", "sig"],
                 )
                 at = stop
 
-    schema = f"id {kind}, n_shingles long, c1 long, c2 long, b1 long, b2 long, sig binary"
+    schema = f"id {kind}, n_shingles long, c1 long, c2 long, sig binary"
     return docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).mapInArrow(run, schema)
 
 
@@ -161,7 +162,13 @@ def _likely(pairs: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
 
     sides = [reps.select(F.col("id").alias(c), F.col("sig").alias(f"s{c}")) for c in ("a", "b")]
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pairs.select("a", "b").schema)
-    return pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "sa", "sb").mapInArrow(run, schema)
+    return pairs.join(sides[0].hint("merge"), "a").join(sides[1].hint("merge"), "b").select("a", "b", "sa", "sb").mapInArrow(run, schema)
+
+
+def _texts(ids: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, text of some documents, written.  The ids make the hash table, so whole texts are dealt once and never sorted."""
+    texts = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
+    return written(texts.join(ids.hint("shuffle_hash"), "id").select("id", "text"), "texts")
 
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, threshold: float) -> DataFrame:
@@ -181,27 +188,67 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, th
                         keep.append(at + k)
             yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
 
-    texts = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    texts = written(ids.join(texts, "id").select("id", "text"), "texts")  # of candidates only
+    texts = _texts(ids, docs, id_col, text_col)
     sides = [texts.select(F.col("id").alias(c), F.col("text").alias(f"t{c}")) for c in ("a", "b")]
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pairs.select("a", "b").schema)
-    return pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "ta", "tb").mapInArrow(run, schema)
+    return pairs.join(sides[0].hint("merge"), "a").join(sides[1].hint("merge"), "b").select("a", "b", "ta", "tb").mapInArrow(run, schema)
 
 
 def _buckets(reps: DataFrame) -> DataFrame:
-    """A row (key, id, n_shingles, bits, least and greatest id) for each band of a representative that others share."""
+    """A row (key, id, least and greatest id) for each band of a representative that others share."""
     hashes = F.array(*(F.xxhash64(F.lit(k), F.substring("sig", 4 * ROWS * k + 1, 4 * ROWS)) for k in range(BANDS)))
-    rows = reps.select("id", "n_shingles", "b1", "b2", F.explode(hashes).alias("key"))
+    rows = reps.select("id", F.explode(hashes).alias("key"))
     ends = rows.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo != hi")
     return rows.join(ends, "key")
 
 
-def _by_bits(threshold: float) -> Column:
-    """The first test of a pair of bucket rows x and y: sizes, and the low bits of the signatures."""
-    size = F.least("x.n_shingles", "y.n_shingles") * 100 >= F.greatest("x.n_shingles", "y.n_shingles") * round(threshold * 100)
-    apart = reduce(Column.__add__, (F.bit_count(F.col(f"x.{c}").bitwiseXOR(F.col(f"y.{c}"))) for c in ("b1", "b2")))
-    return size & (apart <= HASHES - posterior_floor(HASHES, (1 + threshold) / 2, MISS))
+def _crossing(stars: DataFrame, docs: DataFrame, id_col: str, text_col: str, threshold: float) -> DataFrame:
+    """Links (a, b) between members of different components of each star (star, id, component).
+
+    A star's most frequent component is M, the rest is F; pairs within M need no look.  Members are dealt to blocks of
+    about ``BLOCK``, and each pair of blocks (F with F, F with M) is one group: a task holds two blocks, counts common
+    shingles for all their pairs by an inverted index, and gives out nothing but links.
+    """
+    percent = round(threshold * 100)
+    kind = stars.schema["id"].dataType.simpleString()
+    counts = stars.groupBy("star", "component").agg(F.count("*").alias("n"))
+    main = counts.groupBy("star").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.max("n").alias("nm"), F.sum("n").alias("n"))
+    main = main.select("star", "main", F.ceil(F.col("nm") / BLOCK).alias("bm"), F.ceil((F.col("n") - F.col("nm")) / BLOCK).alias("bf"))
+    rest = F.col("component") != F.col("main")
+    block = F.when(rest, F.pmod(F.xxhash64("id"), "bf")).otherwise(F.col("bf") + F.pmod(F.xxhash64("id"), "bm"))
+    with_rest = F.transform(F.sequence(F.lit(0).cast("long"), F.least(F.col("block"), F.col("bf") - 1)), lambda k: F.struct(k.alias("x"), F.col("block").alias("y")))
+    with_later = F.when(rest & (F.col("block") + 1 < F.col("bf") + F.col("bm")), F.transform(F.sequence(F.col("block") + 1, F.col("bf") + F.col("bm") - 1), lambda k: F.struct(F.col("block").alias("x"), k.alias("y"))))
+    rows = stars.join(main, "star").where("bf > 0").withColumn("block", block)
+    rows = rows.withColumn("pair", F.explode(F.concat(with_rest, F.coalesce(with_later, F.array().cast("array<struct<x:bigint,y:bigint>>")))))
+    rows = rows.select("star", "pair.x", "pair.y", "block", "id", "component")
+    texts = _texts(stars.select("id").distinct(), docs, id_col, text_col)
+
+    def links(table: pa.Table) -> pa.Table:
+        ids, components = table.column("id").to_pylist(), np.array(table.column("component").to_pylist())
+        left = table.column("x")[0].as_py() == np.array(table.column("block").to_pylist())
+        texts = table.column("text").to_pylist()
+        sets = [found for k in range(0, len(texts), 200) for found in shingle_sets(texts[k : k + 200])]
+        sizes = np.array([len(x) for x in sets])
+        same = table.column("x")[0].as_py() == table.column("y")[0].as_py()
+        right = np.flatnonzero(left if same else ~left)
+        found = []
+        if len(right):
+            held = np.concatenate([sets[k] for k in right])
+            owner = np.repeat(np.arange(len(right)), sizes[right])
+            order = np.argsort(held, kind="stable")
+            held, owner = held[order], owner[order]
+            for k in np.flatnonzero(left):
+                lo, hi = np.searchsorted(held, sets[k]), np.searchsorted(held, sets[k], "right")
+                n = hi - lo
+                at = np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
+                common = np.bincount(owner[at], minlength=len(right))
+                linked = (100 * common >= percent * (sizes[k] + sizes[right] - common)) & (components[right] != components[k]) & (common > 0)
+                found += [(min(ids[k], ids[j]), max(ids[k], ids[j])) for j in right[linked].tolist()]
+        a, b = zip(*found, strict=True) if found else ((), ())
+        return pa.table({"a": pa.array(a, table.schema.field("id").type), "b": pa.array(b, table.schema.field("id").type)})
+
+    return rows.join(texts.hint("merge"), "id").groupBy("star", "x", "y").applyInArrow(links, f"a {kind}, b {kind}").distinct()
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -218,22 +265,24 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_
     labels = connected_components(first)
 
     # Buckets that still hold several components: compare across them.
-    placed = shared.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    placed = shared.where("id != lo").join(labels, "id", "left").select("key", F.col("lo").alias("star"), "id", F.coalesce("component", "id").alias("component"))
     mixed = placed.groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 != c2").select("key")
-    apart = written(placed.join(mixed, "key").select("key", "id", "n_shingles", "b1", "b2", "component"), "apart")
-    x, y = apart.alias("x"), apart.alias("y")
-    across = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") < F.col("y.component")) & _by_bits(threshold))
-    across = across.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct().join(near, ["a", "b"], "left_anti")
-    likely = written(_likely(across, reps, threshold), "likely")
-    if not likely.isEmpty():
-        second = written(_confirmed(likely, docs, id_col, text_col, threshold), "links")
+    stars = written(placed.join(mixed, "key", "left_semi").select("star", "id", "component").distinct(), "stars")
+    if not stars.isEmpty():
+        second = written(_crossing(stars, docs, id_col, text_col, threshold), "links")
         labels = connected_components(first.union(second))
 
     joined = (
-        prepared.drop("sig", "b1", "b2")
+        prepared.drop("sig")
         .join(classes, ["c1", "c2"], "left")
         .withColumn("rep", F.when(F.col("n_shingles") > 0, F.least(F.col("rep"), F.coalesce("id", "rep"))).otherwise(F.col("id")))
         .join(labels.select(F.col("id").alias("rep"), "component"), "rep", "left")
     )
     component = F.coalesce("component", "rep")
     return joined.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
+
+
+def deduplicated(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One document of each group, all columns.  Documents without an id are kept, since no other row can stand for them."""
+    kept = near_duplicates(docs, threshold, id_col, text_col).where(F.col("kept") & F.col(id_col).isNotNull()).select(id_col).distinct()
+    return docs.join(kept.hint("shuffle_hash"), id_col, "left_semi").dropDuplicates([id_col]).unionByName(docs.where(F.col(id_col).isNull()))
