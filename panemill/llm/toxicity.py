@@ -28,13 +28,14 @@ from itertools import chain, combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panemill.llm.common import crc_mod
 
 #: Labelled documents to learn from at most.
-SAMPLE = 8000
+SAMPLE = 4000
 LANDMARKS = 256
 DECAY = 0.6
 #: Letters skipped by a subsequence at most.
@@ -120,28 +121,37 @@ def unit_scores(words: list[str], weights: np.ndarray) -> np.ndarray:
     return out
 
 
-def _dense(words: list[str]) -> np.ndarray:
-    """Kernel features of a few units (their first window), a row each."""
-    out = np.zeros((len(words), 2 * _HASHED), np.float32)
-    for k, word in enumerate(words):
-        keys, weight = features(_windows(word)[:1])
-        np.add.at(out[k], keys[0], weight)
-    return out
-
-
-def _kernel(words: list[str], landmarks: np.ndarray) -> np.ndarray:
-    """Kernel values of units with landmarks (given by subsequence, then landmark)."""
-    out = np.zeros((len(words), landmarks.shape[1]))
-    sized: dict[int, list[int]] = {}
-    first = [_windows(word)[0] for word in words]
-    for k, part in enumerate(first):
-        sized.setdefault(len(part), []).append(k)
-    for at in sized.values():
-        for k in range(0, len(at), 256):
-            own = at[k : k + 256]
-            keys, weight = features([first[i] for i in own])
-            out[own] = np.einsum("bcl,c->bl", landmarks[keys], weight)
-    return out
+class Landmarks:
+    """Kernel features of a few units (their first window), for the subsequences that any of them has."""
+
+    def __init__(self, words: list[str]):
+        found = [features(_windows(word)[:1]) for word in words]
+        self.used = np.unique(np.concatenate([keys[0] for keys, _ in found]))
+        self.slot = np.full(2 * _HASHED, len(self.used), np.int32)  # the last row stays zero
+        self.slot[self.used] = np.arange(len(self.used))
+        self.table = np.zeros((len(self.used) + 1, len(words)), np.float32)
+        for k, (keys, weight) in enumerate(found):
+            np.add.at(self.table[:, k], self.slot[keys[0]], weight)
+
+    def kernel(self, words: list[str]) -> np.ndarray:
+        """Kernel values of units with the landmarks."""
+        out = np.zeros((len(words), self.table.shape[1]))
+        sized: dict[int, list[int]] = {}
+        first = [_windows(word)[0] for word in words]
+        for k, part in enumerate(first):
+            sized.setdefault(len(part), []).append(k)
+        for at in sized.values():
+            for k in range(0, len(at), 64):
+                own = at[k : k + 64]
+                keys, weight = features([first[i] for i in own])
+                out[own] = np.einsum("bcl,c->bl", self.table[self.slot[keys]], weight.astype(np.float32))
+        return out
+
+    def folded(self, alphas: np.ndarray) -> np.ndarray:
+        """One weight for each subsequence, from one for each landmark."""
+        out = np.zeros(2 * _HASHED, np.float32)
+        out[self.used] = self.table[:-1] @ alphas
+        return out
 
 
 def _machine(x: np.ndarray, y: np.ndarray, cost: np.ndarray, ridge: float = 1.0) -> np.ndarray:
@@ -211,10 +221,9 @@ def train(bags: list[tuple[int, list[str]]]) -> dict:
     common = np.argsort(-n, kind="stable")[: LANDMARKS // 4]
     rest = rng.permutation(len(words))[: LANDMARKS // 4]
     chosen = [words[k] for k in dict.fromkeys([*by.tolist(), *common.tolist(), *rest.tolist()])]
-    dense = _dense(chosen)
-    values, vectors = np.linalg.eigh((dense @ dense.T).astype(float))
+    landmarks = Landmarks(chosen)
+    values, vectors = np.linalg.eigh(landmarks.table.T.astype(float) @ landmarks.table)
     whiten = vectors / np.sqrt(np.maximum(values, 1e-3))
-    landmarks = np.ascontiguousarray(dense.T)
 
     score, folded, offset = strength, None, 0.0
     negatives = set(np.flatnonzero(n > 0)[rng.permutation(int((n > 0).sum()))[:6000]].tolist())
@@ -229,11 +238,11 @@ def train(bags: list[tuple[int, list[str]]]) -> dict:
         negatives.update(np.argsort(-np.where((n > 0) & (odds < 0), score, -np.inf), kind="stable")[:2000].tolist())
         blurred = [(v, min(c, 100) / 12) for k, c in sorted(witness.items()) if telling[k] for v in variants(words[k], rng)]
         rows = sorted(set(witness) | negatives)
-        x = _kernel([words[k] for k in rows] + [v for v, _ in blurred], landmarks) @ whiten
+        x = landmarks.kernel([words[k] for k in rows] + [v for v, _ in blurred]) @ whiten
         y = np.array([1.0 if k in witness else -1.0 for k in rows] + [1.0] * len(blurred))
         cost = np.array([min(witness.get(k, n[k]), 100) for k in rows] + [c for _, c in blurred])
         w = _machine(x, y, np.sqrt(cost), ridge=0.02)
-        folded, offset = (landmarks @ (whiten @ w[:-1])).astype(np.float32), float(w[-1])
+        folded, offset = landmarks.folded(whiten @ w[:-1]), float(w[-1])
         score = np.maximum(unit_scores(words, folded) + offset, NO_UNIT)
     tops = np.array([[top(unit_scores(units, folded) + offset if units else np.zeros(0))] for _, units in aside])
     return {"share": share, "weights": folded, "offset": offset, "logistic": _logistic(tops, np.array([label for label, _ in aside], float))}
@@ -257,9 +266,10 @@ def labelled_bags(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str
     texts = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
     kind = docs.schema[id_col].dataType.simpleString()
     bags = texts.join(F.broadcast(chosen), "id").select("id", "label", "text").mapInArrow(run, f"id {kind}, label int, units array<string>")
-    rows = bags.toArrow().to_pylist()
-    rows.sort(key=lambda r: (r["id"], r["label"], r["units"]))
-    return [(r["label"], r["units"]) for r in rows]
+    found = bags.toArrow()
+    found = found.take(pc.sort_indices(found, [("id", "ascending"), ("label", "ascending")]))
+    shared: dict[str, str] = {}  # one copy of each unit
+    return [(label.as_py(), [shared.setdefault(u, u) for u in units.as_py()]) for label, units in zip(found.column("label"), found.column("units"), strict=True)]
 
 
 class Scorer:
