@@ -89,7 +89,8 @@ def _logits(x: np.ndarray, w: np.ndarray) -> np.ndarray:
 def co_train(views: list[np.ndarray], y: np.ndarray, pool: list[np.ndarray]) -> dict:
     """Weights of both views, of their calibrations, and of the joint score, from labelled views, labels and unlabelled views."""
     share = float(y.mean()) if len(y) else 1.0
-    fit, aside = np.arange(len(y)) % 4 > 0, np.arange(len(y)) % 4 == 0
+    turn = np.random.Generator(np.random.PCG64(3)).permutation(len(y)) % 4  # whatever order the ids bring
+    fit, aside = turn > 0, turn == 0
     if any(len(set(y[part].tolist())) < 2 for part in (fit, aside)):
         return {"share": share}
     rows = [[v[fit]] for v in views]
@@ -140,7 +141,9 @@ def _sampled(docs: DataFrame, ids: DataFrame, kind: str) -> tuple[list, list[np.
 
     rows = docs.join(F.broadcast(ids), "id").select("id", "label", "text", "source", "lang").mapInArrow(run, f"id {kind}, label int, views binary").toArrow().to_pylist()
     rows.sort(key=lambda r: (r["id"], r["views"]))
-    x = np.array([np.frombuffer(r["views"], np.float32) for r in rows], float).reshape(len(rows), -1)
+    if not rows:
+        return [], [v[:0] for v in _views([""], [None], [None])]
+    x = np.array([np.frombuffer(r["views"], np.float32) for r in rows], float)
     return [r["label"] for r in rows], [x[:, : CONTENT + 3], x[:, CONTENT + 3 :]]
 
 

@@ -203,7 +203,8 @@ def train(bags: list[tuple[int, list[str]]]) -> dict:
     """From (label, units) of documents, in a fixed order: the folded weights, the offset, and the logistic weights."""
     bags = [(label, [u for u in units if _long_enough(u)]) for label, units in bags]
     share = sum(label for label, _ in bags) / len(bags) if bags else 0.0
-    fit, aside = [b for k, b in enumerate(bags) if k % 4], bags[::4]
+    order = np.random.Generator(np.random.PCG64(3)).permutation(len(bags))  # whatever order the ids bring
+    fit, aside = [bags[j] for k, j in enumerate(order) if k % 4], [bags[j] for j in order[::4]]
     if any(len({label for label, _ in part}) < 2 for part in (fit, aside)):
         return {"share": share}
     seen = {label: Counter() for label in (0, 1)}
