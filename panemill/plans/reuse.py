@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Keywords that are put in upper case, and constructs that rule out sharing of pane states.
-KEYWORDS = ("select", "where", "from", "named window", "window", "on stream", "range", "step", "group by", "having", "order by", "filter", "union", "optional", "distinct", "as", "avg", "sum", "count", "min", "max", "register", "rstream", "istream", "dstream", "prefix")
+KEYWORDS = ("select", "where", "from", "named", "window", "on", "stream", "range", "step", "group", "by", "having", "order", "filter", "union", "optional", "distinct", "as", "avg", "sum", "count", "min", "max", "register", "rstream", "istream", "dstream", "prefix")
 REFUSED = r"(?i)\b(FILTER|HAVING|UNION|JOIN|GROUP\s+BY|ORDER\s+BY|DISTINCT|OPTIONAL)\b"
 AGGREGATE = r"(?i)\b(AVG|SUM|COUNT|MIN|MAX)\s*\(\s*(\?\w+|\*)\s*\)\s+AS\s+(\?\w+)"
 DECLARED = r"(?i)FROM\s+NAMED\s+WINDOW\s+(\S+)\s+ON\s+STREAM\s+(\S+)\s+\[\s*RANGE\s+(\d+)\s+STEP\s+(\d+)\s*\]"
@@ -31,8 +31,10 @@ def canonical_text(text: Column) -> Column:
     body = F.regexp_replace(bare, r"(?i)PREFIX\s+\S+\s+<[^>]*>", " ")
     body = F.regexp_replace(body, r"(?i)REGISTER\s+\w+\s+<[^>]*>\s+AS", " ")
     body = F.trim(F.regexp_replace(body, r"\s+", " "))
-    for word in KEYWORDS:
-        body = F.regexp_replace(body, rf"(?i)(?<![\w?:<]){word.replace(' ', ' +')}(?![\w:>])", word.upper())
+    # Whole tokens in one pass; variables, prefixed names and IRIs are tokens of their own.
+    tokens = F.regexp_extract_all(body, F.lit(r"<[^>]*>|[?:]?[\w:]+|[^\w<?:]+|."), F.lit(0))
+    known = F.array(*map(F.lit, KEYWORDS))
+    body = F.array_join(F.transform(tokens, lambda t: F.when(F.array_contains(known, F.lower(t)), F.upper(t)).otherwise(t)), "")
     return F.trim(F.concat_ws(" ", F.array_join(F.array_sort(F.transform(prefixes, lambda p: F.regexp_replace(F.regexp_replace(p, r"\s+", " "), "(?i)^prefix", "PREFIX"))), " "), body))
 
 
@@ -81,12 +83,12 @@ def reuse_class(log: DataFrame) -> DataFrame:
     part = [F.regexp_extract(F.element_at(declared, 1), DECLARED, k) for k in (2, 3, 4)]
     state = F.when(F.array_contains(names, "AVG"), "sum,count").otherwise(F.lower(F.array_join(F.array_sort(names), ",")))
     key = F.concat_ws("::", part[0], F.md5(pattern), F.coalesce(F.try_element_at(values, F.lit(1)), F.lit("*")), state, part[1], part[2])
-    return log.select("query_id", "consumer_id", "query_text", reason.alias("reason"), F.when(reason == "", key).alias("state_key"))
+    return log.withColumn("reason", reason).withColumn("state_key", F.when(F.col("reason") == "", key))
 
 
 def reuse_level(log: DataFrame) -> DataFrame:
     """exact (another query has the same text), chunk_state (another shares its pane states), or fresh."""
-    rows = reuse_class(log).join(canonical(log).select("query_id", "canonical_hash"), "query_id")
+    rows = canonical(reuse_class(log)).select("query_id", "consumer_id", "state_key", "canonical_hash")
     exact = rows.groupBy("canonical_hash").agg(F.count(F.lit(1)).alias("same_text"), F.min("query_id").alias("first_query"))
     shared = rows.where("state_key is not null").groupBy("state_key").agg(F.count_distinct("canonical_hash").alias("same_state"))
     rows = rows.join(exact, "canonical_hash").join(shared, "state_key", "left")
