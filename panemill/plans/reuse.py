@@ -99,7 +99,7 @@ def reuse_level(log: DataFrame) -> DataFrame:
 def query_complexity(text: Column) -> Column:
     """1 + 2 an aggregate + 3 a join + 1 a filter + 2 a window, 10 at most."""
     n = lambda p: F.regexp_count(text, F.lit(p))
-    score = 1 + 2 * n(r"(?i)\b(AVG|SUM|COUNT|MIN|MAX)\s*\(") + 3 * n(r"(?i)\bJOIN\b") + n(r"(?i)\bFILTER\b") + 2 * n(r"(?i)\bNAMED\s+WINDOW\b")
+    score = 1 + 2 * n(r"(?i)\b(AVG|SUM|COUNT|MIN|MAX)\b") + 3 * n(r"(?i)\bJOIN\b") + n(r"(?i)\bFILTER\b") + 2 * n(r"(?i)\bWINDOW\b")
     return F.least(F.lit(10), score).cast("long")
 
 

@@ -425,14 +425,16 @@ def spectral_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.spectral_entropy(obs(spark, sf_dir), 86_400_000)
 
 
-CONFIGS = [("exact", 0.0, 30.0, 1), ("panes", 20.0, 300.0, 2), ("estimate", 0.0, 1e9, 3)]
-RECOMMEND = f"""{SIGN}, configs(approach, lo, hi, priority) AS (VALUES {', '.join(map(str, CONFIGS))}),
-rec AS (SELECT stream, win_start, arg_min(approach, priority) AS approach, round(1 - 0.25 * (min(priority) - 1), 8) AS confidence FROM sig, configs WHERE variance >= lo AND variance <= hi GROUP BY ALL)"""
+#: The published bounds, moved to the range of the events' values.
+CONFIGS = [("approximation", None, 1000.0, 4.0, None, 1), ("fetching", 1700.0, None, None, None, 2), ("chunked", None, 1650.0, None, 40, 3)]
+_ROWS = ", ".join("(" + ", ".join("NULL" if x is None else repr(x) for x in row) + ")" for row in CONFIGS)
+RECOMMEND = f"""{SIGN}, configs(approach, variance_lo, variance_hi, entropy_hi, n_lo, priority) AS (VALUES {_ROWS}),
+rec AS (SELECT stream, win_start, arg_min(approach, priority) AS approach, round(1 - 0.25 * (min(priority) - 1), 6) AS confidence FROM sig, configs
+    WHERE variance IS NOT NULL AND coalesce(variance >= variance_lo, true) AND coalesce(variance <= variance_hi, true) AND coalesce(entropy <= entropy_hi, true) AND coalesce(n >= n_lo, true) GROUP BY ALL)"""
 
 
 def _recommended(spark: SparkSession, sf_dir: str) -> DataFrame:
-    configs = spark.createDataFrame(CONFIGS, "approach string, lo double, hi double, priority int")
-    return G.recommend(_signature(spark, sf_dir), configs)
+    return G.recommend(_signature(spark, sf_dir), spark.createDataFrame(CONFIGS, G.CONFIG_SCHEMA))
 
 
 @query(f"WITH {RECOMMEND} SELECT stream, win_start, approach, CAST(confidence AS DOUBLE) AS confidence FROM rec")
@@ -521,7 +523,7 @@ def reuse_level(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reuse.reuse_level(query_log(spark, sf_dir))
 
 
-@query(f"WITH {LOG} SELECT query_id, CAST([5, 5, 5, 8, 7, 5][form + 1] AS BIGINT) AS complexity FROM log")
+@query(f"WITH {LOG} SELECT query_id, CAST([7, 7, 7, 10, 9, 7][form + 1] AS BIGINT) AS complexity FROM log")
 def query_complexity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return query_log(spark, sf_dir).select("query_id", reuse.query_complexity(F.col("query_text")).alias("complexity"))
 

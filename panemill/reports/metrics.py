@@ -11,12 +11,25 @@ from pyspark.sql.window import Window as W
 from panemill.functions.time import WindowSpec
 
 
+def with_gap(rows: DataFrame, keys: Sequence[str], bucket_ms: int) -> DataFrame:
+    """Adds gap: milliseconds since the key's row before.
+
+    Rows are compared within time buckets, and a bucket's first row with the last time of the key's bucket before, so
+    a busy key is spread over its buckets; only one short row a bucket is ordered by key.
+    """
+    rows = rows.withColumn("bucket", F.floor(F.col("ms") / bucket_ms))
+    ends = rows.groupBy(*keys, "bucket").agg(F.max("ms").alias("end"))
+    ends = ends.select(*keys, "bucket", F.lag("end").over(W.partitionBy(*keys).orderBy("bucket")).alias("before"))
+    inside = F.lag("ms").over(W.partitionBy(*keys, "bucket").orderBy("ms", "event_id"))
+    rows = rows.withColumn("inside", inside).join(ends, [*keys, "bucket"])
+    return rows.withColumn("gap", F.col("ms") - F.coalesce("inside", "before")).drop("bucket", "inside", "before")
+
+
 def inactivity(rows: DataFrame, keys: Sequence[str], multiple: float, most_ms: int) -> DataFrame:
     """Rows that follow a silence longer than the usual gap times ``multiple``, or than ``most_ms``."""
-    order = W.partitionBy(*keys).orderBy("ms", "event_id")
-    gaps = rows.withColumn("gap", F.col("ms") - F.lag("ms").over(order))
-    usual = gaps.groupBy(*keys).agg(F.avg("gap").alias("usual"))
-    return gaps.join(F.broadcast(usual), list(keys)).where(F.col("gap") > F.least(F.col("usual") * multiple, F.lit(float(most_ms))))
+    usual = rows.groupBy(*keys).agg(((F.max("ms") - F.min("ms")) / (F.count(F.lit(1)) - 1)).alias("usual"))  # the mean of all gaps
+    gaps = with_gap(rows, keys, most_ms)
+    return gaps.join(usual, list(keys)).where(F.col("gap") > F.least(F.col("usual") * multiple, F.lit(float(most_ms))))
 
 
 def matched(baseline: DataFrame, result: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -10,8 +10,11 @@ from pyspark.sql.window import Window as W
 
 from panemill.functions.time import align_start
 
-#: Values of a window from which a signature is given, and that a spectrum takes at most at once.
+#: Values of a window from which a signature is given.
 LEAST = 5
+# Bounds of each approach (approach, least and greatest variance, greatest entropy, least number of values, priority).
+CONFIGS = [("approximation", None, 10.0, 2.0, None, 1), ("fetching", 50.0, None, None, None, 2), ("chunked", None, 30.0, None, 100, 3)]
+CONFIG_SCHEMA = "approach string, variance_lo double, variance_hi double, entropy_hi double, n_lo long, priority int"
 
 
 def window_stats(obs: DataFrame, range_ms: int) -> DataFrame:
@@ -69,8 +72,11 @@ def stream_type(fft: Column | None = None) -> Column:
 
 
 def recommend(signatures: DataFrame, configs: DataFrame) -> DataFrame:
-    """The approach of least priority whose bounds hold a window's variance; lower priorities give less confidence."""
-    rows = signatures.join(F.broadcast(configs), F.col("variance").between(F.col("lo"), F.col("hi")))
+    """The approach of least priority all of whose bounds hold; lower priorities give less confidence.  A null bound holds always."""
+    lo = lambda c, b: F.col(b).isNull() | (F.col(c) >= F.col(b))
+    hi = lambda c, b: F.col(b).isNull() | (F.col(c) <= F.col(b))
+    fits = F.col("variance").isNotNull() & lo("variance", "variance_lo") & hi("variance", "variance_hi") & hi("entropy", "entropy_hi") & lo("n", "n_lo")
+    rows = signatures.join(F.broadcast(configs), fits)
     return rows.groupBy("stream", "win_start").agg(F.min_by("approach", "priority").alias("approach"), F.round(1 - 0.25 * (F.min("priority") - 1), 6).alias("confidence"))
 
 

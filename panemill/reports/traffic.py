@@ -37,7 +37,7 @@ def classify(traffic: DataFrame, subscribers: DataFrame) -> DataFrame:
 def traffic_summary(traffic: DataFrame, keys: Sequence[str] = ("approach",)) -> DataFrame:
     """Bytes by kind after the warm-up (before a key's first final result), and KB a second over the rest."""
     cut = traffic.where("message_type = 'final_result'").groupBy(*keys).agg(F.min("timestamp").alias("cut"))
-    rows = traffic.join(F.broadcast(cut), list(keys), "left").withColumn("warmup", F.coalesce(F.col("timestamp") < F.col("cut"), F.lit(False)))
+    rows = traffic.join(cut, list(keys), "left").withColumn("warmup", F.coalesce(F.col("timestamp") < F.col("cut"), F.lit(False)))
     steady = ~F.col("warmup")
     of = lambda kind: F.coalesce(F.sum(F.when(steady & (F.col("message_type") == kind), F.col("published_bytes"))), F.lit(0)).alias(f"{kind}_bytes")
     span = (F.max(F.when(steady, F.col("timestamp"))) - F.min(F.when(steady, F.col("timestamp")))) / 1000
