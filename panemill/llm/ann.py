@@ -31,6 +31,8 @@ SAMPLE = 20_000
 #: Share of the lists that a query visits (vectors without clusters need many) and its least number, candidates that it keeps after the
 #: asymmetric distances, and codes of a sub-space.
 PROBED, LEAST_PROBED, KEPT, CODES = 0.7, 16, 200, 256
+#: Candidates that a query keeps of one block of a list: four times what it returns of all lists.
+KEPT_OF_BLOCK = 40
 #: Entries of a block of a list, and queries of a chunk, about.
 BLOCK, CHUNK = 4096, 512
 
@@ -136,7 +138,7 @@ def search(rows: DataFrame, every: int = 100, k: int = 10, id_col: str = "vec_id
                 rest = np.split(np.array(q, float) - centre, len(books))
                 tables = [((book - part) ** 2).sum(axis=1) for book, part in zip(books, rest, strict=True)]
                 distance = sum(t[codes[:, j]] for j, t in enumerate(tables))
-                best = np.lexsort((entry, distance))[:KEPT]
+                best = np.lexsort((entry, distance))[: max(KEPT_OF_BLOCK, 4 * k)]
                 found[0].extend([query] * len(best))
                 found[1].extend(entry[best].tolist())
                 found[2].extend(distance[best].tolist())
