@@ -7,7 +7,7 @@ match.  A message replies to the original of its shallowest quoted passage that
 quotes out is the message's own text; the thread's messages are ordered by the first message of their reply tree, then by
 their own place, so that each reply follows what it answers.
 
-Joins are by thread and hash and trees by contraction of reply edges: no thread is gathered in one task but as the
+Joins are by thread and hash, roots by doubling reply pointers: no thread is gathered in one task but as the
 window that numbers its short rows.
 
 Cases: null and empty texts have no passages; a null thread or place takes no part in linking; quotes without an original
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from panemill.llm.common import written
-from panemill.llm.components import connected_components
+from panemill.llm.components import roots
 
 _LEVEL = re.compile(r"^(?:[ \t]?>)+[ \t]?")
 
@@ -98,10 +98,8 @@ def link_quotes(messages: DataFrame, thread: str = "conv_id", place: str = "turn
     answers = latest.groupBy("thread", "place").agg(F.min(F.struct("level", (-F.col("source")).alias("back"))).alias("best"), F.count("*").alias("linked"))
     answers = written(answers.select("thread", "place", (-F.col("best.back")).cast(rows.schema["place"].dataType).alias("reply_to"), "linked"), "answers")
 
-    node = F.struct("thread", F.col("place"))
-    edges = answers.select(node.alias("a"), F.struct("thread", F.col("reply_to").alias("place")).alias("b"))
-    roots = connected_components(edges).select("id.thread", "id.place", F.col("component.place").alias("root"))
-    out = rows.join(answers, ["thread", "place"], "left").join(roots, ["thread", "place"], "left").withColumn("root", F.coalesce("root", "place"))
+    tops = roots(answers, "thread", "place", "reply_to")
+    out = rows.join(answers, ["thread", "place"], "left").join(tops, ["thread", "place"], "left").withColumn("root", F.coalesce("root", "place"))
     return out.select(
         F.col("thread").alias(thread),
         F.col("place").alias(place),
