@@ -3,8 +3,10 @@
 Coarse centroids and the codebooks of residuals are trained on a bounded sample.  Every vector is assigned to its nearest
 centroid and its residual coded, a byte for each sub-space.  Equal vectors are one entry that names the least ids it stands
 for, so a vector that a third of all rows share costs one entry.  A query visits its nearest lists; in each block of a list
-its distance tables, one per visited list, add up to the asymmetric distances of all entries, of which the best few go on.
-The best of all lists are reranked by exact distance, in double precision.
+its distance tables, one per visited list, add up to the asymmetric distances of all entries.  An entry's true distance differs
+from the asymmetric one by the length of what its code leaves out at most.  Exact distances, in double precision, of the best
+few bound the (k + 1)-th best of the block; every entry that this bound doesn't rule out is compared exactly as well.  A block
+gives out its k + 1 nearest entries, so nothing in a visited list is lost: only lists that aren't visited cost recall.
 
 Lists are cut in blocks of bounded size by a hash, so no task holds a whole list.  A block meets the queries of its list in
 chunks of bounded size.
@@ -28,11 +30,12 @@ from panemill.llm.common import written
 
 #: Vectors to train on at most.
 SAMPLE = 20_000
-#: Share of the lists that a query visits (vectors without clusters need many) and its least number, candidates that it keeps after the
-#: asymmetric distances, and codes of a sub-space.
-PROBED, LEAST_PROBED, KEPT, CODES = 0.7, 16, 200, 256
-#: Candidates that a query keeps of one block of a list: four times what it returns of all lists.
-KEPT_OF_BLOCK = 40
+#: Share of the lists that a query visits (vectors without clusters need many) and its least number, and codes of a sub-space.
+PROBED, LEAST_PROBED, CODES = 0.7, 16, 256
+#: Entries of a block whose exact distances give a query its first bound.  Any number gives the same rows.
+FIRST = 40
+#: What rounding may do to distances in which large terms cancel, as a share of the lengths involved.
+SLACK = 1e-6
 #: Entries of a block of a list, and queries of a chunk, about.
 BLOCK, CHUNK = 4096, 512
 
@@ -76,6 +79,38 @@ def encode(x: np.ndarray, model: dict) -> tuple[np.ndarray, np.ndarray]:
     return own, np.stack(codes, axis=1).astype(np.uint8)
 
 
+def _exact(v: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Euclidean distances of q from rows, summed from the first component to the last."""
+    return np.sqrt(np.cumsum((v - q) ** 2, axis=1)[:, -1])
+
+
+def nearest_in_block(queries: np.ndarray, v: np.ndarray, codes: np.ndarray, entry: np.ndarray, centre: np.ndarray, books: list[np.ndarray], n: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each query the places and exact distances of its n nearest entries (ties: least entry) of a block of one list."""
+    decoded = centre + np.concatenate([book[codes[:, j]] for j, book in enumerate(books)], axis=1)
+    left_out = np.sqrt(((v - decoded) ** 2).sum(axis=1))
+    squares, longest = (v**2).sum(axis=1), np.sqrt((v**2).sum(axis=1).max())
+    for at in range(0, len(queries), 64):
+        part = queries[at : at + 64]
+        squared = np.zeros((len(part), len(v)))
+        for j, (book, rest) in enumerate(zip(books, np.split(part - centre, len(books), axis=1), strict=True)):
+            squared += ((rest**2).sum(axis=1)[:, None] - 2 * rest @ book.T + (book**2).sum(axis=1))[:, codes[:, j]]
+        guesses = np.sqrt(np.maximum(squared, 0))
+        for q, guess in zip(part, guesses, strict=True):
+            slack = SLACK * (np.sqrt(q @ q) + longest + np.sqrt(centre @ centre))
+            first = np.argpartition(guess, max(FIRST, 2 * n))[: max(FIRST, 2 * n)] if len(v) > max(FIRST, 2 * n) else np.arange(len(v))
+            score = _exact(v[first], q)
+            if len(first) < len(v):
+                bound = np.partition(score, n - 1)[n - 1]
+                open_ = ~(guess - left_out > bound + slack)  # what isn't a number stays
+                open_[first] = False
+                more = np.flatnonzero(open_)
+                rough = np.sqrt(np.maximum(squares[more] - 2 * (v[more] @ q) + q @ q, 0))
+                more = more[~(rough > bound + slack)]
+                first, score = np.concatenate([first, more]), np.concatenate([score, _exact(v[more], q)])
+            best = np.lexsort((entry[first], score))[:n]
+            yield first[best], score[best]
+
+
 def usable(rows: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """id, v (doubles): the rows that take part."""
     v = rows[vector_col].cast("array<double>")
@@ -104,12 +139,13 @@ def search(rows: DataFrame, every: int = 100, k: int = 10, id_col: str = "vec_id
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if len(batch):
-                own, codes = encode(np.array(batch.column(0).to_pylist(), float), model.value)
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(own, pa.int32()), pa.array([c.tobytes() for c in codes], pa.binary())], names=["v", "ids", "list", "codes"])
+                x = np.array(batch.column(0).to_pylist(), float)
+                own, codes = encode(x, model.value)
+                yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in x], pa.binary()), batch.column(1), pa.array(own, pa.int32()), pa.array([c.tobytes() for c in codes], pa.binary())], names=["raw", "ids", "list", "codes"])
 
-    entries = written(entries.mapInArrow(coded, "v array<double>, ids array<bigint>, list int, codes binary").withColumn("entry", F.element_at("ids", 1)), "entries")
+    entries = written(entries.mapInArrow(coded, "raw binary, ids array<bigint>, list int, codes binary").withColumn("entry", F.element_at("ids", 1)), "entries")
     blocks = entries.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    held = entries.join(blocks, "list").withColumn("block", F.pmod(F.xxhash64("entry"), "blocks")).select("list", "block", "entry", "codes")
+    held = entries.join(blocks, "list").withColumn("block", F.pmod(F.xxhash64("entry"), "blocks")).select("list", "block", "entry", "codes", "raw")
 
     def visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         centres = model.value["centres"]
@@ -125,31 +161,26 @@ def search(rows: DataFrame, every: int = 100, k: int = 10, id_col: str = "vec_id
     chunked = probes.join(blocks, "list").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     chunks = max(1, -(-queries.count() // CHUNK))
     chunked = chunked.withColumn("chunk", F.pmod(F.xxhash64("query"), F.lit(chunks))).select("list", "block", "chunk", "query", "q")
-    meet = chunked.select("list", "block", "chunk").distinct().join(held, ["list", "block"]).select(F.col("list").alias("l"), F.col("block").alias("b"), F.col("chunk").alias("c"), "entry", "codes")
+    meet = chunked.select("list", "block", "chunk").distinct().join(held, ["list", "block"]).select(F.col("list").alias("l"), F.col("block").alias("b"), F.col("chunk").alias("c"), "entry", "codes", "raw")
 
     def scan(asked: pa.Table, stored: pa.Table) -> pa.Table:
         found = [], [], []
         if len(asked) and len(stored):
             entry = np.array(stored.column("entry").to_pylist(), np.int64)
             codes = np.frombuffer(b"".join(stored.column("codes").to_pylist()), np.uint8).reshape(len(entry), -1)
+            v = np.frombuffer(b"".join(stored.column("raw").to_pylist()), float).reshape(len(entry), -1)
             centre = model.value["centres"][asked.column("list")[0].as_py()]
-            books = model.value["books"]
-            for query, q in zip(asked.column("query").to_pylist(), asked.column("q").to_pylist(), strict=True):
-                rest = np.split(np.array(q, float) - centre, len(books))
-                tables = [((book - part) ** 2).sum(axis=1) for book, part in zip(books, rest, strict=True)]
-                distance = sum(t[codes[:, j]] for j, t in enumerate(tables))
-                best = np.lexsort((entry, distance))[: max(KEPT_OF_BLOCK, 4 * k)]
+            q = np.array(asked.column("q").to_pylist(), float)
+            nearest = nearest_in_block(q, v, codes, entry, centre, model.value["books"], k + 1)
+            for query, (best, score) in zip(asked.column("query").to_pylist(), nearest, strict=True):
                 found[0].extend([query] * len(best))
                 found[1].extend(entry[best].tolist())
-                found[2].extend(distance[best].tolist())
-        return pa.table({"query": pa.array(found[0], pa.int64()), "entry": pa.array(found[1], pa.int64()), "guess": pa.array(found[2], pa.float64())})
-
-    guesses = chunked.groupBy("list", "block", "chunk").cogroup(meet.groupBy("l", "b", "c")).applyInArrow(scan, "query long, entry long, guess double")
-    best = guesses.withColumn("r", F.row_number().over(W.partitionBy("query").orderBy("guess", "entry"))).where(F.col("r") <= KEPT)
+                found[2].extend(score.tolist())
+        return pa.table({"query": pa.array(found[0], pa.int64()), "entry": pa.array(found[1], pa.int64()), "score": pa.array(found[2], pa.float64())})
 
-    # Exact distances of the entries left, then the ids they stand for.
-    pairs = best.select("query", "entry").join(entries.select("entry", "v", "ids"), "entry").join(queries.select(F.col("id").alias("query"), F.col("v").alias("q")), "query")
-    exact = F.sqrt(F.aggregate(F.zip_with("v", "q", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, c: s + c))
-    near = pairs.select("query", exact.alias("score"), F.explode("ids").alias("vec_id")).where("vec_id != query")
+    # The k + 1 nearest entries hold the k nearest others: each stands for an id that comes before all ids of the entries left out.
+    scored = chunked.groupBy("list", "block", "chunk").cogroup(meet.groupBy("l", "b", "c")).applyInArrow(scan, "query long, entry long, score double")
+    best = scored.withColumn("r", F.row_number().over(W.partitionBy("query").orderBy("score", "entry"))).where(F.col("r") <= k + 1)
+    near = best.select("query", "entry", "score").join(entries.select("entry", "ids"), "entry").select("query", "score", F.explode("ids").alias("vec_id")).where("vec_id != query")
     ranked = near.withColumn("rank", F.row_number().over(W.partitionBy("query").orderBy("score", "vec_id"))).where(F.col("rank") <= k)
     return ranked.select(F.col("query").alias("query_id"), "rank", "vec_id", "score")

@@ -319,6 +319,17 @@ def test_neighbours_edge_cases(spark):
     assert [(r["vec_id"], r["score"]) for r in few] == [(6, 1.0)]
 
 
+def test_neighbours_among_many_of_one_code(spark, monkeypatch):
+    monkeypatch.setattr(ann, "CODES", 2)  # a cluster's vectors share a list and nearly a code
+    rng = np.random.default_rng(5)
+    x = (np.repeat(rng.normal(size=(10, 16)), 300, axis=0) + 0.02 * rng.normal(size=(3000, 16)))[rng.permutation(3000)]
+    got = defaultdict(set)
+    for r in ann.search(spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<double>")).collect():
+        got[r["query_id"]].add(r["vec_id"])
+    hits = sum(len(got[k] & set(np.argsort(((x - x[k]) ** 2).sum(axis=1))[1:11].tolist())) for k in range(0, 3000, 100))
+    assert hits / 300 >= 0.99
+
+
 # --- 10: media
 
 
