@@ -15,6 +15,9 @@ from panemill.llm.common import table, written
 from panemill.llm.minhash_dedup import deduplicated
 from panemill.llm.mixing import mixed_documents
 
+#: Words of a shingle in the near-duplicate stage; its test holds it to groups by pairs of words.
+WIDTH = 2
+
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
@@ -30,7 +33,7 @@ def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of least id of each near-duplicate group."""
-    return deduplicated(docs)
+    return deduplicated(docs, width=WIDTH)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,6 +1,6 @@
 """Near-duplicate groups: MinHash bands, sequential Bayesian verification, exact confirmation.
 
-1. Every document's set of distinct two-word shingles is hashed to 64 bits (word hashes are multilinear, so two words
+1. Every document's set of distinct shingles (of ``width`` words, two unless told otherwise) is hashed to 64 bits (word hashes are multilinear, so two words
    collide with probability below 2**-56), and documents of one set form a class that its least doc_id stands for.
 2. Representatives get 128 MinHash values; 25 bands of 5 name the candidates (a pair of similarity 0.8 shares no band
    with probability 5e-5, of 0.85 with 4e-7).
@@ -11,8 +11,8 @@
    of bounded blocks that give out nothing but links; pairs within a component need no comparison.  So no candidate pair of different components
    is left unexamined.
 
-Cases: a null, empty or blank text has an empty set and is linked with nothing; a text of one word has that word as its
-only shingle.  Rows that repeat a doc_id with the same text share its fate.  A null doc_id never stands for others: its row gets the
+Cases: a null, empty or blank text has an empty set and is linked with nothing; a text of fewer words than a shingle has all its
+words as its only one.  Rows that repeat a doc_id with the same text share its fate.  A null doc_id never stands for others: its row gets the
 least id of its group, and is kept only if the group has none.  Other columns are not read.
 """
 
@@ -113,7 +113,7 @@ def posterior_floor(n: int, threshold: float, miss: float) -> int:
     return n
 
 
-def _prepared(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _prepared(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
     """id, n_shingles, class digest (two longs), signature, one row for each of docs."""
     kind = docs.schema[id_col].dataType.simpleString()
 
@@ -127,7 +127,7 @@ def _prepared(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                     size += len(texts[stop].as_py() or "")
                     stop += 1
                 rows = []
-                for shingles in shingle_sets(texts.slice(at, stop - at).to_pylist()):
+                for shingles in shingle_sets(texts.slice(at, stop - at).to_pylist(), width):
                     digest = hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
                     if (found := seen.get(digest)) is None:
                         low = signature(shingles) if len(shingles) else np.zeros(HASHES, np.uint32)
@@ -171,7 +171,7 @@ def _texts(ids: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataF
     return written(texts.join(ids.hint("shuffle_hash"), "id").select("id", "text"), "texts")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, threshold: float) -> DataFrame:
+def _confirmed(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, threshold: float, width: int) -> DataFrame:
     """The pairs (a, b) whose full sets reach the threshold."""
     percent = round(threshold * 100)
 
@@ -181,7 +181,7 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, th
             for at in range(0, len(batch), 256):
                 part = batch.slice(at, 256)
                 texts = dict.fromkeys(part.column("ta").to_pylist() + part.column("tb").to_pylist())
-                sets = dict(zip(texts, shingle_sets(list(texts)), strict=True))
+                sets = dict(zip(texts, shingle_sets(list(texts), width), strict=True))
                 for k, (x, y) in enumerate(zip(part.column("ta").to_pylist(), part.column("tb").to_pylist(), strict=True)):
                     common = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
                     if common and 100 * common >= percent * (len(sets[x]) + len(sets[y]) - common):
@@ -203,7 +203,7 @@ def _buckets(reps: DataFrame) -> DataFrame:
     return rows.join(ends, "key")
 
 
-def _crossing(stars: DataFrame, docs: DataFrame, id_col: str, text_col: str, threshold: float) -> DataFrame:
+def _crossing(stars: DataFrame, docs: DataFrame, id_col: str, text_col: str, threshold: float, width: int) -> DataFrame:
     """Links (a, b) between members of different components of each star (star, id, component).
 
     A star's most frequent component is M, the rest is F; pairs within M need no look.  Members are dealt to blocks of
@@ -228,7 +228,7 @@ def _crossing(stars: DataFrame, docs: DataFrame, id_col: str, text_col: str, thr
         ids, components = table.column("id").to_pylist(), np.array(table.column("component").to_pylist())
         left = table.column("x")[0].as_py() == np.array(table.column("block").to_pylist())
         texts = table.column("text").to_pylist()
-        sets = [found for k in range(0, len(texts), 200) for found in shingle_sets(texts[k : k + 200])]
+        sets = [found for k in range(0, len(texts), 200) for found in shingle_sets(texts[k : k + 200], width)]
         sizes = np.array([len(x) for x in sets])
         same = table.column("x")[0].as_py() == table.column("y")[0].as_py()
         right = np.flatnonzero(left if same else ~left)
@@ -251,9 +251,9 @@ def _crossing(stars: DataFrame, docs: DataFrame, id_col: str, text_col: str, thr
     return rows.join(texts.hint("merge"), "id").groupBy("star", "x", "y").applyInArrow(links, f"a {kind}, b {kind}").distinct()
 
 
-def near_duplicates(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE) -> DataFrame:
     """id, n_shingles, component_id (least id reachable over links), kept (the id is the component's)."""
-    prepared = written(_prepared(docs, id_col, text_col), "prepared")
+    prepared = written(_prepared(docs, id_col, text_col, width), "prepared")
     filled = prepared.where("n_shingles > 0 and id is not null")
     classes = filled.groupBy("c1", "c2").agg(F.min("id").alias("rep"))
     reps = written(filled.join(classes.select(F.col("rep").alias("id")).distinct(), "id", "left_semi"), "reps")
@@ -261,7 +261,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_
 
     ends = F.explode(F.array(F.struct(F.col("lo").alias("end")), F.struct(F.col("hi").alias("end"))))
     near = shared.select("id", ends.alias("e")).where("id != e.end").select(F.least("id", "e.end").alias("a"), F.greatest("id", "e.end").alias("b")).distinct()
-    first = written(_confirmed(written(_likely(near, reps, threshold), "likely"), docs, id_col, text_col, threshold), "links")
+    first = written(_confirmed(written(_likely(near, reps, threshold), "likely"), docs, id_col, text_col, threshold, width), "links")
     labels = connected_components(first)
 
     # Buckets that still hold several components: compare across them.
@@ -269,7 +269,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_
     mixed = placed.groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 != c2").select("key")
     stars = written(placed.join(mixed, "key", "left_semi").select("star", "id", "component").distinct(), "stars")
     if not stars.isEmpty():
-        second = written(_crossing(stars, docs, id_col, text_col, threshold), "links")
+        second = written(_crossing(stars, docs, id_col, text_col, threshold, width), "links")
         labels = connected_components(first.union(second))
 
     joined = (
@@ -282,7 +282,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_
     return joined.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
 
 
-def deduplicated(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def deduplicated(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE) -> DataFrame:
     """One document of each group, all columns.  Documents without an id are kept, since no other row can stand for them."""
-    kept = near_duplicates(docs, threshold, id_col, text_col).where(F.col("kept") & F.col(id_col).isNotNull()).select(id_col).distinct()
+    kept = near_duplicates(docs, threshold, id_col, text_col, width).where(F.col("kept") & F.col(id_col).isNotNull()).select(id_col).distinct()
     return docs.join(kept.hint("shuffle_hash"), id_col, "left_semi").dropDuplicates([id_col]).unionByName(docs.where(F.col(id_col).isNull()))

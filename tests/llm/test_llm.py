@@ -103,6 +103,24 @@ def test_block_comparison_of_many_unlinked(spark, monkeypatch):
     check_groups(spark, list(enumerate(texts)))
 
 
+def test_near_duplicates_by_five_words(spark):
+    texts = ["", "one", "a b c d", "a b c d", "a b c e"]
+    for k in range(12):
+        base = [f"v{k}_{j}" for j in range(100)]
+        some = [w if j % 20 != 10 else "changed" for j, w in enumerate(base)]  # 0.82 by pairs of words, 0.58 by fives
+        texts += [" ".join(x) for x in (base, some, [*base, "more"])]
+    rows = list(enumerate(texts))
+    sets = [{tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4) if w else 0)} for w in (t.split() for _, t in rows)]
+    linked = spark.createDataFrame([(i, j) for i in range(len(rows)) for j in range(i + 1, len(rows)) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) > 0], "a long, b long")
+    least = {r["id"]: r["component"] for r in connected_components(linked).collect()}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = minhash_dedup.near_duplicates(docs, width=5).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in out} == {i: (len(sets[i]), least.get(i, i)) for i, _ in rows}
+    want = {i for i, _ in rows if least.get(i, i) == i}
+    assert {r["doc_id"] for r in minhash_dedup.deduplicated(docs, width=5).collect()} == want
+    assert len(want) > minhash_dedup.deduplicated(docs, width=2).count()
+
+
 def test_posterior_floor():
     assert 0 < minhash_dedup.posterior_floor(32, 0.8, 1e-6) < minhash_dedup.posterior_floor(128, 0.8, 1e-6) < 103
 
