@@ -15,8 +15,8 @@ from panemill.llm.common import table, written
 from panemill.llm.minhash_dedup import deduplicated
 from panemill.llm.mixing import mixed_documents
 
-#: Words of a shingle in the near-duplicate stage; its test holds it to groups by pairs of words.
-WIDTH = 2
+#: Words of a shingle in the near-duplicate stage.
+WIDTH = 5
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
