@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -17,10 +18,17 @@ _made: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that the driver and all executors share: ``spark.checkpoint.dir``, set here only where it is unset."""
+    """Folder that the driver and all executors share: ``spark.checkpoint.dir``; a local session without one gets a temporary folder.
+
+    The URI always names its scheme, so Spark and other readers find the same folder.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if found:
-        return found.rstrip("/")
+        path = spark._jvm.org.apache.hadoop.fs.Path(found)
+        uri = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
+        return re.sub("^file:/(?!/)", "file:///", uri)
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _made:  # a local session, as in tests
         _made[app] = tempfile.mkdtemp(prefix="panemill-")
@@ -55,6 +63,33 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of one key from which a join may split it.
+SPLIT = 1000
+#: Split keys that may be broadcast at most; there is one for each ``SPLIT`` rows at most.
+BROADCAST_KEYS = 1_000_000
+
+
+def spread_join(rows: DataFrame, per_key: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """``rows`` (a written table) joined with ``per_key``, which has one row for each key; no task gets much more than its share.
+
+    Keys with more rows than a shuffle partition holds on average, and than ``SPLIT``, are cut in as many parts, and their
+    row of ``per_key`` goes to each of them.  Rows keep their number and columns.
+    """
+    spark = rows.sparkSession
+    n = rows.count()
+    share = max(SPLIT, n // int(spark.conf.get("spark.sql.shuffle.partitions")))
+    if n <= share:
+        return rows.join(per_key, on, how)
+    hot = rows.groupBy(*on).count().where(F.col("count") > share).select(*on, F.ceil(F.col("count") / share).cast("long").alias("parts"))
+    hot = written(hot, "hot")
+    if hot.isEmpty():
+        return rows.join(per_key, on, how)
+    hot = maybe_broadcast(hot, BROADCAST_KEYS)
+    left = rows.join(hot, on, "left").withColumn("part", F.pmod(F.monotonically_increasing_id(), F.coalesce("parts", F.lit(1))))
+    right = per_key.join(hot, on, "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1)) - 1)))
+    return left.drop("parts").join(right.drop("parts"), [*on, "part"], how).drop("part")
+
+
 def maybe_broadcast(df: DataFrame, most_rows: int) -> DataFrame:
     """Broadcast hint if a count shows at most ``most_rows`` rows; otherwise Spark joins by shuffle."""
     return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df

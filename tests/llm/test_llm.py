@@ -31,13 +31,13 @@ def empty(spark):
 # --- 1: near duplicates
 
 
-def groups_by_brute_force(rows):
-    """(set size, least reachable id) by comparing all pairs that share a shingle."""
-    sets = {}
-    for i, t in rows:
+def groups_by_brute_force(rows, width=2):
+    """(set size, least reachable id) of each row, by comparing all pairs of rows that share a shingle."""
+    sets = []
+    for _, t in rows:
         w = (t or "").encode().lower().split()
-        sets[i] = frozenset([tuple(w)] if len(w) == 1 else zip(w, w[1:], strict=False))
-    up = {i: i for i in sets}
+        sets.append(frozenset(tuple(w[j : j + width]) for j in range(max(1, len(w) - width + 1) if w else 0)))
+    up = list(range(len(rows)))
 
     def root(x):
         while up[x] != x:
@@ -45,15 +45,19 @@ def groups_by_brute_force(rows):
         return x
 
     where = defaultdict(list)
-    for i in sorted(sets):
-        common = Counter(j for x in sets[i] for j in where[x])
+    for i, own in enumerate(sets):
+        common = Counter(j for x in own for j in where[x])
         for j, n in common.items():
-            if 100 * n >= 80 * (len(sets[i]) + len(sets[j]) - n):
+            if 100 * n >= 80 * (len(own) + len(sets[j]) - n):
                 a, b = root(i), root(j)
                 up[max(a, b)] = min(a, b)
-        for x in sets[i]:
+        for x in own:
             where[x].append(i)
-    return {i: (len(s), root(i)) for i, s in sets.items()}
+    least = {}
+    for i, (name, _) in enumerate(rows):
+        if name is not None:
+            least[root(i)] = min(name, least.get(root(i), name))
+    return [(len(own), least.get(root(i))) for i, own in enumerate(sets)]
 
 
 def near_copies(seed, n):
@@ -68,10 +72,10 @@ def near_copies(seed, n):
     return texts
 
 
-def check_groups(spark, rows):
+def check_groups(spark, rows, width=2):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash_dedup.near_duplicates(docs).collect()}
-    assert got == groups_by_brute_force(rows)
+    got = Counter((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in minhash_dedup.near_duplicates(docs, width=width).collect())
+    assert got == Counter((i, n, c, i == c) for (i, _), (n, c) in zip(rows, groups_by_brute_force(rows, width), strict=True))
 
 
 def test_near_duplicates_equal_brute_force(spark):
@@ -81,18 +85,45 @@ def test_near_duplicates_equal_brute_force(spark):
 def test_near_duplicates_of_the_table(spark, sf):
     rows = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in queries.QUERIES["op1_minhash"](spark, sf).collect()}
-    assert got == groups_by_brute_force(rows)
+    assert got == dict(zip([i for i, _ in rows], groups_by_brute_force(rows), strict=True))
 
 
 def test_near_duplicates_edge_cases(spark):
     rows = [(1, None), (2, ""), (3, " \t\n"), (4, "one"), (5, "ONE"), (6, "two words"), (7, "Two  Words"), (8, "É é"), (9, "é É"), (10, "x" * 100_000), (11, "a " * 50_000)]
     check_groups(spark, rows)
-    docs = spark.createDataFrame([(None, "a b c"), (3, "a b c"), (None, "q r s"), (5, "a b c"), (5, "a b c")], "doc_id long, text string")
+    check_groups(spark, rows, width=5)
+    docs = spark.createDataFrame([(None, "a b c"), (3, "a b c"), (None, "q r s"), (5, "a b c"), (5, "a b c"), (None, ""), (7, ""), (7, "")], "doc_id long, text string")
     got = sorted(((r["doc_id"], r["component_id"], r["kept"]) for r in minhash_dedup.near_duplicates(docs).collect()), key=str)
-    assert got == [(3, 3, True), (5, 3, False), (5, 3, False), (None, 3, False), (None, None, True)]
+    assert got == sorted([(3, 3, True), (5, 3, False), (5, 3, False), (None, 3, False), (None, None, True), (None, None, True), (7, 7, True), (7, 7, True)], key=str)
     assert minhash_dedup.near_duplicates(empty(spark)).count() == 0
-    kept = minhash_dedup.deduplicated(docs.withColumn("component_id", F.lit("clash")))
-    assert sorted(((r["doc_id"] or 0) for r in kept.collect())) == [0, 0, 3]
+    kept = minhash_dedup.deduplicated(docs.withColumn("component_id", F.lit("clash")).withColumn("r1", F.lit(0)).withColumn("row", F.lit(0)))
+    assert kept.columns == ["doc_id", "text", "component_id", "r1", "row"]
+    assert sorted(((r["doc_id"] or 0, r["text"]) for r in kept.collect())) == [(0, ""), (0, "q r s"), (3, "a b c"), (7, ""), (7, "")]
+    assert minhash_dedup.deduplicated(empty(spark)).count() == 0
+
+
+def test_one_id_with_several_texts(spark):
+    a, b = "a1 a2 a3 a4 a5 a6", "b1 b2 b3 b4 b5 b6"
+    for rows, want in (
+        ([(2, a), (3, a), (3, b), (4, b)], [(2, a), (3, b)]),
+        ([(1, a), (1, b), (2, a)], [(1, a), (1, b)]),
+        ([(1, a), (1, a), (1, b), (1, b), (2, b)], [(1, a), (1, b)]),
+        ([(1, a), (1, a + " a7"), (0, b)], None),  # one group: one of both texts of the least id
+    ):
+        check_groups(spark, rows)
+        kept = sorted(tuple(r) for r in minhash_dedup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string"), width=2).collect())
+        assert kept == want if want else len(kept) == 2
+
+
+def test_near_duplicates_with_a_hot_group(spark, monkeypatch):
+    from panemill.llm import common
+
+    monkeypatch.setattr(common, "SPLIT", 20)
+    rng = random.Random(8)
+    base = [f"w{k}" for k in range(60)]
+    texts = [" ".join(w if rng.random() > 0.01 else "x" for w in base) for _ in range(200)] + ["same text of many"] * 200 + [""] * 100 + near_copies(9, 30)
+    check_groups(spark, list(enumerate(texts)))
+    check_groups(spark, [(k % 50, t) for k, t in enumerate(texts)], width=5)
 
 
 def test_block_comparison_of_many_unlinked(spark, monkeypatch):
@@ -110,14 +141,10 @@ def test_near_duplicates_by_five_words(spark):
         some = [w if j % 20 != 10 else "changed" for j, w in enumerate(base)]  # 0.82 by pairs of words, 0.58 by fives
         texts += [" ".join(x) for x in (base, some, [*base, "more"])]
     rows = list(enumerate(texts))
-    sets = [{tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4) if w else 0)} for w in (t.split() for _, t in rows)]
-    linked = spark.createDataFrame([(i, j) for i in range(len(rows)) for j in range(i + 1, len(rows)) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) > 0], "a long, b long")
-    least = {r["id"]: r["component"] for r in connected_components(linked).collect()}
+    check_groups(spark, rows, width=5)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    out = minhash_dedup.near_duplicates(docs, width=5).collect()
-    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in out} == {i: (len(sets[i]), least.get(i, i)) for i, _ in rows}
-    want = {i for i, _ in rows if least.get(i, i) == i}
-    assert {r["doc_id"] for r in minhash_dedup.deduplicated(docs, width=5).collect()} == want
+    want = {i for (i, _), (_, c) in zip(rows, groups_by_brute_force(rows, 5), strict=True) if i == c}
+    assert {r["doc_id"] for r in minhash_dedup.deduplicated(docs).collect()} == want
     assert len(want) > minhash_dedup.deduplicated(docs, width=2).count()
 
 
@@ -393,8 +420,8 @@ def test_pipeline_stages(spark, sf):
         rows = docs.collect()
         assert {r["doc_id"] for r in rows} <= kept and rows
         if name == "near_duplicates":
-            truth = groups_by_brute_force([(r["doc_id"], r["text"]) for r in before.collect()])
-            assert sorted(r["doc_id"] for r in rows) == sorted(i for i, (_, c) in truth.items() if i == c)
+            given = [(r["doc_id"], r["text"]) for r in before.collect()]
+            assert sorted(r["doc_id"] for r in rows) == sorted(i for (i, _), (_, c) in zip(given, groups_by_brute_force(given, corpus_pipeline.WIDTH), strict=True) if i == c)
         if name == "mixing":
             assert max(Counter(r["doc_id"] for r in rows).values()) <= 3
         kept = {r["doc_id"] for r in rows}
