@@ -69,18 +69,18 @@ SPLIT = 1000
 BROADCAST_KEYS = 1_000_000
 
 
-def spread_join(rows: DataFrame, per_key: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+def spread_join(rows: DataFrame, per_key: DataFrame, on: list[str], how: str = "inner", counts: DataFrame | None = None) -> DataFrame:
     """``rows`` (a written table) joined with ``per_key``, which has one row for each key; no task gets much more than its share.
 
     Keys with more rows than a shuffle partition holds on average, and than ``SPLIT``, are cut in as many parts, and their
-    row of ``per_key`` goes to each of them.  Rows keep their number and columns.
+    row of ``per_key`` goes to each of them.  Rows keep their number and columns.  ``counts`` (key, count) is made from the rows if not given.
     """
     spark = rows.sparkSession
-    n = rows.count()
+    n = counts.agg(F.sum("count")).first()[0] or 0 if counts is not None else rows.count()
     share = max(SPLIT, n // int(spark.conf.get("spark.sql.shuffle.partitions")))
     if n <= share:
         return rows.join(per_key, on, how)
-    hot = rows.groupBy(*on).count().where(F.col("count") > share).select(*on, F.ceil(F.col("count") / share).cast("long").alias("parts"))
+    hot = (rows.groupBy(*on).count() if counts is None else counts).where(F.col("count") > share).select(*on, F.ceil(F.col("count") / share).cast("long").alias("parts"))
     hot = written(hot, "hot")
     if hot.isEmpty():
         return rows.join(per_key, on, how)

@@ -5,12 +5,13 @@ Sources weigh by their place in code-point order (null last); their targets fill
 virtual finish time is the words its source has sent by its end, divided by the source's weight.  All copies, range-sorted by
 finish time, are taken as long as their running sum stays within the total budget, which levels every source at its target.
 
-Running sums never put a source in one task: a source's shuffled order is cut in buckets by the leading digits of the
-shuffle key, so that a bucket holds a bounded number of rows; sums of buckets give each bucket its offset.  The global
-order is cut by range partitions in the same way, and only the partition in which the budget ends is looked at row by row.
+Running sums never put a source in one task: repeated rows are counted into one first, a source's shuffled order is cut in buckets by the
+leading digits of the shuffle key, so that a bucket holds a bounded number of rows that differ, and offsets of buckets are summed on two levels.  The
+global order is cut by range partitions in the same way, and only the partition in which the budget ends is looked at row by row.
+Only ``targets`` orders all sources, a row each, in one task.
 
 Cases: a null text has size 0; a null source is a source; documents without words are carried along with no words
-taken; repeated rows are separate rows; a null doc_id is shuffled like an empty one; an empty table gives no rows.
+taken; repeated rows are separate rows; null doc_ids share a place in the shuffled order, and rows of one id follow one another in it; an empty table gives no rows.
 Other columns are not read.
 """
 
@@ -23,10 +24,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from panemill.llm.common import WORD, maybe_broadcast, written
+from panemill.llm.common import WORD, maybe_broadcast, spread_join, written
 
 #: Rows of a bucket of a source, about.
 BUCKET = 1000
+#: Equal rows that one task writes out at most before they are dealt anew.
+RUN = 10_000
 #: Sources that may be broadcast at most; more are joined by shuffle.
 BROADCAST_SOURCES = 100_000
 
@@ -56,22 +59,28 @@ def targets(sizes: DataFrame, weights: Sequence[int], most: int) -> DataFrame:
     return ranked.select("source", "source_size", "src", "weight", "total", target.alias("target"))
 
 
-def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), most: int = 3, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """id, size, source_size, target, taken (words), copies (times the document is taken), a row for each of docs."""
-    key = F.md5(F.concat(F.coalesce(docs[id_col].cast("string"), F.lit("")), F.lit(f":{seed}")))
-    sized = written(docs.select(docs[id_col].alias("id"), docs[source_col].alias("source"), words(docs[text_col]).alias("size"), key.alias("key")), "sized")
+def _placed(docs: DataFrame, weights: Sequence[int], most: int, seed: str, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    """id, k1, k2 (row key), size, source_size, target, copies (times the row is taken), a row for each of docs."""
+    i, t, s = docs[id_col], docs[text_col], docs[source_col]
+    rows = docs.select(i.alias("id"), s.alias("source"), words(t).alias("size"), *_row_key(i, s, t))
+    sized = written(rows.groupBy("source", "id", "size", "k1", "k2").agg(F.count("*").alias("m")), "sized")
     digits = max(1, math.ceil(math.log(max(1, sized.count() / BUCKET), 16)))
-    sources = written(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most), "sources")
+    sources = written(targets(sized.groupBy("source").agg(F.sum(F.col("size") * F.col("m")).alias("source_size")), weights, most), "sources")
     rows = sized.join(maybe_broadcast(sources.drop("total"), BROADCAST_SOURCES).withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s", "source")
-    rows = rows.withColumn("bucket", F.conv(F.substring("key", 1, digits), 16, 10).cast("long"))
-
-    inside = W.partitionBy("src", "bucket").orderBy("key", "id", "size")
-    offsets = rows.groupBy("src", "bucket").agg(F.sum("size").alias("sum"))
-    earlier = W.partitionBy("src").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
-    offsets = offsets.select("src", "bucket", F.coalesce(F.sum("sum").over(earlier), F.lit(0)).alias("offset"))
-    placed = rows.withColumn("place", F.row_number().over(inside)).withColumn("end", F.sum("size").over(inside.rowsBetween(W.unboundedPreceding, W.currentRow)))
+    rows = rows.withColumn("key", F.md5(F.concat(F.coalesce(F.col("id").cast("string"), F.lit("")), F.lit(f":{seed}"))))
+    rows = written(rows.withColumn("bucket", F.conv(F.substring("key", 1, digits), 16, 10).cast("long")), "keyed")
+
+    # Words of a source before each bucket, by two levels of sums.
+    sums = rows.groupBy("src", "bucket").agg(F.sum(F.col("size") * F.col("m")).alias("sum")).withColumn("upper", F.floor(F.col("bucket") / 16 ** (digits // 2)))
+    earlier = lambda order, *keys: F.coalesce(F.sum("sum").over(W.partitionBy(*keys).orderBy(order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    uppers = sums.groupBy("src", "upper").agg(F.sum("sum").alias("sum")).select("src", "upper", earlier("upper", "src").alias("above"))
+    offsets = sums.withColumn("offset", earlier("bucket", "src", "upper")).join(uppers, ["src", "upper"]).select("src", "bucket", (F.col("offset") + F.col("above")).alias("offset"))
+
+    inside = W.partitionBy("src", "bucket").orderBy("key", "id", "size", "k1", "k2").rowsBetween(W.unboundedPreceding, -1)
+    before = lambda c: F.coalesce(F.sum(c).over(inside), F.lit(0))
+    placed = rows.withColumn("place", before(F.col("m"))).withColumn("end", before(F.col("size") * F.col("m")))
     placed = placed.join(offsets, ["src", "bucket"]).withColumn("end", F.col("end") + F.col("offset")).drop("key", "offset")
-    placed = written(placed, "placed")
+    placed = _expanded(written(placed, "placed"))
 
     # Every copy by virtual finish time; the order breaks all ties.
     order = ["finish", "src", "bucket", "place", "epoch"]
@@ -92,15 +101,51 @@ def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), most: int = 3, seed
         copy = placed.source_size * epoch + placed.end
         at = F.struct((copy.cast("double") / placed.weight.cast("double")).alias("finish"), "src", "bucket", "place", F.lit(epoch).alias("epoch"))
         copies = copies + (F.lit(1) if cut is None else (at < F.struct(*(F.lit(cut[c]).cast(lane.schema[c].dataType).alias(c) for c in order))).cast("int"))
-    out = placed.withColumn("copies", copies)
+    return placed.withColumn("copies", copies)
+
+
+def _row_key(*columns: Column) -> list[Column]:
+    """128 bits of a row's id, source and text; nulls differ from all values."""
+    filled = [F.coalesce(c.cast("string"), F.lit("")) for c in columns]
+    marks = [c.isNull() for c in columns]
+    return [F.xxhash64(*marks, *filled).alias("k1"), F.xxhash64(F.lit(1), *filled, *marks).alias("k2")]
+
+
+def _expanded(groups: DataFrame) -> DataFrame:
+    """A row for each of the m equal rows of a group, in order; groups of many are cut and dealt anew first."""
+    most = groups.agg(F.max("m")).first()[0] or 1
+    low = F.lit(0).cast("long")
+    if most > RUN:
+        groups = groups.withColumn("low", F.explode(F.sequence(low, F.col("m") - 1, F.lit(RUN).cast("long")))).repartition("src", "bucket", "place", "low")
+        low = F.col("low")
+    rows = groups.withColumn("j", F.explode(F.sequence(low, F.least(low + RUN, F.col("m")) - 1)))
+    rows = rows.withColumn("end", F.col("end") + (F.col("j") + 1) * F.col("size")).withColumn("place", F.col("place") + F.col("j") + 1)
+    return written(rows.drop("j", "low", "m"), "expanded") if most > 1 else rows.drop("j", "low", "m")
+
+
+def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), most: int = 3, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """id, size, source_size, target, taken (words), copies (times the document is taken), a row for each of docs."""
+    out = _placed(docs, weights, most, seed, id_col, text_col, source_col)
     return out.select(F.col("id").alias(id_col), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
 
 
-def mixed_documents(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The documents themselves, each as often as the mix takes it.  Rows that repeat an id are taken as often as the first."""
-    copies = mix(docs, id_col=id_col, **options).groupBy(F.col(id_col).alias("mixed id")).agg(F.min("copies").alias("mixed copies")).where("`mixed copies` > 0")
-    found = docs.join(copies, docs[id_col].eqNullSafe(F.col("mixed id"))).withColumn("mixed copies", F.explode(F.sequence(F.lit(1), "mixed copies")))
-    return found.select(*docs.columns)
+def mixed_documents(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), most: int = 3, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The documents themselves, each row as often as the mix takes it.  Of rows of one id, source and text some may be taken once more than others."""
+    key = ["k1", "k2"]
+    placed = _placed(docs, weights, most, seed, id_col, text_col, source_col)
+    groups = placed.groupBy(*key).agg(F.count("*").alias("count"), F.sum("copies").alias("total"))
+    groups = written(groups.select(*key, "count", F.floor(F.col("total") / F.col("count")).alias("copies"), (F.col("total") % F.col("count")).alias("extra")), "copies")
+    named = docs.select(F.struct(*docs.columns).alias("row"), *_row_key(docs[id_col], docs[source_col], docs[text_col]))
+    found = spread_join(named, groups.drop("count"), key, counts=groups.select(*key, "count"))
+    some = groups.where("extra > 0")
+    if not some.isEmpty():  # at most one group of a source, at its last taken word
+        edge = written(found.where("extra > 0"), "edge").withColumn("part", F.spark_partition_id())
+        sizes = edge.groupBy(*key, "part").count()
+        sizes = sizes.select(*key, "part", F.coalesce(F.sum("count").over(W.partitionBy(*key).orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("above"))
+        number = F.row_number().over(W.partitionBy(*key, "part").orderBy(F.xxhash64("row")))
+        edge = edge.withColumn("number", number).join(sizes, [*key, "part"]).withColumn("copies", F.col("copies") + (F.col("number") + F.col("above") <= F.col("extra")).cast("long"))
+        found = found.where("extra = 0").select("row", "copies").unionByName(edge.select("row", "copies"))
+    return found.where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select("row.*")
 
 
 ORACLE = r"""

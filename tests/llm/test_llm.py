@@ -180,6 +180,24 @@ def test_mix_targets_and_edge_cases(spark):
     assert sorted(map(str, out)) == sorted(map(str, mixing.mix(docs).collect()))
     assert mixing.mix(docs.limit(0)).count() == 0
     assert mixing.mixed_documents(docs).columns == docs.columns
+    assert mixing.mixed_documents(docs.limit(0)).count() == 0
+
+
+def test_mix_of_repeated_and_null_ids_equals_sql(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(mixing, "RUN", 16)
+    monkeypatch.setattr(mixing, "BUCKET", 10)
+    rows = [(None, "w " * (k % 4), "hot", "en") for k in range(200)] + [(7, "seven words are in this text here", "hot", "en")] * 150 + [(7, "other", "b", None)] * 40
+    rows += [(k, "x " * (k % 9), "abc"[k % 3], "de") for k in range(150)] + [(5000, "y " * 30_000, None, "fr")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    assert differences(mixing.mix(docs), connection(str(tmp_path)), mixing.ORACLE) == ""
+    taken, texts = Counter(), Counter()
+    for r in mixing.mix(docs).collect():
+        taken[r["doc_id"], r["size"]] += r["copies"]
+    for r in mixing.mixed_documents(docs).collect():
+        texts[r["doc_id"], len((r["text"] or "").split())] += 1
+    assert texts == +taken
 
 
 # --- 3, 4: classifiers
@@ -206,23 +224,80 @@ def test_toxicity_tolerates_gaps():
     rng = random.Random(4)
     word = lambda: "".join(rng.choice(["ka", "lo", "mi", "re", "tu", "sen", "dor"]) for _ in range(rng.randint(1, 3)))
     bags = [(k % 4 == 0, sorted({word() for _ in range(60)} | ({rng.choice(["idiot", "scumbag"])} if k % 4 == 0 else set()))) for k in range(400)]
-    model = toxicity.train([(int(label), units) for label, units in bags])
+    model = toxicity.train([(int(label), units, [f"{a} {b}" for a, b in zip(units, units[1:]) if 4 <= len(a) + len(b) <= 10]) for label, units in bags])
     score = lambda text: float(toxicity.Scorer(model).scores(toxicity.pa.array([text]))[0])
-    for text in ("idiot", "what an i.d.i.o.t", "i d i o t", "IDIOT!", "an id-iot", "iddiot", "scumbag"):
+    for text in ("idiot", "what an i.d.i.o.t", "i d i o t", "IDIOT!", "an id-iot", "iddiot", "scumbag", "you id iot", "scum bag"):
         assert score(f"kalo {text} mi") > 0.7, text
     for text in ("kalo mire", "", "tusendor lo", "the of", "idea", "1234 ?? --"):
         assert score(text) < 0.3, text
 
 
+def test_kernel_by_brute_force():
+    from itertools import combinations
+
+    def expanded(word):
+        letters, found = "^" + word, Counter()
+        for n in (3, 4):
+            for at in combinations(range(len(letters)), n):
+                if (skips := at[-1] - at[0] - n + 1) <= toxicity.SKIPS:
+                    found[tuple(letters[k] for k in at)] += toxicity.DECAY**skips
+        units = [toxicity.DECAY ** (at[-1] - at[0] - n + 1) for n in (3, 4) for at in combinations(range(len(letters)), n) if at[-1] - at[0] - n + 1 <= toxicity.SKIPS]
+        norm = sum(w * w for w in units) ** 0.5
+        return {k: v / norm for k, v in found.items()}
+
+    words, marks = ["idiot", "idxiot", "idea", "clown", "crown", "pathetic"], ["idiot", "clown", "patetic"]
+    got = toxicity.Landmarks(marks).kernel(words)
+    for i, a in enumerate(words):
+        for j, b in enumerate(marks):
+            x, y = expanded(a), expanded(b)
+            assert got[i, j] == pytest.approx(sum(v * y.get(k, 0) for k, v in x.items()), abs=2e-3)
+
+
+def test_joined_units():
+    common = frozenset({"of", "the"})
+    assert toxicity.joined_units("an id iot of the week. So\nbe it, oh my extraordinarily", common) == {"an id", "id iot", "iot of", "the week.", "be it,", "oh my"}
+    assert toxicity.joined_units(None) == toxicity.joined_units("") == set()
+
+
+def test_toxicity_at_the_threshold(spark):
+    rows = queries.QUERIES["op4_toxicity"](spark, "/root/testdata/sf0.01").collect()
+    assert all(r["predicted"] == (1 if r["score"] >= 0.7 else 0) for r in rows)
+
+
+def test_quality_views_share_no_feature():
+    a, b = ("some plain words", "src1", "en", 16), ("SOME !!plain!! words", "src1", "en", 16)
+    assert (quality.metadata_view(*a)[5:] != quality.metadata_view("x", "src2", "de", 1)[5:]).any()
+    assert (quality.content_view(a[0]) == quality.content_view(a[0])).all()
+    assert (quality.content_view(a[0]) != quality.content_view(b[0])).any()
+    assert len(quality.content_view("x")) == quality.SPLIT_AT
+    assert np.isfinite(np.concatenate([quality.metadata_view(None, None, None, None), quality.content_view(None)])).all()
+
+
+def test_quality_scores_by_direct_computation(spark, sf):
+    """The query's scores against the model applied document by document; half-precision features only choose the weights."""
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    model = quality.fit(docs, labels)
+    got = {r["doc_id"]: r for r in queries.QUERIES["op3_quality"](spark, sf).collect()}
+    for r in docs.collect():
+        want = quality.score(model, quality._views([r["text"]], [r["source"]], [r["lang"]], [r["n_chars"]]))
+        assert got[r["doc_id"]]["score"] == pytest.approx(float(want[2][0]), abs=1e-9)
+        assert got[r["doc_id"]]["kept"] == (got[r["doc_id"]]["score"] >= quality.THRESHOLD)
+
+
 def test_classifier_edge_cases(spark):
     docs = documents(spark, ["fine text here", None, "", " ", "x" * 50_000]).unionByName(documents(spark, ["fine text here"]))
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     nulls = spark.createDataFrame([(0, None, None), (99, 1, 1)], "doc_id long, quality int, toxic int")
-    for labels in (none, nulls):
+    several = spark.createDataFrame([(k % 5, k % 2, k % 2) for k in range(40)], "doc_id long, quality int, toxic int")
+    for labels in (none, nulls, several):
         assert toxicity.toxicity(docs, labels).count() == 6
         assert quality.quality(docs, labels).count() == 6
         assert toxicity.accepted(docs, labels).columns == docs.columns
-        assert quality.accepted(docs.withColumn("score", F.lit(1)), labels).count() == 6
+        clash = docs.withColumns({c: F.lit("clash") for c in ("score", "views", "label", "key", "held_out", "id")})
+        assert toxicity.toxicity(clash, labels).count() == quality.quality(clash.drop("n_chars"), labels).count() == 6
+        assert set(quality.accepted(clash, labels).columns) == set(clash.columns)
+        scores = {(r["doc_id"], r["score"]) for r in quality.quality(docs, labels).collect()}
+        assert len(scores) == 5  # the repeated row is scored alike
     assert toxicity.toxicity(empty(spark), none).count() == 0
     assert quality.quality(empty(spark), none).count() == 0
 
@@ -260,6 +335,40 @@ def test_warc_members_can_be_read_alone(spark, tmp_path):
     assert total == 50
 
 
+def test_warc_edge_cases(spark):
+    rows = [(None, "u", "same"), (3, "u", "same"), (3, "u", "same"), (1, "u", "same"), (None, "a b%20c/ü?x=%C3", "lonely"), (8, "big", "z" * 3_000_000), (9, "s", "s"), (10, "s", "s")]
+    out = warc.archived(spark, spark.createDataFrame(rows, "page_id long, url string, html string"), revisit_from=2).collect()
+    assert sorted(((r["page_id"], r["record_type"], r["refers_to"]) for r in out), key=str) == sorted(
+        [(None, "revisit", 3), (3, "response", None), (3, "response", None), (1, "revisit", 3), (None, "response", None), (8, "response", None), (9, "response", None), (10, "response", None)], key=str
+    )
+    assert {r["url"] for r in out} == {"u", "a b%20c/ü?x=%C3", "big", "s"}
+    assert {r["payload_bytes"] for r in out if r["page_id"] == 8} == {3_000_000}
+
+
+def test_warc_of_the_table(spark, sf):
+    pages = spark.read.parquet(f"{sf}/pages.parquet").collect()
+    last = {}
+    for r in pages:
+        last[r["html"] or ""] = max(last.get(r["html"] or "", -1), r["page_id"])
+    out = {r["page_id"]: r for r in queries.QUERIES["op5_warc"](spark, sf).collect()}
+    assert len(out) == len(pages)
+    for r in pages:
+        raw, top = (r["html"] or "").encode(), last[r["html"] or ""]
+        want = (len(raw), base64.b32encode(hashlib.sha1(raw).digest()).decode(), "response" if top == r["page_id"] else "revisit", None if top == r["page_id"] else top)
+        assert tuple(out[r["page_id"]][c] for c in ("payload_bytes", "payload_digest", "record_type", "refers_to")) == want
+
+
+def test_inflated_pieces_are_bounded():
+    import io
+
+    packed = gzip.compress(b"a" * 50_000_000) + gzip.compress(b"") + gzip.compress(b"end")
+    sizes, tail = [], b""
+    for piece in warc.inflated(io.BytesIO(packed)):
+        sizes.append(len(piece))
+        tail = (tail + piece)[-5:]
+    assert max(sizes) <= warc.CHUNK and sum(sizes) == 50_000_003 and tail == b"aaend"
+
+
 def test_warc_stream_in_small_pieces():
     whole = b"".join(warc.record(k, "u", b"x\r\n\r\n" * k, None, False) for k in range(5))
     assert b"".join(warc.records(whole[k : k + 7] for k in range(0, len(whole), 7))) == whole
@@ -279,6 +388,44 @@ def test_quotation_links(spark):
     assert (out[1, 2]["deepest"], out[1, 2]["linked"], out[1, 4]["linked"], out[2, 1]["reply_to"]) == (2, 2, 0, None)
 
 
+def test_quotations_of_a_hot_thread(spark, monkeypatch):
+    from panemill.llm import common
+
+    monkeypatch.setattr(common, "SPLIT", 50)
+    monkeypatch.setattr(quotations, "RUN", 16)
+    rng = random.Random(6)
+    texts = [rng.choice(["ok", "fine", "no", "> ok\n\nyes", "> fine\n\nok", "> > no\n> ok\n\nwell", "> never said"]) for _ in range(300)]
+    rows = [(1, 2 * k, t) for k, t in enumerate(texts)] + [(2, 5, "x"), (2, 5, "> x"), (2, 6, "> x"), (3, None, "y"), (4, 1, "")]
+    clash = spark.createDataFrame(rows, "conv_id long, turn long, text string").withColumn("rank", F.lit("clash")).withColumn("root", F.lit("clash"))
+    linked = quotations.link_quotes(clash)
+    out = {(r["conv_id"], r["turn"]): r for r in linked.where("conv_id = 1").collect()}
+    last, want, root = {}, {}, {}
+    for k, t in enumerate(texts):
+        quotes = sorted((level, quotations.normalised(body)) for level, body in quotations.passages(t) if level)
+        hits = [(level, -last[body]) for level, body in quotes if body in last]
+        want[k] = -min(hits)[1] if hits else None
+        root[k] = k if want[k] is None else root[want[k]]
+        for level, body in quotations.passages(t):
+            if not level:
+                last[quotations.normalised(body)] = k
+    order = sorted(range(300), key=lambda k: (root[k], k))
+    for k in range(300):
+        r = out[1, 2 * k]
+        assert (r["reply_to"], r["root"], r["position"]) == (None if want[k] is None else 2 * want[k], 2 * root[k], order.index(k) + 1)
+    rest = sorted((str(tuple(r[c] for c in ("conv_id", "turn", "reply_to", "position", "own_text"))) for r in linked.where("conv_id > 1").collect()))
+    assert rest == sorted(map(str, [(2, 5, None, 1, "x"), (2, 5, None, 1, ""), (2, 6, 5, 2, ""), (3, None, None, None, "y"), (4, 1, None, 1, "")]))
+    built = quotations.conversations(linked, most=7).where("conv_id = 1").collect()
+    assert max(len(r["messages"]) for r in built) <= 7
+    assert sorted((m["position"], m["text"]) for r in built for m in r["messages"]) == sorted((r["position"], r["own_text"]) for r in out.values())
+    assert quotations.link_quotes(clash.limit(0)).count() == quotations.as_mail(clash.limit(0)).count() == 0
+
+
+def test_mail_quotes_the_turns_before(spark):
+    rows = [(1, 3, "b"), (1, 1, "a"), (1, 9, None), (1, 12, "d"), (2, 1, "e\nf"), (2, 2, "g"), (None, 1, "h"), (1, 3, "b")]
+    out = sorted((str(r["conv_id"]), r["turn"], r["text"]) for r in quotations.as_mail(spark.createDataFrame(rows, "conv_id long, turn long, text string")).collect())
+    assert out == sorted([("1", 1, "\na"), ("1", 3, "> a\n\nb"), ("1", 3, "> a\n\nb"), ("1", 9, ">> a\n> b\n\n"), ("1", 12, ">> b\n\nd"), ("2", 1, "\ne\nf"), ("2", 2, "> e\n> f\n\ng"), ("None", 1, "\nh")])
+
+
 def test_quotations_of_the_table(spark, sf):
     source = {(r["conv_id"], r["turn"]): r["text"] for r in spark.read.parquet(f"{sf}/conversations.parquet").collect()}
     out = queries.QUERIES["op6_quotations"](spark, sf).collect()
@@ -298,12 +445,46 @@ def test_languages_held_out(spark):
     assert np.mean([r["lang"] == r["lang_pred"] for r in rows]) > 0.97
 
 
+def test_languages_by_direct_vector_sums(spark, sf):
+    """Prototypes and cosines from vectors bound and added letter by letter."""
+    rows = spark.read.parquet(f"{sf}/documents.parquet").limit(120).collect()
+    letters, table = language_id._letters.astype(np.int64), language_id._symbol_table()
+
+    def vector(text):
+        symbols = [0, *(int(table[ord(c)]) for c in (text or "").lower()), 0]
+        symbols = [s for k, s in enumerate(symbols) if s or k == 0 or symbols[k - 1]]
+        out = np.zeros(language_id.DIMENSIONS)
+        for a, b, c in zip(symbols, symbols[1:], symbols[2:]):
+            out += np.roll(letters[a], 2) * np.roll(letters[b], 1) * letters[c]
+        return out
+
+    vectors = {r["doc_id"]: vector(r["text"][:2000] if r["text"] else r["text"]) for r in rows}
+    docs = spark.createDataFrame([(r["doc_id"], r["text"][:2000] if r["text"] else r["text"], r["lang"]) for r in rows], "doc_id long, text string, lang string")
+    sums = {}
+    for r in rows:
+        if zlib.crc32(str(r["doc_id"]).encode()) % 4 != 2 and r["lang"] is not None:
+            sums[r["lang"]] = sums.get(r["lang"], 0) + vectors[r["doc_id"]]
+    langs = sorted(sums)
+    units = np.array([sums[g] / np.linalg.norm(sums[g]) for g in langs])
+    units -= units.mean(axis=0)
+    units /= np.linalg.norm(units, axis=1, keepdims=True)
+    got = {r["doc_id"]: r for r in language_id.identify(docs).collect()}
+    for i, v in vectors.items():
+        if np.abs(v).sum():
+            cosine = units @ v / np.linalg.norm(v)
+            assert got[i]["lang_pred"] == langs[int(np.argmax(cosine))]
+            assert got[i]["score"] == pytest.approx(1 / np.exp(language_id.SHARPNESS * (cosine - cosine.max())).sum(), abs=1e-3)
+
+
 def test_language_edge_cases(spark):
     docs = documents(spark, ["hello hello", None, "", "123 !!", "hello", "hello"])
     out = {r["doc_id"]: r for r in language_id.identify(docs).collect()}
     assert [out[k]["lang_pred"] for k in range(6)] == ["en", "und", "und", "und", "en", "en"]
     assert {r["lang_pred"] for r in language_id.identify(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
     assert language_id.identify(empty(spark)).count() == 0
+    equal = spark.createDataFrame([(k, "hello there", g) for k, g in enumerate(["b", "a", "b", "a"] * 4)], "doc_id long, text string, lang string")
+    clash = equal.withColumns({c: F.lit("clash") for c in ("id", "held_out", "score", "lang_pred", "component")})
+    assert {r["lang_pred"] for r in language_id.identify(clash).collect()} == {"a"}  # a tie goes to the first by code point
 
 
 # --- 8: byte-level BPE
@@ -328,6 +509,8 @@ def test_bpe_equals_tiktoken(spark, sf):
     for r in byte_bpe.round_trip(docs, path, public.PATTERN).collect():
         ids = reference.encode_ordinary(texts[r["doc_id"]])
         assert (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(texts[r["doc_id"]].encode()).hexdigest())
+    clash = documents(spark, ["a b", None]).withColumns({c: F.lit("clash") for c in ("id", "n_tokens", "ids", "bytes", "ids_sha256")})
+    assert sorted(r["n_tokens"] for r in byte_bpe.round_trip(clash, path, public.PATTERN).collect()) == [0, 2]
     some = docs.limit(20)
     decoded = byte_bpe.decode(byte_bpe.encode(some, path, public.PATTERN), path)
     assert all(r["bytes"] == texts[r["doc_id"]].encode() for r in decoded.collect())
@@ -364,6 +547,46 @@ def test_neighbours_edge_cases(spark):
     assert [(r["vec_id"], r["score"]) for r in few] == [(6, 1.0)]
 
 
+def brute_neighbours(rows, k=10):
+    """For each query id the k nearest others: (distance, id), an id by its nearest vector to any of the query's."""
+    out = {}
+    for q in sorted({i for i, _ in rows if i % 100 == 0}):
+        best = {}
+        for i, x in rows:
+            if i != q:
+                best[i] = min([best.get(i, np.inf), *(float(np.sqrt(np.cumsum((np.array(x) - np.array(y)) ** 2)[-1])) for j, y in rows if j == q)])
+        out[q] = sorted((d, i) for i, d in best.items())[:k]
+    return out
+
+
+def test_neighbours_of_repeated_ids(spark, monkeypatch):
+    monkeypatch.setattr(ann, "FIRST", 3)
+    monkeypatch.setattr(ann, "BLOCK", 40)
+    rng = np.random.default_rng(3)
+    table = [(0, [0.0, 1.0]), (1, [0.0, 2.0]), (1, [0.0, 3.0]), (2, [0.0, 9.0])]
+    ids = [int(i) for i in rng.integers(0, 60, 300)] + [100, 200, 200]
+    many = [(i, rng.integers(-3, 4, 4).astype(float).tolist()) for i in ids]
+    for rows in (table, [(i, v) for i, v in many if any(v)], [(5, [1.0, k + 1.0]) for k in range(50)] + [(0, [1.0, 0.5]), (6, [1.0, 90.0])]):
+        got = defaultdict(list)
+        out = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), recall=1)
+        for r in sorted(out.collect(), key=lambda r: (r["query_id"], r["rank"])):
+            got[r["query_id"]].append((r["score"], r["vec_id"]))
+        assert got == brute_neighbours(rows)
+
+
+def test_neighbours_exact_mode(spark):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # groups of both sides must meet in every partition
+    x = np.random.default_rng(9).normal(size=(1500, 12))
+    rows = list(enumerate(x.tolist()))
+    got = defaultdict(list)
+    for r in sorted(ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), recall=1).collect(), key=lambda r: (r["query_id"], r["rank"])):
+        got[r["query_id"]].append((r["score"], r["vec_id"]))
+    for q in range(0, 1500, 100):
+        d = np.sqrt(np.cumsum((x - x[q]) ** 2, axis=1)[:, -1])
+        assert got[q] == [(d[j], j) for j in np.lexsort((np.arange(1500), d)) if j != q][:10]
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_neighbours_among_many_of_one_code(spark, monkeypatch):
     monkeypatch.setattr(ann, "CODES", 2)  # a cluster's vectors share a list and nearly a code
     rng = np.random.default_rng(5)
@@ -394,6 +617,29 @@ def test_media_round_trip(spark):
     assert media.documents_as_media(docs.limit(0)).count() == 0
 
 
+def test_media_of_the_table(spark, sf):
+    texts = {r["doc_id"]: (r["text"] or "").encode() for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    out = queries.QUERIES["op10_media"](spark, sf).collect()
+    assert sorted(r["doc_id"] for r in out) == sorted(texts)
+    for r in out:
+        raw = texts[r["doc_id"]]
+        padded = raw.ljust(max(64, -(-len(raw) // 64) * 64), b"\0")
+        stored = media.media_of(raw)
+        want = (len(raw), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-64:]), len(stored), hashlib.sha256(stored).hexdigest(), media.feature_of(padded))
+        assert tuple(r[c] for c in ("n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")) == want
+
+
+def test_documents_as_sequences_keep_text_and_media(spark):
+    texts = ["one\n\ntwo <b>&amp;</b>", "", None, "three"]
+    pages = media.paged(documents(spark, texts), "doc_id")
+    for r in media.sequences(pages, "doc_id").collect():
+        lines = [line.strip() for line in (texts[r["doc_id"]] or "").split("\n") if line.strip()]
+        assert [p["text"] for p in r["sequence"] if p["kind"] == "text"] == lines
+        assert [(p["pos"], p["digest"], p["caption"]) for p in r["sequence"] if p["kind"] == "img"] == [
+            (len(lines), hashlib.sha256(media.media_of((texts[r["doc_id"]] or "").encode())).hexdigest(), f"{len((texts[r['doc_id']] or '').encode())} bytes")
+        ]
+
+
 def test_sequences_keep_order(spark):
     page = '<p>one</p><script>no()</script><figure><img src="sha256:aa" alt="x"><figcaption>a  caption</figcaption></figure>two &amp; three<img src="sha256:bb" alt="alt"><img src="http://other"><p>four'
     parts = media.parse(page)
@@ -427,3 +673,27 @@ def test_pipeline_stages(spark, sf):
         kept = {r["doc_id"] for r in rows}
     n = docs.count()
     assert corpus_pipeline.STAGES[-1][1](spark, docs, sf).count() == n
+
+
+def test_pipeline_edge_cases(spark, tmp_path):
+    import corpus_pipeline
+
+    texts = ["a plain text of some words that stays", None, "", " ", "x" * 100_000] + ["the same text of several words here"] * 4
+    rows = [(k, t, None if k % 3 else "s", None if k % 2 else "en", None) for k, t in enumerate(texts)] + [(0, texts[0], "s", "en", None), (0, "another text under the same id number", "s", "en", 5), (None, "no id at all but a text", None, None, None)]
+    some = spark.createDataFrame(rows, DOCS).withColumns({c: F.lit("clash") for c in ("id", "row", "k1", "r1", "size", "copies", "score")})
+    labels = spark.createDataFrame([(0, 1, 0), (None, 0, 1), (77, 0, 1)], "doc_id long, quality int, toxic int")
+    for name, docs in (("some", some), ("none", some.limit(0))):
+        docs.write.parquet(str(tmp_path / name / "documents.parquet"))
+        labels.write.parquet(str(tmp_path / name / "labels.parquet"))
+        held = spark.read.parquet(str(tmp_path / name / "documents.parquet"))
+        for stage, function in corpus_pipeline.STAGES[:-1]:
+            held = function(spark, held, str(tmp_path / name))
+            assert held.columns == docs.columns, stage
+        if name == "none":
+            assert corpus_pipeline.run(spark, str(tmp_path / name)).count() == 0
+        else:
+            deduped = corpus_pipeline.keep_one_of_each(spark, spark.read.parquet(str(tmp_path / name / "documents.parquet")), "")
+            assert sorted(((r["doc_id"], r["text"]) for r in deduped.collect()), key=str) == sorted(
+                [(0, texts[0]), (0, "another text under the same id number"), (1, None), (2, ""), (3, " "), (4, texts[4]), (5, texts[5]), (None, "no id at all but a text")], key=str
+            )
+            assert corpus_pipeline.run(spark, str(tmp_path / name)).count() > 0
