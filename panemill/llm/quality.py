@@ -1,16 +1,17 @@
 """Quality by co-training: a text-content and a page-metadata classifier teach each other.
 
-The content view sees the text only: hashed pairs of adjacent bytes, and how much the text repeats itself.  The metadata
-view sees what describes a document without its words: source, language, length, the layout of its lines, the shares of character
-classes.  Both are logistic regressions.  In each round each scores a pool of unlabelled documents and hands its most
-confident ones, with its own verdict as label, to the other.  Each view is then calibrated on labelled documents set aside,
-a last logistic function joins the two, and every document is scored.
-
-Fitting uses bounded samples (``LABELLED``, ``POOL``); scoring reads every whole text.
-
-Cases: null and empty texts, null sources and languages have features of their own; without both labels every document
-gets the share of good ones; null labels are ignored; repeated rows are scored alike; columns beyond those named are
-not read, and all are returned by ``accepted``.
+The content view sees what is written: hashed pairs of adjacent bytes, and how much the text repeats itself.  The metadata view sees what
+describes a page beside its words: source, language, size, and the layout of its lines (how many, how long and how even, how many words and cells).
+No feature is in both.  Both are logistic regressions.  In each round each scores all unlabelled documents of the part that may be learnt
+from, and hands its most confident ones, with its own verdict as label, to the other; equal documents are handed over once.  Each
+view is then calibrated on labelled documents set aside, a last logistic function joins the two, and every document is scored.
+
+Fitting uses a bounded sample of labelled documents (``LABELLED``) and ``HANDED`` pseudo-labels a round; these are chosen from all unlabelled documents,
+whose features (half-precision, a short row a document) are written once.  Scoring reads every whole text.
+
+Cases: null and empty texts, null sources, languages and sizes have features of their own; without both labels every document
+gets the share of good ones; null labels are ignored, and of several labels of an id the greatest counts; repeated rows are scored alike;
+a table without the column ``n_chars`` takes the text's length; columns beyond those named are not read, and all are returned by ``accepted``.
 """
 
 from __future__ import annotations
@@ -20,19 +21,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
-from panemill.llm.common import crc_mod
+from panemill.llm.common import crc_mod, written
 
-#: Labelled and unlabelled documents to fit on at most.
-LABELLED, POOL = 6000, 6000
+#: Labelled documents to fit on at most.
+LABELLED = 6000
 ROUNDS = 4
 #: Documents that a view hands over in a round at most, of each class, and how sure it must be.
 HANDED, SURE = 150, 0.97
 #: A document is rejected when its chance of being good is below this.
 THRESHOLD = 0.4
 CONTENT, SOURCES = 256, 16
+#: Features of the content view.
+SPLIT_AT = CONTENT + 2
 _pair = ((np.arange(65536, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(56)).astype(np.int64).reshape(256, 256)
 
 
@@ -41,31 +46,24 @@ def content_view(text: str | None) -> np.ndarray:
     pairs = np.bincount(_pair[raw[:-1], raw[1:]], minlength=CONTENT) if len(raw) > 1 else np.zeros(CONTENT)
     words = (text or "").split()
     n = max(1, len(words))
-    distinct = len(set(words))
-    repeated = sum(map(str.__eq__, words, words[1:])) / n
     shares = np.sqrt(pairs / max(1, len(raw) - 1))
-    return np.concatenate([shares * 4, [distinct / n, np.log1p(n) / 5, repeated * 4]])
+    return np.concatenate([shares * 4, [len(set(words)) / n, sum(map(str.__eq__, words, words[1:])) / n * 4]])
 
 
-def metadata_view(text: str | None, source: str | None, lang: str | None) -> np.ndarray:
-    text = text or ""
-    n = max(1, len(text))
-    raw = np.frombuffer(text.encode(), np.uint8)
-    kinds = np.bincount(_KINDS[raw], minlength=5) / max(1, len(raw))
-    lines = text.count("\n") + 1
-    words = max(1, text.count(" ") + lines)
+def metadata_view(text: str | None, source: str | None, lang: str | None, size: int | None) -> np.ndarray:
+    lines = (text or "").split("\n")
+    lengths = np.array([len(line) for line in lines], float)
+    size = len(text or "") if size is None else size
+    words = max(1, (text or "").count(" ") + len(lines))
+    cells = (text or "").count("|") + (text or "").count("\t")
     hashed = np.zeros(2 * SOURCES)
     hashed[zlib.crc32((source or "").encode()) % SOURCES] = 0.3
     hashed[SOURCES + zlib.crc32((lang or "").encode()) % SOURCES] = 0.3
-    layout = [np.log1p(n) / 5, np.log1p(lines) / 3, np.log1p(n / lines) / 5, min(n / words, 40) / 10, float(not text), float(source is None), float(lang is None)]
-    return np.concatenate([np.sqrt(kinds) * 3, kinds * 3, layout, hashed])
-
-
-_KINDS = np.zeros(256, np.int64)  # the rest: controls and blanks
-for _k, _low, _high in ((1, 97, 122), (2, 65, 90), (3, 48, 57), (4, 128, 255)):
-    _KINDS[_low : _high + 1] = _k
-_KINDS[[b for b in range(33, 127) if not chr(b).isalnum()]] = 0
-_KINDS[[9, 10, 11, 12, 13, 32]] = 1
+    layout = [
+        np.log1p(max(0, size)) / 5, np.log1p(len(lines)) / 3, np.log1p(lengths.mean()) / 5, np.log1p(lengths.std()) / 5, np.log1p(lengths.max()) / 5,
+        min(len(text or "") / words, 40) / 10, min(1.0, cells / words) * 3, float((lengths == 0).mean()), float(not text), float(source is None), float(lang is None),
+    ]
+    return np.concatenate([layout, hashed])
 
 
 def _fitted(x: np.ndarray, y: np.ndarray, ridge: float = 0.3) -> np.ndarray:
@@ -86,33 +84,11 @@ def _logits(x: np.ndarray, w: np.ndarray) -> np.ndarray:
     return np.clip(x @ w[:-1] + w[-1], -20, 20)
 
 
-def co_train(views: list[np.ndarray], y: np.ndarray, pool: list[np.ndarray]) -> dict:
-    """Weights of both views, of their calibrations, and of the joint score, from labelled views, labels and unlabelled views."""
-    share = float(y.mean()) if len(y) else 1.0
-    turn = np.random.Generator(np.random.PCG64(3)).permutation(len(y)) % 4  # whatever order the ids bring
-    fit, aside = turn > 0, turn == 0
-    if any(len(set(y[part].tolist())) < 2 for part in (fit, aside)):
-        return {"share": share}
-    rows = [[v[fit]] for v in views]
-    marks = [[y[fit]], [y[fit]]]
-    free = np.ones(len(pool[0]), bool)
-    weights = [None, None]
-    for turn in range(ROUNDS + 1):
-        weights = [_fitted(np.vstack(rows[k]), np.concatenate(marks[k])) for k in (0, 1)]
-        if turn == ROUNDS or not free.any():
-            break
-        for k in (0, 1):
-            p = 1 / (1 + np.exp(-_logits(pool[k], weights[k])))
-            for label, sure in ((1.0, p), (0.0, 1 - p)):
-                quota = max(1, round(HANDED * (share if label else 1 - share)))
-                order = np.argsort(-np.where(free, sure, -1), kind="stable")[:quota]
-                order = order[(sure[order] >= SURE) & free[order]]
-                rows[1 - k].append(pool[1 - k][order])
-                marks[1 - k].append(np.full(len(order), label))
-                free[order] = False
-    calibrated = [_fitted(_logits(v[aside], w)[:, None], y[aside], 0.05) for v, w in zip(views, weights, strict=True)]
-    both = np.stack([_logits(_logits(v[aside], w)[:, None], c) for v, w, c in zip(views, weights, calibrated, strict=True)], axis=1)
-    return {"share": share, "views": weights, "calibrated": calibrated, "joint": _fitted(both, y[aside], 0.05)}
+def combined(weights: list[np.ndarray], views: list[np.ndarray], y: np.ndarray) -> dict:
+    """Calibrations of both views' weights, and of the joint score, from labelled documents set aside."""
+    calibrated = [_fitted(_logits(v, w)[:, None], y, 0.05) for v, w in zip(views, weights, strict=True)]
+    both = np.stack([_logits(_logits(v, w)[:, None], c) for v, w, c in zip(views, weights, calibrated, strict=True)], axis=1)
+    return {"views": weights, "calibrated": calibrated, "joint": _fitted(both, y, 0.05)}
 
 
 def score(model: dict, views: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -124,45 +100,104 @@ def score(model: dict, views: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray,
     return tuple(1 / (1 + np.exp(-x)) for x in (*each, joint))
 
 
-def _views(texts: list, sources: list, langs: list) -> list[np.ndarray]:
+COLUMNS = ("text", "source", "lang", "size")
+
+
+def _views(texts: list, sources: list, langs: list, sizes: list) -> list[np.ndarray]:
     content = np.array([content_view(t) for t in texts]).reshape(len(texts), -1)
-    metadata = np.array([metadata_view(t, s, g) for t, s, g in zip(texts, sources, langs, strict=True)]).reshape(len(texts), -1)
+    metadata = np.array([metadata_view(*row) for row in zip(texts, sources, langs, sizes, strict=True)]).reshape(len(texts), -1)
     return [content, metadata]
 
 
-def _sampled(docs: DataFrame, ids: DataFrame, kind: str) -> tuple[list, list[np.ndarray]]:
-    """Labels and views of sampled documents, in the order of their ids."""
+def _read(docs: DataFrame, text_col: str) -> list:
+    size = docs["n_chars"] if "n_chars" in docs.columns else F.length(docs[text_col])
+    return [docs[text_col].alias("text"), docs["source"].alias("source"), docs["lang"].alias("lang"), size.cast("long").alias("size")]
+
+
+def _unpacked(packed: list[bytes]) -> list[np.ndarray]:
+    x = np.frombuffer(b"".join(packed), np.float16).reshape(len(packed), -1).astype(float)
+    return [x[:, :SPLIT_AT], x[:, SPLIT_AT:]]
+
+
+def featured(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> DataFrame:
+    """id, views (both views' features), label (or null), key (equal for equal features), of the documents that may be learnt from; written."""
+    kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            views = _views(*(batch.column(c).to_pylist() for c in (2, 3, 4)))
-            packed = [np.concatenate(v).astype(np.float32).tobytes() for v in zip(*views, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(packed, pa.binary())], names=["id", "label", "views"])
+            for at in range(0, len(batch), 500):
+                own = batch.slice(at, 500)
+                views = _views(*(own.column(c).to_pylist() for c in COLUMNS))
+                packed = [v.astype(np.float16).tobytes() for v in np.hstack(views)]
+                yield pa.RecordBatch.from_arrays([own.column("id"), pa.array(packed, pa.binary())], names=["id", "views"])
+
+    rows = docs.select(docs[id_col].alias("id"), *_read(docs, text_col)).where(F.coalesce(crc_mod(F.col("id"), 3) != 1, F.lit(True)))
+    known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where(F.col("label").isin(0, 1))
+    known = known.groupBy("id").agg(F.max("label").alias("label"))
+    return written(rows.mapInArrow(run, f"id {kind}, views binary").join(known, "id", "left").withColumn("key", F.xxhash64("views")), "features")
+
+
+def _handed(features: DataFrame, weights: list[np.ndarray], taken: set[int], quotas: dict[int, int]) -> list[tuple[int, int, int, list[np.ndarray]]]:
+    """(view, label, key, features) of the unlabelled documents that each view is surest of: best first of all of them, not of a sample."""
+    model = features.sparkSession.sparkContext.broadcast((weights, taken))
 
-    rows = docs.join(F.broadcast(ids), "id").select("id", "label", "text", "source", "lang").mapInArrow(run, f"id {kind}, label int, views binary").toArrow().to_pylist()
-    rows.sort(key=lambda r: (r["id"], r["views"]))
-    if not rows:
-        return [], [v[:0] for v in _views([""], [None], [None])]
-    x = np.array([np.frombuffer(r["views"], np.float32) for r in rows], float)
-    return [r["label"] for r in rows], [x[:, : CONTENT + 3], x[:, CONTENT + 3 :]]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights, taken = model.value
+        for batch in batches:
+            if len(batch):
+                views, key = _unpacked(batch.column(1).to_pylist()), np.array(batch.column(0).to_pylist(), np.int64)
+                free = ~np.isin(key, np.array(sorted(taken), np.int64))
+                for k in (0, 1):
+                    p = 1 / (1 + np.exp(-_logits(views[k], weights[k])))
+                    for label, sure in ((1, p), (0, 1 - p)):
+                        own = free & (sure >= SURE)
+                        n = int(own.sum())
+                        yield pa.RecordBatch.from_arrays([pa.array([2 * k + label] * n, pa.int32()), pa.array(key[own]), pa.array(sure[own])], names=["kind", "key", "sure"])
+
+    scored = features.where("label is null").select("key", "views").mapInArrow(run, "kind int, key long, sure double")
+    best = scored.groupBy("kind", "key").agg(F.max("sure").alias("sure"))
+    place = F.row_number().over(W.partitionBy("kind").orderBy(F.desc("sure"), "key"))  # pruned in each task before the shuffle
+    most = max(quotas.values())
+    chosen = best.withColumn("place", place).where(F.col("place") <= most).orderBy("kind", "place").collect()  # four times HANDED rows at most
+    chosen = [(r["kind"] // 2, r["kind"] % 2, r["key"]) for r in chosen if r["place"] <= quotas[r["kind"] % 2]]
+    wanted = sorted({key for _, _, key in chosen})
+    if not wanted:
+        return []
+    views = {r["key"]: r["views"] for r in features.where(F.col("key").isin(wanted)).groupBy("key").agg(F.first("views").alias("views")).collect()}
+    return [(k, label, key, _unpacked([views[key]])) for k, label, key in chosen]
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> dict:
-    """The model, from labelled documents and a pool of unlabelled ones."""
-    kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"), docs["source"], docs["lang"])
-    learn = crc_mod(F.col("id"), 3) != 1
-    known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where(F.col("label").isin(0, 1) & learn)
-    chosen = known.orderBy(F.xxhash64("id"), "id", "label").limit(LABELLED)
-    y, views = _sampled(rows, chosen, kind)
-    ids = docs.select(docs[id_col].alias("id")).join(labels.select(F.col(id_col).alias("id")), "id", "left_anti").where(learn)
-    unlabelled = ids.orderBy(F.xxhash64("id"), "id").limit(POOL).select("id", F.lit(None).cast("int").alias("label"))
-    _, pool = _sampled(rows, unlabelled.distinct(), kind)
-    return co_train(views, np.array(y, float), pool)
-
-
-def _batch_scores(model: dict, batch: pa.RecordBatch, text_col: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    parts = [score(model, _views(*(batch.column(c).slice(at, 500).to_pylist() for c in (text_col, "source", "lang")))) for at in range(0, len(batch), 500)]
+    """The model: weights of both views, of their calibrations, and of the joint score."""
+    features = featured(docs, labels, id_col, text_col, label_col)
+    sample = features.where("label is not null").select("id", "label", "views", "key").orderBy(F.xxhash64("id", "key"), "id", "label", "key").limit(LABELLED).toArrow().to_pylist()
+    y = np.array([r["label"] for r in sample], float)
+    share = float(y.mean()) if len(y) else 1.0
+    turn = np.random.Generator(np.random.PCG64(3)).permutation(len(y)) % 4  # whatever order the ids bring
+    learn, aside = turn > 0, turn == 0
+    if any(len(set(y[part].tolist())) < 2 for part in (learn, aside)):
+        return {"share": share}
+    views = _unpacked([r["views"] for r in sample])
+    rows, marks = [[v[learn]] for v in views], [[y[learn]], [y[learn]]]
+    quotas = {label: max(1, round(HANDED * (share if label else 1 - share))) for label in (0, 1)}
+    taken: set[int] = set()
+    for round_ in range(ROUNDS + 1):
+        weights = [_fitted(np.vstack(rows[k]), np.concatenate(marks[k])) for k in (0, 1)]
+        if round_ == ROUNDS:
+            break
+        handed = _handed(features, weights, taken, quotas)
+        for k, label, key, own in handed:
+            if key not in taken:  # a document that both are sure of goes to one of them only
+                rows[1 - k].append(own[1 - k])
+                marks[1 - k].append(np.array([float(label)]))
+                taken.add(key)
+        if not handed:
+            break
+    return {"share": share} | combined(weights, [v[aside] for v in views], y[aside])
+
+
+def _batch_scores(model: dict, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    parts = [score(model, _views(*(batch.column(c).slice(at, 500).to_pylist() for c in COLUMNS))) for at in range(0, len(batch), 500)]
     return tuple(np.concatenate([p[k] for p in parts] or [np.zeros(0)]) for k in range(3))
 
 
@@ -173,10 +208,10 @@ def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scores = _batch_scores(model.value, batch, "text")
+            scores = _batch_scores(model.value, batch)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(s, pa.float64()) for s in scores)], names=["id", "content_score", "metadata_score", "score"])
 
-    rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"), docs["source"], docs["lang"])
+    rows = docs.select(docs[id_col].alias("id"), *_read(docs, text_col))
     scored = rows.mapInArrow(run, f"id {kind}, content_score double, metadata_score double, score double")
     held_out = F.coalesce(crc_mod(F.col("id"), 3) == 1, F.lit(False)).alias("held_out")
     return scored.select(F.col("id").alias(id_col), held_out, "content_score", "metadata_score", "score", (F.col("score") >= THRESHOLD).alias("kept"))
@@ -188,6 +223,9 @@ def accepted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array(_batch_scores(model.value, batch, text_col)[2] >= THRESHOLD))
+            own = [batch.column(text_col), batch.column("source"), batch.column("lang")]
+            own.append(batch.column("n_chars").cast(pa.int64()) if "n_chars" in batch.schema.names else pc.utf8_length(own[0]).cast(pa.int64()))
+            scores = _batch_scores(model.value, pa.RecordBatch.from_arrays(own, names=list(COLUMNS)))
+            yield batch.filter(pa.array(scores[2] >= THRESHOLD))
 
     return docs.mapInArrow(run, docs.schema)
