@@ -1,18 +1,20 @@
 """Toxicity by a subsequence string-kernel support vector machine with Nyström landmarks.
 
-The kernel compares two units (words, or letters spelled out one by one) by their common subsequences of three and four
-letters, which may skip letters: each skip costs a factor ``DECAY``.  So "i-d-i.o.t" or "idxiot" stay close to "idiot".
-Units are stripped to letters and carry a mark of their start; long ones are cut in overlapping windows.
+The kernel compares two units by their common subsequences of three and four letters, which may skip letters: each skip
+costs a factor ``DECAY``.  So "i-d-i.o.t" or "idxiot" stay close to "idiot".  Units of a sentence are its words, letters spelled out
+one by one, and short neighbouring words joined, so an insult that a blank splits ("id iot") is one unit again.  Two words that are both common
+in clean documents are ordinary prose and not joined.  Units are stripped to letters and carry a mark of their start; long ones are cut in
+overlapping windows.
 
 Labels belong to documents, but a toxic document's sentences are mostly clean.  Training is therefore by witnesses: a
-toxic document is represented by its highest-scoring unit, a clean one by every unit it has, and the machine is trained
-anew as witnesses and hardest negatives change.  Features are the Nyström coordinates of a unit's kernel values with
+toxic document is represented by its highest-scoring unit, a clean one by a sample of its units (``NEGATIVES``) and the highest-scoring of all
+(``HARDEST``), and the machine is trained anew as witnesses and hardest negatives change.  Features are the Nyström coordinates of a unit's kernel values with
 the landmarks.  Since the decision is linear in those values, and the kernel is an inner product over subsequences, the
 trained machine folds into one weight for each subsequence: scoring costs the same for any number of landmarks.
 
 A document's score is a logistic function, fitted on labelled documents set aside, of its highest unit.
 
-Learning uses a bounded sample of labelled documents (``SAMPLE``); scoring reads every whole text.
+Learning uses a bounded sample of labelled documents (``SAMPLE``), of each ``UNITS`` different units at most; scoring reads every whole text.
 
 Cases: a null or empty text, or one without a unit of three letters, gets the score of no evidence; without both labels
 every document gets the share of toxic labels; labels that are null or of unknown documents are ignored; repeated rows are scored
@@ -22,13 +24,13 @@ alike; other columns are not read.
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from itertools import chain, combinations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,6 +38,10 @@ from panemill.llm.common import crc_mod
 
 #: Labelled documents to learn from at most.
 SAMPLE = 4000
+#: Units that a labelled document is learnt by at most; random and hardest units of clean documents that a round learns from at most.
+UNITS, NEGATIVES, HARDEST = 5000, 6000, 2000
+#: Letters of two joined words, least and most, and the share of clean documents from which a word is common.
+JOINED, COMMON = (4, 10), 0.02
 LANDMARKS = 256
 DECAY = 0.6
 #: Letters skipped by a subsequence at most.
@@ -60,6 +66,18 @@ def units_of(text: str | None) -> set[str]:
     return found
 
 
+def joined_units(text: str | None, common: frozenset[str] = frozenset()) -> set[str]:
+    """Short neighbouring words of a line joined, but for two common ones; a word that ends in a mark ends its sentence."""
+    low, (least, most) = (text or "").lower(), JOINED
+    found = set()
+    for line in low.split("\n"):
+        words = line.split()
+        for a, b in zip(words, words[1:]):
+            if least <= len(a) + len(b) <= most and a[-1].isalpha() and not (a in common and b in common):
+                found.add(f"{a} {b}")
+    return found
+
+
 def _windows(word: str) -> list[str]:
     """The letters of a unit behind a start mark, in windows."""
     letters = "^" + _NOT_LETTER.sub("", word)
@@ -199,19 +217,22 @@ def _long_enough(word: str) -> bool:
     return len(_windows(word)[0]) > 3
 
 
-def train(bags: list[tuple[int, list[str]]]) -> dict:
-    """From (label, units) of documents, in a fixed order: the folded weights, the offset, and the logistic weights."""
-    bags = [(label, [u for u in units if _long_enough(u)]) for label, units in bags]
-    share = sum(label for label, _ in bags) / len(bags) if bags else 0.0
+def train(bags: list[tuple[int, list[str], list[str]]]) -> dict:
+    """From (label, units, joined units) of documents, in a fixed order: the folded weights, the offset, the logistic weights, the common words."""
+    bags = [(label, [u for u in units if _long_enough(u)], pairs) for label, units, pairs in bags]
+    share = sum(label for label, *_ in bags) / len(bags) if bags else 0.0
     order = np.random.Generator(np.random.PCG64(3)).permutation(len(bags))  # whatever order the ids bring
     fit, aside = [bags[j] for k, j in enumerate(order) if k % 4], [bags[j] for j in order[::4]]
-    if any(len({label for label, _ in part}) < 2 for part in (fit, aside)):
+    if any(len({label for label, *_ in part}) < 2 for part in (fit, aside)):
         return {"share": share}
     seen = {label: Counter() for label in (0, 1)}
-    for label, units in fit:
+    for label, units, _ in fit:
         seen[label].update(set(units))
-    bad = max(1, sum(label for label, _ in fit))
+    bad = max(1, sum(label for label, *_ in fit))
     good = len(fit) - bad
+    common = frozenset(w for w, c in seen[0].items() if c >= max(2, COMMON * good) and seen[1][w] * good <= 2 * c * bad)
+    joined = Counter(u for label, _, pairs in fit if not label for u in _apart(pairs, common))
+    joints = sorted(joined)
     words = sorted(seen[0].keys() | seen[1].keys())
     number = {word: k for k, word in enumerate(words)}
     p, n = (np.array([seen[label][w] for w in words], float) for label in (1, 0))
@@ -219,16 +240,16 @@ def train(bags: list[tuple[int, list[str]]]) -> dict:
     strength = np.where(odds > 0, odds * np.sqrt(p), odds)
     rng = np.random.Generator(np.random.PCG64(5))
     by = np.argsort(-strength, kind="stable")[: LANDMARKS // 2]
-    common = np.argsort(-n, kind="stable")[: LANDMARKS // 4]
+    usual = np.argsort(-n, kind="stable")[: LANDMARKS // 4]
     rest = rng.permutation(len(words))[: LANDMARKS // 4]
-    chosen = [words[k] for k in dict.fromkeys([*by.tolist(), *common.tolist(), *rest.tolist()])]
+    chosen = [words[k] for k in dict.fromkeys([*by.tolist(), *usual.tolist(), *rest.tolist()])]
     landmarks = Landmarks(chosen)
     values, vectors = np.linalg.eigh(landmarks.table.T.astype(float) @ landmarks.table)
     whiten = vectors / np.sqrt(np.maximum(values, 1e-3))
 
     score, folded, offset = strength, None, 0.0
     negatives = set(np.flatnonzero(n > 0)[rng.permutation(int((n > 0).sum()))[:6000]].tolist())
-    own = [np.array([number[u] for u in units], np.int64) for label, units in fit if label and units]
+    own = [np.array([number[u] for u in units], np.int64) for label, units, _ in fit if label and units]
     both = p + n
     surprise = p * np.log(np.maximum(p, 1) * (bad + good) / (both * bad)) + n * np.log(np.maximum(n, 1) * (bad + good) / (both * good))
     telling = (odds > 1.5) & (surprise > SURPRISE)
@@ -236,17 +257,23 @@ def train(bags: list[tuple[int, list[str]]]) -> dict:
         # The witnesses of a toxic document: its telling units, or else the highest-scoring one.
         witness = Counter(chain.from_iterable(units[telling[units]].tolist() or [int(units[np.argmax(score[units])])] for units in own))
         witness = {k: c for k, c in witness.items() if p[k] * good > n[k] * bad}
-        negatives.update(np.argsort(-np.where((n > 0) & (odds < 0), score, -np.inf), kind="stable")[:2000].tolist())
+        negatives.update(np.argsort(-np.where((n > 0) & (odds < 0), score, -np.inf), kind="stable")[:HARDEST].tolist())
         blurred = [(v, min(c, 100) / 12) for k, c in sorted(witness.items()) if telling[k] for v in variants(words[k], rng)]
         rows = sorted(set(witness) | negatives)
-        x = landmarks.kernel([words[k] for k in rows] + [v for v, _ in blurred]) @ whiten
-        y = np.array([1.0 if k in witness else -1.0 for k in rows] + [1.0] * len(blurred))
-        cost = np.array([min(witness.get(k, n[k]), 100) for k in rows] + [c for _, c in blurred])
+        ordinary = [] if folded is None or not joints else [joints[j] for j in np.argsort(-unit_scores(joints, folded), kind="stable")[:HARDEST].tolist()]
+        x = landmarks.kernel([words[k] for k in rows] + [v for v, _ in blurred] + ordinary) @ whiten
+        y = np.array([1.0 if k in witness else -1.0 for k in rows] + [1.0] * len(blurred) + [-1.0] * len(ordinary))
+        cost = np.array([min(witness.get(k, n[k]), 100) for k in rows] + [c for _, c in blurred] + [min(joined[u], 100) for u in ordinary])
         w = _machine(x, y, np.sqrt(cost), ridge=0.02)
         folded, offset = landmarks.folded(whiten @ w[:-1]), float(w[-1])
         score = np.maximum(unit_scores(words, folded) + offset, NO_UNIT)
-    tops = np.array([[top(unit_scores(units, folded) + offset if units else np.zeros(0))] for _, units in aside])
-    return {"share": share, "weights": folded, "offset": offset, "logistic": _logistic(tops, np.array([label for label, _ in aside], float))}
+    tops = np.array([[top(unit_scores(own, folded) + offset if own else np.zeros(0))] for own in ([*units, *_apart(pairs, common)] for _, units, pairs in aside)])
+    return {"share": share, "weights": folded, "offset": offset, "logistic": _logistic(tops, np.array([label for label, *_ in aside], float)), "common": common}
+
+
+def _apart(pairs: list[str], common: frozenset[str]) -> list[str]:
+    """Joined units without those of two common words."""
+    return [u for u in pairs if not all(w in common for w in u.split(" "))]
 
 
 def top(scores: np.ndarray) -> float:
@@ -254,23 +281,28 @@ def top(scores: np.ndarray) -> float:
     return float(np.clip(scores.max(), NO_UNIT, 1.0)) if len(scores) else NO_UNIT
 
 
-def labelled_bags(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> list[tuple[int, list[str]]]:
-    """(label, units) of the sampled documents; the sample, of ``SAMPLE`` labelled documents at most, is the same in each run."""
+def labelled_bags(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> list[tuple[int, list[str], list[str]]]:
+    """(label, units, joined units) of the sampled documents; the sample, of ``SAMPLE`` labelled rows at most, is the same in each run."""
     chosen = labels.where(F.col(label_col).isin(0, 1) & (crc_mod(F.col(id_col), 3) != 1)).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label"))
     chosen = chosen.orderBy(F.xxhash64("id"), "id", "label").limit(SAMPLE)
 
+    def some(units: set[str]) -> list[str]:
+        return sorted(sorted(units, key=lambda u: zlib.crc32(u.encode()))[:UNITS]) if len(units) > UNITS else sorted(units)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            units = [sorted(units_of(text)) for text in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(units, pa.list_(pa.string()))], names=["id", "label", "units"])
+            texts = batch.column(2).to_pylist()
+            units = [[some(of(text)) for text in texts] for of in (units_of, joined_units)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(u, pa.list_(pa.string())) for u in units)], names=["id", "label", "units", "pairs"])
 
     texts = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
     kind = docs.schema[id_col].dataType.simpleString()
-    bags = texts.join(F.broadcast(chosen), "id").select("id", "label", "text").mapInArrow(run, f"id {kind}, label int, units array<string>")
-    found = bags.toArrow()
-    found = found.take(pc.sort_indices(found, [("id", "ascending"), ("label", "ascending")]))
+    bags = texts.join(F.broadcast(chosen), "id").select("id", "label", "text").mapInArrow(run, f"id {kind}, label int, units array<string>, pairs array<string>")
+    # An id may stand for many rows: the bound counts rows.
+    found = bags.orderBy(F.xxhash64("id", "units"), "id", "label", "units").limit(SAMPLE).toArrow()
+    rows = sorted(zip(*(found.column(c).to_pylist() for c in ("id", "label", "units", "pairs")), strict=True))
     shared: dict[str, str] = {}  # one copy of each unit
-    return [(label.as_py(), [shared.setdefault(u, u) for u in units.as_py()]) for label, units in zip(found.column("label"), found.column("units"), strict=True)]
+    return [(label, *([shared.setdefault(u, u) for u in part] for part in parts)) for _, label, *parts in rows]
 
 
 class Scorer:
@@ -284,7 +316,8 @@ class Scorer:
         if "weights" not in model:
             return np.full(len(texts), model["share"])
         for at in range(0, len(texts), 500):
-            units = [units_of(value.as_py()) for value in texts.slice(at, 500)]
+            own = [value.as_py() for value in texts.slice(at, 500)]
+            units = [units_of(text) | joined_units(text, model["common"]) for text in own]
             if len(self.memo) > REMEMBERED:
                 self.memo = {}
             if new := list(set().union(*units).difference(self.memo)):
