@@ -3,11 +3,11 @@
 Archives that were compressed as one gzip stream cannot be read from the middle.  ``normalise`` inflates such a file
 once, as a stream, writes every record anew as a gzip member of its own, and beside the archive an index of offsets;
 ``read`` then fetches single members.  Every step hands on a manifest of the files of its successful tasks, so what a
-lost or repeated task leaves behind is never read; memory holds one record, whatever the archive's size.
+lost or repeated task leaves behind is never read; memory holds one record and a bounded piece of the stream, whatever the archive's size and packing.
 
 Files are reached by their URI from the tasks (local or shared mounts, HDFS, S3).
 
-Cases: null HTML is an empty payload; a null URL leaves its header out; a null page_id never is a response that others
+Cases: null HTML is an empty payload; a null URL leaves its header out; a URL is read back as it was, whatever its characters; a null page_id never is a response that others
 refer to unless the whole group has none; repeated rows of the largest page_id are all responses; other columns are not
 read; no pages give no archives.
 """
@@ -36,6 +36,8 @@ ROLL = 32 << 20
 BROADCAST_GROUPS = 500_000
 CHUNK = 1 << 20
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+#: Characters of a URL beside letters and digits that need no encoding.
+SAFE = ":/?#[]@!$&()*+,;=%~"
 DATE = "1970-01-01T00:00:00Z"
 _LENGTH = re.compile(rb"^Content-Length:[ \t]*(\d+)[ \t]*\r?$", re.I | re.M)
 
@@ -50,7 +52,9 @@ def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int
     block = http if revisit else http + payload
     head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>", f"WARC-Date: {DATE}"]
     if url is not None:
-        head.append(f"WARC-Target-URI: {quote(url, safe=':/?#[]@!$&()*+,;=%~')}")
+        head.append(f"WARC-Target-URI: {quote(url, safe=SAFE)}")
+        if quote(url, safe=SAFE) != url:  # characters that a header can't hold as they are
+            head.append(f"X-Page-URL: {base64.b64encode(url.encode()).decode()}")
     head.append(f"WARC-Payload-Digest: sha1:{payload_digest(payload)}")
     if revisit:
         head += [f"WARC-Profile: {REVISIT}", f"WARC-Refers-To: <urn:page:{'' if refers_to is None else refers_to}>"]
@@ -82,14 +86,17 @@ def records(chunks: Iterator[bytes]) -> Iterator[bytes]:
 
 
 def inflated(stream) -> Iterator[bytes]:
-    """The content of a gzip file, of one member or of many."""
+    """The content of a gzip file, of one member or of many, in pieces of ``CHUNK`` bytes at most, however well it is packed."""
     engine = zlib.decompressobj(31)
     while data := stream.read(CHUNK):
         while data:
-            yield engine.decompress(data)
-            data = engine.unused_data
+            yield engine.decompress(data, CHUNK)
+            data = engine.unconsumed_tail
             if engine.eof:
+                data = engine.unused_data
                 engine = zlib.decompressobj(31)
+    while not engine.eof and (piece := engine.decompress(b"", CHUNK)):
+        yield piece
 
 
 def fields(whole: bytes) -> dict:
@@ -193,7 +200,8 @@ def read(manifest: DataFrame) -> DataFrame:
                     revisit = found["warc-type"] == "revisit"
                     digest = found["warc-payload-digest"].removeprefix("sha1:") if revisit else payload_digest(payload)
                     length = int(_LENGTH.search(http + b"\r\n")[1]) if revisit else len(payload)
-                    rows.append((page(found["warc-record-id"]), found.get("warc-target-uri"), length, digest, found["warc-type"], page(found.get("warc-refers-to"))))
+                    url = base64.b64decode(found["x-page-url"]).decode() if "x-page-url" in found else found.get("warc-target-uri")
+                    rows.append((page(found["warc-record-id"]), url, length, digest, found["warc-type"], page(found.get("warc-refers-to"))))
             for k in range(0, len(rows), 10_000):
                 columns = zip(*rows[k : k + 10_000], strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, _KINDS, strict=True)], names=_NAMES)
