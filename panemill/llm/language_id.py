@@ -5,8 +5,9 @@ letter's vector permuted twice, the second's permuted once and the third's.  A t
 letter triples, words being padded by a blank; a language's prototype bundles the vectors of its documents.  The language
 of a document is that of the prototype with the greatest cosine.
 
-Bundling is linear, so tasks only count triples: a prototype is the sum over a language's counted triples, and all
-documents that may be learnt from are counted.  The counts are at most letters cubed a language, whatever the input.
+Bundling is linear: each task adds up the vectors of its documents by language, and Spark adds up the tasks' sums, component by
+component.  All documents that may be learnt from are counted.  Sums are of whole numbers, so their order doesn't matter; the driver gets one
+vector a language, which is the model.
 
 Prototypes are centred on their common mean, so that triples frequent in every language don't blur them.
 
@@ -32,6 +33,8 @@ SYMBOLS = 128
 UNKNOWN = "und"
 #: Softness of the score over the languages' cosines.
 SHARPNESS = 20.0
+#: Languages that a task adds up before it hands them on.
+HELD = 500
 
 _letters = np.random.Generator(np.random.PCG64(4096)).choice(np.array([-1, 1], np.int8), (SYMBOLS, DIMENSIONS))
 _symbols: np.ndarray | None = None
@@ -83,36 +86,44 @@ class Vectors:
         return self.held[self.row[codes]]
 
 
-def counted(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
-    """lang, triple, n: how often a triple occurs in the documents of a language."""
+def bundles(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
+    """lang, component, value: the sum of the vectors of all letter triples in the documents of a language."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vectors, sums = Vectors(), {}
+
+        def rows() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array([x.tolist() for x in sums.values()], pa.list_(pa.float64()))], names=["lang", "vector"])
+
         for batch in batches:
             found: dict[str, list] = {}
             for lang, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 found.setdefault(lang, []).append(triples(value.as_py()))
             for lang, parts in found.items():
                 codes, at = np.unique(np.concatenate([c for c, _ in parts]), return_inverse=True)
-                n = np.bincount(at, np.concatenate([k for _, k in parts]), len(codes)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(codes), pa.string()), pa.array(codes, pa.int64()), pa.array(n, pa.int64())], names=["lang", "triple", "n"])
+                n = np.bincount(at, np.concatenate([k for _, k in parts]), len(codes))
+                own = sums.setdefault(lang, np.zeros(DIMENSIONS))
+                for k in range(0, len(codes), 4096):
+                    own += n[k : k + 4096] @ vectors.of(codes[k : k + 4096]).astype(float)
+            if len(sums) > HELD:
+                yield rows()
+                sums.clear()
+        yield rows()
 
-    parts = docs.select(docs[lang_col].alias("lang"), docs[text_col].alias("text")).mapInArrow(run, "lang string, triple long, n long")
-    return parts.groupBy("lang", "triple").agg(F.sum("n").alias("n"))
+    parts = docs.select(docs[lang_col].alias("lang"), docs[text_col].alias("text")).mapInArrow(run, "lang string, vector array<double>")
+    return parts.select("lang", F.posexplode("vector").alias("component", "value")).groupBy("lang", "component").agg(F.sum("value").alias("value"))
 
 
-def prototypes(counts: DataFrame) -> tuple[list[str], np.ndarray]:
+def prototypes(sums: DataFrame) -> tuple[list[str], np.ndarray]:
     """Languages by code point, and their centred vectors of unit length, a row each."""
-    table = counts.toArrow()
-    langs = sorted(set(table.column("lang").to_pylist()), key=lambda x: x.encode())
-    vectors, out = Vectors(), np.zeros((len(langs), DIMENSIONS))
-    of = np.array(table.column("lang").to_pylist())
-    codes, n = table.column("triple").to_numpy(), table.column("n").to_numpy()
+    table = sums.toArrow()  # a number for each language and component
+    of = np.array(table.column("lang").to_pylist(), object)
+    langs = sorted(set(of.tolist()), key=lambda x: x.encode())
+    out, component, value = np.zeros((len(langs), DIMENSIONS)), table.column("component").to_numpy(), table.column("value").to_numpy()
     for k, lang in enumerate(langs):
-        own, much = codes[of == lang], n[of == lang] / max(1, n[of == lang].sum())
-        order = np.argsort(own)
-        for at in range(0, len(own), 4096):
-            part = order[at : at + 4096]
-            out[k] += much[part] @ vectors.of(own[part])
+        own = of == lang
+        out[k, component[own]] = value[own]
+    out /= np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
     if len(langs) > 1:
         out -= out.mean(axis=0)
     return langs, out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
@@ -121,7 +132,7 @@ def prototypes(counts: DataFrame) -> tuple[list[str], np.ndarray]:
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """id, held_out, lang_pred, score (0 to 1)."""
     held_out = F.coalesce(crc_mod(docs[id_col], 4) == 2, F.lit(False))
-    langs, vectors = prototypes(counted(docs.where(~held_out & docs[lang_col].isNotNull()), text_col, lang_col))
+    langs, vectors = prototypes(bundles(docs.where(~held_out & docs[lang_col].isNotNull()), text_col, lang_col))
     model = docs.sparkSession.sparkContext.broadcast((langs, vectors.astype(np.float32)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
