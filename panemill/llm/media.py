@@ -3,8 +3,8 @@
 ``media_of`` stores a payload losslessly as a grey picture of 8-bit samples (portable grey map, 64 samples a row),
 content-addressed by its SHA-256.  ``sequences`` parses HTML into ordered structs, text and media references with their
 captions, positions counted over both.  ``resolve`` joins references to media rows by digest, so a sequence keeps its
-order whatever the join does.  A digest that many documents share is one media row, and the reference side of the join
-holds ids and digests only: a hot digest moves few bytes, and adaptive execution splits it.
+order whatever the join does.  A digest that many documents share is one media row; the reference side of the join
+holds ids, positions and captions only, and a hot digest is cut in parts (``spread_join``).
 
 Cases: a null or empty text is a payload of 64 zero bytes; null HTML has an empty sequence; a reference without a
 stored payload resolves to nulls; repeated rows give repeated results; other columns are not read.
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panemill.llm.common import scratch_path
+from panemill.llm.common import scratch_path, spread_join, written
 
 #: Samples a row of the picture; payloads are padded with zero bytes to a positive multiple.
 WIDTH = 64
@@ -146,8 +146,8 @@ def references(sequenced: DataFrame, id_col: str) -> DataFrame:
 
 
 def resolve(refs: DataFrame, media: DataFrame) -> DataFrame:
-    """References with the columns of the media row of their digest, one per digest; nulls where there is none."""
-    return refs.join(media, "digest", "left")
+    """References (a written table) with the columns of the media row of their digest, one per digest; nulls where there is none."""
+    return spread_join(refs, media, ["digest"], "left")
 
 
 def page_of(text: str | None, digest: str) -> str:
@@ -220,5 +220,5 @@ def documents_as_media(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """Stores the texts, reads them back, and resolves each document's reference: id, the columns of ``described`` but the digest, pos, caption."""
     path = scratch_path(docs.sparkSession, "media")
     media = described(store(docs, path, text_col))
-    refs = references(sequences(paged(docs, id_col, text_col), id_col), id_col)
+    refs = written(references(sequences(paged(docs, id_col, text_col), id_col), id_col), "references")
     return resolve(refs, media).select(id_col, *DESCRIBED[1:], "pos", "caption")
