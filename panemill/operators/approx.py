@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from panemill.functions.tables import small
 from panemill.operators.relational import overlap_join
 
 TARGET = ("b_start", "b_end")
@@ -82,6 +83,17 @@ def approx_rate(sub: DataFrame, targets: DataFrame, bucket_ms: int, keys: Sequen
     return rows.groupBy(*keys, *TARGET).agg(F.sum(rate).alias("sum"), F.sum("value").alias("segment_count"), F.min("value").alias("min"), F.max("value").alias("max"))
 
 
+def prune(sub: DataFrame, start_ms: int | Column) -> DataFrame:
+    """Results that a target from ``start_ms`` on can still use; what ended before it is forgotten."""
+    return sub.where(F.col("end_ms") >= start_ms)
+
+
+def message_kind(payload: Column) -> Column:
+    """structured (an object with window bounds), legacy (a bare number) or rejected."""
+    bounded = F.get_json_object(payload, "$.window_end").isNotNull() | F.get_json_object(payload, "$.window.end").isNotNull()
+    return F.when(bounded, "structured").when(payload.try_cast("double").isNotNull(), "legacy").otherwise("rejected")
+
+
 def ready_windows(sub: DataFrame, targets: DataFrame, n_topics: int) -> DataFrame:
     """Targets whose end every topic has reached."""
     latest = sub.groupBy("topic").agg(F.max("end_ms").alias("latest"))
@@ -90,14 +102,22 @@ def ready_windows(sub: DataFrame, targets: DataFrame, n_topics: int) -> DataFram
 
 
 def latest_value(sub: DataFrame, targets: DataFrame, bucket_ms: int) -> DataFrame:
-    """For each topic and target the overlap-weighted mean, or else the topic's latest value before the target's end (``source`` tells which)."""
+    """For each topic and target the overlap-weighted mean, or else the topic's latest value before the target's end (``source`` tells which).
+
+    The result has a row for each topic and target.  The latest value is carried along within buckets of time, and from bucket to bucket, so
+    a task orders one bucket of one topic.
+    """
     exact = approx_overlap_avg(sub, targets, bucket_ms)
-    grid = sub.select("topic").distinct().join(F.broadcast(targets))
-    # The latest value before a time: results and targets in one order by time, and the last value carried along.
-    points = sub.select("topic", F.col("end_ms").alias("at"), F.col("value"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("b_start"))
+    grid = targets.select(*TARGET).join(small(sub.select("topic").distinct()))
+    points = sub.select("topic", F.col("end_ms").alias("at"), "value", F.lit(0).alias("kind"))
     asks = grid.select("topic", F.col("b_end").alias("at"), F.lit(None).cast("double").alias("value"), F.lit(1).alias("kind"), "b_start")
-    order = W.partitionBy("topic").orderBy("at", "kind").rowsBetween(W.unboundedPreceding, W.currentRow)
-    carried = points.unionByName(asks).withColumn("last", F.last("value", ignorenulls=True).over(order)).where("kind = 1").select("topic", "b_start", F.col("at").alias("b_end"), "last")
+    rows = points.unionByName(asks, allowMissingColumns=True).withColumn("bucket", F.floor(F.col("at") / bucket_ms))
+    ends = rows.groupBy("topic", "bucket").agg(F.max_by("value", F.when(F.col("kind") == 0, F.col("at"))).alias("end"))
+    earlier = W.partitionBy("topic").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
+    ends = ends.select("topic", "bucket", F.last("end", ignorenulls=True).over(earlier).alias("before"))
+    inside = W.partitionBy("topic", "bucket").orderBy("at", "kind").rowsBetween(W.unboundedPreceding, W.currentRow)
+    carried = rows.withColumn("inside", F.last("value", ignorenulls=True).over(inside)).where("kind = 1").join(ends, ["topic", "bucket"])
+    carried = carried.select("topic", "b_start", F.col("at").alias("b_end"), F.coalesce("inside", "before").alias("last"))
     rows = carried.join(exact, ["topic", *TARGET], "left")
     return rows.select("topic", *TARGET, F.coalesce("avg", "last").alias("value"), F.when(F.col("avg").isNotNull(), "overlap").when(F.col("last").isNotNull(), "latest").otherwise("none").alias("source"))
 

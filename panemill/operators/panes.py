@@ -7,14 +7,16 @@ the pane is then a merge of states.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 from functools import reduce
-from math import gcd
+from math import gcd, lcm
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from panemill.functions.time import WindowSpec, align_start
+from panemill.functions.tables import small
+from panemill.functions.time import WindowSpec, align_start, finite
 
 #: State columns that each aggregate needs.
 SIGNATURE = {"avg": ("sum", "count"), "sum": ("sum",), "count": ("count",), "min": ("min",), "max": ("max",)}
@@ -25,6 +27,25 @@ def chunk_size(specs: Sequence[WindowSpec]) -> int:
     return reduce(gcd, (x for s in specs for x in (s.range_ms, s.step_ms))) if specs else 1
 
 
+def common_multiple(specs: Sequence[WindowSpec]) -> int:
+    """The least time after which all windows begin together again; 1 for no specs."""
+    return lcm(*(s.step_ms for s in specs)) if specs else 1
+
+
+@dataclass(frozen=True)
+class ChunkPlan:
+    """Panes every ``step_ms``; sub-queries keep windows of ``width_ms``, which is a step unless they were wider before."""
+
+    step_ms: int
+    width_ms: int
+
+
+def chunk_plan(output: WindowSpec, subs: Sequence[WindowSpec]) -> ChunkPlan:
+    """The step that fits the output window and all sub-queries, and the widest range that a sub-query had."""
+    step = chunk_size([output, *subs])
+    return ChunkPlan(step, max([step, *(s.range_ms for s in subs)]))
+
+
 def chunk_states(obs: DataFrame, pane_ms: int, keys: Sequence[str] = ("stream",), origin_ms: int = 0) -> DataFrame:
     """keys, start_ms, end_ms, count, sum, min, max of each pane that has rows."""
     start = align_start(F.col("ms"), pane_ms, origin_ms)
@@ -33,15 +54,29 @@ def chunk_states(obs: DataFrame, pane_ms: int, keys: Sequence[str] = ("stream",)
     return states.select(*keys, "start_ms", (F.col("start_ms") + pane_ms).alias("end_ms"), "count", "sum", "min", "max")
 
 
-def merge_states(grouped) -> DataFrame:
-    """Merges states; a missing sum is made up from avg and count where there is an avg column."""
-    return grouped.agg(F.sum("count").alias("count"), F.sum("sum").alias("sum"), F.min("min").alias("min"), F.max("max").alias("max"))
+def merge_states(states: DataFrame, keys: Sequence[str], *more: Column) -> DataFrame:
+    """Merges states by keys; ``more`` are further aggregates.
+
+    A missing sum is made up from avg and count where there is an avg column.  A state that lacks what an aggregate needs makes that aggregate
+    of the merged state null, rather than wrong; a state of no rows needs nothing.
+    """
+    total = finite(F.col("sum"))
+    if "avg" in states.columns:
+        total = F.coalesce(total, finite(F.col("avg")) * F.col("count"))
+    empty = F.coalesce(F.col("count") == 0, F.lit(False))
+    whole = lambda value, merged: F.when(~F.bool_or(value.isNull() & ~empty), merged)
+    return states.groupBy(*keys).agg(
+        *more,
+        F.when(~F.bool_or(F.col("count").isNull()), F.sum("count")).alias("count"),
+        whole(total, F.sum(total)).alias("sum"),
+        whole(F.col("min"), F.min("min")).alias("min"),
+        whole(F.col("max"), F.max("max")).alias("max"),
+    )
 
 
 def merge_producers(states: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Merges the partials of all producers of a pane; a partial without a sum counts with avg * count."""
-    filled = states.withColumn("sum", F.coalesce("sum", F.col("avg") * F.col("count")))
-    return merge_states(filled.groupBy(*keys, "start_ms", "end_ms"))
+    return merge_states(states, [*keys, "start_ms", "end_ms"])
 
 
 def final_of(agg: str) -> Column:
@@ -80,24 +115,27 @@ def chunks_to_windows(states: DataFrame, spec: WindowSpec, pane_ms: int, min_sta
 
 
 def recompose(states: DataFrame, spec: WindowSpec, pane_ms: int, keys: Sequence[str] = ("stream",), require_complete: bool = False) -> DataFrame:
-    """Merged states of all windows, with the number of panes; only windows with every pane if required."""
-    rows = chunks_to_windows(states, spec, pane_ms).groupBy(*keys, "win_start", "win_end")
-    merged = rows.agg(F.count(F.lit(1)).alias("panes"), F.sum("count").alias("count"), F.sum("sum").alias("sum"), F.min("min").alias("min"), F.max("max").alias("max"))
+    """Merged states of all windows, with the number of panes; only windows with every pane if required.
+
+    An aggregate that one of the panes can't support is null (see ``merge_states``).
+    """
+    rows = chunks_to_windows(states, spec, pane_ms)
+    merged = merge_states(rows, [*keys, "win_start", "win_end"], F.count(F.lit(1)).alias("panes"))
     merged = merged.withColumn("avg", final_of("avg"))
     return merged.where(F.col("panes") == spec.range_ms // pane_ms) if require_complete else merged
 
 
 def recompose_flat(states: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Merges partial rows straight by key, without the level of panes."""
-    return merge_states(states.groupBy(*keys)).withColumn("avg", final_of("avg"))
+    return merge_states(states, keys).withColumn("avg", final_of("avg"))
 
 
 def derive_original(states: DataFrame, specs: DataFrame, pane_ms: int, keys: Sequence[str] = ("stream",)) -> DataFrame:
     """Every (id, range_ms, step_ms) of a small table rebuilt from the same states, in one pass over them."""
-    rows = states.join(F.broadcast(specs)).where((F.col("range_ms") % pane_ms == 0) & (F.col("step_ms") % pane_ms == 0))
+    rows = states.join(small(specs)).where((F.col("range_ms") % pane_ms == 0) & (F.col("step_ms") % pane_ms == 0))
     rows = rows.withColumn("win_start", F.explode(F.sequence(F.col("start_ms") - F.col("range_ms") + pane_ms, F.col("start_ms"), F.lit(pane_ms))))
     rows = rows.where(F.pmod("win_start", "step_ms") == 0).withColumn("win_end", F.col("win_start") + F.col("range_ms"))
-    return merge_states(rows.groupBy("id", *keys, "win_start", "win_end")).withColumn("avg", final_of("avg"))
+    return merge_states(rows, ["id", *keys, "win_start", "win_end"]).withColumn("avg", final_of("avg"))
 
 
 def early_partial(states: DataFrame, spec: WindowSpec, pane_ms: int, keys: Sequence[str] = ("stream",)) -> DataFrame:
@@ -149,7 +187,7 @@ def all_producers(states: DataFrame, producer: str, n: int) -> DataFrame:
 
 
 def contiguous_runs(states: DataFrame, keys: Sequence[str] = ("stream",)) -> DataFrame:
-    """Runs of panes without a gap: first start, last end, number of panes."""
+    """Runs of panes without a gap: first start, last end, number of panes.  A key has as many panes as time has, whatever the number of rows."""
     order = W.partitionBy(*keys).orderBy("start_ms")
     breaks = F.coalesce((F.lag("end_ms").over(order) != F.col("start_ms")).cast("long"), F.lit(1))
     rows = states.withColumn("fresh", breaks).withColumn("run", F.sum("fresh").over(order))

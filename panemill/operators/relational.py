@@ -7,23 +7,23 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Rows of a static table that may be broadcast at most; larger ones are joined by shuffle.
-BROADCAST_ROWS = 200_000
-
+from panemill.functions.tables import broadcast_if_small
 
 def star_join(triples: DataFrame, predicates: dict[str, str]) -> DataFrame:
-    """The basic graph pattern ``?s p1 ?a . ?s p2 ?b ...`` as equi-joins on the subject."""
-    out = None
-    for name, predicate in predicates.items():
-        one = triples.where(F.col("p") == predicate).select("s", F.col("o").alias(name))
-        out = one if out is None else out.join(one, "s")
-    return out
+    """The basic graph pattern ``?s p1 ?a . ?s p2 ?b ...``: every combination of the objects that a subject has for the predicates.
+
+    One scan and one shuffle by subject, whatever the number of predicates; a subject without one of them gives no row.
+    """
+    wanted = triples.where(F.col("p").isin(list(predicates.values())))
+    rows = wanted.groupBy("s").agg(*(F.collect_list(F.when(F.col("p") == p, F.col("o"))).alias(name) for name, p in predicates.items()))
+    for name in predicates:
+        rows = rows.withColumn(name, F.explode(name))
+    return rows
 
 
 def enrich(obs: DataFrame, static: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
     """Static data beside each observation: inner (join), left (optional), left_anti (minus).  Broadcast if it is counted to be small."""
-    small = static.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    return obs.join(F.broadcast(static) if small else static, list(on), how)
+    return obs.join(broadcast_if_small(static), list(on), how)
 
 
 def overlap_join(a: DataFrame, b: DataFrame, bucket_ms: int, keys: Sequence[str] = ()) -> DataFrame:
@@ -50,3 +50,11 @@ def set_difference(actual: DataFrame, expected: DataFrame, on: Sequence[str]) ->
     """Rows of either table with status matched, missing (expected only) or extra (actual only)."""
     both = actual.select(*on).distinct().withColumn("a", F.lit(True)).join(expected.select(*on).distinct().withColumn("e", F.lit(True)), list(on), "full")
     return both.select(*on, F.when(F.col("a") & F.col("e"), "matched").when(F.col("e"), "missing").otherwise("extra").alias("status"))
+
+
+def matched_on(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> list[str]:
+    """What two result tables are matched by: the window's bounds if all rows have them, else the window's number."""
+    bounds = [c for c in ("win_start", "win_end") if c in a.columns and c in b.columns]
+    missing = " or ".join(f"{c} is null" for c in bounds)
+    whole = len(bounds) == 2 and a.where(missing).isEmpty() and b.where(missing).isEmpty()
+    return [*keys, *(bounds if whole else ["window_number"])]

@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from panemill.functions.tables import small
 from panemill.functions.time import WindowSpec, align_start, window_number, window_starts
 
 #: The aggregates that queries may ask for.
@@ -49,7 +50,7 @@ def union_window_agg(streams: Sequence[DataFrame], spec: WindowSpec, aggs: Seque
 
 def multi_spec_agg(obs: DataFrame, specs: DataFrame, aggs: Sequence, keys: Sequence[str] = ("stream",)) -> DataFrame:
     """The same aggregate for every (id, range_ms, step_ms) of a small table, in one pass over the observations."""
-    rows = obs.join(F.broadcast(specs.select("id", "range_ms", "step_ms")))
+    rows = obs.join(small(specs.select("id", "range_ms", "step_ms")))
     rows = rows.withColumn("win_start", F.explode(window_starts(F.col("ms"), F.col("range_ms"), F.col("step_ms"))))
     rows = rows.withColumn("win_end", F.col("win_start") + F.col("range_ms"))
     return rows.groupBy("id", *keys, "win_start", "win_end").agg(*agg_columns(aggs))
@@ -84,6 +85,16 @@ def numbered(windows: DataFrame, anchor: int | Column, spec: WindowSpec) -> Data
     return windows.withColumn("window_number", window_number(F.col("win_start"), anchor, spec.step_ms))
 
 
+def comparable(first: Column, last: Column, start: Column, end: Column, spec: WindowSpec, least_ms: int) -> Column:
+    """Whether a window has its full range and its rows span at least ``least_ms`` of it."""
+    return (last - first >= least_ms) & (end - start == spec.range_ms)
+
+
+def first_windows(windows: DataFrame, most: int) -> DataFrame:
+    """The first so many numbered output windows."""
+    return windows.where(F.col("window_number") <= most)
+
+
 def merge_streams(partials: DataFrame, n_streams: int, first_by: Sequence[str]) -> DataFrame:
     """Partials (window_number, stream, count, sum, min, max, ...) of at least n streams merged by window; each stream's first partial counts."""
     first = partials.groupBy("window_number", "stream").agg(F.min_by(F.struct("count", "sum", "min", "max"), F.struct(*first_by)).alias("p")).select("window_number", "stream", "p.*")
