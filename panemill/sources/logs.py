@@ -35,6 +35,17 @@ def read_json_log(spark: SparkSession, path: str, schema: str = TRAFFIC) -> tupl
     return _split(spark.read.text(path), F.from_json("value", f"{schema}, bad_line string", {"columnNameOfCorruptRecord": "bad_line"}))
 
 
+def to_topics(rows: DataFrame, topic: str = "topic", payload: str = "payload") -> DataFrame:
+    """topic and value, as a message broker takes them."""
+    return rows.select(F.col(topic).cast("string").alias("topic"), F.col(payload).cast("string").alias("value"))
+
+
+def topic_sink(rows: DataFrame, servers: str, checkpoint: str, **trigger):
+    """Publishes a stream of (topic, payload) to Kafka; needs Spark's Kafka package on the class path."""
+    out = to_topics(rows).writeStream.format("kafka").option("kafka.bootstrap.servers", servers).option("checkpointLocation", checkpoint)
+    return out.trigger(**(trigger or {"availableNow": True})).start()
+
+
 def topic_stream(spark: SparkSession, servers: str, topics: str) -> DataFrame:
     """topic, value, arrived_at of a Kafka subscription; needs Spark's Kafka package on the class path."""
     rows = spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", topics).option("startingOffsets", "earliest").load()

@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from panemill.functions.tables import numbered
+from panemill.functions.time import finite
+
 # The predicates of the public vocabularies that an observation is written with.
 PREDICATES = {
     "dataset": "http://rdfs.org/ns/void#inDataset",
@@ -25,7 +28,7 @@ def observations(spark: SparkSession, path: str) -> DataFrame:
     """event_id, stream, sensor, ts, ms, value, props of an events table; values that are not finite are null."""
     events = spark.read.parquet(path)
     ts = F.col("ts").cast("timestamp")  # stored without a zone: taken as UTC, the session's zone
-    value = F.when(~F.isnan("value") & (F.abs("value") < float("inf")), F.col("value"))
+    value = finite(F.col("value"))
     rows = events.select("event_id", F.col("event_type").alias("stream"), F.col("user_id").alias("sensor"), ts.alias("ts"), value.alias("value"), "props")
     return rows.where("ts is not null").withColumn("ms", F.unix_millis("ts"))
 
@@ -58,14 +61,19 @@ def to_ntriples(triples: DataFrame, one_line: bool = True) -> DataFrame:
 
 def parse_ntriples(lines: DataFrame, col: str = "value") -> DataFrame:
     """s, p, o, o_type of every triple of each line; what is no triple is passed over."""
-    whole = F.explode(F.regexp_extract_all(F.col(col), F.lit(_TRIPLE), F.lit(0))).alias("triple")
-    rows = lines.select(whole)
-    part = [F.regexp_extract("triple", _TRIPLE, k) for k in (1, 2, 3)]
-    iri = part[2].startswith("<")
-    literal = F.regexp_extract(part[2], r'^"((?:[^"\\]|\\.)*)"', 1)
-    kind = F.when(iri, "iri").otherwise(F.regexp_extract(part[2], r"#(\w+)>$", 1))
-    bare = [F.regexp_replace(p, "^<|>$", "") for p in part]
-    return rows.select(bare[0].alias("s"), bare[1].alias("p"), F.when(iri, bare[2]).otherwise(literal).alias("o"), kind.alias("o_type"))
+    rows = lines.select(F.explode(F.regexp_extract_all(F.col(col), F.lit(_TRIPLE), F.lit(0))).alias("triple"))
+    # A triple is known to be well formed here: its first two terms end at the first two closing brackets.
+    rows = rows.select(F.split("triple", r">\s+", 3).alias("part"))
+    last = F.col("part")[2]
+    iri = last.startswith("<")
+    literal = F.regexp_extract(last, r'^"((?:[^"\\]|\\.)*)"', 1)
+    kind = F.when(iri, "iri").otherwise(F.regexp_extract(last, r"#(\w+)>\s*\.$", 1))
+    return rows.select(
+        F.substring(F.col("part")[0], 2, 1 << 30).alias("s"),
+        F.substring(F.col("part")[1], 2, 1 << 30).alias("p"),
+        F.when(iri, F.substring_index(F.substring(last, 2, 1 << 30), ">", 1)).otherwise(literal).alias("o"),
+        kind.alias("o_type"),
+    )
 
 
 def read_ntriples(spark: SparkSession, path: str) -> DataFrame:
@@ -150,6 +158,27 @@ def rebase(obs: DataFrame, base_ms: int, loops: int, keys: Sequence[str] = ("str
     return rows.withColumn("ms", F.lit(base_ms) + F.col("loop") * length + F.col("ms") - F.col("first_ms")).drop("first_ms", "last_ms")
 
 
-def add_noise(rows: DataFrame, col: str, sigmas: Sequence[float], seed: int = 0) -> DataFrame:
-    """A row for each sigma, with normal noise of that spread added; the same noise for the same row order and seed."""
-    return rows.withColumn("sigma", F.explode(F.array(*map(F.lit, sigmas)))).withColumn(col, F.col(col) + F.col("sigma") * F.randn(seed))
+def _uniform(key: Column) -> Column:
+    """A number between 0 and 1 from the first 32 bits of a text's digest."""
+    return (F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("double") + 0.5) / 2.0**32
+
+
+def add_noise(rows: DataFrame, col: str, sigmas: Sequence[float], seed: int = 0, id_col: str = "event_id") -> DataFrame:
+    """A row for each sigma, with normal noise of that spread added.
+
+    The noise is a function of the seed, the row's id and the place of the sigma, so it is the same however rows are partitioned.
+    """
+    rows = rows.select("*", F.posexplode(F.array(*map(F.lit, sigmas))).alias("_nth", "sigma"))
+    key = lambda part: F.concat_ws(":", F.lit(seed), F.col(id_col), F.col("_nth"), F.lit(part))
+    normal = F.sqrt(-2 * F.log(_uniform(key("r")))) * F.cos(2 * F.pi() * _uniform(key("a")))
+    return rows.withColumn(col, F.col(col) + F.col("sigma") * normal).drop("_nth")
+
+
+def write_sorted(obs: DataFrame, path: str, order: Sequence[str] = ("ms", "event_id")) -> None:
+    """Writes observations in the order of time: files by ranges, rows in order within each.  No task sorts more than its range."""
+    obs.repartitionByRange(*order).sortWithinPartitions(*order).write.parquet(path)
+
+
+def in_order(obs: DataFrame, order: Sequence[str] = ("ms", "event_id")) -> DataFrame:
+    """Adds place: the number of each observation in the order of time over all streams."""
+    return numbered(obs, [], order)
