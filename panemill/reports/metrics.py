@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from panemill.functions.tables import broadcast_if_small, numbered
 from panemill.functions.time import WindowSpec
 
 
@@ -55,7 +56,7 @@ def accuracy(baseline: DataFrame, result: DataFrame, keys: Sequence[str], by: Se
 
 def accuracy_positional(baseline: DataFrame, result: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
     """Mean absolute percentage error of rows matched by their position; a base of 0 counts as 0 %."""
-    place = lambda df: df.withColumn("place", F.row_number().over(W.partitionBy(*keys).orderBy(order)))
+    place = lambda df: numbered(df, keys, [order])
     pairs = place(baseline).select(*keys, "place", F.col("value").alias("base")).join(place(result).select(*keys, "place", "value"), [*keys, "place"])
     error = F.when(F.col("base") == 0, 0.0).otherwise(F.abs((F.col("value") - F.col("base")) / F.col("base")) * 100)
     return pairs.groupBy(*keys).agg(F.count(F.lit(1)).alias("compared"), F.avg(error).alias("mape"))
@@ -93,6 +94,18 @@ def anchored_latency(results: DataFrame, spec: WindowSpec) -> DataFrame:
     return rows.withColumn("since_registration", F.col("emitted_at") - F.col("registered_at")).withColumn("after_close", F.col("emitted_at") - F.col("expected_close"))
 
 
+def emission_latencies(results: DataFrame, spec: WindowSpec) -> DataFrame:
+    """Delay behind the close that counts from the first data, wait from the last pane to the trigger, and computation from trigger to result."""
+    close = F.col("first_data_at") + spec.range_ms + (F.col("window_number") - 1) * spec.step_ms
+    rows = results.withColumn("after_data_close", F.col("emitted_at") - close)
+    return rows.withColumn("interval_wait", F.col("triggered_at") - F.col("last_pane_at")).withColumn("computation", F.col("emitted_at") - F.col("triggered_at"))
+
+
+def expected_value(rate: Column, at: Column, growing: Column) -> Column:
+    """What an exponential series should show at a time: exp(rate * t), or exp(-rate * t) where it falls."""
+    return F.exp(F.when(growing, rate * at).otherwise(-rate * at))
+
+
 def wall_clock_close(results: DataFrame, most_apart_ms: int = 86_400_000) -> DataFrame:
     """Wall-clock close of event-time windows, with the status of the mapping."""
     mapped = F.col("runtime_anchor") + F.col("win_end") - F.col("event_anchor")
@@ -127,8 +140,13 @@ def first_emitted_accuracy(baseline: DataFrame, candidate: DataFrame, keys: Sequ
     return rows.withColumn("error_pct", F.when(F.col("base") != 0, F.abs((F.col("value") - F.col("base")) / F.col("base")) * 100))
 
 
-def summarize(rows: DataFrame, metrics: Sequence[str], keys: Sequence[str], std: str = "pop") -> DataFrame:
-    """Count, mean, spread, extremes, median and 95th percentile (linear interpolation) of each metric."""
+def summarize(rows: DataFrame, metrics: Sequence[str], keys: Sequence[str], std: str = "pop", accuracy: int | None = None) -> DataFrame:
+    """Count, mean, spread, extremes, median and 95th percentile of each metric.
+
+    Percentiles are exact, by linear interpolation, and keep a key's different values; with an ``accuracy`` they are approximate (rank error 1 / accuracy) in
+    bounded memory.
+    """
+    at = (lambda m, q: F.percentile(m, F.lit(q))) if accuracy is None else (lambda m, q: F.percentile_approx(m, q, accuracy))
     spread = {"pop": F.stddev_pop, "samp": F.stddev_samp}[std]
     columns = [
         column
@@ -139,8 +157,8 @@ def summarize(rows: DataFrame, metrics: Sequence[str], keys: Sequence[str], std:
             spread(m).alias(f"{m}_std"),
             F.min(m).alias(f"{m}_min"),
             F.max(m).alias(f"{m}_max"),
-            F.percentile(m, F.lit(0.5)).alias(f"{m}_median"),
-            F.percentile(m, F.lit(0.95)).alias(f"{m}_p95"),
+            at(m, 0.5).alias(f"{m}_median"),
+            at(m, 0.95).alias(f"{m}_p95"),
         )
     ]
     return rows.groupBy(*keys).agg(*columns)
@@ -148,9 +166,8 @@ def summarize(rows: DataFrame, metrics: Sequence[str], keys: Sequence[str], std:
 
 def rank_percentile(rows: DataFrame, metric: str, keys: Sequence[str], p: float) -> DataFrame:
     """The value at place floor(n * p) of the sorted values, counted from 0."""
-    order = W.partitionBy(*keys).orderBy(metric)
-    ranked = rows.where(F.col(metric).isNotNull()).withColumn("place", F.row_number().over(order) - 1).withColumn("n", F.count(F.lit(1)).over(W.partitionBy(*keys)))
-    return ranked.where(F.col("place") == F.least(F.floor(F.col("n") * p), F.col("n") - 1)).select(*keys, F.col(metric).alias("value"))
+    ranked = numbered(rows.select(*keys, metric).where(F.col(metric).isNotNull()), keys, [metric], "place", "n")
+    return ranked.where(F.col("place") - 1 == F.least(F.floor(F.col("n") * p), F.col("n") - 1)).select(*keys, F.col(metric).alias("value"))
 
 
 def rollup(rows: DataFrame, keys: Sequence[str], metrics: Sequence[str], ok: Column) -> DataFrame:
@@ -162,17 +179,25 @@ def rollup(rows: DataFrame, keys: Sequence[str], metrics: Sequence[str], ok: Col
     )
 
 
-def ratio_to(rows: DataFrame, baseline: str, metric: str, keys: Sequence[str]) -> DataFrame:
-    """Each approach's metric against the baseline's, case by case: saving (1 - value / base), mean and spread, and whether it saves most."""
-    base = rows.where(F.col("approach") == baseline).select(*keys, F.col(metric).alias("base"))
-    pairs = rows.where(F.col("approach") != baseline).join(base, list(keys)).where("base <> 0")
-    out = pairs.groupBy("approach").agg(F.avg(1 - F.col(metric) / F.col("base")).alias("saving"), F.stddev_pop(1 - F.col(metric) / F.col("base")).alias("spread"))
-    return out.join(F.broadcast(out.agg(F.max_by("approach", "saving").alias("best")))).withColumn("best", F.col("approach") == F.col("best"))
+def ratio_to(rows: DataFrame, baseline: str, metrics: Sequence[str], keys: Sequence[str], kind: str = "saving") -> DataFrame:
+    """Each approach's metrics against the baseline's, case by case: (base - value) / base, or with the other sign as overhead; mean and spread.
+
+    score is the mean over the metrics, and best tells the approach of the greatest score (of overheads, the least).
+    """
+    sign = {"saving": 1, "overhead": -1}[kind]
+    base = rows.where(F.col("approach") == baseline).select(*keys, *(F.col(m).alias(f"{m}_base") for m in metrics))
+    pairs = rows.where(F.col("approach") != baseline).join(base, list(keys))
+    ratio = {m: F.when(F.col(f"{m}_base") != 0, sign * (1 - F.col(m) / F.col(f"{m}_base"))) for m in metrics}
+    out = pairs.groupBy("approach").agg(*(c for m, r in ratio.items() for c in (F.avg(r).alias(f"{m}_{kind}"), F.stddev_pop(r).alias(f"{m}_spread"))))
+    means = F.array_compact(F.array(*(F.col(f"{m}_{kind}") for m in metrics)))
+    out = out.withColumn("score", F.aggregate(means, F.lit(0.0), lambda a, x: a + x) / F.nullif(F.size(means), F.lit(0)))
+    top = out.agg((F.max_by if sign > 0 else F.min_by)("approach", "score").alias("top"))  # one row
+    return out.join(F.broadcast(top)).withColumn("best", F.col("approach") == F.col("top")).drop("top")
 
 
 def matrix_missing(runs: DataFrame, first: str, second: str) -> DataFrame:
     """Cells of (first, second) without a run."""
-    grid = runs.select(first).distinct().join(F.broadcast(runs.select(second).distinct()))
+    grid = runs.select(first).distinct().join(broadcast_if_small(runs.select(second).distinct()))
     return grid.join(runs.select(first, second).distinct(), [first, second], "left_anti")
 
 
@@ -236,18 +261,17 @@ def first_complete(rows: DataFrame, keys: Sequence[str], order: str) -> DataFram
 
 def head_tail_trend(rows: DataFrame, field: str, order: Sequence[str], keys: Sequence[str]) -> DataFrame:
     """Means of the first and the last tenth (10 rows at most) and the change in percent."""
-    by = W.partitionBy(*keys)
-    ranked = rows.withColumn("place", F.row_number().over(by.orderBy(*order))).withColumn("n", F.count(F.lit(1)).over(by))
+    ranked = numbered(rows, keys, order, "place", "n")
     take = F.least(F.lit(10), F.greatest(F.lit(1), F.floor(F.col("n") * 0.1)))
     out = ranked.groupBy(*keys).agg(F.avg(F.when(F.col("place") <= take, F.col(field))).alias("head"), F.avg(F.when(F.col("place") > F.col("n") - take, F.col(field))).alias("tail"))
     return out.withColumn("change_pct", F.when(F.col("head") != 0, (F.col("tail") - F.col("head")) / F.col("head") * 100))
 
 
 def series_profile(obs: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Start, end, extremes, change, duration, mean interval, change over the first 10 rows, values at the quarters."""
-    by = W.partitionBy(*keys)
-    ranked = obs.withColumn("place", F.row_number().over(by.orderBy("ms", "event_id"))).withColumn("n", F.count(F.lit(1)).over(by))
+    """Start, end, extremes, change, duration, mean interval, change over the first 10, 50 and 100 rows, values at the quarters."""
+    ranked = numbered(obs.select(*keys, "ms", "event_id", "value"), keys, ["ms", "event_id"], "place", "n")
     at = lambda place: F.max(F.when(F.col("place") == place, F.col("value")))
+    first = (10, 50, 100)
     out = ranked.groupBy(*keys).agg(
         at(F.lit(1)).alias("start_value"),
         at(F.col("n")).alias("end_value"),
@@ -255,12 +279,12 @@ def series_profile(obs: DataFrame, keys: Sequence[str]) -> DataFrame:
         F.max("value").alias("max"),
         (F.max("ms") - F.min("ms")).alias("duration_ms"),
         F.max("n").alias("rows"),
-        at(F.least(F.col("n"), F.lit(10))).alias("tenth"),
+        *(at(F.least(F.col("n"), F.lit(k))).alias(f"change_first_{k}") for k in first),
         *(at(F.floor((F.col("n") - 1) * q) + 1).alias(f"q{round(q * 100)}") for q in (0.25, 0.5, 0.75)),
     )
     out = out.withColumn("change", F.col("end_value") - F.col("start_value")).withColumn("change_pct", F.when(F.col("start_value") != 0, F.col("change") / F.col("start_value") * 100))
     out = out.withColumn("mean_interval_ms", F.when(F.col("rows") > 1, F.col("duration_ms") / (F.col("rows") - 1)))
-    return out.withColumn("change_first_10", F.col("tenth") - F.col("start_value")).drop("tenth")
+    return out.withColumns({f"change_first_{k}": F.col(f"change_first_{k}") - F.col("start_value") for k in first})
 
 
 def trend(rows: DataFrame, x: str, y: str, keys: Sequence[str]) -> DataFrame:

@@ -4,17 +4,22 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from panemill.functions.tables import small
 from panemill.functions.time import align_start
 
 #: Values of a window from which a signature is given.
 LEAST = 5
-# Bounds of each approach (approach, least and greatest variance, greatest entropy, least number of values, priority).
-CONFIGS = [("approximation", None, 10.0, 2.0, None, 1), ("fetching", 50.0, None, None, None, 2), ("chunked", None, 30.0, None, 100, 3)]
-CONFIG_SCHEMA = "approach string, variance_lo double, variance_hi double, entropy_hi double, n_lo long, priority int"
+# Bounds of each approach (approach, least variance, greatest variance, greatest entropy, greatest spectral entropy, least number of values, priority).
+CONFIGS = [
+    ("approximation", None, 10.0, 2.0, 1.5, None, 1),
+    ("fetching", 50.0, None, None, None, None, 2),
+    ("chunked", None, 30.0, None, None, 100, 3),
+]
+CONFIG_SCHEMA = "approach string, variance_lo double, variance_hi double, entropy_hi double, spectral_hi double, n_lo long, priority int"
 
 
 def window_stats(obs: DataFrame, range_ms: int) -> DataFrame:
@@ -46,7 +51,7 @@ def stream_signature(obs: DataFrame, range_ms: int, bin_width: float) -> DataFra
 
 
 def spectral_entropy(obs: DataFrame, range_ms: int) -> DataFrame:
-    """Entropy of the normalised power spectrum of each window's values in time order, 0 to 1.  A window is one group, so its
+    """Entropy, in bits, of the power spectrum (without its mean) of each window's values in time order.  A window is one group, so its
     size is bounded by its range and rate."""
 
     def of(rows: pd.DataFrame) -> pd.DataFrame:
@@ -56,7 +61,7 @@ def spectral_entropy(obs: DataFrame, range_ms: int) -> DataFrame:
             power = np.abs(np.fft.rfft(values - values.mean()))[1:] ** 2
             if (total := power.sum()) > 0 and len(power) > 1:
                 share = power[power > 0] / total
-                entropy = float(-(share * np.log2(share)).sum() / np.log2(len(power)))
+                entropy = float(-(share * np.log2(share)).sum())
             else:
                 entropy = 0.0
         return pd.DataFrame({"stream": [rows["stream"].iloc[0]], "win_start": [rows["win_start"].iloc[0]], "spectral_entropy": [entropy]})
@@ -65,18 +70,26 @@ def spectral_entropy(obs: DataFrame, range_ms: int) -> DataFrame:
     return rows.groupBy("stream", "win_start").applyInPandas(of, "stream string, win_start long, spectral_entropy double")
 
 
-def stream_type(fft: Column | None = None) -> Column:
-    """stable, volatile, irregular, periodic (if a spectral measure is given) or mixed; unknown without a signature."""
+def stream_type(spectral: Column | None = None) -> Column:
+    """stable, volatile, irregular, periodic (if the spectral entropy is given) or mixed; unknown without a signature."""
     kind = F.when(F.col("variance").isNull(), "unknown").when((F.col("variance") < 10) & (F.col("entropy") < 2), "stable").when(F.col("variance") > 50, "volatile").when(F.abs("skewness") > 1, "irregular")
-    return (kind if fft is None else kind.when(fft > 2, "periodic")).otherwise("mixed")
+    return (kind if spectral is None else kind.when(spectral > 2, "periodic")).otherwise("mixed")
+
+
+def standard_configs(spark: SparkSession) -> DataFrame:
+    """The standard bounds as a table."""
+    return spark.createDataFrame(CONFIGS, CONFIG_SCHEMA)
 
 
 def recommend(signatures: DataFrame, configs: DataFrame) -> DataFrame:
-    """The approach of least priority all of whose bounds hold; lower priorities give less confidence.  A null bound holds always."""
+    """The approach of least priority all of whose bounds hold; lower priorities give less confidence.  A null bound holds always.
+
+    Signatures hold variance, entropy, spectral_entropy and n.
+    """
     lo = lambda c, b: F.col(b).isNull() | (F.col(c) >= F.col(b))
     hi = lambda c, b: F.col(b).isNull() | (F.col(c) <= F.col(b))
-    fits = F.col("variance").isNotNull() & lo("variance", "variance_lo") & hi("variance", "variance_hi") & hi("entropy", "entropy_hi") & lo("n", "n_lo")
-    rows = signatures.join(F.broadcast(configs), fits)
+    fits = F.col("variance").isNotNull() & lo("variance", "variance_lo") & hi("variance", "variance_hi") & hi("entropy", "entropy_hi") & hi("spectral_entropy", "spectral_hi") & lo("n", "n_lo")
+    rows = signatures.join(small(configs), fits)
     return rows.groupBy("stream", "win_start").agg(F.min_by("approach", "priority").alias("approach"), F.round(1 - 0.25 * (F.min("priority") - 1), 6).alias("confidence"))
 
 

@@ -9,43 +9,70 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 
-def publish_lag(traffic: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Lag of actual behind target publishing times, and how fast the replay ran."""
+def publish_lag(traffic: DataFrame, keys: Sequence[str], accuracy: int | None = None) -> DataFrame:
+    """Lag of actual behind target publishing times, and how fast the replay ran.
+
+    The 95th percentile is exact and keeps a key's different lags; with an ``accuracy`` it is approximate in bounded memory.
+    """
     lag = F.col("actual_publish_time") - F.col("target_publish_time")
     span = lambda c: F.max(c) - F.min(c)
     return traffic.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("messages"),
         F.avg(lag).alias("mean_lag_ms"),
-        F.percentile(lag, F.lit(0.95)).alias("p95_lag_ms"),
+        (F.percentile(lag, F.lit(0.95)) if accuracy is None else F.percentile_approx(lag, 0.95, accuracy)).alias("p95_lag_ms"),
         F.max(lag).alias("max_lag_ms"),
         (span("target_publish_time") / span("actual_publish_time")).alias("replay_speed"),
     )
 
 
-def message_type(topic: Column) -> Column:
-    """The kind of a message by its topic."""
-    low = F.lower(topic)
-    return F.when(low.contains("final"), "final_result").when(low.contains("chunk"), "partial_state").when(low.contains("window"), "window_result").otherwise("raw_observation")
+# The parts of a topic that tell a message's kind, first match first, and how many subscribers read the raw input under each approach.
+KINDS = [
+    ("control", ("__benchmark_control__", "control")),
+    ("raw_input_stream", ("smartphoneX", "wearableX")),
+    ("chunk_result", ("chunked/",)),
+    ("superquery_result", ("output", "benchmark/results/")),
+]
+RAW_SUBSCRIBERS = {"fetching": 1, "naive_distributed": 2, "approximation": 1, "chunked": 2}
+
+
+def message_type(topic: Column, given: Column | None = None) -> Column:
+    """The kind of a message: the given one, else by its topic, else unknown."""
+    found = F.coalesce(*(F.when(F.contains(topic, F.lit(part)), kind) for kind, parts in KINDS for part in parts), F.lit("unknown"))
+    return found if given is None else F.coalesce(F.nullif(given, F.lit("")), found)
+
+
+def subscribers(kind: Column, approach: Column, raw: Column | None = None) -> Column:
+    """How many read a message of a kind, by approach; ``raw`` overrides the estimate for raw input."""
+    estimate = F.coalesce(*(F.when(approach == name, n) for name, n in RAW_SUBSCRIBERS.items()), F.lit(1))
+    return (
+        F.when(kind == "raw_input_stream", estimate if raw is None else F.coalesce(raw, estimate))
+        .when(kind == "reusable_result", F.when(approach == "chunked", 0).otherwise(1))
+        .when(kind == "control", F.when(approach == "fetching", 1).otherwise(0))
+        .otherwise(1)
+        .cast("long")
+    )
 
 
-def classify(traffic: DataFrame, subscribers: DataFrame) -> DataFrame:
-    """Adds message_type, subscriber_count (by approach from a small table, else 1) and delivered bytes."""
-    rows = traffic.join(F.broadcast(subscribers), "approach", "left").withColumn("subscriber_count", F.coalesce("subscriber_count", F.lit(1).cast("long")))
-    return rows.withColumn("message_type", message_type(F.col("topic"))).withColumn("delivered_bytes", F.col("published_bytes") * F.col("subscriber_count"))
+def classify(traffic: DataFrame) -> DataFrame:
+    """Adds message_type (kept where it is given), subscriber_count and delivered_bytes."""
+    given = F.col("message_type") if "message_type" in traffic.columns else None
+    rows = traffic.withColumn("message_type", message_type(F.col("topic"), given))
+    rows = rows.withColumn("subscriber_count", subscribers(F.col("message_type"), F.col("approach")))
+    return rows.withColumn("delivered_bytes", F.col("published_bytes") * F.col("subscriber_count"))
 
 
 def traffic_summary(traffic: DataFrame, keys: Sequence[str] = ("approach",)) -> DataFrame:
     """Bytes by kind after the warm-up (before a key's first final result), and KB a second over the rest."""
-    cut = traffic.where("message_type = 'final_result'").groupBy(*keys).agg(F.min("timestamp").alias("cut"))
+    cut = traffic.where("message_type = 'superquery_result'").groupBy(*keys).agg(F.min("timestamp").alias("cut"))
     rows = traffic.join(cut, list(keys), "left").withColumn("warmup", F.coalesce(F.col("timestamp") < F.col("cut"), F.lit(False)))
     steady = ~F.col("warmup")
     of = lambda kind: F.coalesce(F.sum(F.when(steady & (F.col("message_type") == kind), F.col("published_bytes"))), F.lit(0)).alias(f"{kind}_bytes")
     span = (F.max(F.when(steady, F.col("timestamp"))) - F.min(F.when(steady, F.col("timestamp")))) / 1000
     return rows.groupBy(*keys).agg(
         F.count_if(F.col("warmup")).alias("warmup_messages"),
-        of("raw_observation"),
-        of("partial_state"),
-        of("final_result"),
+        of("raw_input_stream"),
+        of("chunk_result"),
+        of("superquery_result"),
         F.sum(F.when(steady, F.col("delivered_bytes"))).alias("delivered_bytes"),
         F.when(span > 0, F.sum(F.when(steady, F.col("published_bytes"))) / 1024 / span).alias("kb_per_s"),
     )
@@ -61,6 +88,19 @@ def resource_summary(samples: DataFrame, keys: Sequence[str] = ("run",)) -> Data
     )
 
 
+def process_summary(samples: DataFrame, keys: Sequence[str] = ("run", "pid")) -> DataFrame:
+    """Of each process: samples, wall time, CPU seconds, mean and peak of CPU and memory."""
+    return samples.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("samples"),
+        ((F.max("timestamp") - F.min("timestamp")) / 1000).alias("wall_s"),
+        F.sum("cpu_seconds").alias("cpu_seconds"),
+        F.avg("cpu_pct").alias("mean_cpu"),
+        F.max("cpu_pct").alias("peak_cpu"),
+        F.avg("rss_bytes").alias("mean_rss"),
+        F.max("rss_bytes").alias("peak_rss"),
+    )
+
+
 def counter_delta(samples: DataFrame, ts: str, counter: str, keys: Sequence[str]) -> DataFrame:
     """Growth of a counter that may start anew: the sum of its rises, and the number of falls."""
     order = W.partitionBy(*keys).orderBy(ts)
