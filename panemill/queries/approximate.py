@@ -15,16 +15,16 @@ OVER = f"{SUB}, {TARGETS}, pairs AS (SELECT topic, start_ms, end_ms, value, b_st
 
 @query(f"WITH {OVER} SELECT topic, start_ms, b_start, b_end, round(value, 8) AS value FROM pairs")
 def interval_overlap_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(overlap_join(sub_results(spark, sf_dir), targets(spark), BUCKET), "value").select("topic", "start_ms", "b_start", "b_end", "value")
+    return rounded(overlap_join(sub_results(spark, sf_dir), targets(spark, sf_dir), BUCKET), "value").select("topic", "start_ms", "b_start", "b_end", "value")
 
 
 @query(f"WITH {OBS}, {TARGETS} SELECT event_id, b_start, b_end FROM obs, targets WHERE ms >= b_start AND ms < b_end")
 def observations_in_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return in_windows(obs(spark, sf_dir), targets(spark), BUCKET).select("event_id", "b_start", "b_end")
+    return in_windows(obs(spark, sf_dir), targets(spark, sf_dir), BUCKET).select("event_id", "b_start", "b_end")
 
 
 def _naive(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(A.approx_naive(sub_results(spark, sf_dir), targets(spark), BUCKET), "sum", "avg", "min", "max")
+    return rounded(A.approx_naive(sub_results(spark, sf_dir), targets(spark, sf_dir), BUCKET), "sum", "avg", "min", "max")
 
 
 for _agg in ("avg", "sum", "count", "min", "max"):
@@ -37,7 +37,7 @@ for _agg in ("avg", "sum", "count", "min", "max"):
 
 @query(f"WITH {OVER} SELECT topic, b_start, b_end, round(sum(value * w) / sum(w), 8) AS avg FROM pairs GROUP BY ALL")
 def approx_overlap_avg(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(A.approx_overlap_avg(sub_results(spark, sf_dir), targets(spark), BUCKET), "avg")
+    return rounded(A.approx_overlap_avg(sub_results(spark, sf_dir), targets(spark, sf_dir), BUCKET), "avg")
 
 
 SEGMENTS = f"""{OVER}, points AS (
@@ -48,7 +48,7 @@ covered AS (
 
 
 def _rate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(A.approx_rate(sub_results(spark, sf_dir), targets(spark), BUCKET), "sum", "segment_count", "min", "max")
+    return rounded(A.approx_rate(sub_results(spark, sf_dir), targets(spark, sf_dir), BUCKET), "sum", "segment_count", "min", "max")
 
 
 @query(f"WITH {SEGMENTS} SELECT topic, b_start, b_end, round(sum(value / (end_ms - start_ms) * (seg_end - seg_start)), 8) AS sum FROM covered GROUP BY ALL")
@@ -71,16 +71,16 @@ PAIR = f"""{SUB}, nb AS (
 p AS (SELECT *, (v1 + v2) / 2 AS vo, v1 * (end_ms - start_ms) + v2 * (e2 - s2) - (v1 + v2) / 2 * (end_ms - s2) AS num FROM nb WHERE s2 < end_ms)"""
 
 
-@query(f"WITH {PAIR} SELECT topic, start_ms, e2 AS end_ms, round(num / (e2 - start_ms), 8) AS avg, round(v1 + v2 - vo, 8) AS count, round(least(v1, v2, vo), 8) AS min, round(greatest(v1, v2, vo), 8) AS max FROM p")
+@query(f"WITH {PAIR} SELECT topic, start_ms, e2 AS end_ms, round(num / (e2 - start_ms), 8) AS avg, round(num, 2) AS sum, round(v1 + v2 - vo, 8) AS count, round(least(v1, v2, vo), 8) AS min, round(greatest(v1, v2, vo), 8) AS max FROM p")
 def approx_pair_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = A.approx_pair(A.neighbours(sub_results(spark, sf_dir)))
-    return rounded(rows, "avg", "count", "min", "max").select("topic", "start_ms", "end_ms", "avg", "count", "min", "max")
+    return rounded(rows, "avg", "count", "min", "max").withColumn("sum", F.round("sum", 2)).select("topic", "start_ms", "end_ms", "avg", "sum", "count", "min", "max")
 
 
 @query(f"WITH {SUB}, {TARGETS}, r AS (SELECT min(m) AS reached FROM (SELECT max(end_ms) AS m FROM sub WHERE topic <> 'view' OR start_ms < {ANCHOR + 120 * HOUR} GROUP BY topic)) SELECT b_start, b_end FROM targets, r WHERE b_end <= reached")
 def approx_ready_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sub_results(spark, sf_dir).where((F.col("topic") != "view") | (F.col("start_ms") < ANCHOR + 120 * HOUR))
-    return A.ready_windows(rows, targets(spark), 5)
+    return A.ready_windows(rows, targets(spark, sf_dir), 5)
 
 
 FEW = f"{SUB}, few AS (SELECT * FROM sub WHERE start_ms // {24 * HOUR} % 3 = 0), {TARGETS}"
@@ -96,7 +96,7 @@ latest AS (
 
 def _latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     few = sub_results(spark, sf_dir).where(F.floor(F.col("start_ms") / (24 * HOUR)) % 3 == 0)
-    return rounded(A.latest_value(few, targets(spark), BUCKET), "value")
+    return rounded(A.latest_value(few, targets(spark, sf_dir), BUCKET), "value")
 
 
 @query(f"WITH {LATEST} SELECT * FROM latest")
@@ -128,7 +128,11 @@ def message_kind_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.floor(F.col("start_ms") / PANE)
     json = F.to_json(F.struct(F.col("start_ms").alias("window_start"), F.col("end_ms").alias("window_end"), F.col("sum").alias("value")))
     rows = states(spark, sf_dir).select("stream", F.when(n % 4 == 0, F.col("sum").cast("string")).when(n % 7 == 0, "{").otherwise(json).alias("payload"))
-    kind = F.when(F.get_json_object("payload", "$.window_end").isNotNull(), "structured").when(F.col("payload").try_cast("double").isNotNull(), "legacy").otherwise("rejected")
-    return rows.groupBy("stream", kind.alias("kind")).agg(F.count(F.lit(1)).alias("messages"))
+    return rows.groupBy("stream", A.message_kind(F.col("payload")).alias("kind")).agg(F.count(F.lit(1)).alias("messages"))
 
 
+@query(f"WITH {SUB}, {TARGETS}, c AS (SELECT b_start AS since FROM targets ORDER BY b_start DESC LIMIT 1 OFFSET 100) SELECT topic, start_ms, end_ms FROM sub, c WHERE end_ms >= since")
+def buffer_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results that the last hundred targets can still use."""
+    at = targets(spark, sf_dir).orderBy(F.desc("b_start")).offset(100).first()["b_start"]
+    return A.prune(sub_results(spark, sf_dir), at).select("topic", "start_ms", "end_ms")

@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from panemill.functions.tables import shared_folder
 from panemill.functions.time import WindowSpec, align_start
 from panemill.operators import panes as P
 from panemill.operators import relational as R
 from panemill.operators import windows as W
 from panemill.queries.registry import ANCHOR, HOUR, OBS, PANE, PANES, REC, SPEC, WINS, obs, query, rounded, sliding, states
 from panemill.sources import observations as S
+from panemill.sources.logs import read_json_log
 
 KEEP = "round({0}, 8) AS {0}"
 PROPERTY, TS, VALUE = (S.PREDICATES[p] for p in ("property", "ts", "value"))
@@ -105,9 +107,35 @@ def publish_lag_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(publish_lag(rows, ["stream"]), "mean_lag_ms", "p95_lag_ms").withColumn("replay_speed", F.round("replay_speed", 9))
 
 
-@query()
+UNIFORM = "((CAST('0x' || substr(md5(concat_ws(':', 7, event_id, nth, '{0}')), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296.0)"
+
+
+@query(
+    f"""WITH {OBS}, n AS (SELECT *, [0.1, 0.5, 1.0][nth + 1]::DOUBLE AS sigma FROM obs, unnest(range(3)) AS t(nth))
+    SELECT event_id, sigma, round(value + sigma * sqrt(-2 * ln{UNIFORM.format('r')}) * cos(2 * pi() * {UNIFORM.format('a')}), 6) AS value FROM n"""
+)
 def noise_augment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.add_noise(obs(spark, sf_dir), "value", [0.1, 0.5, 1.0], seed=7).groupBy("stream", "sigma").agg(F.avg("value").alias("mean"), F.stddev("value").alias("spread"))
+    return S.add_noise(obs(spark, sf_dir), "value", [0.1, 0.5, 1.0], seed=7).select("event_id", "sigma", F.round("value", 6).alias("value"))
+
+
+@query(f"WITH {OBS} SELECT event_id, row_number() OVER (ORDER BY ms, event_id) AS place FROM obs")
+def sorted_at_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Observations written in the order of time, read again and numbered."""
+    path = shared_folder(spark, "sorted")
+    S.write_sorted(obs(spark, sf_dir), path)
+    return S.in_order(spark.read.parquet(path)).select("event_id", "place")
+
+
+@query(f"WITH {OBS} SELECT stream AS topic, event_id % 3 = 0 AS broken, count(*) AS rows, CAST(sum(CASE WHEN event_id % 3 = 0 THEN 0 ELSE ms END) AS BIGINT) AS total FROM obs GROUP BY ALL")
+def json_log_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Traffic logs written as lines of JSON, every third cut short, and read by their schema."""
+    path = shared_folder(spark, "log")
+    line = F.to_json(F.struct(F.col("ms").alias("timestamp"), F.col("stream").alias("topic"), F.lit(7).cast("long").alias("published_bytes")))
+    cut = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("{"), F.col("stream"))).otherwise(line)
+    obs(spark, sf_dir).select(cut.alias("value")).write.text(path)
+    good, bad = read_json_log(spark, path)
+    rows = good.select("topic", F.lit(False).alias("broken"), "timestamp").unionByName(bad.select(F.substring("value", 2, 99).alias("topic"), F.lit(True).alias("broken"), F.lit(0).cast("long").alias("timestamp")))
+    return rows.groupBy("topic", "broken").agg(F.count(F.lit(1)).alias("rows"), F.sum("timestamp").alias("total"))
 
 
 # --- B, C: relational
@@ -291,8 +319,14 @@ NUMBERED = f"CASE WHEN win_start >= {ANCHOR} THEN (win_start - {ANCHOR}) // {PAN
 @query(f"WITH {WINS}, g AS (SELECT stream, win_start, win_end, count(value) AS count, max(ms) - min(ms) AS span FROM wins GROUP BY ALL) SELECT stream, win_start, {NUMBERED} AS window_number, count, span >= {4 * HOUR} AND win_end - win_start = {SPEC.range_ms} AS comparable FROM g")
 def window_number_comparable(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = W.assign_windows(obs(spark, sf_dir), SPEC).groupBy("stream", "win_start", "win_end").agg(F.count("value").alias("count"), F.min("ms").alias("a"), F.max("ms").alias("b"))
-    covered = (F.col("b") - F.col("a") >= 4 * HOUR) & (F.col("win_end") - F.col("win_start") == SPEC.range_ms)
-    return W.numbered(rows, ANCHOR, SPEC).select("stream", "win_start", "window_number", "count", covered.alias("comparable"))
+    whole = W.comparable(*map(F.col, ("a", "b", "win_start", "win_end")), SPEC, 4 * HOUR)
+    return W.numbered(rows, ANCHOR, SPEC).select("stream", "win_start", "window_number", "count", whole.alias("comparable"))
+
+
+@query(f"WITH {WINS}, g AS (SELECT stream, win_start, {NUMBERED} AS window_number, count(value) AS count FROM wins GROUP BY ALL) SELECT * FROM g WHERE window_number <= 50")
+def window_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = W.window_agg(obs(spark, sf_dir), SPEC, ["count"])
+    return W.first_windows(W.numbered(rows, ANCHOR, SPEC), 50).select("stream", "win_start", "window_number", "count")
 
 
 @query(
@@ -313,23 +347,24 @@ def window_group_having(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- J1, J2: relation to stream
 
-SETS = f"{WINS}, w AS (SELECT DISTINCT win_start, win_end, sensor FROM wins WHERE stream = 'click')"
+SETS = f"{WINS}, w AS (SELECT DISTINCT stream, win_start, win_end, sensor FROM wins)"
 
 
 def _members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return W.assign_windows(obs(spark, sf_dir).where("stream = 'click'"), SPEC).select("win_start", "win_end", "sensor").distinct()
+    return W.assign_windows(obs(spark, sf_dir), SPEC).select("stream", "win_start", "win_end", "sensor").distinct()
 
 
+_SAME = "x.stream = w.stream AND x.sensor = w.sensor"
 for _mode, _sql in {
     "rstream": f"WITH {SETS} SELECT * FROM w",
-    "istream": f"WITH {SETS} SELECT * FROM w WHERE NOT EXISTS (SELECT 1 FROM w p WHERE p.win_start = w.win_start - {PANE} AND p.sensor = w.sensor)",
-    "dstream": f"""WITH {SETS} SELECT win_start + {PANE} AS win_start, win_end + {PANE} AS win_end, sensor FROM w WHERE NOT EXISTS (SELECT 1 FROM w n WHERE n.win_start = w.win_start + {PANE} AND n.sensor = w.sensor)
-        AND EXISTS (SELECT 1 FROM w n WHERE n.win_start = w.win_start + {PANE})""",
+    "istream": f"WITH {SETS} SELECT * FROM w WHERE NOT EXISTS (SELECT 1 FROM w x WHERE x.win_start = w.win_start - {PANE} AND {_SAME})",
+    "dstream": f"""WITH {SETS} SELECT stream, win_start + {PANE} AS win_start, win_end + {PANE} AS win_end, sensor FROM w WHERE NOT EXISTS (SELECT 1 FROM w x WHERE x.win_start = w.win_start + {PANE} AND {_SAME})
+        AND EXISTS (SELECT 1 FROM w x WHERE x.win_start = w.win_start + {PANE})""",
 }.items():
 
     @query(_sql, name=_mode)
     def _r2s(spark: SparkSession, sf_dir: str, mode: str = _mode) -> DataFrame:
-        return W.relation_to_stream(_members(spark, sf_dir), SPEC, mode, ["sensor"]).select("win_start", "win_end", "sensor")
+        return W.relation_to_stream(_members(spark, sf_dir), SPEC, mode, ["stream", "sensor"]).select("stream", "win_start", "win_end", "sensor")
 
 
 # --- F: panes
@@ -344,6 +379,19 @@ def chunk_size_gcd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("g").agg(F.collect_set("x").alias("xs")).select("g", gcd_column(F.col("xs")).alias("pane_ms"))
 
 
+@query(
+    """WITH x AS (SELECT DISTINCT o_orderkey % 50 AS g, (1 + o_orderkey % 6) * 3600000 AS x FROM orders), l AS (SELECT g, list_sort(list(x)) AS xs FROM x GROUP BY g)
+    SELECT g, CAST(list_reduce(xs, lambda a, b: gcd(a, b)) AS BIGINT) AS step_ms, CAST(list_reduce(xs, lambda a, b: lcm(a, b)) AS BIGINT) AS lcm_ms, CAST(list_max(xs) AS BIGINT) AS width_ms FROM l"""
+)
+def chunk_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of groups of ranges: the pane step, the time after which their windows begin together, and the widest range."""
+    from panemill.plans.reuse import gcd_column, lcm_column
+
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    rows = orders.select((F.col("o_orderkey") % 50).alias("g"), ((1 + F.col("o_orderkey") % 6) * HOUR).alias("x")).groupBy("g").agg(F.collect_set("x").alias("xs"))  # six values at most
+    return rows.select("g", gcd_column(F.col("xs")).alias("step_ms"), lcm_column(F.col("xs")).alias("lcm_ms"), F.greatest(gcd_column(F.col("xs")), F.array_max("xs")).alias("width_ms"))
+
+
 @query(f"WITH {PANES} SELECT stream, start_ms, end_ms, count, round(sum, 8) AS sum, min, max FROM panes")
 def chunk_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(states(spark, sf_dir), "sum")
@@ -372,6 +420,29 @@ def chunk_to_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.chunks_to_windows(states(spark, sf_dir), SPEC, PANE).select("stream", "start_ms", "win_start", "win_end")
 
 
+GAPS = f"""{PANES}, gappy AS (
+    SELECT stream, start_ms, CASE WHEN start_ms // {PANE} % 13 = 0 THEN 0 WHEN start_ms // {PANE} % 11 = 0 THEN NULL ELSE count END AS count,
+           CASE WHEN start_ms // {PANE} % 13 = 0 OR start_ms // {PANE} % 7 = 0 THEN NULL ELSE sum END AS sum,
+           CASE WHEN start_ms // {PANE} % 13 <> 0 AND start_ms // {PANE} % 14 = 0 THEN sum / count END AS avg,
+           CASE WHEN start_ms // {PANE} % 13 <> 0 AND start_ms // {PANE} % 9 > 0 THEN min END AS min, CASE WHEN start_ms // {PANE} % 13 <> 0 THEN max END AS max FROM panes),
+filled AS (SELECT stream, start_ms, count, CASE WHEN sum IS NULL THEN avg * count ELSE sum END AS sum, min, max, count IS NOT DISTINCT FROM 0 AS empty FROM gappy)"""
+_WHOLE = "CASE WHEN bool_or({0} IS NULL AND NOT empty) THEN NULL ELSE {1} END"
+
+
+@query(
+    f"""WITH {GAPS}, m AS (SELECT stream, win_start, win_end, count(*) AS panes, CASE WHEN bool_or(count IS NULL) THEN NULL ELSE CAST(sum(count) AS BIGINT) END AS count,
+        {_WHOLE.format('sum', 'sum(sum)')} AS sum, {_WHOLE.format('min', 'min(min)')} AS min, {_WHOLE.format('max', 'max(max)')} AS max FROM ({sliding('filled', 'start_ms')}) GROUP BY ALL)
+    SELECT stream, win_start, win_end, panes, count, round(sum, 8) AS sum, min, max, round(CASE WHEN count > 0 THEN sum / count END, 8) AS avg FROM m"""
+)
+def recompose_incomplete_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows over states that lack sums, counts or extremes: such a state makes null what it can't support, unless it is empty or has an average."""
+    n = F.floor(F.col("start_ms") / PANE)
+    rows = states(spark, sf_dir).withColumn("avg", F.when((n % 13 != 0) & (n % 14 == 0), F.col("sum") / F.col("count")))
+    rows = rows.withColumn("sum", F.when((n % 13 != 0) & (n % 7 != 0), F.col("sum"))).withColumn("min", F.when((n % 13 != 0) & (n % 9 > 0), F.col("min"))).withColumn("max", F.when(n % 13 != 0, F.col("max")))
+    rows = rows.withColumn("count", F.when(n % 13 == 0, F.lit(0).cast("long")).when(n % 11 != 0, F.col("count")))
+    return rounded(P.recompose(rows, SPEC, PANE), "sum", "avg")
+
+
 KEYS = f"list_transform(range(win_start, win_end, {PANE}), lambda s: s || ':' || (s + {PANE}))"
 
 

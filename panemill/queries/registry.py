@@ -73,10 +73,11 @@ REC = f"""{PANES}, rec AS (
            sum(sum) / sum(count) AS avg, avg(sum / count) AS mean_of_panes
     FROM ({sliding('panes', 'start_ms')}) GROUP BY ALL)"""
 SUB = f"{REC}, sub AS (SELECT stream AS topic, win_start AS start_ms, win_end AS end_ms, avg AS value FROM rec)"
-#: Targets of the approximate operators: windows of 5 hours each 5 hours over ten days.
-TARGETS = f"targets AS (SELECT t AS b_start, t + {5 * HOUR} AS b_end FROM unnest(range({ANCHOR} + {HOUR}, {ANCHOR} + {241 * HOUR}, {5 * HOUR})) AS u(t))"
+#: Targets of the approximate operators: windows of 5 hours side by side, from the first event to the last.
+TARGETS = f"""targets AS (SELECT t AS b_start, t + {5 * HOUR} AS b_end
+    FROM (SELECT min(ms) // {5 * HOUR} * {5 * HOUR} - {4 * HOUR} AS lo, max(ms) AS hi FROM obs), unnest(range(lo, hi + 1, {5 * HOUR})) AS u(t))"""
 
 
-def targets(spark: SparkSession) -> DataFrame:
-    rows = spark.range(ANCHOR + HOUR, ANCHOR + 241 * HOUR, 5 * HOUR)
-    return rows.select(F.col("id").alias("b_start"), (F.col("id") + 5 * HOUR).alias("b_end"))
+def targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    span = obs(spark, sf_dir).agg((F.floor(F.min("ms") / (5 * HOUR)) * (5 * HOUR) - 4 * HOUR).alias("lo"), F.max("ms").alias("hi")).where("lo is not null")
+    return span.select(F.explode(F.sequence("lo", "hi", F.lit(5 * HOUR))).alias("b_start")).withColumn("b_end", F.col("b_start") + 5 * HOUR)

@@ -7,38 +7,55 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from panemill.functions.time import WindowSpec
 from panemill.operators import panes as P
+from panemill.operators.approx import approx_overlap_avg
 from panemill.operators.relational import set_difference
+from panemill.operators.windows import first_windows, window_agg
 from panemill.plans import reuse
 from panemill.queries.core import _thin, THIN
-from panemill.queries.registry import ANCHOR, OBS, PANE, PANES, REC, SPEC, obs, query, rounded, sliding, states
+from panemill.queries.registry import ANCHOR, HOUR, OBS, PANE, PANES, REC, SPEC, obs, query, rounded, sliding, states
 from panemill.reports import metrics as M
 from panemill.reports import signature as G
 from panemill.reports import traffic as T
 
 KEYS = ["stream", "win_start"]
 DELAY = {"fetching": (800, 37, 500), "chunked": (230, 29, 150), "approximation": (270, 13, 200)}
+SUBSPEC = WindowSpec(4 * HOUR, PANE)
 _PARTS = " UNION ALL ".join(
-    f"""SELECT '{a}' AS approach, stream, n AS window_number, win_start, win_end, round({'mean_of_panes' if a == 'approximation' else 'avg'}, 8) AS value,
+    f"""SELECT '{a}' AS approach, stream, n AS window_number, win_start, win_end, round({a}, 8) AS value,
     {ANCHOR} AS registered_at, win_end + {base} + n * {k} % {m} AS emitted_at FROM numbered {'WHERE n % 11 <> 0' if a == 'approximation' else ''}"""
     for a, (base, k, m) in DELAY.items()
 )
-RESULTS = f"{REC}, numbered AS (SELECT *, (win_start - {ANCHOR}) // {PANE} + 1 AS n FROM rec WHERE win_start >= {ANCHOR} AND panes = 3), results AS ({_PARTS})"
+#: From raw rows, from panes, and from the averages of narrower windows weighted by their overlap.
+RESULTS = f"""{REC}, raw AS (SELECT stream, win_start, avg(value) AS fetching FROM ({sliding('obs')}) GROUP BY ALL),
+narrow AS (SELECT stream, win_start, win_end, avg(value) AS v FROM ({sliding('obs', 'ms', SUBSPEC.range_ms, SUBSPEC.step_ms)}) GROUP BY ALL),
+near AS (SELECT r.stream, r.win_start, sum(v * (least(s.win_end, r.win_end) - greatest(s.win_start, r.win_start))) / sum(least(s.win_end, r.win_end) - greatest(s.win_start, r.win_start)) AS approximation
+    FROM rec r JOIN narrow s ON s.stream = r.stream AND s.win_end > r.win_start AND s.win_start < r.win_end GROUP BY ALL),
+numbered AS (SELECT rec.*, rec.avg AS chunked, fetching, approximation, (win_start - {ANCHOR}) // {PANE} + 1 AS n FROM rec JOIN raw USING (stream, win_start) JOIN near USING (stream, win_start) WHERE win_start >= {ANCHOR} AND panes = 3),
+results AS ({_PARTS})"""
 
 
 def results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Result rows of three approaches, derived from the events: value, registration and emission times of each window."""
-    rows = states(spark, sf_dir).withColumn("pane_avg", F.col("sum") / F.col("count"))
-    rows = P.chunks_to_windows(rows, SPEC, PANE, ANCHOR).groupBy("stream", "win_start", "win_end")
-    rows = rows.agg(F.count(F.lit(1)).alias("panes"), (F.sum("sum") / F.sum("count")).alias("avg"), F.avg("pane_avg").alias("mean_of_panes")).where("panes = 3")
+    """Result rows of three approaches: value, registration and emission times of each window.
+
+    fetching aggregates raw rows, chunked merges pane states, approximation weighs the averages of four-hour windows by their overlap.
+    """
+    panes = states(spark, sf_dir)
+    rows = P.recompose(panes, SPEC, PANE, require_complete=True).where(F.col("win_start") >= ANCHOR).select("stream", "win_start", "win_end", F.col("avg").alias("chunked"))
+    raw = window_agg(obs(spark, sf_dir), SPEC, [("avg", "fetching")]).drop("win_end")
+    narrow = P.recompose(panes, SUBSPEC, PANE).select("stream", F.col("win_start").alias("start_ms"), F.col("win_end").alias("end_ms"), F.col("avg").alias("value"))
+    asked = rows.select(F.col("win_start").alias("b_start"), F.col("win_end").alias("b_end")).distinct()
+    near = approx_overlap_avg(narrow, asked, 6 * HOUR, ["stream"]).select("stream", F.col("b_start").alias("win_start"), F.col("avg").alias("approximation"))
+    rows = rows.join(raw, KEYS).join(near, KEYS)
     n = ((F.col("win_start") - ANCHOR) / PANE).cast("long") + 1
     rows = rows.withColumn("window_number", n).withColumn("registered_at", F.lit(ANCHOR))
     parts = []
     for a, (base, k, m) in DELAY.items():
-        part = rows.where(n % 11 != 0) if a == "approximation" else rows
-        value = F.round("mean_of_panes" if a == "approximation" else "avg", 8)
-        parts.append(part.select(F.lit(a).alias("approach"), "stream", "window_number", "win_start", "win_end", value.alias("value"), "registered_at", (F.col("win_end") + base + n * k % m).alias("emitted_at")))
-    return reduce(DataFrame.unionByName, parts)
+        part = F.struct(F.lit(a).alias("approach"), F.round(a, 8).alias("value"), (F.col("win_end") + base + n * k % m).alias("emitted_at"))
+        parts.append(F.when(n % 11 != 0, part) if a == "approximation" else part)
+    rows = rows.withColumn("part", F.explode(F.array_compact(F.array(*parts))))
+    return rows.select("part.approach", "stream", "window_number", "win_start", "win_end", "part.value", "registered_at", "part.emitted_at")
 
 
 def _of(spark: SparkSession, sf_dir: str, approach: str) -> DataFrame:
@@ -199,14 +216,38 @@ def iteration_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(out, "success_rate", "latency_mean", "latency_std", "value_mean", "value_std")
 
 
+for _kind, _sign, _arg in (("saving", "", "max"), ("overhead", "-", "min")):
+
+    @query(
+        f"""WITH {RESULTS}, l AS (SELECT *, {LATENCY} AS latency, emitted_at - registered_at AS age FROM results), p AS (
+        SELECT a.approach, {_sign}(1 - a.latency / b.latency) AS x, {_sign}(1 - a.age / b.age) AS y FROM l a JOIN l b ON b.approach = 'fetching' AND a.stream = b.stream AND a.win_start = b.win_start WHERE a.approach <> 'fetching'),
+        s AS (SELECT approach, avg(x) AS x, stddev_pop(x) AS xs, avg(y) AS y, stddev_pop(y) AS ys FROM p GROUP BY approach)
+        SELECT approach, round(x, 8) AS latency_{_kind}, round(xs, 8) AS latency_spread, round(y, 8) AS age_{_kind}, round(ys, 8) AS age_spread, round((x + y) / 2, 8) AS score, approach = (SELECT arg_{_arg}(approach, x + y) FROM s) AS best FROM s""",
+        name=f"{_kind}_ratio",
+    )
+    def _ratio(spark: SparkSession, sf_dir: str, kind: str = _kind) -> DataFrame:
+        rows = results(spark, sf_dir).withColumn("latency", F.expr(LATENCY)).withColumn("age", F.col("emitted_at") - F.col("registered_at"))
+        out = M.ratio_to(rows, "fetching", ["latency", "age"], KEYS, kind)
+        return rounded(out, f"latency_{kind}", "latency_spread", f"age_{kind}", "age_spread", "score")
+
+
+TIMES = f"r AS (SELECT *, {ANCHOR} + window_number * 11 AS first_data_at, win_end + window_number % 17 AS last_pane_at, win_end + 20 + window_number % 29 AS triggered_at FROM results)"
+
+
 @query(
-    f"""WITH {RESULTS}, l AS (SELECT *, {LATENCY} AS latency FROM results), s AS (
-    SELECT a.approach, avg(1 - a.latency / b.latency) AS saving, stddev_pop(1 - a.latency / b.latency) AS spread FROM l a JOIN l b ON b.approach = 'fetching' AND a.stream = b.stream AND a.win_start = b.win_start WHERE a.approach <> 'fetching' GROUP BY a.approach)
-    SELECT approach, round(saving, 8) AS saving, round(spread, 8) AS spread, approach = (SELECT arg_max(approach, saving) FROM s) AS best FROM s"""
+    f"""WITH {RESULTS}, {TIMES} SELECT approach, stream, window_number, emitted_at - (first_data_at + {SPEC.range_ms} + (window_number - 1) * {PANE}) AS after_data_close, triggered_at - last_pane_at AS interval_wait,
+        emitted_at - triggered_at AS computation FROM r"""
 )
-def saving_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = results(spark, sf_dir).withColumn("latency", F.expr(LATENCY))
-    return rounded(M.ratio_to(rows, "fetching", "latency", KEYS), "saving", "spread")
+def emission_latencies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("window_number")
+    rows = results(spark, sf_dir).withColumn("first_data_at", ANCHOR + n * 11).withColumn("last_pane_at", F.col("win_end") + n % 17).withColumn("triggered_at", F.col("win_end") + 20 + n % 29)
+    return M.emission_latencies(rows, SPEC).select("approach", "stream", "window_number", "after_data_close", "interval_wait", "computation")
+
+
+@query(f"WITH {RESULTS} SELECT approach, stream, window_number, round(exp(CASE WHEN window_number % 2 = 0 THEN 1 ELSE -1 END * 0.5 * window_number / 100), 8) AS expected FROM results")
+def expected_case_value(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("window_number")
+    return results(spark, sf_dir).select("approach", "stream", "window_number", F.round(M.expected_value(F.lit(0.5), n / 100, n % 2 == 0), 8).alias("expected"))
 
 
 @query(f"WITH {RESULTS}, n AS (SELECT DISTINCT window_number FROM results), a AS (SELECT DISTINCT approach FROM results) SELECT approach, window_number FROM a, n EXCEPT SELECT approach, window_number FROM results")
@@ -234,12 +275,14 @@ def chunk_states_consumed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {THIN}, a AS (SELECT DISTINCT stream, (start_ms - {ANCHOR}) // {PANE} + 1 AS n FROM thin), e AS (SELECT stream, n FROM (SELECT DISTINCT stream FROM thin), unnest(range(10, 301)) AS t(n))
+    f"""WITH {THIN}, a AS (SELECT DISTINCT stream, (start_ms - {ANCHOR}) // {PANE} + 1 AS n FROM thin), e AS (SELECT stream, n FROM (SELECT DISTINCT stream FROM thin), (SELECT max(n) AS top FROM a), unnest(range(10, top + 11)) AS t(n))
     SELECT coalesce(a.stream, e.stream) AS stream, coalesce(a.n, e.n) AS n, CASE WHEN a.n IS NULL THEN 'missing' WHEN e.n IS NULL THEN 'extra' ELSE 'matched' END AS status FROM a FULL JOIN e ON a.stream = e.stream AND a.n = e.n"""
 )
 def window_set_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows that are there against those expected: from the tenth to ten beyond the last."""
     actual = _thin(spark, sf_dir).select("stream", (((F.col("start_ms") - ANCHOR) / PANE).cast("long") + 1).alias("n"))
-    expected = actual.select("stream").distinct().select("stream", F.explode(F.sequence(F.lit(10).cast("long"), F.lit(300).cast("long"))).alias("n"))
+    top = actual.agg(F.max("n").alias("top"))
+    expected = actual.select("stream").distinct().join(F.broadcast(top)).select("stream", F.explode(F.sequence(F.lit(10).cast("long"), F.col("top") + 10)).alias("n"))
     return set_difference(actual, expected, ["stream", "n"])
 
 
@@ -280,12 +323,12 @@ def head_tail_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     f"""WITH {OBS}, r AS (SELECT stream, sensor, ms, value, row_number() OVER (PARTITION BY stream, sensor ORDER BY ms, event_id) AS place, count(*) OVER (PARTITION BY stream, sensor) AS n FROM obs),
     p AS (SELECT stream, sensor, max(value) FILTER (WHERE place = 1) AS start_value, max(value) FILTER (WHERE place = n) AS end_value, min(value) AS min, max(value) AS max, max(ms) - min(ms) AS duration_ms, max(n) AS rows,
-        max(value) FILTER (WHERE place = least(n, 10)) AS tenth, max(value) FILTER (WHERE place = (n - 1) // 4 + 1) AS q25, max(value) FILTER (WHERE place = (n - 1) // 2 + 1) AS q50, max(value) FILTER (WHERE place = (n - 1) * 3 // 4 + 1) AS q75 FROM r GROUP BY ALL)
+        max(value) FILTER (WHERE place = least(n, 10)) AS v10, max(value) FILTER (WHERE place = least(n, 50)) AS v50, max(value) FILTER (WHERE place = least(n, 100)) AS v100, max(value) FILTER (WHERE place = (n - 1) // 4 + 1) AS q25, max(value) FILTER (WHERE place = (n - 1) // 2 + 1) AS q50, max(value) FILTER (WHERE place = (n - 1) * 3 // 4 + 1) AS q75 FROM r GROUP BY ALL)
     SELECT stream, sensor, start_value, end_value, min, max, duration_ms, rows, q25, q50, q75, round(end_value - start_value, 8) AS change, round((end_value - start_value) / start_value * 100, 8) AS change_pct,
-           round(CASE WHEN rows > 1 THEN duration_ms / (rows - 1) END, 8) AS mean_interval_ms, round(tenth - start_value, 8) AS change_first_10 FROM p"""
+           round(CASE WHEN rows > 1 THEN duration_ms / (rows - 1) END, 8) AS mean_interval_ms, round(v10 - start_value, 8) AS change_first_10, round(v50 - start_value, 8) AS change_first_50, round(v100 - start_value, 8) AS change_first_100 FROM p"""
 )
 def series_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(M.series_profile(obs(spark, sf_dir), ["stream", "sensor"]), "change", "change_pct", "mean_interval_ms", "change_first_10")
+    return rounded(M.series_profile(obs(spark, sf_dir), ["stream", "sensor"]), "change", "change_pct", "mean_interval_ms", "change_first_10", "change_first_50", "change_first_100")
 
 
 @query(
@@ -293,7 +336,8 @@ def series_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT approach, stream, CASE WHEN bool_and(d = 0) THEN 'flat' WHEN bool_and(d >= 0) THEN 'increasing' WHEN bool_and(d <= 0) THEN 'decreasing' ELSE 'mixed' END AS trend, round(regr_slope(value, window_number), 8) AS slope FROM d GROUP BY ALL"""
 )
 def trend_descriptor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = results(spark, sf_dir).where("window_number <= 12 or approach <> 'chunked'")
+    rows = results(spark, sf_dir)
+    rows = first_windows(rows.where("approach = 'chunked'"), 12).unionByName(rows.where("approach <> 'chunked'"))
     return rounded(M.trend(rows, "window_number", "value", ["approach", "stream"]), "slope")
 
 
@@ -319,6 +363,18 @@ def resource_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(T.resource_summary(samples(spark, sf_dir)), "mean_cpu", "mean_rss")
 
 
+@query(
+    f"""WITH {OBS} SELECT sensor AS run, event_id % 5 AS pid, count(*) AS samples, round((max(ms) - min(ms)) / 1000, 8) AS wall_s, CAST(sum(length(props)) AS DOUBLE) AS cpu_seconds, round(avg(5.0 + event_id % 40), 8) AS mean_cpu,
+        CAST(max(5.0 + event_id % 40) AS DOUBLE) AS peak_cpu, round(avg(1000000 + event_id % 977 * 1000), 8) AS mean_rss, max(1000000 + event_id % 977 * 1000) AS peak_rss FROM obs GROUP BY ALL"""
+)
+def process_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("event_id")
+    rows = obs(spark, sf_dir).select(
+        F.col("sensor").alias("run"), (n % 5).alias("pid"), F.col("ms").alias("timestamp"), F.length("props").cast("double").alias("cpu_seconds"), (5.0 + n % 40).alias("cpu_pct"), (1_000_000 + n % 977 * 1000).alias("rss_bytes")
+    )
+    return rounded(T.process_summary(rows), "wall_s", "mean_cpu", "mean_rss")
+
+
 @query(f"WITH {SAMPLES}, d AS (SELECT run, tree_cpu_seconds - lag(tree_cpu_seconds) OVER (PARTITION BY run ORDER BY timestamp) AS delta FROM samples) SELECT run, sum(greatest(delta, 0)) AS growth, count(*) FILTER (WHERE delta < 0) AS resets FROM d GROUP BY run")
 def counter_delta_with_resets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.counter_delta(samples(spark, sf_dir), "timestamp", "tree_cpu_seconds", ["run"])
@@ -338,16 +394,19 @@ def counter_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.counter_rollup(obs(spark, sf_dir).select("stream", counters.alias("counters")), ["stream"])
 
 
-TOPIC = "CASE event_id % 4 WHEN 0 THEN 'out/final/' WHEN 1 THEN 'chunk/' WHEN 2 THEN 'sub/window/' ELSE 'raw/' END || stream"
-APPROACH = "CASE WHEN sensor % 3 = 0 THEN 'fetching' WHEN sensor % 3 = 1 THEN 'chunked' ELSE 'approximation' END"
-KIND = "CASE WHEN lower(topic) LIKE '%final%' THEN 'final_result' WHEN lower(topic) LIKE '%chunk%' THEN 'partial_state' WHEN lower(topic) LIKE '%window%' THEN 'window_result' ELSE 'raw_observation' END"
-TRAFFIC = f"""{OBS}, traffic AS (SELECT event_id, ms AS timestamp, {APPROACH} AS approach, {TOPIC} AS topic, CAST(length(props) + 40 AS BIGINT) AS published_bytes FROM obs),
-classified AS (SELECT *, {KIND} AS message_type, CASE approach WHEN 'fetching' THEN 3 WHEN 'chunked' THEN 2 ELSE 1 END AS subscriber_count FROM traffic)"""
+TOPIC = "CASE event_id % 6 WHEN 0 THEN 'output/' WHEN 1 THEN 'chunked/' WHEN 2 THEN 'sub/' WHEN 3 THEN 'in/wearableX/' WHEN 4 THEN 'control/' ELSE 'in/smartphoneX/' END || stream"
+APPROACH = "CASE WHEN sensor % 4 = 0 THEN 'fetching' WHEN sensor % 4 = 1 THEN 'chunked' WHEN sensor % 4 = 2 THEN 'naive_distributed' ELSE 'approximation' END"
+#: Some messages tell their kind themselves.
+GIVEN = "CASE WHEN event_id % 18 = 2 THEN 'reusable_result' WHEN event_id % 18 = 8 THEN 'subquery_result' END"
+TRAFFIC = f"""{OBS}, traffic AS (SELECT event_id, ms AS timestamp, {APPROACH} AS approach, {TOPIC} AS topic, CAST(length(props) + 40 AS BIGINT) AS published_bytes,
+    coalesce({GIVEN}, ['superquery_result', 'chunk_result', 'unknown', 'raw_input_stream', 'control', 'raw_input_stream'][event_id % 6 + 1]) AS message_type FROM obs),
+classified AS (SELECT *, CASE message_type WHEN 'raw_input_stream' THEN CASE WHEN approach IN ('chunked', 'naive_distributed') THEN 2 ELSE 1 END WHEN 'reusable_result' THEN CASE WHEN approach = 'chunked' THEN 0 ELSE 1 END
+    WHEN 'control' THEN CASE WHEN approach = 'fetching' THEN 1 ELSE 0 END ELSE 1 END AS subscriber_count FROM traffic)"""
 
 
 def classified(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = obs(spark, sf_dir).select("event_id", F.col("ms").alias("timestamp"), F.expr(APPROACH).alias("approach"), F.expr(TOPIC).alias("topic"), (F.length("props") + 40).cast("long").alias("published_bytes"))
-    return T.classify(rows, spark.createDataFrame([("fetching", 3), ("chunked", 2)], "approach string, subscriber_count long"))
+    rows = obs(spark, sf_dir).select("event_id", F.col("ms").alias("timestamp"), F.expr(APPROACH).alias("approach"), F.expr(TOPIC).alias("topic"), (F.length("props") + 40).cast("long").alias("published_bytes"), F.expr(GIVEN).alias("message_type"))
+    return T.classify(rows)
 
 
 @query(f"WITH {TRAFFIC} SELECT approach, message_type, count(*) AS messages, CAST(sum(published_bytes) AS BIGINT) AS bytes, CAST(sum(published_bytes * subscriber_count) AS BIGINT) AS delivered FROM classified GROUP BY ALL")
@@ -360,8 +419,8 @@ _SUM = "CAST(coalesce(sum(published_bytes) FILTER (WHERE NOT warmup AND message_
 
 
 @query(
-    f"""WITH {TRAFFIC}, c AS (SELECT approach, min(timestamp) AS cut FROM classified WHERE message_type = 'final_result' GROUP BY approach), w AS (SELECT k.*, timestamp < cut AS warmup FROM classified k JOIN c USING (approach))
-    SELECT approach, count(*) FILTER (WHERE warmup) AS warmup_messages, {', '.join(_SUM.format(k) for k in ('raw_observation', 'partial_state', 'final_result'))},
+    f"""WITH {TRAFFIC}, c AS (SELECT approach, min(timestamp) AS cut FROM classified WHERE message_type = 'superquery_result' GROUP BY approach), w AS (SELECT k.*, timestamp < cut AS warmup FROM classified k JOIN c USING (approach))
+    SELECT approach, count(*) FILTER (WHERE warmup) AS warmup_messages, {', '.join(_SUM.format(k) for k in ('raw_input_stream', 'chunk_result', 'superquery_result'))},
            CAST(sum(published_bytes * subscriber_count) FILTER (WHERE NOT warmup) AS BIGINT) AS delivered_bytes,
            round(sum(published_bytes) FILTER (WHERE NOT warmup) / 1024 / ((max(timestamp) FILTER (WHERE NOT warmup) - min(timestamp) FILTER (WHERE NOT warmup)) / 1000), 9) AS kb_per_s FROM w GROUP BY approach"""
 )
@@ -412,29 +471,47 @@ def stream_signature(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _signature(spark, sf_dir)
 
 
-KIND_OF = "CASE WHEN variance IS NULL THEN 'unknown' WHEN variance < 10 AND entropy < 2 THEN 'stable' WHEN variance > 50 THEN 'volatile' WHEN abs(skewness) > 1 THEN 'irregular' ELSE 'mixed' END"
+#: The discrete Fourier transform of each window by its definition.
+SPECTRAL = f"""{OBS}, y AS (SELECT stream, ms // 86400000 * 86400000 AS win_start, value, row_number() OVER o - 1 AS j, count(*) OVER p AS n, value - avg(value) OVER p AS v FROM obs WHERE value IS NOT NULL
+    WINDOW o AS (PARTITION BY stream, ms // 86400000 ORDER BY ms, event_id), p AS (PARTITION BY stream, ms // 86400000)),
+power AS (SELECT stream, win_start, n, k, pow(sum(v * cos(2 * pi() * (k * j % n) / n)), 2) + pow(sum(v * sin(2 * pi() * (k * j % n) / n)), 2) AS p FROM y, unnest(range(1, n // 2 + 1)) AS t(k) WHERE n >= 5 GROUP BY ALL),
+shares AS (SELECT stream, win_start, p / sum(p) OVER (PARTITION BY stream, win_start) AS s FROM power),
+spectral AS (SELECT stream, win_start, round(-sum(CASE WHEN s > 0 THEN s * log2(s) ELSE 0 END), 6) AS spectral_entropy FROM shares GROUP BY ALL)"""
+KIND_OF = "CASE WHEN variance IS NULL THEN 'unknown' WHEN variance < 10 AND entropy < 2 THEN 'stable' WHEN variance > 50 THEN 'volatile' WHEN abs(skewness) > 1 THEN 'irregular' WHEN spectral_entropy > 2 THEN 'periodic' ELSE 'mixed' END"
+
 
+def _whole_signature(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spectral = G.spectral_entropy(obs(spark, sf_dir), 86_400_000).withColumn("spectral_entropy", F.round("spectral_entropy", 6))
+    return _signature(spark, sf_dir).join(spectral, ["stream", "win_start"], "left")
 
-@query(f"WITH {SIGN} SELECT stream, win_start, {KIND_OF} AS stream_type FROM sig")
+
+@query(f"WITH {SIGN}, {SPECTRAL.replace(OBS + ', ', '')} SELECT stream, win_start, {KIND_OF} AS stream_type FROM sig LEFT JOIN spectral USING (stream, win_start)")
 def stream_type(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _signature(spark, sf_dir).select("stream", "win_start", G.stream_type().alias("stream_type"))
+    return _whole_signature(spark, sf_dir).select("stream", "win_start", G.stream_type(F.col("spectral_entropy")).alias("stream_type"))
+
 
+@query(f"WITH {SIGN}, {SPECTRAL.replace(OBS + ', ', '')} SELECT stream, win_start, {KIND_OF} AS stream_type FROM (SELECT * REPLACE (variance / 100 AS variance, skewness / 3 AS skewness) FROM sig) LEFT JOIN spectral USING (stream, win_start)")
+def stream_type_of_scaled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same on values a tenth as wide and a third as skewed, which reaches the later branches."""
+    rows = _whole_signature(spark, sf_dir).withColumn("variance", F.col("variance") / 100).withColumn("skewness", F.col("skewness") / 3)
+    return rows.select("stream", "win_start", G.stream_type(F.col("spectral_entropy")).alias("stream_type"))
 
-@query()
+
+@query(f"WITH {SPECTRAL} SELECT stream, win_start, spectral_entropy FROM spectral UNION ALL SELECT DISTINCT stream, win_start, NULL FROM y WHERE n < 5")
 def spectral_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.spectral_entropy(obs(spark, sf_dir), 86_400_000)
+    return G.spectral_entropy(obs(spark, sf_dir), 86_400_000).withColumn("spectral_entropy", F.round("spectral_entropy", 6))
 
 
-#: The published bounds, moved to the range of the events' values.
-CONFIGS = [("approximation", None, 1000.0, 4.0, None, 1), ("fetching", 1700.0, None, None, None, 2), ("chunked", None, 1650.0, None, 40, 3)]
+#: The standard bounds, moved to the range of the events' values.
+CONFIGS = [("approximation", None, 1000.0, 4.0, 4.8, None, 1), ("fetching", 1700.0, None, None, None, None, 2), ("chunked", None, 1650.0, None, None, 40, 3)]
 _ROWS = ", ".join("(" + ", ".join("NULL" if x is None else repr(x) for x in row) + ")" for row in CONFIGS)
-RECOMMEND = f"""{SIGN}, configs(approach, variance_lo, variance_hi, entropy_hi, n_lo, priority) AS (VALUES {_ROWS}),
-rec AS (SELECT stream, win_start, arg_min(approach, priority) AS approach, round(1 - 0.25 * (min(priority) - 1), 6) AS confidence FROM sig, configs
-    WHERE variance IS NOT NULL AND coalesce(variance >= variance_lo, true) AND coalesce(variance <= variance_hi, true) AND coalesce(entropy <= entropy_hi, true) AND coalesce(n >= n_lo, true) GROUP BY ALL)"""
+RECOMMEND = f"""{SIGN}, {SPECTRAL.replace(OBS + ', ', '')}, configs(approach, variance_lo, variance_hi, entropy_hi, spectral_hi, n_lo, priority) AS (VALUES {_ROWS}),
+rec AS (SELECT stream, win_start, arg_min(approach, priority) AS approach, round(1 - 0.25 * (min(priority) - 1), 6) AS confidence FROM sig JOIN spectral USING (stream, win_start), configs
+    WHERE variance IS NOT NULL AND coalesce(variance >= variance_lo, true) AND coalesce(variance <= variance_hi, true) AND coalesce(entropy <= entropy_hi, true) AND coalesce(spectral_entropy <= spectral_hi, true) AND coalesce(n >= n_lo, true) GROUP BY ALL)"""
 
 
 def _recommended(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.recommend(_signature(spark, sf_dir), spark.createDataFrame(CONFIGS, G.CONFIG_SCHEMA))
+    return G.recommend(_whole_signature(spark, sf_dir), spark.createDataFrame(CONFIGS, G.CONFIG_SCHEMA))
 
 
 @query(f"WITH {RECOMMEND} SELECT stream, win_start, approach, CAST(confidence AS DOUBLE) AS confidence FROM rec")
@@ -466,11 +543,25 @@ TEXTS = [
     ("SELECT (SUM(?v) AS ?x) (MAX(?v) AS ?y) " + _WINDOW + " " + _BODY.replace("?v .", "?v . FILTER(?v > 3)")),
     ("SELECT (MIN(?v) AS ?x) " + _WINDOW + " " + _WINDOW.replace(":w", ":w2").replace("{s}", "other") + " " + _BODY),
     ("SELECT DISTINCT (MAX(?v) AS ?x) " + _WINDOW + " " + _BODY + " GROUP BY ?o"),
+    ("SELECT ( COUNT( * ) AS ?m ) # another name\n" + _WINDOW + " " + _BODY),
+]
+# What the texts are canonically.
+_W = "FROM NAMED WINDOW :w ON STREAM<mqtt://host/{s}>[RANGE {r} STEP {t}]"
+_B = "WHERE{WINDOW :w{?o saref:hasValue ?v . ?o saref:relatesToProperty :{s}}}"
+_P = "PREFIX a: <urn:a> PREFIX b: <urn:b> "
+CANONICAL = [
+    _P + "SELECT(AVG(?v)AS ?x)" + _W + _B,
+    _P + "SELECT(AVG(?v)AS ?x)" + _W + _B,
+    "SELECT(COUNT(*)AS ?n)" + _W + _B,
+    "SELECT(SUM(?v)AS ?x)(MAX(?v)AS ?y)" + _W + _B.replace("?v . ", "?v . FILTER(?v>3)"),
+    "SELECT(MIN(?v)AS ?x)" + _W + _W.replace(":w", ":w2").replace("{s}", "other") + _B,
+    "SELECT DISTINCT(MAX(?v)AS ?x)" + _W + _B + "GROUP BY ?o",
+    "SELECT(COUNT(*)AS ?m)" + _W + _B,
 ]
 
 
 def query_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A log of queries: consumer c asks text c % 6 of stream c % 4 with a range of 60, 120 or 180 s."""
+    """A log of queries: consumer c asks one of the texts, of one of four streams, with a range of 60, 120 or 180 s."""
     rows = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("c"))
     text = F.element_at(F.array(*map(F.lit, TEXTS)), (F.col("c") % len(TEXTS) + 1).cast("int"))
     stream = F.element_at(F.array(*map(F.lit, ("accx", "accy", "accz", "hr"))), (F.floor(F.col("c") / 7) % 4 + 1).cast("int"))
@@ -483,16 +574,19 @@ def _sql(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
+def _filled(texts: list[str]) -> str:
+    return f"replace(replace(replace([{', '.join(map(_sql, texts))}][c % {len(TEXTS)} + 1], '{{s}}', ['accx', 'accy', 'accz', 'hr'][c // 7 % 4 + 1]), '{{r}}', CAST((c // 28 % 3 + 1) * 60000 AS VARCHAR)), '{{t}}', '60000')"
+
+
 LOG = f"""log AS (
-    SELECT 'q' || lpad(CAST(c AS VARCHAR), 9, '0') AS query_id, 'consumer' || (c % 97) AS consumer_id, c,
-           replace(replace(replace([{', '.join(map(_sql, TEXTS))}][c % {len(TEXTS)} + 1], '{{s}}', ['accx', 'accy', 'accz', 'hr'][c // 7 % 4 + 1]), '{{r}}', CAST((c // 28 % 3 + 1) * 60000 AS VARCHAR)), '{{t}}', '60000') AS query_text,
+    SELECT 'q' || lpad(CAST(c AS VARCHAR), 9, '0') AS query_id, 'consumer' || (c % 97) AS consumer_id, c, {_filled(TEXTS)} AS query_text, {_filled(CANONICAL)} AS canonical,
            c % {len(TEXTS)} AS form, c // 7 % 4 AS s, c // 28 % 3 AS r
     FROM (SELECT c_custkey AS c FROM customer))"""
 
 
-@query()
+@query(f"WITH {LOG} SELECT query_id, canonical AS canonical_text, sha256(canonical) AS canonical_hash FROM log")
 def canonical_query_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reuse.canonical(query_log(spark, sf_dir)).select("query_id", "canonical_hash")
+    return reuse.canonical(query_log(spark, sf_dir)).select("query_id", "canonical_text", "canonical_hash")
 
 
 @query(f"WITH {LOG}, g AS (SELECT CASE WHEN form = 1 THEN 0 ELSE form END AS form, s, r, count(*) AS consumers FROM log GROUP BY ALL) SELECT consumers, consumers - 1 AS hits, count(*) AS groups FROM g GROUP BY ALL")
@@ -500,30 +594,44 @@ def exact_reuse_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reuse.exact_reuse(query_log(spark, sf_dir)).groupBy("consumers", "hits").agg(F.count(F.lit(1)).alias("groups"))
 
 
-@query(f"WITH {LOG} SELECT query_id, consumer_id, ['AVG', 'AVG', 'COUNT', 'MAX,SUM', 'MIN', 'MAX'][form + 1] AS aggregates, 'SELECT' AS form, 'RSTREAM' AS output FROM log")
+@query(f"WITH {LOG} SELECT query_id, consumer_id, ['AVG', 'AVG', 'COUNT', 'MAX,SUM', 'MIN', 'MAX', 'COUNT'][form + 1] AS aggregates, 'SELECT' AS form, 'RSTREAM' AS output FROM log")
 def query_signature(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reuse.query_signature(query_log(spark, sf_dir))
 
 
 @query(
-    f"""WITH {LOG} SELECT query_id, ':w' AS window_name, 'mqtt://host/' || ['accx', 'accy', 'accz', 'hr'][s + 1] AS stream, CAST((r + 1) * 60000 AS BIGINT) AS range_ms, CAST(60000 AS BIGINT) AS step_ms FROM log
-    UNION ALL SELECT query_id, ':w2', 'mqtt://host/other', CAST((r + 1) * 60000 AS BIGINT), CAST(60000 AS BIGINT) FROM log WHERE form = 4"""
+    f"""WITH {LOG}, d AS (SELECT query_id, ':w' AS window_name, ['accx', 'accy', 'accz', 'hr'][s + 1] AS topic, r FROM log UNION ALL SELECT query_id, ':w2', 'other', r FROM log WHERE form = 4)
+    SELECT query_id, window_name, 'mqtt://host/' || topic AS stream, 'host' AS host, topic, CAST((r + 1) * 60000 AS BIGINT) AS range_ms, CAST(60000 AS BIGINT) AS step_ms FROM d"""
 )
 def window_declarations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reuse.window_declarations(query_log(spark, sf_dir))
 
 
-@query(f"WITH {LOG} SELECT query_id, consumer_id, ['', '', '', 'construct', 'windows', 'construct'][form + 1] AS reason FROM log")
+@query(f"WITH {LOG} SELECT count(*) AS queries, any_value(s) AS s, any_value(r) AS r, form = 4 AS two FROM log GROUP BY s, r, form = 4")
+def equal_window_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Queries that declare the same windows, whatever else they ask."""
+    rows = reuse.window_sets(query_log(spark, sf_dir)).groupBy("window_set").agg(F.count(F.lit(1)).alias("queries"), F.min("query_id").alias("first"))
+    c = F.substring("first", 2, 9).cast("long")
+    return rows.select("queries", (F.floor(c / 7) % 4).alias("s"), (F.floor(c / 28) % 3).alias("r"), F.contains("window_set", F.lit("\n")).alias("two"))
+
+
+STATE = "'mqtt://host/' || ['accx', 'accy', 'accz', 'hr'][s + 1] || '::' || md5(regexp_replace(canonical, 'SELECT.*?FROM', 'FROM')) || '::' || CASE WHEN form < 2 THEN '?v::sum,count::' ELSE '*::count::' END || ((r + 1) * 60000) || '::60000'"
+
+
+@query(f"WITH {LOG} SELECT query_id, consumer_id, ['', '', '', 'construct', 'windows', 'construct', ''][form + 1] AS reason, CASE WHEN form IN (0, 1, 2, 6) THEN {STATE} END AS state_key FROM log")
 def chunk_reuse_class(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reuse.reuse_class(query_log(spark, sf_dir)).select("query_id", "consumer_id", "reason")
+    return reuse.reuse_class(query_log(spark, sf_dir)).select("query_id", "consumer_id", "reason", "state_key")
 
 
-@query()
+@query(
+    f"""WITH {LOG}, e AS (SELECT canonical, min(query_id) AS first FROM log GROUP BY canonical), k AS (SELECT s, r, count(DISTINCT form) AS same FROM log WHERE form IN (2, 6) GROUP BY ALL)
+    SELECT query_id, consumer_id, CASE WHEN query_id <> first THEN 'exact' WHEN form IN (2, 6) AND same > 1 THEN 'chunk_state' ELSE 'fresh' END AS level FROM log JOIN e USING (canonical) LEFT JOIN k USING (s, r)"""
+)
 def reuse_level(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reuse.reuse_level(query_log(spark, sf_dir))
 
 
-@query(f"WITH {LOG} SELECT query_id, CAST([7, 7, 7, 10, 9, 7][form + 1] AS BIGINT) AS complexity FROM log")
+@query(f"WITH {LOG} SELECT query_id, CAST([7, 7, 7, 10, 9, 7, 7][form + 1] AS BIGINT) AS complexity FROM log")
 def query_complexity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return query_log(spark, sf_dir).select("query_id", reuse.query_complexity(F.col("query_text")).alias("complexity"))
 

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from panemill.functions.tables import numbered
 from panemill.operators import windows as W
 from panemill.queries.registry import HOUR, OBS, PANE, PANES, SPEC, WINS, obs, query, rounded, sliding, states
-from panemill.queries.reports import results
+from panemill.queries.reports import RESULTS, results
 from panemill.streaming import streams as S
 
 DELAY = HOUR
@@ -23,13 +24,30 @@ def stream_window_agg(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""WITH {PANES}, mark AS (SELECT max(ms) - {DELAY} AS watermark FROM obs)
-    SELECT stream, win_start, win_end, count(*) AS panes, CAST(sum(count) AS BIGINT) AS count, round(sum(sum) / sum(count), 8) AS avg FROM ({sliding('panes', 'start_ms')}), mark WHERE win_end <= watermark GROUP BY ALL"""
+    SELECT stream, win_start, win_end, count(*) AS panes, CAST(sum(count) AS BIGINT) AS count, round(sum(sum) / sum(count), 8) AS avg FROM ({sliding('panes', 'start_ms')}), mark WHERE win_end <= watermark GROUP BY ALL HAVING count(*) = 3"""
 )
 def stream_recompose(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = S.stream_recompose(S.observation_stream(spark, sf_dir), SPEC, PANE, DELAY)
     return rounded(S.run_to_table(spark, rows, "stream_recompose"), "avg").select("stream", "win_start", "win_end", "panes", "count", "avg")
 
 
+@query(
+    f"""WITH {PANES}, mark AS (SELECT max(ms) - {DELAY} AS watermark FROM obs), w AS (SELECT stream, win_start, win_end FROM ({sliding('panes', 'start_ms')}), mark WHERE win_end <= watermark GROUP BY ALL HAVING count(*) = 3)
+    SELECT stream, win_start, row_number() OVER (PARTITION BY stream ORDER BY win_end) AS place FROM w"""
+)
+def ordered_emission(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The place of each whole window in the order in which a stream of one batch a file gives them out."""
+    rows = S.stream_recompose(S.observation_stream(spark, sf_dir, files_per_batch=1), SPEC, PANE, DELAY)
+    return numbered(S.run_ordered(spark, rows, "ordered", ["win_end", "stream"]), ["stream"], ["emission", "win_end"]).select("stream", "win_start", "place")
+
+
+@query(f"WITH {WINS} SELECT stream, win_start, win_end, count(value) AS count, round(avg(value), 8) AS avg FROM wins GROUP BY ALL")
+def stream_on_change(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The latest version of every window, closed or not, of a stream that reports each change."""
+    rows = S.stream_window_agg(S.observation_stream(spark, sf_dir), SPEC, ["count", "avg"], DELAY)
+    return rounded(S.run_upserts(spark, rows, "changes", ["stream", "win_start", "win_end"]), "avg").drop("versions")
+
+
 ARRIVED = f"(ms + (event_id * 7919) % 11 * {2 * HOUR})"
 
 
@@ -69,7 +87,19 @@ def finalizable_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.finalizable(W.window_agg(rows, SPEC, ["count"]), rows, 5)
 
 
-@query()
+@query(f"WITH {WINS} SELECT stream, win_start, win_end, count(value) AS count FROM wins GROUP BY ALL")
+def flushed_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All windows, pending ones too, once a finite replay is over."""
+    rows = obs(spark, sf_dir)
+    return S.finalizable(W.window_agg(rows, SPEC, ["count"]), rows, 5, replay_over=True)
+
+
+CADENCE = f"""{RESULTS}, e AS (SELECT stream, window_number, emitted_at + window_number % 9 * 400 AS emitted_at FROM results WHERE approach = 'approximation'),
+kept AS (SELECT stream, min(emitted_at) AS emitted_at FROM e GROUP BY stream
+    UNION ALL SELECT k.stream, min(e.emitted_at) FROM kept k JOIN e ON e.stream = k.stream AND e.emitted_at - k.emitted_at >= {PANE - 1000} AND least((e.emitted_at - k.emitted_at) % {PANE}, {PANE} - (e.emitted_at - k.emitted_at) % {PANE}) <= 1000 GROUP BY k.stream, k.emitted_at)"""
+
+
+@query(f"WITH RECURSIVE {CADENCE} SELECT e.stream, e.window_number, e.emitted_at FROM e JOIN kept USING (stream, emitted_at)")
 def cadence_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = results(spark, sf_dir).where("approach = 'approximation'").withColumn("emitted_at", F.col("emitted_at") + F.col("window_number") % 9 * 400)
     return S.cadence_filter(rows, PANE, 1000, ["stream"]).select("stream", "window_number", "emitted_at")
