@@ -7,11 +7,12 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from panemill.functions.tables import numbered, small
 from panemill.functions.time import WindowSpec, align_start, parse_iso_ms
 from panemill.operators import approx, panes, relational, windows
 from panemill.plans import reuse
-from panemill.reports import metrics
-from panemill.sources import observations
+from panemill.reports import metrics, signature, traffic
+from panemill.sources import logs, observations
 from panemill.streaming import streams
 
 SUB = "topic string, start_ms long, end_ms long, value double"
@@ -170,3 +171,154 @@ def test_fan_out(spark, tmp_path):
     sinks = [lambda b, n: seen.append(("a", b.count())), lambda b, n: seen.append(("b", b.where("id > 4").count()))]
     streams.fan_out(spark.readStream.schema("id long").parquet(str(tmp_path / "in")), sinks, str(tmp_path / "cp")).awaitTermination()
     assert sorted(seen) == [("a", 10), ("b", 5)]
+
+
+def test_upserts_keep_the_latest_version(spark, tmp_path):
+    for k, rows in enumerate([[(0, "a", 1.0), (10, "a", 3.0)], [(20, "a", 5.0), (15, "b", 1.0)]]):
+        made = spark.createDataFrame(rows, "sec long, stream string, value double").withColumn("ts", F.timestamp_seconds("sec"))
+        made.coalesce(1).write.parquet(str(tmp_path / "in" / f"part={k}"))
+    stream = spark.readStream.schema("sec long, stream string, value double, ts timestamp").option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    rows = streams.stream_window_agg(stream, WindowSpec(60_000, 60_000), ["count", "sum"], 60_000)
+    out = {r["stream"]: r for r in streams.run_upserts(spark, rows, "upserts", ["stream", "win_start", "win_end"]).collect()}
+    assert (out["a"]["count"], out["a"]["sum"], out["a"]["versions"]) == (3, 9.0, 2)
+    assert (out["b"]["count"], out["b"]["versions"]) == (1, 1)
+
+
+def test_early_windows_count_what_arrived(spark, tmp_path):
+    spark.createDataFrame([("a", 1.0)] * 3 + [("b", 2.0)], "stream string, value double").write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("stream string, value double").parquet(str(tmp_path / "in"))
+    rows = streams.early_windows(stream, WindowSpec(3_600_000, 3_600_000), ["count"])
+    out = streams.run_upserts(spark, rows, "early", ["stream", "win_start", "win_end"]).groupBy("stream").agg(F.sum("count").alias("n")).collect()
+    assert {r["stream"]: r["n"] for r in out} == {"a": 3, "b": 1}
+
+
+def test_a_quiet_stream_is_stopped(spark, tmp_path):
+    spark.range(5).write.parquet(str(tmp_path / "in"))
+    query = spark.readStream.schema("id long").parquet(str(tmp_path / "in")).writeStream.format("noop").option("checkpointLocation", str(tmp_path / "cp")).trigger(processingTime="100 milliseconds").start()
+    assert streams.stop_when_quiet(query, most_ms=1500) >= 1.4
+    assert not query.isActive
+
+
+def test_a_pane_without_a_sum_spoils_no_average(spark):
+    rows = [("s", 0, 10, 10, 100.0, None, 1.0, 9.0), ("s", 10, 20, 10, None, None, 2.0, 8.0), ("e", 0, 10, 10, 100.0, None, 1.0, 9.0), ("e", 10, 20, 0, None, None, None, None), ("f", 0, 10, 10, float("nan"), 7.0, 1.0, 9.0)]
+    states = spark.createDataFrame(rows, "stream string, start_ms long, end_ms long, count long, sum double, avg double, min double, max double")
+    spec = WindowSpec(20, 20)
+    out = {r["stream"]: (r["count"], r["sum"], r["avg"], r["min"]) for r in panes.recompose(states, spec, 10).collect()}
+    assert out == {"s": (20, None, None, 1.0), "e": (10, 100.0, 10.0, 1.0), "f": (10, 70.0, 7.0, 1.0)}
+    assert {r["stream"]: r["avg"] for r in panes.recompose_flat(states, ["stream"]).collect()} == {"s": None, "e": 10.0, "f": 7.0}
+    specs = spark.createDataFrame([("q", 20, 20)], "id string, range_ms long, step_ms long")
+    assert {r["stream"]: r["avg"] for r in panes.derive_original(states, specs, 10).collect()} == {"s": None, "e": 10.0, "f": 7.0}
+    assert {(r["stream"], r["win_start"]): r["avg"] for r in panes.early_partial(states, WindowSpec(20, 10), 10).collect()}["s", 10] is None
+
+
+def test_chunk_plan():
+    assert panes.chunk_plan(WindowSpec(120, 60), [WindowSpec(60, 30), WindowSpec(45, 15)]) == panes.ChunkPlan(15, 60)
+    assert panes.common_multiple([WindowSpec(1, 4), WindowSpec(1, 6)]) == 12
+    assert panes.common_multiple([]) == 1
+
+
+def test_star_join_gives_all_combinations(spark):
+    triples = spark.createDataFrame([("a", "p", "1"), ("a", "p", "2"), ("a", "q", "x"), ("a", "q", "y"), ("b", "p", "1"), ("c", "z", "1")], "s string, p string, o string")
+    assert sorted((r["s"], r["one"], r["two"]) for r in relational.star_join(triples, {"one": "p", "two": "q"}).collect()) == [("a", "1", "x"), ("a", "1", "y"), ("a", "2", "x"), ("a", "2", "y")]
+
+
+def test_numbers_within_keys(spark):
+    rows = [("hot", k % 50, k) for k in range(400)] + [("cold", 1, 1)]
+    out = numbered(spark.createDataFrame(rows, "k string, x long, y long").repartition(7), ["k"], ["x", "y"], "place", "n").collect()
+    assert [(r["x"], r["y"]) for r in sorted(out, key=lambda r: r["place"]) if r["k"] == "hot"] == sorted((x, y) for k, x, y in rows if k == "hot")
+    assert sorted(r["place"] for r in out) == sorted([*range(1, 401), 1])
+    assert {(r["k"], r["n"]) for r in out} == {("hot", 400), ("cold", 1)}
+    with pytest.raises(ValueError):
+        small(spark.range(20), 10)
+
+
+def test_matching_falls_back_on_window_numbers(spark):
+    whole = spark.createDataFrame([("a", 0, 10, 1)], "stream string, win_start long, win_end long, window_number long")
+    bare = spark.createDataFrame([("a", 0, None, 1)], "stream string, win_start long, win_end long, window_number long")
+    assert relational.matched_on(whole, whole, ["stream"]) == ["stream", "win_start", "win_end"]
+    assert relational.matched_on(whole, bare, ["stream"]) == relational.matched_on(whole.drop("win_end"), whole, ["stream"]) == ["stream", "window_number"]
+
+
+def test_equal_queries_share_a_hash(spark):
+    layouts = [
+        "PREFIX a: <urn:A> PREFIX b: <urn:b> REGISTER RStream <out> AS SELECT (AVG(?v) AS ?x) FROM NAMED WINDOW :w ON STREAM <urn:s> [RANGE 60 STEP 30] WHERE { WINDOW :w { ?o a:v ?v ; b:p :q } }",
+        "PREFIX b: <urn:b>\nPREFIX a: <urn:A>\nREGISTER RStream <other> AS\nSELECT (AVG(?v) AS ?x)\nFROM NAMED WINDOW :w ON STREAM <urn:s> [RANGE 60 STEP 30]\nWHERE {\n  WINDOW :w { ?o a:v ?v ; b:p :q }\n}",
+        "prefix A: <urn:A> prefix B: <urn:b> select ( AVG( ?v ) AS ?x ) from named window :w on stream <urn:s> [range 60 step 30] where{window :w{?o a:v ?v;b:p :q}}",
+        "# a comment\nPREFIX a:<urn:A>\nPREFIX   b:   <urn:b> # another\nSELECT (AVG(?v) AS ?x) FROM NAMED WINDOW :w ON STREAM <urn:s> [ RANGE 60 STEP 30 ] WHERE { WINDOW :w { ?o a:v ?v ; b:p :q } } # end",
+        "\tPREFIX a: <urn:A>\r\nPREFIX b: <urn:b>\r\nSELECT(AVG(?v)AS ?x)FROM NAMED WINDOW :w ON STREAM<urn:s>[RANGE 60 STEP 30]WHERE{WINDOW :w{?o a:v ?v;b:p :q}}\r\n",
+        "PREFIX a: <urn:A> PREFIX b: <urn:b> Select (Avg(?v) As ?x) From Named Window :w On Stream <urn:s> [Range 60 Step 30] Where { Window :w { ?o a:v ?v ; b:p :q } }",
+        "PREFIX b: <urn:b> SELECT (AVG(?v) AS ?x) FROM NAMED WINDOW :w ON STREAM <urn:s> [RANGE 60 STEP 30] PREFIX a: <urn:A> WHERE { WINDOW :w { ?o a:v ?v ; b:p :q } }",
+        "PREFIX a: <urn:A> PREFIX b: <urn:b> register rstream <x> as   SELECT (AVG(?v)   AS ?x)   FROM NAMED WINDOW :w ON STREAM   < urn:s >   [RANGE 60 STEP 30] WHERE { WINDOW :w { ?o a:v ?v ; b:p :q } }",
+        "PREFIX a: <urn:A> PREFIX b: <urn:b> SELECT (AVG (?v) AS ?x) FROM NAMED WINDOW :w ON STREAM <urn:s>[RANGE 60 STEP 30]WHERE { WINDOW :w {\n\t?o a:v ?v ;\n\tb:p :q\n} }",
+        "  PREFIX a: <urn:A>\n\n  PREFIX b: <urn:b>\n\n  SELECT (AVG(?v) AS ?x)\n\n  FROM NAMED WINDOW :w ON STREAM <urn:s> [RANGE 60 STEP 30] WHERE { WINDOW :w { ?o a:v ?v ; b:p :q } }\n# bye",
+    ]
+    other = [layouts[0].replace("AVG", "SUM"), layouts[0].replace("60", "90"), layouts[0].replace("urn:A", "urn:a")]
+    log = spark.createDataFrame([(str(k), "c", q) for k, q in enumerate(layouts + other)], "query_id string, consumer_id string, query_text string")
+    hashes = {r["query_id"]: r["canonical_hash"] for r in reuse.canonical(log).collect()}
+    assert len({hashes[str(k)] for k in range(10)}) == 1
+    assert len(set(hashes.values())) == 4
+    levels = {r["query_id"]: r["level"] for r in reuse.reuse_level(log).collect()}
+    assert [levels[str(k)] for k in range(13)] == ["fresh"] + ["exact"] * 9 + ["fresh"] * 3
+
+
+def test_window_sets_expand_prefixes(spark):
+    one = "PREFIX s: <urn:streams/> SELECT (AVG(?v) AS ?x) FROM NAMED WINDOW s:w ON STREAM s:a [RANGE 60 STEP 30] FROM NAMED WINDOW <urn:streams/u> ON STREAM <urn:b> [RANGE 6 STEP 3]"
+    two = "SELECT (SUM(?v) AS ?x) FROM NAMED WINDOW <urn:streams/u> ON STREAM <urn:b> [RANGE 6 STEP 3] FROM NAMED WINDOW <urn:streams/w> ON STREAM <urn:streams/a>[RANGE 60 STEP 30]"
+    log = spark.createDataFrame([("1", "c", one), ("2", "c", two), ("3", "c", one.replace("60", "61")), ("4", "c", "no window"), ("5", "c", None)], "query_id string, consumer_id string, query_text string")
+    sets = {r["query_id"]: r["window_set"] for r in reuse.window_sets(log).collect()}
+    assert sets["1"] == sets["2"] == "urn:streams/u|urn:b|6|3\nurn:streams/w|urn:streams/a|60|30"
+    assert sets["3"] != sets["1"] and sets["4"] is sets["5"] is None
+    assert reuse.reuse_level(log).count() == 5
+
+
+def test_message_kinds_and_subscribers(spark):
+    rows = [("x/control", None, "fetching"), ("in/wearableX", None, "chunked"), ("in/smartphoneX", None, "other"), ("chunked/1", None, "chunked"), ("output/1", None, "chunked"), ("sub", None, "chunked"), ("sub", "reusable_result", "chunked"), ("x/control", None, "chunked")]
+    out = traffic.classify(spark.createDataFrame([(*r, 10) for r in rows], "topic string, message_type string, approach string, published_bytes long")).collect()
+    assert [r["message_type"] for r in out] == ["control", "raw_input_stream", "raw_input_stream", "chunk_result", "superquery_result", "unknown", "reusable_result", "control"]
+    assert [r["delivered_bytes"] for r in out] == [10, 20, 10, 10, 10, 10, 0, 0]
+
+
+def test_noise_does_not_depend_on_partitions(spark):
+    obs = spark.createDataFrame([(k, float(k)) for k in range(100)], "event_id long, value double")
+    a, b = (sorted(map(tuple, observations.add_noise(df, "value", [1.0, 2.0]).collect())) for df in (obs.coalesce(1), obs.repartition(7)))
+    assert a == b and len(a) == 200
+    spread = [v - k for k, v, s in a if s == 1.0]
+    assert abs(sum(spread) / 100) < 0.4 and 0.7 < (sum(x * x for x in spread) / 100) ** 0.5 < 1.3
+
+
+def test_standard_recommendations(spark):
+    rows = [("a", 5.0, 1.0, 1.0, 10), ("b", 5.0, 1.0, 1.7, 10), ("c", 5.0, 1.0, 1.7, 200), ("d", 80.0, 3.0, 3.0, 200), ("e", 40.0, 3.0, 3.0, 200)]
+    signatures = spark.createDataFrame([(s, 0, *r) for s, *r in rows], "stream string, win_start long, variance double, entropy double, spectral_entropy double, n long")
+    got = {r["stream"]: (r["approach"], r["confidence"]) for r in signature.recommend(signatures, signature.standard_configs(spark)).collect()}
+    assert got == {"a": ("approximation", 1.0), "c": ("chunked", 0.5), "d": ("fetching", 0.75)}
+
+
+def test_latest_value_of_many_buckets(spark):
+    rows = sub(spark, (0, 10, 1), (100, 110, 2))
+    asked = spark.createDataFrame([(5, 8), (50, 60), (105, 120), (900, 905), (-50, -40)], BOTH)
+    got = {r["b_start"]: (r["value"], r["source"]) for r in approx.latest_value(rows, asked, 7).collect()}
+    assert got == {5: (1.0, "overlap"), 50: (1.0, "latest"), 105: (2.0, "overlap"), 900: (2.0, "latest"), -50: (None, "none")}
+
+
+def test_bounded_percentiles(spark):
+    rows = spark.range(1001).select(F.lit("a").alias("k"), F.col("id").cast("double").alias("m"))
+    row = metrics.summarize(rows, ["m"], ["k"], accuracy=10_000).first()
+    assert abs(row["m_median"] - 500) <= 1 and abs(row["m_p95"] - 950) <= 1
+
+
+def test_messages_for_a_broker(spark):
+    rows = spark.createDataFrame([("t", 5)], "topic string, payload long")
+    assert [tuple(r) for r in logs.to_topics(rows).collect()] == [("t", "5")]
+
+
+def test_late_arrivals_in_any_number_of_parts(spark):
+    import random
+
+    rng, spec = random.Random(3), WindowSpec(40, 20)
+    rows = [(k, (ms := rng.randint(0, 500)), ms + rng.randint(0, 200)) for k in range(300)]
+    got = {r["event_id"]: r["class"] for r in streams.late_classes(spark.createDataFrame(rows, "event_id long, ms long, arrived long"), spec, 10).collect()}
+    seen = None
+    for k, ms, _ in sorted(rows, key=lambda r: (r[2], r[0])):
+        want = "on_time" if seen is None or ms >= seen else "late" if ms - ms % 20 + 40 + 10 > seen else "too_late"
+        assert got[k] == want
+        seen = ms if seen is None else max(seen, ms)
