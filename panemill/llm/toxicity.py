@@ -2,9 +2,9 @@
 
 The kernel compares two units by their common subsequences of three and four letters, which may skip letters: each skip
 costs a factor ``DECAY``.  So "i-d-i.o.t" or "idxiot" stay close to "idiot".  Units of a sentence are its words, letters spelled out
-one by one, and short neighbouring words joined, so an insult that a blank splits ("id iot") is one unit again.  Two words that are both common
-in clean documents are ordinary prose and not joined.  Units are stripped to letters and carry a mark of their start; long ones are cut in
-overlapping windows.
+one by one, and short neighbouring words joined where three letters across their border stand in a row in a frequent telling word of the
+training documents, so an insult that a blank splits ("id iot") is one unit again.  Units are stripped to letters and carry a mark of their start;
+long ones are cut in overlapping windows.
 
 Labels belong to documents, but a toxic document's sentences are mostly clean.  Training is therefore by witnesses: a
 toxic document is represented by its highest-scoring unit, a clean one by a sample of its units (``NEGATIVES``) and the highest-scoring of all
@@ -40,8 +40,8 @@ from panemill.llm.common import crc_mod
 SAMPLE = 4000
 #: Units that a labelled document is learnt by at most; random and hardest units of clean documents that a round learns from at most.
 UNITS, NEGATIVES, HARDEST = 5000, 6000, 2000
-#: Letters of two joined words, least and most, and the share of clean documents from which a word is common.
-JOINED, COMMON = (4, 10), 0.02
+#: Length of two joined words, least and most, and the share of toxic documents from which a telling word says where words are joined.
+JOINED, BORDERING = (4, 12), 0.05
 LANDMARKS = 256
 DECAY = 0.6
 #: Letters skipped by a subsequence at most.
@@ -66,21 +66,36 @@ def units_of(text: str | None) -> set[str]:
     return found
 
 
-def joined_units(text: str | None, common: frozenset[str] = frozenset()) -> set[str]:
-    """Short neighbouring words of a line joined, but for two common ones; a word that ends in a mark ends its sentence."""
-    low, (least, most) = (text or "").lower(), JOINED
+def joined_units(text: str | None, borders: frozenset[str] | None = None) -> set[str]:
+    """Short neighbouring words of a line joined, where three letters across their border are among ``borders`` (None: wherever letters meet)."""
+    least, most = JOINED
     found = set()
-    for line in low.split("\n"):
+    for line in (text or "").lower().split("\n"):
         words = line.split()
         for a, b in zip(words, words[1:]):
-            if least <= len(a) + len(b) <= most and a[-1].isalpha() and not (a in common and b in common):
-                found.add(f"{a} {b}")
+            if borders is None:
+                if least <= len(a) + len(b) <= most and a[-1].isalpha() and b[0].isalpha():
+                    found.add(f"{a} {b}")
+            elif (a[-1] + b[:2] in borders or a[-2:] + b[0] in borders) and least <= len(a) + len(b) <= most:
+                found.add(a + b)
     return found
 
 
+def _bordering(pairs: list[str], borders: frozenset[str]) -> list[str]:
+    """Those of two words with a blank between whose border is among the borders, joined."""
+    split = (p.split(" ") for p in pairs)
+    return [a + b for a, b in split if a[-1] + b[:2] in borders or a[-2:] + b[0] in borders]
+
+
+def borders_of(words: list[str]) -> frozenset[str]:
+    """Letters that stand in a row of three in the words."""
+    letters = (_NOT_LETTER.sub("", w) for w in words)
+    return frozenset(w[k : k + 3] for w in letters for k in range(len(w) - 2))
+
+
 def _windows(word: str) -> list[str]:
     """The letters of a unit behind a start mark, in windows."""
-    letters = "^" + _NOT_LETTER.sub("", word)
+    letters = "^" + (word if word.isalpha() else _NOT_LETTER.sub("", word))
     if len(letters) <= WINDOW:
         return [letters]
     return [letters[at : at + WINDOW] for at in range(0, len(letters) - WINDOW + STRIDE, STRIDE)]
@@ -218,7 +233,7 @@ def _long_enough(word: str) -> bool:
 
 
 def train(bags: list[tuple[int, list[str], list[str]]]) -> dict:
-    """From (label, units, joined units) of documents, in a fixed order: the folded weights, the offset, the logistic weights, the common words."""
+    """From (label, units, joined units) of documents, in a fixed order: the folded weights, the offset, the logistic weights, the borders of joined words."""
     bags = [(label, [u for u in units if _long_enough(u)], pairs) for label, units, pairs in bags]
     share = sum(label for label, *_ in bags) / len(bags) if bags else 0.0
     order = np.random.Generator(np.random.PCG64(3)).permutation(len(bags))  # whatever order the ids bring
@@ -230,9 +245,6 @@ def train(bags: list[tuple[int, list[str], list[str]]]) -> dict:
         seen[label].update(set(units))
     bad = max(1, sum(label for label, *_ in fit))
     good = len(fit) - bad
-    common = frozenset(w for w, c in seen[0].items() if c >= max(2, COMMON * good) and seen[1][w] * good <= 2 * c * bad)
-    joined = Counter(u for label, _, pairs in fit if not label for u in _apart(pairs, common))
-    joints = sorted(joined)
     words = sorted(seen[0].keys() | seen[1].keys())
     number = {word: k for k, word in enumerate(words)}
     p, n = (np.array([seen[label][w] for w in words], float) for label in (1, 0))
@@ -253,6 +265,9 @@ def train(bags: list[tuple[int, list[str], list[str]]]) -> dict:
     both = p + n
     surprise = p * np.log(np.maximum(p, 1) * (bad + good) / (both * bad)) + n * np.log(np.maximum(n, 1) * (bad + good) / (both * good))
     telling = (odds > 1.5) & (surprise > SURPRISE)
+    borders = borders_of([words[k] for k in np.flatnonzero(telling & (p >= BORDERING * bad)).tolist()])
+    joined = Counter(u for label, _, pairs in fit if not label for u in set(_bordering(pairs, borders)))
+    joints = sorted(joined)
     for k in range(ROUNDS):
         # The witnesses of a toxic document: its telling units, or else the highest-scoring one.
         witness = Counter(chain.from_iterable(units[telling[units]].tolist() or [int(units[np.argmax(score[units])])] for units in own))
@@ -267,13 +282,8 @@ def train(bags: list[tuple[int, list[str], list[str]]]) -> dict:
         w = _machine(x, y, np.sqrt(cost), ridge=0.02)
         folded, offset = landmarks.folded(whiten @ w[:-1]), float(w[-1])
         score = np.maximum(unit_scores(words, folded) + offset, NO_UNIT)
-    tops = np.array([[top(unit_scores(own, folded) + offset if own else np.zeros(0))] for own in ([*units, *_apart(pairs, common)] for _, units, pairs in aside)])
-    return {"share": share, "weights": folded, "offset": offset, "logistic": _logistic(tops, np.array([label for label, *_ in aside], float)), "common": common}
-
-
-def _apart(pairs: list[str], common: frozenset[str]) -> list[str]:
-    """Joined units without those of two common words."""
-    return [u for u in pairs if not all(w in common for w in u.split(" "))]
+    tops = np.array([[top(unit_scores(own, folded) + offset if own else np.zeros(0))] for own in ([*units, *_bordering(pairs, borders)] for _, units, pairs in aside)])
+    return {"share": share, "weights": folded, "offset": offset, "logistic": _logistic(tops, np.array([label for label, *_ in aside], float)), "borders": borders}
 
 
 def top(scores: np.ndarray) -> float:
@@ -317,7 +327,7 @@ class Scorer:
             return np.full(len(texts), model["share"])
         for at in range(0, len(texts), 500):
             own = [value.as_py() for value in texts.slice(at, 500)]
-            units = [units_of(text) | joined_units(text, model["common"]) for text in own]
+            units = [units_of(text) | joined_units(text, model["borders"]) for text in own]
             if len(self.memo) > REMEMBERED:
                 self.memo = {}
             if new := list(set().union(*units).difference(self.memo)):

@@ -254,9 +254,11 @@ def test_kernel_by_brute_force():
 
 
 def test_joined_units():
-    common = frozenset({"of", "the"})
-    assert toxicity.joined_units("an id iot of the week. So\nbe it, oh my extraordinarily", common) == {"an id", "id iot", "iot of", "the week.", "be it,", "oh my"}
-    assert toxicity.joined_units(None) == toxicity.joined_units("") == set()
+    borders = toxicity.borders_of(["idiot", "scum-bag!"])
+    assert {"idi", "dio", "iot", "umb", "mba"} <= borders
+    assert toxicity.joined_units("an id iot of the scum Bag, idi ot\nid\niot extraordinarilyid iot", borders) == {"idiot", "scumbag,"}
+    assert toxicity.joined_units("an id iot. So\nbe it", None) == {"an id", "id iot.", "be it"}
+    assert toxicity.joined_units(None, borders) == toxicity.joined_units("") == set()
 
 
 def test_toxicity_at_the_threshold(spark):
