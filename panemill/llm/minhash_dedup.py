@@ -319,6 +319,13 @@ def _crossing(stars: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str,
     return rows.join(texts.hint("merge"), "node").groupBy("star", "x", "y").applyInArrow(links, "a long, b long").distinct()
 
 
+def _contracted(edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """Edges (a, b) between the components that nodes have been given so far."""
+    at = lambda c: labels.select(F.col("node").alias(c), F.col("component").alias(f"p{c}"))
+    moved = written(spread_join(edges, at("a"), ["a"], "left"), "contracted")
+    return spread_join(moved, at("b"), ["b"], "left").select(F.coalesce("pa", "a").alias("a"), F.coalesce("pb", "b").alias("b"))
+
+
 def _grouped(docs: DataFrame, threshold: float, id_col: str, text_col: str, width: int) -> DataFrame:
     """id, row key, n_shingles, group (a number; null without shingles), component_id, a row for each of docs; written."""
     prepared = written(_prepared(docs, id_col, text_col, width), "prepared")
@@ -335,11 +342,11 @@ def _grouped(docs: DataFrame, threshold: float, id_col: str, text_col: str, widt
     placed = written(shared.where("node != lo").join(labels, "node", "left").select("key", F.col("lo").alias("star"), "node", F.coalesce("component", "node").alias("component")), "placed")
     mixed = placed.groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 != c2").select("key")
     stars = written(spread_join(placed, written(mixed, "mixed"), ["key"]).select("star", "node", "component").distinct(), "stars")
+    grouped = written(nodes.select("node", *CLASS, "least").join(labels, "node", "left").select(*CLASS, "least", F.coalesce("component", "node").alias("group")), "groups")
     if not stars.isEmpty():
         second = written(_crossing(stars, nodes, docs, id_col, text_col, threshold, width), "links")
-        labels = connected_components(first.union(second)).withColumnRenamed("id", "node")
-
-    grouped = written(nodes.select("node", *CLASS, "least").join(labels, "node", "left").select(*CLASS, "least", F.coalesce("component", "node").alias("group")), "groups")
+        upper = connected_components(_contracted(second, labels)).select(F.col("id").alias("group"), "component")
+        grouped = written(spread_join(grouped, upper, ["group"], "left").withColumn("group", F.coalesce("component", "group")).drop("component"), "groups")
     top = grouped.groupBy("group").agg(F.min("least").alias("component_id"))
     of_class = spread_join(grouped.select(*CLASS, "group"), top, ["group"])
     out = spread_join(prepared.drop("sig"), of_class, CLASS, "left")
