@@ -33,6 +33,8 @@ LABELLED = 6000
 ROUNDS = 4
 #: Documents that a view hands over in a round at most, of each class, and how sure it must be.
 HANDED, SURE = 150, 0.97
+#: Parts in which the surest documents are looked for first.
+PARTS = 32
 #: A document is rejected when its chance of being good is below this.
 THRESHOLD = 0.4
 CONTENT, SOURCES = 256, 16
@@ -156,9 +158,12 @@ def _handed(features: DataFrame, weights: list[np.ndarray], taken: set[int], quo
 
     scored = features.where("label is null").select("key", "views").mapInArrow(run, "kind int, key long, sure double")
     best = scored.groupBy("kind", "key").agg(F.max("sure").alias("sure"))
-    place = F.row_number().over(W.partitionBy("kind").orderBy(F.desc("sure"), "key"))  # pruned in each task before the shuffle
-    most = max(quotas.values())
-    chosen = best.withColumn("place", place).where(F.col("place") <= most).orderBy("kind", "place").collect()  # four times HANDED rows at most
+    # The best of each part, then the best of those: no task reads the best of all other tasks.
+    most, order = max(quotas.values()), [F.desc("sure"), "key"]
+    best = best.withColumn("part", F.pmod("key", F.lit(PARTS)))
+    for keys in (["kind", "part"], ["kind"]):
+        best = best.withColumn("place", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where(F.col("place") <= most)
+    chosen = best.orderBy("kind", "place").collect()  # four times HANDED rows at most
     chosen = [(r["kind"] // 2, r["kind"] % 2, r["key"]) for r in chosen if r["place"] <= quotas[r["kind"] % 2]]
     wanted = sorted({key for _, _, key in chosen})
     if not wanted:
