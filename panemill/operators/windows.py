@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
+from math import gcd
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,14 +16,19 @@ from panemill.functions.time import WindowSpec, align_start, window_number, wind
 AGGREGATES = {"avg": F.avg, "sum": F.sum, "count": F.count, "min": F.min, "max": F.max, "count_all": lambda _: F.count(F.lit(1))}
 
 
-def agg_columns(aggs: Sequence[str | tuple[str, str]], value: str = "value") -> list[Column]:
-    """Aggregates by name, or (name, alias).  The same alias twice is kept once; with another aggregate it is an error."""
+def aliases(aggs: Sequence[str | tuple[str, str]]) -> dict[str, str]:
+    """Aggregates, given by name or as (name, alias), by alias.  The same alias twice is kept once; with another aggregate it is an error."""
     found: dict[str, str] = {}
     for item in aggs:
         name, alias = (item, item) if isinstance(item, str) else item
         if found.setdefault(alias, name) != name:
             raise ValueError(f"alias {alias} stands for {found[alias]} and for {name}")
-    return [AGGREGATES[name](value).alias(alias) for alias, name in found.items()]
+    return found
+
+
+def agg_columns(aggs: Sequence[str | tuple[str, str]], value: str = "value") -> list[Column]:
+    """The aggregates as columns."""
+    return [AGGREGATES[name](value).alias(alias) for alias, name in aliases(aggs).items()]
 
 
 def assign_windows(obs: DataFrame, spec: WindowSpec) -> DataFrame:
@@ -49,11 +55,22 @@ def union_window_agg(streams: Sequence[DataFrame], spec: WindowSpec, aggs: Seque
 
 
 def multi_spec_agg(obs: DataFrame, specs: DataFrame, aggs: Sequence, keys: Sequence[str] = ("stream",)) -> DataFrame:
-    """The same aggregate for every (id, range_ms, step_ms) of a small table, in one pass over the observations."""
-    rows = obs.join(small(specs.select("id", "range_ms", "step_ms")))
-    rows = rows.withColumn("win_start", F.explode(window_starts(F.col("ms"), F.col("range_ms"), F.col("step_ms"))))
-    rows = rows.withColumn("win_end", F.col("win_start") + F.col("range_ms"))
-    return rows.groupBy("id", *keys, "win_start", "win_end").agg(*agg_columns(aggs))
+    """The same aggregate for every (id, range_ms, step_ms) of a small table, in one pass over the observations.
+
+    Rows are first brought to one state for each key and pane, the widest that fits all specifications; windows are made from those.
+    """
+    rows = small(specs.select("id", "range_ms", "step_ms")).collect()
+    if not rows:
+        return window_agg(obs.limit(0), WindowSpec(1, 1), aggs, keys).select(F.lit(None).cast(specs.schema["id"].dataType).alias("id"), "*")
+    pane = gcd(*(int(r[c]) for r in rows for c in ("range_ms", "step_ms")))
+    parts = {"count": F.count, "sum": F.sum, "min": F.min, "max": F.max, "count_all": lambda _: F.count(F.lit(1))}
+    states = obs.groupBy(*keys, align_start(F.col("ms"), pane).alias("ms")).agg(*(f("value").alias(f"_{name}") for name, f in parts.items()))
+    states = states.join(small(specs.select("id", "range_ms", "step_ms")))
+    states = states.withColumn("win_start", F.explode(window_starts(F.col("ms"), F.col("range_ms"), F.col("step_ms"))))
+    states = states.withColumn("win_end", F.col("win_start") + F.col("range_ms"))
+    merged = {"count": F.sum("_count"), "sum": F.sum("_sum"), "min": F.min("_min"), "max": F.max("_max"), "count_all": F.sum("_count_all")}
+    merged["avg"] = F.when(F.sum("_count") > 0, F.sum("_sum") / F.sum("_count"))
+    return states.groupBy("id", *keys, "win_start", "win_end").agg(*(merged[name].alias(alias) for alias, name in aliases(aggs).items()))
 
 
 def exact_baseline(obs: DataFrame, spec: WindowSpec, keys: Sequence[str] = ("stream",)) -> DataFrame:

@@ -32,7 +32,7 @@ def observation_to_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {TRIPLES} SELECT * FROM triples")
 def ntriples_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.parse_ntriples(S.to_ntriples(S.to_triples(obs(spark, sf_dir))))
+    return S.parse_ntriples(S.to_lines(obs(spark, sf_dir)))
 
 
 @query(f"WITH {OBS} SELECT 'urn:obs:' || event_id AS subject, 'urn:stream:' || stream AS property, ms, value FROM obs")
@@ -51,11 +51,19 @@ def result_message_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(good, "value").select("stream", "start_ms", "end_ms", "value")
 
 
-@query()
+# The bytes of a message, its numbers as text: sums are rounded first, so both sides write the same digits.
+_JSON = """CASE form WHEN 'full' THEN '{{"window":{{"start":' || start_ms || ',"end":' || end_ms || '}},"count":' || count || ',"sum":' || sum || ',"min":' || min || ',"max":' || max || ',"avg":' || (sum / count)
+    || ',"source_stream":"' || stream || '","range":{pane},"temporally_complete":true}}' ELSE '{{"window":{{"start":' || start_ms || ',"end":' || end_ms || '}},"count":' || count || ',"sum":' || sum || '}}' END""".format(pane=PANE)
+
+
+@query(
+    f"""WITH {PANES}, m AS (SELECT stream, form, strlen({_JSON}) AS bytes FROM (SELECT * REPLACE (round(sum, 2) AS sum) FROM panes WHERE count > 0), (VALUES ('full'), ('compact')) f(form))
+    SELECT stream AS topic, form, CAST(sum(bytes) AS BIGINT) AS bytes, count(*) AS messages FROM m GROUP BY ALL"""
+)
 def result_message_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = []
+    rows, parts = states(spark, sf_dir).where("count > 0").withColumn("sum", F.round("sum", 2)), []
     for form in (False, True):
-        json = S.to_result_json(states(spark, sf_dir), compact=form)
+        json = S.to_result_json(rows, compact=form)
         parts.append(json.select("topic", F.lit("compact" if form else "full").alias("form"), F.octet_length("payload").cast("long").alias("bytes")))
     return parts[0].unionByName(parts[1]).groupBy("topic", "form").agg(F.sum("bytes").alias("bytes"), F.count(F.lit(1)).alias("messages"))
 

@@ -33,16 +33,25 @@ def observations(spark: SparkSession, path: str) -> DataFrame:
     return rows.where("ts is not null").withColumn("ms", F.unix_millis("ts"))
 
 
-def to_triples(obs: DataFrame, base: str = "urn:obs:") -> DataFrame:
-    """s, p, o, o_type: three triples for each observation."""
+def _triples(base: str) -> Column:
+    """Array of the three triples of an observation: s, p, o, o_type."""
     s = F.concat(F.lit(base), F.col("event_id"))
     parts = [
         ("property", F.concat(F.lit("urn:stream:"), F.col("stream")), "iri"),
         ("ts", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"), "dateTime"),
         ("value", F.col("value").cast("decimal(18,4)").cast("string"), "double"),
     ]
-    rows = F.array(*(F.struct(s.alias("s"), F.lit(PREDICATES[p]).alias("p"), o.alias("o"), F.lit(kind).alias("o_type")) for p, o, kind in parts))
-    return obs.select(F.explode(rows).alias("t")).select("t.*")
+    return F.array(*(F.struct(s.alias("s"), F.lit(PREDICATES[p]).alias("p"), o.alias("o"), F.lit(kind).alias("o_type")) for p, o, kind in parts))
+
+
+def to_triples(obs: DataFrame, base: str = "urn:obs:") -> DataFrame:
+    """s, p, o, o_type: three triples for each observation."""
+    return obs.select(F.explode(_triples(base)).alias("t")).select("t.*")
+
+
+def to_lines(obs: DataFrame, base: str = "urn:obs:") -> DataFrame:
+    """Text lines of N-Triples, one for each observation, without a shuffle."""
+    return obs.select(F.array_join(F.transform(_triples(base), lambda t: triple_line(t.s, t.p, t.o, t.o_type)), " ").alias("value"))
 
 
 def triple_line(s: Column, p: Column, o: Column, o_type: Column) -> Column:

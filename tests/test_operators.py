@@ -110,6 +110,15 @@ def test_ntriples_lines(spark):
     assert [tuple(r) for r in rows] == [("urn:a", "urn:p", 'x \\" y', "string"), ("urn:a", "urn:q", "urn:b", "iri")]
 
 
+def test_lines_hold_a_subject_each(spark):
+    obs = spark.createDataFrame([(1, "a", 1.5), (2, "b", None)], "event_id long, stream string, value double").withColumn("ts", F.timestamp_seconds(F.col("event_id")))
+    triples = observations.to_triples(obs)
+    for lines in (observations.to_ntriples(triples), observations.to_lines(obs)):
+        assert lines.count() == 2
+        assert sorted(map(tuple, observations.parse_ntriples(lines).collect())) == sorted(map(tuple, triples.where("o is not null").collect()))
+    assert observations.to_ntriples(triples, one_line=False).count() == 6
+
+
 def test_result_messages_of_both_shapes(spark):
     rows = [('{"window":{"start":1,"end":2},"sum":3.0}',), ('{"window_start":1,"window_end":2,"resultValue":5}',), ("no json",), ('{"window_start":1}',), (None,)]
     good, bad = observations.parse_result_messages(spark.createDataFrame(rows, "payload string"))
