@@ -45,7 +45,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes the files of a table made by ``written`` that nothing reads any more."""
+    remove(df.sparkSession, df.scratch)
 
 
 def remove(spark: SparkSession, path: str) -> None:

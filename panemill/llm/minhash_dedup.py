@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panemill.llm.common import spread_join, written
+from panemill.llm.common import discard, spread_join, written
 from panemill.llm.components import connected_components
 
 BANDS, ROWS = 25, 5
@@ -202,7 +202,8 @@ def _texts(nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> Dat
     """node, text of some nodes, written.  The nodes make the hash table, so whole texts are dealt once and never sorted."""
     found = written(_keyed(docs, id_col, text_col).join(nodes.select("node", *KEY).hint("shuffle_hash"), KEY).select("node", "text"), "texts")
     if found.count() > nodes.count():  # rows that repeat an id and a text
-        found = written(found.dropDuplicates(["node"]), "texts")
+        found, all_rows = written(found.dropDuplicates(["node"]), "texts"), found
+        discard(all_rows)
     return found
 
 
@@ -212,7 +213,7 @@ def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
 
 
 def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, threshold: float, width: int) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the threshold.
+    """The pairs (a, b) whose full sets reach the threshold, written; the texts that it needed are deleted.
 
     All partners of a node follow its own text in one sorted run, at most about ``PARTNERS`` of them, so a node's text is neither copied for each
     partner nor are its partners gathered: a task holds one node's set and a few texts.
@@ -244,7 +245,9 @@ def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str,
     partners = dealt.join(texts.withColumnRenamed("node", "b").hint("merge"), "b").select("a", "salt", "b", "text")
     own = salts.join(texts.withColumnRenamed("node", "a").hint("merge"), "a").select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("long").alias("b"), "text")
     run_of = own.unionByName(partners).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
-    return run_of.select("a", "salt", "b", "text").mapInArrow(run, "a long, b long")
+    found = written(run_of.select("a", "salt", "b", "text").mapInArrow(run, "a long, b long"), "links")
+    discard(texts)
+    return found
 
 
 def _buckets(nodes: DataFrame) -> DataFrame:
@@ -258,7 +261,7 @@ def _buckets(nodes: DataFrame) -> DataFrame:
 
 
 def _crossing(stars: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, threshold: float, width: int) -> DataFrame:
-    """Links (a, b) between members of different components of each star (star, node, component).
+    """Links (a, b) between members of different components of each star (star, node, component), written.
 
     A star's most frequent component is M, the rest is F; pairs within M need no look.  Members are dealt to blocks of
     about ``BLOCK``, and each pair of blocks (F with F, F with M) is one group: a task holds two blocks, prunes their pairs by
@@ -276,7 +279,8 @@ def _crossing(stars: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str,
     rows = rows.withColumn("pair", F.explode(F.concat(with_rest, F.coalesce(with_later, F.array().cast("array<struct<x:bigint,y:bigint>>")))))
     rows = rows.select("star", "pair.x", "pair.y", "block", "node", "component")
     wanted = written(nodes.join(stars.select("node").distinct(), "node", "left_semi").select("node", *KEY), "wanted")
-    texts = _texts(wanted, docs, id_col, text_col).join(nodes.select("node", "sig"), "node")
+    whole = _texts(wanted, docs, id_col, text_col)
+    texts = whole.join(nodes.select("node", "sig"), "node")
 
     def links(table: pa.Table) -> pa.Table:
         ids, components = np.array(table.column("node").to_pylist()), np.array(table.column("component").to_pylist())
@@ -316,7 +320,9 @@ def _crossing(stars: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str,
         a, b = zip(*found, strict=True) if found else ((), ())
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return rows.join(texts.hint("merge"), "node").groupBy("star", "x", "y").applyInArrow(links, "a long, b long").distinct()
+    found = written(rows.join(texts.hint("merge"), "node").groupBy("star", "x", "y").applyInArrow(links, "a long, b long").distinct(), "links")
+    discard(whole)
+    return found
 
 
 def _contracted(edges: DataFrame, labels: DataFrame) -> DataFrame:
@@ -335,7 +341,7 @@ def _grouped(docs: DataFrame, threshold: float, id_col: str, text_col: str, widt
     ends = F.explode(F.array(F.struct(F.col("lo").alias("end")), F.struct(F.col("hi").alias("end"))))
     near = shared.select("node", ends.alias("e")).where("node != e.end").select(F.least("node", "e.end").alias("a"), F.greatest("node", "e.end").alias("b")).distinct()
     likely = written(_likely(written(near, "near"), nodes, threshold), "likely")
-    first = written(_confirmed(likely, nodes, docs, id_col, text_col, threshold, width), "links")
+    first = _confirmed(likely, nodes, docs, id_col, text_col, threshold, width)
     labels = connected_components(first).withColumnRenamed("id", "node")
 
     # Buckets that still hold several components: compare across them.
@@ -344,7 +350,7 @@ def _grouped(docs: DataFrame, threshold: float, id_col: str, text_col: str, widt
     stars = written(spread_join(placed, written(mixed, "mixed"), ["key"]).select("star", "node", "component").distinct(), "stars")
     grouped = written(nodes.select("node", *CLASS, "least").join(labels, "node", "left").select(*CLASS, "least", F.coalesce("component", "node").alias("group")), "groups")
     if not stars.isEmpty():
-        second = written(_crossing(stars, nodes, docs, id_col, text_col, threshold, width), "links")
+        second = _crossing(stars, nodes, docs, id_col, text_col, threshold, width)
         upper = connected_components(_contracted(second, labels)).select(F.col("id").alias("group"), "component")
         grouped = written(spread_join(grouped, upper, ["group"], "left").withColumn("group", F.coalesce("component", "group")).drop("component"), "groups")
     top = grouped.groupBy("group").agg(F.min("least").alias("component_id"))

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from panemill.llm.common import WORD, maybe_broadcast, spread_join, written
+from panemill.llm.common import WORD, discard, maybe_broadcast, spread_join, written
 
 #: Rows of a bucket of a source, about.
 BUCKET = 1000
@@ -96,6 +96,7 @@ def _placed(docs: DataFrame, weights: Sequence[int], most: int, seed: str, id_co
         running = F.sum("size").over(W.orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow))
         cut = lane.where(F.col("part") == part).withColumn("running", running).where(F.col("running") > budget).orderBy(*order).first()
         break
+    discard(lane)
     copies = F.lit(0)
     for epoch in range(most):
         copy = placed.source_size * epoch + placed.end

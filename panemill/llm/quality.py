@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from panemill.llm.common import crc_mod, written
+from panemill.llm.common import crc_mod, discard, written
 
 #: Labelled documents to fit on at most.
 LABELLED = 6000
@@ -175,6 +175,12 @@ def _handed(features: DataFrame, weights: list[np.ndarray], taken: set[int], quo
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> dict:
     """The model: weights of both views, of their calibrations, and of the joint score."""
     features = featured(docs, labels, id_col, text_col, label_col)
+    model = _fit(features)
+    discard(features)
+    return model
+
+
+def _fit(features: DataFrame) -> dict:
     sample = features.where("label is not null").select("id", "label", "views", "key").orderBy(F.xxhash64("id", "key"), "id", "label", "key").limit(LABELLED).toArrow().to_pylist()
     y = np.array([r["label"] for r in sample], float)
     share = float(y.mean()) if len(y) else 1.0
