@@ -162,7 +162,7 @@ class Forest:
 
 
 class Codec:
-    """Encoder and decoder of one task.
+    """Encoder and decoder.
 
     A text is first cut at its single spaces between two other characters: no match of the pattern goes beyond such a
     cut but by the space before it, so whole chunks can be remembered, not just matches.  What is not yet known of a
@@ -170,7 +170,7 @@ class Codec:
     """
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.ranks, self.longest = ranks, max(map(len, ranks), default=0)
+        self.ranks, self.pattern, self.longest = ranks, pattern, max(map(len, ranks), default=0)
         self.split = regex.compile(pattern).findall
         self.tokens = {rank: token for token, rank in ranks.items()}
         self.named = {str(rank): token for token, rank in ranks.items()} | {"": b""}
@@ -249,6 +249,16 @@ class Codec:
         return b"".join(map(self.tokens.__getitem__, ids))
 
 
+_held: list[Codec] = []
+
+
+def codec_of(ranks: dict[bytes, int], pattern: str) -> Codec:
+    """The codec of a Python worker: its tables and what it remembers serve all tasks that the worker runs on one vocabulary."""
+    if not _held or _held[0].ranks is not ranks or _held[0].pattern != pattern:
+        _held[:] = [Codec(ranks, pattern)]
+    return _held[0]
+
+
 def blocks(texts: pa.Array) -> Iterator[list[str]]:
     """The texts in order, about 4 million characters at a time."""
     held, size = [], 0
@@ -272,7 +282,7 @@ def encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_
     ranks = _ranks(df, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(ranks.value, pattern)
+        codec = codec_of(ranks.value, pattern)
         for batch in batches:
             ids = [[int(i) for part in parts for i in part.split(",")] for parts in chain.from_iterable(map(codec.encode_block, blocks(batch.column(1))))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["id", "ids"])
@@ -303,7 +313,7 @@ def round_trip(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", t
     ranks = _ranks(df, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(ranks.value, pattern)
+        codec = codec_of(ranks.value, pattern)
         for batch in batches:
             counts, ids, decoded = [], [], []
             for parts in chain.from_iterable(map(codec.encode_block, blocks(batch.column(1)))):
