@@ -26,11 +26,12 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import chain, combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -66,27 +67,18 @@ def units_of(text: str | None) -> set[str]:
     return found
 
 
-def joined_units(text: str | None, borders: frozenset[str] | None = None) -> set[str]:
-    """Short neighbouring words of a line joined, where three letters across their border are among ``borders`` (None: wherever letters meet)."""
+def joined_units(text: str | None, borders: frozenset[str]) -> set[str]:
+    """Short neighbouring words of a line joined, where three letters across their border are among ``borders``."""
     least, most = JOINED
     found = set()
     for line in (text or "").lower().split("\n"):
         words = line.split()
         for a, b in zip(words, words[1:]):
-            if borders is None:
-                if least <= len(a) + len(b) <= most and a[-1].isalpha() and b[0].isalpha():
-                    found.add(f"{a} {b}")
-            elif (a[-1] + b[:2] in borders or a[-2:] + b[0] in borders) and least <= len(a) + len(b) <= most:
+            if (a[-1] + b[:2] in borders or a[-2:] + b[0] in borders) and least <= len(a) + len(b) <= most:
                 found.add(a + b)
     return found
 
 
-def _bordering(pairs: list[str], borders: frozenset[str]) -> list[str]:
-    """Those of two words with a blank between whose border is among the borders, joined."""
-    split = (p.split(" ") for p in pairs)
-    return [a + b for a, b in split if a[-1] + b[:2] in borders or a[-2:] + b[0] in borders]
-
-
 def borders_of(words: list[str]) -> frozenset[str]:
     """Letters that stand in a row of three in the words."""
     letters = (_NOT_LETTER.sub("", w) for w in words)
@@ -232,18 +224,22 @@ def _long_enough(word: str) -> bool:
     return len(_windows(word)[0]) > 3
 
 
-def train(bags: list[tuple[int, list[str], list[str]]]) -> dict:
-    """From (label, units, joined units) of documents, in a fixed order: the folded weights, the offset, the logistic weights, the borders of joined words."""
-    bags = [(label, [u for u in units if _long_enough(u)], pairs) for label, units, pairs in bags]
-    share = sum(label for label, *_ in bags) / len(bags) if bags else 0.0
-    order = np.random.Generator(np.random.PCG64(3)).permutation(len(bags))  # whatever order the ids bring
-    fit, aside = [bags[j] for k, j in enumerate(order) if k % 4], [bags[j] for j in order[::4]]
-    if any(len({label for label, *_ in part}) < 2 for part in (fit, aside)):
+def train(bags: list[tuple[int, list[str]]], joined: Callable[[frozenset[str]], list[list[str]]]) -> dict:
+    """From (label, units) of documents, in a fixed order: the folded weights, the offset, the logistic weights, the borders of joined words.
+
+    ``joined`` gives the documents' joined words, in the same order, once the borders are known.
+    """
+    bags = [(label, [u for u in units if _long_enough(u)]) for label, units in bags]
+    share = sum(label for label, _ in bags) / len(bags) if bags else 0.0
+    order = np.random.Generator(np.random.PCG64(3)).permutation(len(bags)).tolist()  # whatever order the ids bring
+    learnt, aside = [j for k, j in enumerate(order) if k % 4], order[::4]
+    fit = [bags[j] for j in learnt]
+    if any(len({bags[j][0] for j in part}) < 2 for part in (learnt, aside)):
         return {"share": share}
     seen = {label: Counter() for label in (0, 1)}
-    for label, units, _ in fit:
+    for label, units in fit:
         seen[label].update(set(units))
-    bad = max(1, sum(label for label, *_ in fit))
+    bad = max(1, sum(label for label, _ in fit))
     good = len(fit) - bad
     words = sorted(seen[0].keys() | seen[1].keys())
     number = {word: k for k, word in enumerate(words)}
@@ -261,13 +257,14 @@ def train(bags: list[tuple[int, list[str], list[str]]]) -> dict:
 
     score, folded, offset = strength, None, 0.0
     negatives = set(np.flatnonzero(n > 0)[rng.permutation(int((n > 0).sum()))[:6000]].tolist())
-    own = [np.array([number[u] for u in units], np.int64) for label, units, _ in fit if label and units]
+    own = [np.array([number[u] for u in units], np.int64) for label, units in fit if label and units]
     both = p + n
     surprise = p * np.log(np.maximum(p, 1) * (bad + good) / (both * bad)) + n * np.log(np.maximum(n, 1) * (bad + good) / (both * good))
     telling = (odds > 1.5) & (surprise > SURPRISE)
     borders = borders_of([words[k] for k in np.flatnonzero(telling & (p >= BORDERING * bad)).tolist()])
-    joined = Counter(u for label, _, pairs in fit if not label for u in set(_bordering(pairs, borders)))
-    joints = sorted(joined)
+    pairs = joined(borders) if borders else [[] for _ in bags]
+    usual_pairs = Counter(u for j in learnt if not bags[j][0] for u in pairs[j])
+    joints = sorted(usual_pairs)
     for k in range(ROUNDS):
         # The witnesses of a toxic document: its telling units, or else the highest-scoring one.
         witness = Counter(chain.from_iterable(units[telling[units]].tolist() or [int(units[np.argmax(score[units])])] for units in own))
@@ -278,12 +275,12 @@ def train(bags: list[tuple[int, list[str], list[str]]]) -> dict:
         ordinary = [] if folded is None or not joints else [joints[j] for j in np.argsort(-unit_scores(joints, folded), kind="stable")[:HARDEST].tolist()]
         x = landmarks.kernel([words[k] for k in rows] + [v for v, _ in blurred] + ordinary) @ whiten
         y = np.array([1.0 if k in witness else -1.0 for k in rows] + [1.0] * len(blurred) + [-1.0] * len(ordinary))
-        cost = np.array([min(witness.get(k, n[k]), 100) for k in rows] + [c for _, c in blurred] + [min(joined[u], 100) for u in ordinary])
+        cost = np.array([min(witness.get(k, n[k]), 100) for k in rows] + [c for _, c in blurred] + [min(usual_pairs[u], 100) for u in ordinary])
         w = _machine(x, y, np.sqrt(cost), ridge=0.02)
         folded, offset = landmarks.folded(whiten @ w[:-1]), float(w[-1])
         score = np.maximum(unit_scores(words, folded) + offset, NO_UNIT)
-    tops = np.array([[top(unit_scores(own, folded) + offset if own else np.zeros(0))] for own in ([*units, *_bordering(pairs, borders)] for _, units, pairs in aside)])
-    return {"share": share, "weights": folded, "offset": offset, "logistic": _logistic(tops, np.array([label for label, *_ in aside], float)), "borders": borders}
+    tops = np.array([[top(unit_scores(own, folded) + offset if own else np.zeros(0))] for own in ([*bags[j][1], *pairs[j]] for j in aside)])
+    return {"share": share, "weights": folded, "offset": offset, "logistic": _logistic(tops, np.array([bags[j][0] for j in aside], float)), "borders": borders}
 
 
 def top(scores: np.ndarray) -> float:
@@ -291,28 +288,41 @@ def top(scores: np.ndarray) -> float:
     return float(np.clip(scores.max(), NO_UNIT, 1.0)) if len(scores) else NO_UNIT
 
 
-def labelled_bags(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> list[tuple[int, list[str], list[str]]]:
-    """(label, units, joined units) of the sampled documents; the sample, of ``SAMPLE`` labelled rows at most, is the same in each run."""
+def learnt_from(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> dict:
+    """The model from sampled labelled rows, ``SAMPLE`` at most; the sample is the same in each run."""
     chosen = labels.where(F.col(label_col).isin(0, 1) & (crc_mod(F.col(id_col), 3) != 1)).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label"))
     chosen = chosen.orderBy(F.xxhash64("id"), "id", "label").limit(SAMPLE)
+    texts = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
+    sample = texts.join(F.broadcast(chosen), "id").select("id", "label", F.xxhash64("id", "text").alias("key"), "text")
 
     def some(units: set[str]) -> list[str]:
         return sorted(sorted(units, key=lambda u: zlib.crc32(u.encode()))[:UNITS]) if len(units) > UNITS else sorted(units)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(2).to_pylist()
-            units = [[some(of(text)) for text in texts] for of in (units_of, joined_units)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(u, pa.list_(pa.string())) for u in units)], names=["id", "label", "units", "pairs"])
+            units = [some(units_of(text)) for text in batch.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in range(3)), pa.array(units, pa.list_(pa.string()))], names=["id", "label", "key", "units"])
 
-    texts = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
     kind = docs.schema[id_col].dataType.simpleString()
-    bags = texts.join(F.broadcast(chosen), "id").select("id", "label", "text").mapInArrow(run, f"id {kind}, label int, units array<string>, pairs array<string>")
+    bags = sample.mapInArrow(run, f"id {kind}, label int, key long, units array<string>")
     # An id may stand for many rows: the bound counts rows.
-    found = bags.orderBy(F.xxhash64("id", "units"), "id", "label", "units").limit(SAMPLE).toArrow()
-    rows = sorted(zip(*(found.column(c).to_pylist() for c in ("id", "label", "units", "pairs")), strict=True))
-    shared: dict[str, str] = {}  # one copy of each unit
-    return [(label, *([shared.setdefault(u, u) for u in part] for part in parts)) for _, label, *parts in rows]
+    found = bags.orderBy(F.xxhash64("id", "key"), "id", "label", "key").limit(SAMPLE).toArrow()
+    found = found.take(pc.sort_indices(found, [("id", "ascending"), ("label", "ascending"), ("key", "ascending")]))
+    keys, shared = found.column("key").to_pylist(), {}  # one copy of each unit
+    rows = [(label.as_py(), [shared.setdefault(u, u) for u in units.as_py()]) for label, units in zip(found.column("label"), found.column("units"), strict=True)]
+    del found, shared
+
+    def joined(borders: frozenset[str]) -> list[list[str]]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                units = [some(joined_units(text, borders)) for text in batch.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(units, pa.list_(pa.string()))], names=["key", "units"])
+
+        pairs = sample.select("key", "text").where(F.col("key").isin(keys)).mapInArrow(run, "key long, units array<string>").dropDuplicates(["key"]).collect()
+        by = {r["key"]: r["units"] for r in pairs}
+        return [by.get(key, []) for key in keys]
+
+    return train(rows, joined)
 
 
 class Scorer:
@@ -339,7 +349,7 @@ class Scorer:
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
     """id, held_out, score (0 to 1), predicted (1 from 0.7 on)."""
-    model = docs.sparkSession.sparkContext.broadcast(train(labelled_bags(docs, labels, id_col, text_col, label_col)))
+    model = docs.sparkSession.sparkContext.broadcast(learnt_from(docs, labels, id_col, text_col, label_col))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model.value)
@@ -354,7 +364,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
 def accepted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
     """The documents that are not predicted toxic, all columns, without a shuffle."""
-    model = docs.sparkSession.sparkContext.broadcast(train(labelled_bags(docs, labels, id_col, text_col, label_col)))
+    model = docs.sparkSession.sparkContext.broadcast(learnt_from(docs, labels, id_col, text_col, label_col))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model.value)

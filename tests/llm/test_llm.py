@@ -229,7 +229,7 @@ def test_toxicity_tolerates_gaps():
     rng = random.Random(4)
     word = lambda: "".join(rng.choice(["ka", "lo", "mi", "re", "tu", "sen", "dor"]) for _ in range(rng.randint(1, 3)))
     bags = [(k % 4 == 0, sorted({word() for _ in range(60)} | ({rng.choice(["idiot", "scumbag"])} if k % 4 == 0 else set()))) for k in range(400)]
-    model = toxicity.train([(int(label), units, [f"{a} {b}" for a, b in zip(units, units[1:]) if 4 <= len(a) + len(b) <= 10]) for label, units in bags])
+    model = toxicity.train([(int(label), units) for label, units in bags], lambda borders: [sorted(toxicity.joined_units(" ".join(units), borders)) for _, units in bags])
     score = lambda text: float(toxicity.Scorer(model).scores(toxicity.pa.array([text]))[0])
     for text in ("idiot", "what an i.d.i.o.t", "i d i o t", "IDIOT!", "an id-iot", "iddiot", "scumbag", "you id iot", "scum bag"):
         assert score(f"kalo {text} mi") > 0.7, text
@@ -262,8 +262,8 @@ def test_joined_units():
     borders = toxicity.borders_of(["idiot", "scum-bag!"])
     assert {"idi", "dio", "iot", "umb", "mba"} <= borders
     assert toxicity.joined_units("an id iot of the scum Bag, idi ot\nid\niot extraordinarilyid iot", borders) == {"idiot", "scumbag,"}
-    assert toxicity.joined_units("an id iot. So\nbe it", None) == {"an id", "id iot.", "be it"}
-    assert toxicity.joined_units(None, borders) == toxicity.joined_units("") == set()
+    assert toxicity.joined_units("an id iot. So\nbe it", frozenset()) == set()
+    assert toxicity.joined_units(None, borders) == toxicity.joined_units("", borders) == set()
 
 
 def test_toxicity_at_the_threshold(spark):
