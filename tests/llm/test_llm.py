@@ -221,7 +221,7 @@ def test_quality_on_documents_held_out(spark):
 def test_toxicity_on_documents_held_out(spark):
     pairs = held_out(spark, "/root/testdata/sf0.1", "op4_toxicity", "toxic", "score")
     bad, good = ([s for t, s in pairs if t == want] for want in (1, 0))
-    assert np.mean([(b > g) + (b == g) / 2 for b in bad for g in good]) > 0.85
+    assert np.mean([(b > g) + (b == g) / 2 for b in bad for g in good]) > 0.9
     assert all(0 <= s <= 1 for _, s in pairs)
 
 
