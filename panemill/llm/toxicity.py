@@ -160,7 +160,7 @@ class Landmarks:
 
     def kernel(self, words: list[str]) -> np.ndarray:
         """Kernel values of units with the landmarks."""
-        out = np.zeros((len(words), self.table.shape[1]))
+        out = np.zeros((len(words), self.table.shape[1]), np.float32)
         sized: dict[int, list[int]] = {}
         first = [_windows(word)[0] for word in words]
         for k, part in enumerate(first):
@@ -181,14 +181,19 @@ class Landmarks:
 
 def _machine(x: np.ndarray, y: np.ndarray, cost: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     """Weights of a linear machine with squared hinge loss, by Newton steps on the rows within the margin; the last is the offset."""
-    x = np.hstack([x, np.ones((len(x), 1))])
-    w = np.zeros(x.shape[1])
-    penalty = np.eye(x.shape[1]) * ridge
+    width = x.shape[1] + 1
+    w = np.zeros(width)
+    penalty = np.eye(width) * ridge
     penalty[-1, -1] = 1e-6
     for _ in range(30):
-        inside = y * (x @ w) < 1
-        own = x[inside] * cost[inside, None]
-        new = np.linalg.solve(own.T @ x[inside] + penalty, own.T @ y[inside])
+        gram, target = penalty.copy(), np.zeros(width)
+        for at in range(0, len(x), 2048):  # a few rows at a time, in double precision
+            own, sign = np.hstack([x[at : at + 2048], np.ones((len(x[at : at + 2048]), 1))]).astype(float), y[at : at + 2048]
+            inside = sign * (own @ w) < 1
+            own, sign, weight = own[inside], sign[inside], cost[at : at + 2048][inside]
+            gram += (own * weight[:, None]).T @ own
+            target += own.T @ (weight * sign)
+        new = np.linalg.solve(gram, target)
         if np.abs(new - w).max() < 1e-6:
             break
         w = new
@@ -242,8 +247,11 @@ def train(bags: list[tuple[int, list[str]]], joined: Callable[[frozenset[str]],
     bad = max(1, sum(label for label, _ in fit))
     good = len(fit) - bad
     words = sorted(seen[0].keys() | seen[1].keys())
-    number = {word: k for k, word in enumerate(words)}
     p, n = (np.array([seen[label][w] for w in words], float) for label in (1, 0))
+    del seen
+    number = {word: k for k, word in enumerate(words)}
+    own = [np.array([number[u] for u in units], np.int64) for label, units in fit if label and units]
+    del number, fit
     odds = np.log((p + 0.1) / (bad + 0.2)) - np.log((n + 0.1) / (good + 0.2))
     strength = np.where(odds > 0, odds * np.sqrt(p), odds)
     rng = np.random.Generator(np.random.PCG64(5))
@@ -256,8 +264,7 @@ def train(bags: list[tuple[int, list[str]]], joined: Callable[[frozenset[str]],
     whiten = vectors / np.sqrt(np.maximum(values, 1e-3))
 
     score, folded, offset = strength, None, 0.0
-    negatives = set(np.flatnonzero(n > 0)[rng.permutation(int((n > 0).sum()))[:6000]].tolist())
-    own = [np.array([number[u] for u in units], np.int64) for label, units in fit if label and units]
+    negatives = set(np.flatnonzero(n > 0)[rng.permutation(int((n > 0).sum()))[:NEGATIVES]].tolist())
     both = p + n
     surprise = p * np.log(np.maximum(p, 1) * (bad + good) / (both * bad)) + n * np.log(np.maximum(n, 1) * (bad + good) / (both * good))
     telling = (odds > 1.5) & (surprise > SURPRISE)
@@ -273,7 +280,7 @@ def train(bags: list[tuple[int, list[str]]], joined: Callable[[frozenset[str]],
         blurred = [(v, min(c, 100) / 12) for k, c in sorted(witness.items()) if telling[k] for v in variants(words[k], rng)]
         rows = sorted(set(witness) | negatives)
         ordinary = [] if folded is None or not joints else [joints[j] for j in np.argsort(-unit_scores(joints, folded), kind="stable")[:HARDEST].tolist()]
-        x = landmarks.kernel([words[k] for k in rows] + [v for v, _ in blurred] + ordinary) @ whiten
+        x = landmarks.kernel([words[k] for k in rows] + [v for v, _ in blurred] + ordinary) @ whiten.astype(np.float32)
         y = np.array([1.0 if k in witness else -1.0 for k in rows] + [1.0] * len(blurred) + [-1.0] * len(ordinary))
         cost = np.array([min(witness.get(k, n[k]), 100) for k in rows] + [c for _, c in blurred] + [min(usual_pairs[u], 100) for u in ordinary])
         w = _machine(x, y, np.sqrt(cost), ridge=0.02)
