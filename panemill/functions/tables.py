@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Sequence
@@ -12,6 +14,7 @@ from pyspark.sql.window import Window as W
 
 #: Rows of a table that may be broadcast at most; larger ones are joined by shuffle, or refused where only a small one makes sense.
 BROADCAST_ROWS = 200_000
+_made: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
@@ -20,7 +23,11 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     if not top:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        top = f"file://{tempfile.mkdtemp(prefix='panemill-')}"
+        app = spark.sparkContext.applicationId
+        if app not in _made:
+            _made[app] = tempfile.mkdtemp(prefix="panemill-")
+            atexit.register(shutil.rmtree, _made[app], True)
+        top = f"file://{_made[app]}"
     return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
