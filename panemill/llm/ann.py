@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from panemill.llm.common import written
+from panemill.llm.common import least_hashes, written
 
 #: Vectors to train on at most, those for each list at least, and codes of a sub-space.
 SAMPLE, PER_LIST, CODES = 40_000, 8, 256
@@ -177,7 +177,7 @@ def search(rows: DataFrame, every: int = 100, k: int = 10, id_col: str = "vec_id
     sizes = x.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
     width = sizes["n"] if sizes else 0
     x = x.where(F.size("v") == width)
-    sample = np.array([r["v"] for r in x.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("v").toArrow().to_pylist()], float).reshape(-1, max(1, width))
+    sample = np.array([r["v"] for r in least_hashes(x, F.xxhash64("id"), SAMPLE, sizes["count"] if sizes else 0, "id").select("v").toArrow().to_pylist()], float).reshape(-1, max(1, width))
     if not len(sample):
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     model = spark.sparkContext.broadcast(train(sample, sizes["count"], k, recall))  # bounded by the sample's size

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from panemill.llm.common import crc_mod, discard, written
+from panemill.llm.common import crc_mod, discard, least_hashes, written
 
 #: Labelled documents to fit on at most.
 LABELLED = 6000
@@ -181,7 +181,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 
 def _fit(features: DataFrame) -> dict:
-    sample = features.where("label is not null").select("id", "label", "views", "key").orderBy(F.xxhash64("id", "key"), "id", "label", "key").limit(LABELLED).toArrow().to_pylist()
+    known = features.where("label is not null").select("id", "label", "views", "key")
+    sample = least_hashes(known, F.xxhash64("id", "key"), LABELLED, known.count(), "id", "label", "key").toArrow().to_pylist()
     y = np.array([r["label"] for r in sample], float)
     share = float(y.mean()) if len(y) else 1.0
     turn = np.random.Generator(np.random.PCG64(3)).permutation(len(y)) % 4  # whatever order the ids bring

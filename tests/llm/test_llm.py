@@ -581,6 +581,16 @@ def test_neighbours_of_repeated_ids(spark, monkeypatch):
         assert got == brute_neighbours(rows)
 
 
+def test_samples_by_hash_are_full_and_stable(spark):
+    from panemill.llm.common import least_hashes
+
+    rows = spark.range(20_000).repartition(5)
+    want = {r["id"] for r in rows.orderBy(F.xxhash64("id")).limit(1000).collect()}
+    assert {r["id"] for r in least_hashes(rows, F.xxhash64("id"), 1000, 20_000, "id").collect()} == want
+    assert least_hashes(rows, F.xxhash64("id"), 30_000, 20_000, "id").count() == 20_000
+    assert least_hashes(rows.limit(0), F.xxhash64("id"), 10, 0, "id").count() == 0
+
+
 def test_neighbours_exact_mode(spark):
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # groups of both sides must meet in every partition
     x = np.random.default_rng(9).normal(size=(1500, 12))
