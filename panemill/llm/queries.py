@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from panemill.llm import ann, mixing, warc
+from panemill.llm import ann, mixing, warc, word_bpe
 from panemill.llm.byte_bpe import round_trip
 from panemill.llm.common import table
 from panemill.llm.language_id import identify
@@ -21,6 +20,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def byte_bpe(docs: DataFrame) -> DataFrame:
+    import public_tokenizers  # where it is used: without it the other queries still work
+
     return round_trip(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
@@ -64,7 +65,13 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents_as_media(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_minhash, op2_mixing, op3_quality, op4_toxicity, op5_warc, op6_quotations, op7_language, op8_byte_bpe, op9_neighbours, op10_media)}
+def op13_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return word_bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_minhash, op2_mixing, op3_quality, op4_toxicity, op5_warc, op6_quotations, op7_language, op8_byte_bpe, op9_neighbours, op10_media, op13_word_bpe)}
 
 #: DuckDB SQL for the queries that SQL can express.
 ORACLE: dict[str, str] = {"op2_mixing": mixing.ORACLE}
