@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panemill.llm import ann, mixing, resampling, warc, word_bpe
+from panemill.llm import ann, mixing, phrases, resampling, warc, word_bpe
 from panemill.llm.byte_bpe import round_trip
 from panemill.llm.common import table
 from panemill.llm.language_id import identify
@@ -65,6 +65,10 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents_as_media(table(spark, sf_dir, "documents"))
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -75,7 +79,7 @@ def op13_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return word_bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_minhash, op2_mixing, op3_quality, op4_toxicity, op5_warc, op6_quotations, op7_language, op8_byte_bpe, op9_neighbours, op10_media, op12_resampling, op13_word_bpe)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_minhash, op2_mixing, op3_quality, op4_toxicity, op5_warc, op6_quotations, op7_language, op8_byte_bpe, op9_neighbours, op10_media, op11_phrases, op12_resampling, op13_word_bpe)}
 
 #: DuckDB SQL for the queries that SQL can express.
-ORACLE: dict[str, str] = {"op2_mixing": mixing.ORACLE, "op12_resampling": resampling.ORACLE}
+ORACLE: dict[str, str] = {"op2_mixing": mixing.ORACLE, "op11_phrases": phrases.ORACLE, "op12_resampling": resampling.ORACLE}
