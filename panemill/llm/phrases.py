@@ -8,7 +8,8 @@ words are counted the same way, in tiles of pair rank and word id.
 The ids that tasks hold are bounded: ``VOCABULARY`` words and ``PAIRS`` pairs, the most frequent ones.  What is beyond is counted exactly as well: phrases
 with a further frequent word by their text, and triples that begin with a further frequent pair by their whole key.  Tasks tell such words and pairs from
 infrequent ones by a sieve, a bitmap of fixed size of their hashes, which lets some infrequent ones through, but no frequent one is lost; counts are compared
-with the limit afterwards.  Words and pairs beyond the bounds are the least frequent, so joins on them have no hot key, and those within are broadcast.
+with the limit afterwards.  Tasks look up the words of the vocabulary; further words are the least frequent, so joins on them have no hot key; joins of triples
+with their pairs split hot pairs.
 
 A candidate is a phrase of two or three words with the least count.  It is cut into a first part and the rest where the score, the scaled square of its count
 over the product of the parts' counts, is lowest; products are decimals of 38 digits, so the division is exact.
@@ -21,16 +22,16 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from functools import reduce
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from panemill.llm.common import written
+from panemill.llm.common import spread_join, written
 
 LEAST = 10
 TOP = 2000
@@ -302,36 +303,83 @@ def _counted(docs: DataFrame, lexicon, ranked, length: int) -> DataFrame:
 # --- frequent phrases by ids
 
 
-def _resolved(counts: DataFrame, words: DataFrame, further: DataFrame | None, length: int) -> DataFrame:
+def _most_frequent(rows: DataFrame, most: int) -> tuple[DataFrame, DataFrame | None]:
+    """The most frequent rows of a table with n, ``most`` at most, and the further ones, if there are any: all of one count are on one side.
+
+    The border comes from a histogram: counts below 4096 as they are, larger ones by 64 steps a doubling.
+    """
+    step = F.when(F.col("n") < 4096, F.col("n")).otherwise(4096 + F.floor(64 * F.log2(F.col("n") / 4096)))
+    found = rows.groupBy(step.alias("step")).count().toArrow()  # some thousand rows
+    steps, n = found.column("step").to_numpy(), found.column("count").to_numpy()
+    order = np.argsort(-steps)
+    held = int(np.searchsorted(np.cumsum(n[order]), most, "right"))
+    if held == len(order):
+        return rows, None
+    border = int(steps[order[held]])
+    return rows.where(step > border), rows.where(step <= border)
+
+
+def _vocabulary(frequent: DataFrame, most: int) -> tuple[pa.Table, DataFrame | None]:
+    """The most frequent words, sorted so that a word's place is its id (by language and rank), and the further ones with higher ids."""
+    top, further = _most_frequent(frequent, most)
+    table = top.select("lang", "word", "n").toArrow().cast(pa.schema([("lang", pa.string()), ("word", pa.string()), ("n", pa.int64())]))
+    table = table.sort_by([("lang", "ascending"), ("n", "descending"), ("word", "ascending")])
+    return table, None if further is None else written(further.withColumn("id", F.monotonically_increasing_id() + (1 << BITS)), "further_words")
+
+
+def _by_id(counts: DataFrame, lexicon, further: DataFrame | None, length: int) -> DataFrame:
     """i1, i2 ..., n: phrases by the ids of their words, of which those beyond the vocabulary have higher ones.
 
-    Texts are resolved by two joins a word: the vocabulary is broadcast, and further words are not frequent enough to be hot.
+    Tasks look words of the vocabulary up; a further word is joined, and isn't frequent enough to be hot.
     """
     names = [f"i{k + 1}" for k in range(length)]
     shift = [BITS * (length - 1 - k) for k in range(length)]
     by_key = counts.where("key is not null").select(*(F.shiftright("key", s).bitwiseAND(F.lit((1 << BITS) - 1)).alias(name) for name, s in zip(names, shift, strict=True)), "n")
     if further is None:
         return by_key
-    said = F.substring_index("phrase", "\t", -1)
-    rows = counts.where("phrase is not null").select(F.expr("substring(phrase, 1, length(phrase) - length(substring_index(phrase, '\t', -1)) - 1)").alias("lang"), F.split(said, " ").alias("words"), "n")
-    for k, name in enumerate(names):
-        rows = rows.withColumn("word", F.col("words")[k])
-        known = rows.join(F.broadcast(words.select("lang", "word", F.col("id").alias(name))), ["lang", "word"])
-        beyond = rows.join(F.broadcast(words.select("lang", "word")), ["lang", "word"], "left_anti").join(further.select("lang", "word", F.col("id").alias(name)), ["lang", "word"])
-        rows = known.unionByName(beyond).drop("word")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, langs, parts = [[] for _ in names], [], [[] for _ in names]
+            for phrase in batch.column(0).to_pylist():
+                lang, _, said = phrase.rpartition("\t")
+                known, words = lexicon.value.of(lang), said.split(" ")
+                langs.append(lang)
+                for k, word in enumerate(words):
+                    i = known[word.encode()]
+                    ids[k].append(i if i >= 0 else None)
+                    parts[k].append(word)
+            yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in ids), *(pa.array(x, pa.string()) for x in parts), pa.array(langs, pa.string()), batch.column(1)], names=[*names, *(f"w_{n}" for n in names), "lang", "n"])
+
+    schema = ", ".join([*(f"{n} long" for n in names), *(f"w_{n} string" for n in names), "lang string", "n long"])
+    rows = counts.where("phrase is not null").select("phrase", "n").mapInArrow(run, schema)
+    for name in names:
+        own = further.select(F.col("lang"), F.col("word").alias(f"w_{name}"), F.col("id").alias("_id"))
+        found = rows.where(F.col(name).isNull()).join(own, ["lang", f"w_{name}"]).withColumn(name, F.col("_id")).drop("_id")
+        rows = rows.where(F.col(name).isNotNull()).unionByName(found)
     return by_key.unionByName(rows.select(*names, "n"))
 
 
-def _with(rows: DataFrame, on: list[str], names: list[str], hot: DataFrame, further: DataFrame | None) -> DataFrame:
-    """Rows with the columns that a table has for a key; its hot rows, a bounded number, are broadcast, further ones joined by shuffle.
+def _with_words(rows: DataFrame, names: list[str], lexicon, further: DataFrame | None) -> DataFrame:
+    """Adds lang, and for each column of ids the word (w_) and its count (n_): from the vocabulary in tasks, for further words by joins."""
+    columns = rows.columns
 
-    ``on`` are columns of the rows, ``names`` the table's columns in the same order.
-    """
-    renamed = lambda table: table.withColumnsRenamed(dict(zip(names, on, strict=True)))
-    found = rows.join(F.broadcast(renamed(hot)), on)
-    if further is None:
-        return found
-    return found.unionByName(rows.join(F.broadcast(renamed(hot.select(*names))), on, "left_anti").join(renamed(further), on))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = lexicon.value.table
+        langs, words, n = (table.column(c).combine_chunks() for c in ("lang", "word", "n"))
+        for batch in batches:
+            at = [pc.if_else(pc.less(ids := batch.column(columns.index(name)), table.num_rows), ids, pa.scalar(None, pa.int64())) for name in names]
+            more = [langs.take(at[0]), *(words.take(x) for x in at), *(n.take(x) for x in at)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*columns, "lang", *(f"w_{x}" for x in names), *(f"n_{x}" for x in names)])
+
+    schema = ", ".join([*(f"{c} {kind}" for c, kind in rows.dtypes), "lang string", *(f"w_{x} string" for x in names), *(f"n_{x} long" for x in names)])
+    out = rows.mapInArrow(run, schema)
+    for name in names if further is not None else ():
+        own = further.select(F.col("id").alias(name), F.col("lang").alias("_lang"), F.col("word").alias("_word"), F.col("n").alias("_n"))
+        found = out.where(F.col(name) >= 1 << BITS).join(own, name)
+        found = found.withColumns({f"w_{name}": F.col("_word"), f"n_{name}": F.col("_n"), "lang": F.coalesce("lang", "_lang")}).drop("_lang", "_word", "_n")
+        out = out.where(F.col(name).isNull() | (F.col(name) < 1 << BITS)).unionByName(found)
+    return out
 
 
 def _score(a: Column, left: Column, right: Column) -> Column:
@@ -339,74 +387,48 @@ def _score(a: Column, left: Column, right: Column) -> Column:
     return F.call_function("div", F.lit(SCALE).cast("decimal(7,0)") * (big(a) * big(a)), big(left) * big(right))
 
 
-def _vocabulary(frequent: DataFrame, most: int) -> tuple[pa.Table, DataFrame | None]:
-    """The most frequent words, sorted so that a word's place is its id (by language and rank), and the further ones."""
-    order = [F.col("n").desc(), F.col("lang"), F.col("word")]
-    top = frequent.orderBy(*order).limit(most).toArrow().cast(pa.schema([("lang", pa.string()), ("word", pa.string()), ("n", pa.int64())]))
-    further = None
-    if top.num_rows == most:
-        n, lang, word = (top.column(c)[-1].as_py() for c in ("n", "lang", "word"))
-        same = F.col("n") == n
-        further = frequent.where((F.col("n") < n) | same & (F.col("lang") > lang) | same & (F.col("lang") == lang) & (F.col("word") > word))
-        further = None if further.isEmpty() else written(further.withColumn("id", F.monotonically_increasing_id() + (1 << BITS)), "further_words")
-    return top.sort_by([("lang", "ascending"), ("n", "descending"), ("word", "ascending")]), further
-
-
 def collocations(
     docs: DataFrame, text_col: str = "text", lang_col: str = "lang", longest: int = 3, least: int = LEAST, top: int = TOP, held_by: int = HELD_BY, vocabulary: int = VOCABULARY, pairs: int = PAIRS
 ) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: the best phrases of two words, or two and three, of each language."""
     if longest not in (2, 3) or vocabulary > 1 << BITS:
         raise ValueError("phrases have two or three words, and ids 18 bits")
-    spark = docs.sparkSession
+    broadcast = docs.sparkSession.sparkContext.broadcast
     texts = docs.select(docs[lang_col].alias("lang"), docs[text_col].alias("text"))
     counts = written(word_counts(texts).where((F.col("n") >= least) | F.col("word").isNull()), "words")
     totals = counts.where("word is null").select("lang", F.col("n").alias("words"))
     table, further = _vocabulary(counts.where("word is not null"), vocabulary)
-    words = spark.createDataFrame(table.append_column("id", pa.array(np.arange(table.num_rows), pa.int64())))
-    sieve = None if further is None else sieve_of(F.crc32(F.concat_ws("\t", "lang", "word")), further)
-    lexicon = spark.sparkContext.broadcast(Lexicon(table, sieve))
-
-    two = written(_counted(texts, lexicon, None, 2).where(F.col("n") >= least), "pairs")
-    named = lambda rows, length: _resolved(rows, words, further, length)
-    of_two = named(two, 2)
-    word_n = (words.select("id", F.col("n").alias("_")), None if further is None else further.select("id", F.col("n").alias("_")))
-    count_of = lambda rows, on, out: _with(rows, [on], ["id"], *word_n).withColumnRenamed("_", out)
-    rows = count_of(count_of(of_two, "i1", "l"), "i2", "r").select("i1", "i2", F.lit(None).cast("long").alias("i3"), F.col("n").alias("a"), "l", "r", _score(F.col("n"), F.col("l"), F.col("r")).alias("score"))
-
+    lexicon = broadcast(Lexicon(table, None if further is None else sieve_of(F.crc32(F.concat_ws("\t", "lang", "word")), further)))
+
+    counted = written(_counted(texts, lexicon, None, 2).where(F.col("n") >= least), "pairs")
+    two = _by_id(counted, lexicon, further, 2)
+    two = two if further is None else written(two, "pairs_by_id")
+    rows = _with_words(two.withColumnRenamed("n", "a"), ["i1", "i2"], lexicon, further)
+    rows = rows.select("i1", "i2", "lang", F.concat_ws(" ", "w_i1", "w_i2").alias("phrase"), "a", F.col("n_i1").alias("l"), F.col("n_i2").alias("r"))
+    rows = rows.withColumn("score", _score(F.col("a"), F.col("l"), F.col("r")))
     if longest == 3:
-        best = two.where("key is not null").orderBy(F.col("n").desc(), "key").limit(pairs).select("key", "n").toArrow()
-        keys, n = best.column("key").to_numpy(), best.column("n").to_numpy()
-        beyond = two.where(F.col("key").isNotNull() & ((F.col("n") < int(n[-1])) | (F.col("n") == int(n[-1])) & (F.col("key") > int(keys[-1])))) if len(keys) == pairs else None
-        beyond = None if beyond is None or beyond.isEmpty() else beyond
-        by_text = None if further is None else sieve_of(F.crc32("phrase"), two.where("phrase is not null"))
-        ranked = spark.sparkContext.broadcast(Ranked(keys, None if beyond is None else sieve_of(F.col("key"), beyond), by_text))
-        three = named(written(_counted(texts, lexicon, ranked, 3).where(F.col("n") >= least), "triples"), 3)
-        hot = spark.createDataFrame(pa.table({"p1": pa.array(keys >> BITS, pa.int64()), "p2": pa.array(keys & (1 << BITS) - 1, pa.int64()), "_": pa.array(n, pa.int64())}))
-        # Pairs that are not broadcast: those with a further word, and those beyond the ranks.
-        cold = [x for x in (beyond, None if further is None else two.where("phrase is not null")) if x is not None]
-        cold = named(reduce(DataFrame.unionByName, cold), 2).select(F.col("i1").alias("p1"), F.col("i2").alias("p2"), F.col("n").alias("_")) if cold else None
-        pair_of = lambda rows, on, out: _with(rows, on, ["p1", "p2"], hot, cold).withColumnRenamed("_", out)
-        three = written(pair_of(pair_of(three.withColumnRenamed("n", "a"), ["i1", "i2"], "l2"), ["i2", "i3"], "r1"), "candidates")
+        best, beyond = _most_frequent(counted.where("key is not null"), pairs)
+        by_text = None if further is None else sieve_of(F.crc32("phrase"), counted.where("phrase is not null"))
+        best = best.select("key", "n").toArrow().sort_by([("n", "descending"), ("key", "ascending")])
+        ranked = broadcast(Ranked(best.column("key").to_numpy(), None if beyond is None else sieve_of(F.col("key"), beyond), by_text))
+        found = written(_counted(texts, lexicon, ranked, 3).where(F.col("n") >= least), "triples")
+        three = written(_by_id(found, lexicon, further, 3).withColumnRenamed("n", "a"), "triples_by_id")
+        # A pair may begin most triples: joins split hot pairs.
+        three = written(spread_join(three, two.withColumnRenamed("n", "l2"), ["i1", "i2"]), "triples_left")
+        three = written(spread_join(three, two.select(F.col("i1").alias("i2"), F.col("i2").alias("i3"), F.col("n").alias("r1")), ["i2", "i3"]), "triples_right")
         longer = three.select("i1", "i2", "a").unionAll(three.select(F.col("i2").alias("i1"), F.col("i3").alias("i2"), "a")).groupBy("i1", "i2").agg(F.max("a").alias("longer"))
         rows = rows.join(longer, ["i1", "i2"], "left").where(F.col("longer").isNull() | (100 * F.col("longer") < held_by * F.col("a"))).drop("longer")
-        three = count_of(count_of(three, "i1", "l1"), "i3", "r2")
-        one, other = _score(F.col("a"), F.col("l1"), F.col("r1")), _score(F.col("a"), F.col("l2"), F.col("r2"))
+        three = _with_words(three, ["i1", "i2", "i3"], lexicon, further)
+        one, other = _score(F.col("a"), F.col("n_i1"), F.col("r1")), _score(F.col("a"), F.col("l2"), F.col("n_i3"))
         three = three.withColumns({"s1": one, "s2": other}).withColumn("first", F.col("s1") <= F.col("s2"))
         pick = lambda x, y: F.when(F.col("first"), F.col(x)).otherwise(F.col(y))
-        rows = rows.unionByName(three.select("i1", "i2", "i3", "a", pick("l1", "l2").alias("l"), pick("r1", "r2").alias("r"), pick("s1", "s2").alias("score")))
-    return _best(rows, words, further, totals, top)
+        three = three.select("lang", F.concat_ws(" ", "w_i1", "w_i2", "w_i3").alias("phrase"), "a", pick("n_i1", "l2").alias("l"), pick("r1", "n_i3").alias("r"), pick("s1", "s2").alias("score"))
+        rows = rows.drop("i1", "i2").unionByName(three)
+    return _best(rows, totals, top)
 
 
-def _best(rows: DataFrame, words: DataFrame, further: DataFrame | None, totals: DataFrame, top: int) -> DataFrame:
+def _best(rows: DataFrame, totals: DataFrame, top: int) -> DataFrame:
     """The first phrases of each language by score, count and text; sought in groups first, so no task orders all phrases of a language."""
-    name = (words.select("id", "lang", "word"), None if further is None else further.select("id", "lang", "word"))
-    rows = _with(rows, ["i1"], ["id"], *name).withColumnRenamed("word", "w1")
-    name = tuple(x if x is None else x.drop("lang") for x in name)
-    rows = _with(rows, ["i2"], ["id"], *name).withColumnRenamed("word", "w2")
-    three = _with(rows.where("i3 is not null"), ["i3"], ["id"], *name).withColumnRenamed("word", "w3")
-    columns = ["lang", "a", "l", "r", "score"]
-    rows = rows.where("i3 is null").select(*columns, F.concat_ws(" ", "w1", "w2").alias("phrase")).unionByName(three.select(*columns, F.concat_ws(" ", "w1", "w2", "w3").alias("phrase")))
     order = [F.col("score").desc(), F.col("a").desc(), F.col("phrase")]
     rows = rows.withColumn("_group", F.pmod(F.xxhash64("phrase"), F.lit(GROUPS)))
     place = lambda *by: F.row_number().over(W.partitionBy(*by).orderBy(*order))
