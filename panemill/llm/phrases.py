@@ -44,7 +44,7 @@ BITS = 18
 #: Side of a tile; pairs of a block from which it is dense.
 TILE, DENSE = 512, 512 * 512 // 8
 #: Pairs that are counted together, and counts that a task holds before it hands them on, at most.
-BLOCK, HELD = 2_000_000, 2_000_000
+BLOCK, HELD = 1_000_000, 1_000_000
 #: Bits of a sieve.
 SIEVE = 1 << 25
 #: Groups that the best phrases of a language are first sought in.
@@ -354,9 +354,10 @@ def _by_id(counts: DataFrame, lexicon, further: DataFrame | None, length: int) -
     schema = ", ".join([*(f"{n} long" for n in names), *(f"w_{n} string" for n in names), "lang string", "n long"])
     rows = counts.where("phrase is not null").select("phrase", "n").mapInArrow(run, schema)
     for name in names:
-        own = further.select(F.col("lang"), F.col("word").alias(f"w_{name}"), F.col("id").alias("_id"))
-        found = rows.where(F.col(name).isNull()).join(own, ["lang", f"w_{name}"]).withColumn(name, F.col("_id")).drop("_id")
-        rows = rows.where(F.col(name).isNotNull()).unionByName(found)
+        # A word that has its id gets a key of its own, with a tab, which no word holds.
+        key = F.when(F.col(name).isNull(), F.col(f"w_{name}")).otherwise(F.concat(F.lit("\t"), F.xxhash64(*(f"w_{n}" for n in names)).cast("string")))
+        own = further.select("lang", F.col("word").alias("_key"), F.col("id").alias("_id"))
+        rows = rows.withColumn("_key", key).join(own, ["lang", "_key"], "left").withColumn(name, F.coalesce(name, "_id")).drop("_id", "_key")
     return by_key.unionByName(rows.select(*names, "n"))
 
 
@@ -373,13 +374,17 @@ def _with_words(rows: DataFrame, names: list[str], lexicon, further: DataFrame |
             yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*columns, "lang", *(f"w_{x}" for x in names), *(f"n_{x}" for x in names)])
 
     schema = ", ".join([*(f"{c} {kind}" for c, kind in rows.dtypes), "lang string", *(f"w_{x} string" for x in names), *(f"n_{x} long" for x in names)])
-    out = rows.mapInArrow(run, schema)
-    for name in names if further is not None else ():
-        own = further.select(F.col("id").alias(name), F.col("lang").alias("_lang"), F.col("word").alias("_word"), F.col("n").alias("_n"))
-        found = out.where(F.col(name) >= 1 << BITS).join(own, name)
-        found = found.withColumns({f"w_{name}": F.col("_word"), f"n_{name}": F.col("_n"), "lang": F.coalesce("lang", "_lang")}).drop("_lang", "_word", "_n")
-        out = out.where(F.col(name).isNull() | (F.col(name) < 1 << BITS)).unionByName(found)
-    return out
+    if further is None:
+        return rows.mapInArrow(run, schema)
+    beyond = F.greatest(*names) >= 1 << BITS  # of a written table
+    out = rows.where(beyond).mapInArrow(run, schema)
+    for name in names:
+        own = further.select(F.col("id").alias("_id"), F.col("lang").alias("_lang"), F.col("word").alias("_word"), F.col("n").alias("_n"))
+        # A word of the vocabulary gets a key of its own below 0.
+        key = F.when(F.col(name) >= 1 << BITS, F.col(name)).otherwise(-1 - F.abs(F.xxhash64(*names)))
+        out = out.withColumn("_id", key).join(own, "_id", "left")
+        out = out.withColumns({f"w_{name}": F.coalesce(f"w_{name}", "_word"), f"n_{name}": F.coalesce(f"n_{name}", "_n"), "lang": F.coalesce("lang", "_lang")}).drop("_id", "_lang", "_word", "_n")
+    return rows.where(~beyond).mapInArrow(run, schema).unionByName(out)
 
 
 def _score(a: Column, left: Column, right: Column) -> Column:
