@@ -7,8 +7,9 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -70,3 +71,20 @@ def numbered(rows: DataFrame, keys: Sequence[str], order: Sequence[str], place:
     inside = F.row_number().over(W.partitionBy(*keys, "_part").orderBy(*order))
     out = own.withColumn("_inside", inside).join(sizes, [*keys, "_part"]).withColumn(place, F.col("_inside") + F.col("_above"))
     return (out.withColumn(total, F.col("_all")) if total else out).drop("_part", "_inside", "_above", "_all")
+
+
+def with_previous(rows: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column, name: str = "previous") -> DataFrame:
+    """Adds the columns ``order`` of the key's row before, as a struct; null for a key's first row.
+
+    Rows are compared within buckets, which must rise with the order, and a bucket's first row with the last one of the key's bucket before, so
+    a busy key is spread over its buckets; only one short row a bucket is ordered by key.
+    """
+    rows = rows.withColumn("_in", bucket)
+    own = F.struct(*order)
+    ends = rows.groupBy(*keys, "_in").agg(F.max(own).alias("_end"))
+    before = F.lag("_end").over(W.partitionBy(*keys).orderBy("_in")).alias("_before")
+    ends = ends.select(*(F.col(k).alias(f"_end_{k}") for k in (*keys, "_in")), before)
+    inside = F.lag(own).over(W.partitionBy(*keys, "_in").orderBy(*order))
+    same = reduce(Column.__and__, (F.col(k).eqNullSafe(F.col(f"_end_{k}")) for k in (*keys, "_in")))
+    rows = rows.withColumn("_inside", inside).join(ends, same)
+    return rows.withColumn(name, F.coalesce("_inside", "_before")).drop("_in", "_inside", "_before", *(f"_end_{k}" for k in (*keys, "_in")))

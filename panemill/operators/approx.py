@@ -6,15 +6,18 @@ Sub-results are (topic, start_ms, end_ms, value); targets are (b_start, b_end).
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from panemill.functions.tables import small
+from panemill.functions.tables import is_small
 from panemill.operators.relational import overlap_join
 
 TARGET = ("b_start", "b_end")
+#: Slices of a table that is too large to broadcast where every row meets every other.
+SLICES = 64
 
 
 def _overlap() -> Column:
@@ -32,7 +35,7 @@ def approx_pair(pairs: DataFrame) -> DataFrame:
     weighted = F.col("v1") * F.col("d1") + F.col("v2") * F.col("d2") - F.col("vo") * F.col("dov")
     return pairs.withColumns(
         {
-            "avg": weighted / F.col("dt"),
+            "avg": F.try_divide(weighted, "dt"),
             "sum": weighted,
             "count": F.col("v1") + F.col("v2") - F.col("vo"),
             "min": F.least("v1", "v2", "vo"),
@@ -63,24 +66,80 @@ def neighbours(sub: DataFrame, keys: Sequence[str] = ("topic",)) -> DataFrame:
 def approx_overlap_avg(sub: DataFrame, targets: DataFrame, bucket_ms: int, keys: Sequence[str] = ("topic",)) -> DataFrame:
     """The mean of overlapping results, weighted by the length of the overlap."""
     rows = overlap_join(sub, targets, bucket_ms).withColumn("w", _overlap())
-    return rows.groupBy(*keys, *TARGET).agg((F.sum(F.col("value") * F.col("w")) / F.sum("w")).alias("avg"))
+    return rows.groupBy(*keys, *TARGET).agg(F.try_divide(F.sum(F.col("value") * F.col("w")), F.sum("w")).alias("avg"))
 
 
-def segments(sub: DataFrame, targets: DataFrame, bucket_ms: int, keys: Sequence[str] = ("topic",)) -> DataFrame:
-    """Each target cut at all bounds of overlapping results: seg_start, seg_end, with the results that cover a segment."""
-    rows = overlap_join(sub, targets, bucket_ms)
-    inner = F.array_distinct(F.array("b_start", "b_end", F.greatest("start_ms", "b_start"), F.least("end_ms", "b_end")))
-    points = rows.select(*keys, *TARGET, F.explode(inner).alias("seg_start")).distinct()
-    order = W.partitionBy(*keys, *TARGET).orderBy("seg_start")
-    cuts = points.withColumn("seg_end", F.lead("seg_start").over(order)).where("seg_end is not null")
-    return cuts.join(rows.select(*keys, *TARGET, "start_ms", "end_ms", "value"), [*keys, *TARGET]).where("start_ms <= seg_start and end_ms >= seg_end")
+def _asked(sub: DataFrame, targets: DataFrame, bucket_ms: int, keys: Sequence[str]) -> DataFrame:
+    """keys and targets that may overlap: those that meet in a bucket, of which a key has one row however many results it has there."""
+    cut = lambda df, lo, hi: F.explode(F.sequence(F.floor(F.col(lo) / bucket_ms), F.floor((F.col(hi) - 1) / bucket_ms))).alias("_bucket")
+    held = sub.select(*keys, cut(sub, "start_ms", "end_ms")).distinct()
+    wanted = targets.where("b_end > b_start").select(*TARGET, cut(targets, "b_start", "b_end")).distinct()
+    return held.join(wanted, "_bucket").select(*keys, *TARGET).distinct()
+
+
+def approx_rate_sums(sub: DataFrame, targets: DataFrame, bucket_ms: int, keys: Sequence[str] = ("topic",)) -> DataFrame:
+    """sum: each result adds its rate times the overlap; segment_count: each result adds its value once a segment, targets being cut at all bounds within.
+
+    A sweep over bounds: each time at which results begin or end has the change of rate and value, and running sums give what is active.  A target reads them at its own
+    two bounds, so the work is one row a bound, however many results overlap one another.  Time is cut in blocks of a power of two, at least as long as the target: sums
+    run within a block, from the rates and values that are active at its beginning, so nothing is taken from sums over all of time.
+    """
+    whole = sub.where("end_ms > start_ms and value is not null")
+    rate = F.col("value") / (F.col("end_ms") - F.col("start_ms"))
+    change = lambda at, sign: whole.select(*keys, F.col(at).alias("_t"), (sign * rate).alias("_dr"), (sign * F.col("value")).alias("_dv"), F.lit(sign).alias("_dn"))
+    bounds = change("start_ms", 1).unionAll(change("end_ms", -1)).groupBy(*keys, "_t").agg(F.sum("_dr").alias("_dr"), F.sum("_dv").alias("_dv"), F.sum("_dn").cast("long").alias("_dn"))
+
+    width = F.call_function("shiftleft", F.lit(1).cast("long"), F.length(F.bin(F.col("b_end") - F.col("b_start") - 1)))  # a power of two, no less than the target
+    asked = _asked(whole, targets, bucket_ms, keys).withColumn("_width", width)
+    widths = [F.lit(r[0]) for r in targets.where("b_end > b_start").select(width).distinct().collect()]  # 63 at most
+    # In the order of time: a target's end, then the changes, then a target's start.
+    asks = asked.select(*keys, *TARGET, "_width", F.explode(F.array(F.struct(F.col("b_end").alias("_t"), F.lit(0).alias("_kind")), F.struct(F.col("b_start").alias("_t"), F.lit(2).alias("_kind")))).alias("_ask")).select(*keys, *TARGET, "_width", "_ask.*")
+    rows = bounds.withColumns({"_width": F.explode(F.array(*widths).cast("array<bigint>")), "_kind": F.lit(1)}).unionByName(asks, allowMissingColumns=True)
+    # An end on the border of two blocks belongs to the one before.
+    block = F.col("_t") - F.when(F.col("_kind") == 0, 1).otherwise(0)
+    rows = rows.withColumn("_block", block - F.pmod(block, F.col("_width"))).withColumn("_in", F.col("_t") - F.col("_block"))
+
+    part = [*keys, "_width", "_block"]
+    blocks = rows.groupBy(*part).agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("_dr", "_dv", "_dn")), F.coalesce(F.sum(F.col("_dr") * F.col("_in")), F.lit(0.0)).alias("_drt"))
+    earlier = W.partitionBy(*keys, "_width").orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
+    blocks = blocks.select(*(F.col(c).alias(f"_b{c}") for c in part), *(F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"_0{c}") for c in ("_dr", "_dv", "_dn")), F.col("_dr").alias("_all_dr"), F.col("_drt").alias("_all_drt"))
+    same = reduce(Column.__and__, (F.col(c).eqNullSafe(F.col(f"_b{c}")) for c in part))
+    rows = rows.join(blocks, same)
+
+    so_far = W.partitionBy(*part).orderBy("_t", "_kind").rowsBetween(W.unboundedPreceding, W.currentRow)
+    run = lambda c: F.coalesce(F.sum(c).over(so_far), F.lit(0))
+    rows = rows.withColumns({"_r": run("_dr"), "_rt": run(F.col("_dr") * F.col("_in")), "_v": run("_dv"), "_n": run("_dn") + F.col("_0_dn")})
+    # Nothing active is exactly nothing, whatever rounding left.
+    rows = rows.withColumn("_active", F.when(F.col("_n") > 0, F.col("_0_dv") + F.col("_v")).otherwise(0.0))
+    at_bound = F.when(F.col("_kind") == 1, F.col("_active"))
+    everything = W.partitionBy(*part)
+    rows = rows.withColumns(
+        {
+            "_area": F.col("_0_dr") * F.col("_in") + F.col("_r") * F.col("_in") - F.col("_rt"),
+            "_whole": (F.col("_0_dr") + F.col("_all_dr")) * F.col("_width") - F.col("_all_drt"),
+            "_seen": F.coalesce(F.sum(at_bound).over(so_far), F.lit(0.0)),
+            "_seen_all": F.coalesce(F.sum(at_bound).over(everything), F.lit(0.0)),
+            "_bounds": F.count(at_bound).over(so_far),
+            "_bounds_all": F.count(at_bound).over(everything),
+        }
+    ).where("_kind <> 1")
+    of = lambda c, kind: F.max(F.when(F.col("_kind") == kind, F.col(c)))
+    one = of("_block", 0) == of("_block", 2)
+    between = lambda c, total: of(c, 0) - of(c, 2) + F.when(one, F.lit(0)).otherwise(of(total, 2))
+    found = rows.groupBy(*keys, *TARGET).agg(
+        between("_area", "_whole").alias("sum"), (of("_active", 2) + between("_seen", "_seen_all")).alias("segment_count"), (of("_n", 2) + between("_bounds", "_bounds_all")).alias("_any")
+    )
+    return found.where("_any > 0").drop("_any")
+
+
+def approx_extremes(sub: DataFrame, targets: DataFrame, bucket_ms: int, keys: Sequence[str] = ("topic",)) -> DataFrame:
+    """Least and greatest of the overlapping results."""
+    return overlap_join(sub, targets, bucket_ms).groupBy(*keys, *TARGET).agg(F.min("value").alias("min"), F.max("value").alias("max"))
 
 
 def approx_rate(sub: DataFrame, targets: DataFrame, bucket_ms: int, keys: Sequence[str] = ("topic",)) -> DataFrame:
-    """sum: each result adds its rate times the segment; segment_count: each result adds its value once a segment; min and max."""
-    rows = segments(sub, targets, bucket_ms, keys)
-    rate = F.col("value") / (F.col("end_ms") - F.col("start_ms")) * (F.col("seg_end") - F.col("seg_start"))
-    return rows.groupBy(*keys, *TARGET).agg(F.sum(rate).alias("sum"), F.sum("value").alias("segment_count"), F.min("value").alias("min"), F.max("value").alias("max"))
+    """sum, segment_count, min and max of each key and target that results overlap."""
+    return approx_rate_sums(sub, targets, bucket_ms, keys).join(approx_extremes(sub, targets, bucket_ms, keys), [*keys, *TARGET])
 
 
 def prune(sub: DataFrame, start_ms: int | Column) -> DataFrame:
@@ -101,6 +160,14 @@ def ready_windows(sub: DataFrame, targets: DataFrame, n_topics: int) -> DataFram
     return targets.join(F.broadcast(reached), F.col("b_end") <= F.col("reached")).select(*targets.columns)
 
 
+def all_pairs(many: DataFrame, few: DataFrame) -> DataFrame:
+    """Every row of one table beside every row of another, as a result is defined to have; a large second table is dealt to ``SLICES`` tasks a row instead of broadcast."""
+    if is_small(few):
+        return many.join(F.broadcast(few))
+    sliced = few.withColumn("_slice", F.pmod(F.xxhash64(*few.columns), F.lit(SLICES)))
+    return many.withColumn("_slice", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SLICES - 1).cast("long")))).join(sliced, "_slice").drop("_slice")
+
+
 def latest_value(sub: DataFrame, targets: DataFrame, bucket_ms: int) -> DataFrame:
     """For each topic and target the overlap-weighted mean, or else the topic's latest value before the target's end (``source`` tells which).
 
@@ -108,7 +175,8 @@ def latest_value(sub: DataFrame, targets: DataFrame, bucket_ms: int) -> DataFram
     a task orders one bucket of one topic.
     """
     exact = approx_overlap_avg(sub, targets, bucket_ms)
-    grid = targets.select(*TARGET).join(small(sub.select("topic").distinct()))
+    # A row for each topic and target: the side that is counted to be small is broadcast, or else both are dealt out by the blocks of a grid.
+    grid = all_pairs(targets.select(*TARGET), sub.select("topic").distinct())
     points = sub.select("topic", F.col("end_ms").alias("at"), "value", F.lit(0).alias("kind"))
     asks = grid.select("topic", F.col("b_end").alias("at"), F.lit(None).cast("double").alias("value"), F.lit(1).alias("kind"), "b_start")
     rows = points.unionByName(asks, allowMissingColumns=True).withColumn("bucket", F.floor(F.col("at") / bucket_ms))

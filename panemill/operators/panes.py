@@ -15,8 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from panemill.functions.tables import small
-from panemill.functions.time import WindowSpec, align_start, finite
+from panemill.functions.tables import small, with_previous
+from panemill.functions.time import WindowSpec, align_start, finite, window_starts
 
 #: State columns that each aggregate needs.
 SIGNATURE = {"avg": ("sum", "count"), "sum": ("sum",), "count": ("count",), "min": ("min",), "max": ("max",)}
@@ -103,25 +103,85 @@ def project_state(states: DataFrame, terms: Sequence[tuple[str, str]]) -> DataFr
 
 
 def chunks_to_windows(states: DataFrame, spec: WindowSpec, pane_ms: int, min_start: int | None = None) -> DataFrame:
-    """A row for each pane and final window that uses it; none for panes of another width or ranges that panes don't fill."""
+    """A row for each pane and final window that uses it, range / step at most; none for panes of another width or ranges that panes don't fill."""
     if spec.range_ms % pane_ms:
         return states.withColumn("win_start", F.lit(None).cast("long")).withColumn("win_end", F.lit(None).cast("long")).where(F.lit(False))
-    starts = F.explode(F.sequence(F.col("start_ms") - spec.range_ms + pane_ms, F.col("start_ms"), F.lit(pane_ms)))
-    rows = states.where(F.col("end_ms") - F.col("start_ms") == pane_ms).withColumn("win_start", starts)
-    rows = rows.where(F.pmod(F.col("win_start") - spec.origin_ms, F.lit(spec.step_ms)) == 0)
+    rows = states.where(F.col("end_ms") - F.col("start_ms") == pane_ms)
+    rows = rows.withColumn("win_start", F.explode(window_starts(F.col("start_ms"), spec.range_ms, spec.step_ms, spec.origin_ms)))
+    rows = rows.where(F.pmod(F.col("start_ms") - F.col("win_start"), F.lit(pane_ms)) == 0)
     if min_start is not None:
         rows = rows.where(F.col("win_start") >= min_start)
     return rows.withColumn("win_end", F.col("win_start") + spec.range_ms)
 
 
+#: Windows that hold a pane at most for panes to be copied to each; beyond that, windows are put together from running aggregates.
+COPIES = 4
+
+
+def unfit(spec: WindowSpec, pane_ms: int, pane_origin_ms: int = 0) -> str:
+    """Why panes can't make up a specification's windows; '' if they can."""
+    return next((why for bad, why in ((spec.range_ms % pane_ms, "range"), (spec.step_ms % pane_ms, "step"), ((spec.origin_ms - pane_origin_ms) % pane_ms, "origin")) if bad), "")
+
+
+def _swept(states: DataFrame, pane_ms: int, keys: Sequence[str]) -> DataFrame:
+    """Merged states of all windows of rows (keys, pane, range_ms, step_ms, origin_ms), in constant work for each pane and window.
+
+    Time is cut in blocks as long as a window.  A window that begins inside a block is the rest of that block, from its first pane on, and the beginning of the
+    next block; both come from running aggregates, backward and forward.  A window is made once, by the first pane that it holds.
+    """
+    block = lambda at: align_start(at, F.col("range_ms"), F.col("origin_ms"))
+    total = finite(F.col("sum"))
+    if "avg" in states.columns:
+        total = F.coalesce(total, finite(F.col("avg")) * F.col("count"))
+    empty = F.coalesce(F.col("count") == 0, F.lit(False))
+    rows = states.where((F.col("end_ms") - F.col("start_ms") == pane_ms) & (F.pmod(F.col("start_ms") - F.col("origin_ms"), F.lit(pane_ms)) == 0))
+    rows = rows.select(*keys, "start_ms", "range_ms", "step_ms", "origin_ms", F.lit(1).alias("_panes"), F.col("count").alias("_count"), total.alias("_sum"), F.col("min").alias("_min"), F.col("max").alias("_max"),
+        F.col("count").isNull().alias("_no_count"), (total.isNull() & ~empty).alias("_no_sum"), (F.col("min").isNull() & ~empty).alias("_no_min"), (F.col("max").isNull() & ~empty).alias("_no_max"))
+    merges = {"_panes": F.sum, "_count": F.sum, "_sum": F.sum, "_min": F.min, "_max": F.max, **{f"_no_{c}": F.max for c in ("count", "sum", "min", "max")}}
+    rows = with_previous(rows.withColumn("_block", block(F.col("start_ms"))), keys, ["start_ms"], F.col("_block"), "_earlier")
+
+    # Backward, to the end of the pane's block.
+    rest = W.partitionBy(*keys, "_block").orderBy("start_ms").rangeBetween(W.currentRow, W.unboundedFollowing)
+    made = rows.withColumns({f"_rest{c}": merge(c).over(rest) for c, merge in merges.items()})
+    after = F.greatest("_earlier.start_ms", F.col("start_ms") - F.col("range_ms"))
+    first = align_start(after, F.col("step_ms"), F.col("origin_ms")) + F.col("step_ms")
+    last = align_start(F.col("start_ms"), F.col("step_ms"), F.col("origin_ms"))
+    starts = F.when(first <= last, F.sequence(first, last, F.col("step_ms")))
+    made = made.withColumn("win_start", F.explode(starts))
+    inside = F.col("_block") == block(F.col("win_start"))
+    made = made.select(*keys, "win_start", (F.col("win_start") + F.col("range_ms")).alias("win_end"), (block(F.col("win_start")) + F.col("range_ms")).alias("_block"),
+        (F.col("win_start") + F.col("range_ms") - pane_ms).alias("_at"), *(F.when(inside, F.col(f"_rest{c}")).alias(f"_rest{c}") for c in merges))
+
+    # Forward, from the beginning of the next block.
+    given = rows.select(*keys, "_block", F.col("start_ms").alias("_at"), *merges)
+    both = made.unionByName(given, allowMissingColumns=True)
+    begun = W.partitionBy(*keys, "_block").orderBy("_at").rangeBetween(W.unboundedPreceding, W.currentRow)
+    both = both.withColumns({f"_begun{c}": merge(c).over(begun) for c, merge in merges.items()}).where("win_start is not null")
+    added = lambda c: F.when(F.col(f"_rest{c}").isNull(), F.col(f"_begun{c}")).otherwise(F.col(f"_rest{c}") + F.coalesce(F.col(f"_begun{c}"), F.lit(0)))
+    known = lambda c, value: F.when(~(F.coalesce(F.col(f"_rest_no_{c}"), F.lit(False)) | F.coalesce(F.col(f"_begun_no_{c}"), F.lit(False))), value).alias(c)
+    return both.select(
+        *keys, "win_start", "win_end", added("_panes").cast("long").alias("panes"), known("count", added("_count")), known("sum", added("_sum")), known("min", F.least("_rest_min", "_begun_min")), known("max", F.greatest("_rest_max", "_begun_max"))
+    )
+
+
+def _recomposed(states: DataFrame, pane_ms: int, keys: Sequence[str], copied: bool) -> DataFrame:
+    """Merged states of all windows, and their average, by either way."""
+    if not copied:
+        return _swept(states, pane_ms, keys).withColumn("avg", final_of("avg"))
+    rows = states.where((F.col("end_ms") - F.col("start_ms") == pane_ms) & (F.pmod(F.col("start_ms") - F.col("origin_ms"), F.lit(pane_ms)) == 0))
+    rows = rows.withColumn("win_start", F.explode(window_starts(F.col("start_ms"), F.col("range_ms"), F.col("step_ms"), F.col("origin_ms")))).withColumn("win_end", F.col("win_start") + F.col("range_ms"))
+    return merge_states(rows, [*keys, "win_start", "win_end"], F.count(F.lit(1)).alias("panes")).withColumn("avg", final_of("avg"))
+
+
 def recompose(states: DataFrame, spec: WindowSpec, pane_ms: int, keys: Sequence[str] = ("stream",), require_complete: bool = False) -> DataFrame:
     """Merged states of all windows, with the number of panes; only windows with every pane if required.
 
-    An aggregate that one of the panes can't support is null (see ``merge_states``).
+    An aggregate that one of the panes can't support is null (see ``merge_states``).  A specification that panes don't fill is an error.
     """
-    rows = chunks_to_windows(states, spec, pane_ms)
-    merged = merge_states(rows, [*keys, "win_start", "win_end"], F.count(F.lit(1)).alias("panes"))
-    merged = merged.withColumn("avg", final_of("avg"))
+    if why := unfit(spec, pane_ms, spec.origin_ms):
+        raise ValueError(f"{why} is no multiple of the pane")
+    rows = states.withColumns({"range_ms": F.lit(spec.range_ms), "step_ms": F.lit(spec.step_ms), "origin_ms": F.lit(spec.origin_ms)})
+    merged = _recomposed(rows, pane_ms, keys, spec.range_ms <= COPIES * spec.step_ms)
     return merged.where(F.col("panes") == spec.range_ms // pane_ms) if require_complete else merged
 
 
@@ -130,12 +190,33 @@ def recompose_flat(states: DataFrame, keys: Sequence[str]) -> DataFrame:
     return merge_states(states, keys).withColumn("avg", final_of("avg"))
 
 
-def derive_original(states: DataFrame, specs: DataFrame, pane_ms: int, keys: Sequence[str] = ("stream",)) -> DataFrame:
-    """Every (id, range_ms, step_ms) of a small table rebuilt from the same states, in one pass over them."""
-    rows = states.join(small(specs)).where((F.col("range_ms") % pane_ms == 0) & (F.col("step_ms") % pane_ms == 0))
-    rows = rows.withColumn("win_start", F.explode(F.sequence(F.col("start_ms") - F.col("range_ms") + pane_ms, F.col("start_ms"), F.lit(pane_ms))))
-    rows = rows.where(F.pmod("win_start", "step_ms") == 0).withColumn("win_end", F.col("win_start") + F.col("range_ms"))
-    return merge_states(rows, ["id", *keys, "win_start", "win_end"]).withColumn("avg", final_of("avg"))
+def _specs(specs: DataFrame) -> list[tuple]:
+    """(id, specification) of a small table; an origin column is optional."""
+    columns = ["id", "range_ms", "step_ms", *(["origin_ms"] if "origin_ms" in specs.columns else [])]
+    return [(r["id"], WindowSpec(*(int(r[c]) for c in columns[1:]))) for r in small(specs.select(*columns)).collect()]
+
+
+def unfit_specs(specs: DataFrame, pane_ms: int, pane_origin_ms: int = 0) -> dict:
+    """Specifications (id: reason) of a small table whose range, step or origin panes don't fit."""
+    return {name: why for name, spec in _specs(specs) if (why := unfit(spec, pane_ms, pane_origin_ms))}
+
+
+def derive_original(states: DataFrame, specs: DataFrame, pane_ms: int, keys: Sequence[str] = ("stream",), pane_origin_ms: int = 0) -> DataFrame:
+    """Windows of every (id, range_ms, step_ms, and origin_ms if there is one) of a small table, rebuilt from the same states.
+
+    A specification that panes don't fit is an error that names it; ``unfit_specs`` finds them before.  Each state is read once for a specification, and
+    windows of many steps cost no copies.
+    """
+    if bad := unfit_specs(specs, pane_ms, pane_origin_ms):
+        raise ValueError(f"panes don't fit these specifications: {bad}")
+    kind, parts = specs.schema["id"].dataType.simpleString(), []
+    known = _specs(specs)
+    for copied in (True, False):
+        own = [(name, s.range_ms, s.step_ms, s.origin_ms) for name, s in known if (s.range_ms <= COPIES * s.step_ms) == copied]
+        if own or (copied and not known):
+            table = states.sparkSession.createDataFrame(own, f"id {kind}, range_ms long, step_ms long, origin_ms long")
+            parts.append(_recomposed(states.join(F.broadcast(table)), pane_ms, ["id", *keys], copied).drop("panes"))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def early_partial(states: DataFrame, spec: WindowSpec, pane_ms: int, keys: Sequence[str] = ("stream",)) -> DataFrame:
@@ -208,8 +289,8 @@ def temporally_complete(states: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def weighted_merge(rows: DataFrame, keys: Sequence[str], value: str = "value", count: str = "count") -> DataFrame:
-    """The average of averages by their counts, and the count of all."""
-    return rows.groupBy(*keys).agg((F.sum(F.col(value) * F.col(count)) / F.sum(count)).alias("avg"), F.sum(count).alias("count"))
+    """The average of averages by their counts, null where they sum to 0, and the count of all."""
+    return rows.groupBy(*keys).agg(F.try_divide(F.sum(F.col(value) * F.col(count)), F.sum(count)).alias("avg"), F.sum(count).alias("count"))
 
 
 def shared_result(consumers: DataFrame, results: DataFrame, on: str = "canonical_id") -> DataFrame:
@@ -220,4 +301,4 @@ def shared_result(consumers: DataFrame, results: DataFrame, on: str = "canonical
 def nested_targets(states: DataFrame, rank: str) -> DataFrame:
     """For each window the aggregate over the streams of rank 1 to k, for every k, from one state a stream."""
     order = W.partitionBy("win_start", "win_end").orderBy(rank).rowsBetween(W.unboundedPreceding, W.currentRow)
-    return states.withColumn("sum_to", F.sum("sum").over(order)).withColumn("count_to", F.sum("count").over(order)).withColumn("avg_to", F.col("sum_to") / F.col("count_to"))
+    return states.withColumn("sum_to", F.sum("sum").over(order)).withColumn("count_to", F.sum("count").over(order)).withColumn("avg_to", F.try_divide("sum_to", "count_to"))

@@ -55,18 +55,19 @@ def union_window_agg(streams: Sequence[DataFrame], spec: WindowSpec, aggs: Seque
 
 
 def multi_spec_agg(obs: DataFrame, specs: DataFrame, aggs: Sequence, keys: Sequence[str] = ("stream",)) -> DataFrame:
-    """The same aggregate for every (id, range_ms, step_ms) of a small table, in one pass over the observations.
+    """The same aggregate for every (id, range_ms, step_ms, and origin_ms if there is one) of a small table, in one pass over the observations.
 
     Rows are first brought to one state for each key and pane, the widest that fits all specifications; windows are made from those.
     """
-    rows = small(specs.select("id", "range_ms", "step_ms")).collect()
+    specs = specs.select("id", "range_ms", "step_ms", (F.col("origin_ms") if "origin_ms" in specs.columns else F.lit(0)).cast("long").alias("origin_ms"))
+    rows = small(specs).collect()
     if not rows:
         return window_agg(obs.limit(0), WindowSpec(1, 1), aggs, keys).select(F.lit(None).cast(specs.schema["id"].dataType).alias("id"), "*")
-    pane = gcd(*(int(r[c]) for r in rows for c in ("range_ms", "step_ms")))
+    pane = gcd(*(int(r[c]) for r in rows for c in ("range_ms", "step_ms", "origin_ms")))
     parts = {"count": F.count, "sum": F.sum, "min": F.min, "max": F.max, "count_all": lambda _: F.count(F.lit(1))}
     states = obs.groupBy(*keys, align_start(F.col("ms"), pane).alias("ms")).agg(*(f("value").alias(f"_{name}") for name, f in parts.items()))
-    states = states.join(small(specs.select("id", "range_ms", "step_ms")))
-    states = states.withColumn("win_start", F.explode(window_starts(F.col("ms"), F.col("range_ms"), F.col("step_ms"))))
+    states = states.join(small(specs))
+    states = states.withColumn("win_start", F.explode(window_starts(F.col("ms"), F.col("range_ms"), F.col("step_ms"), F.col("origin_ms"))))
     states = states.withColumn("win_end", F.col("win_start") + F.col("range_ms"))
     merged = {"count": F.sum("_count"), "sum": F.sum("_sum"), "min": F.min("_min"), "max": F.max("_max"), "count_all": F.sum("_count_all")}
     merged["avg"] = F.when(F.sum("_count") > 0, F.sum("_sum") / F.sum("_count"))
@@ -118,7 +119,7 @@ def merge_streams(partials: DataFrame, n_streams: int, first_by: Sequence[str])
     merged = first.groupBy("window_number").agg(
         F.count_distinct("stream").alias("streams"), F.sum("count").alias("count"), F.sum("sum").alias("sum"), F.min("min").alias("min"), F.max("max").alias("max")
     )
-    return merged.where(F.col("streams") >= n_streams).withColumn("avg", F.col("sum") / F.col("count"))
+    return merged.where(F.col("streams") >= n_streams).withColumn("avg", F.try_divide("sum", "count"))
 
 
 def relation_to_stream(result: DataFrame, spec: WindowSpec, mode: str, keys: Sequence[str]) -> DataFrame:

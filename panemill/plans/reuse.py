@@ -165,7 +165,7 @@ def query_complexity(text: Column) -> Column:
 
 
 def reuse_density(log: DataFrame) -> DataFrame:
-    """dependencies of queries on producers (declared windows), unique producers, and the share that is reused."""
+    """dependencies of queries on producers (declared windows), unique producers, and the share that is reused; null for a log without windows."""
     rows = window_declarations(log)
     out = rows.agg(F.count(F.lit(1)).alias("dependencies"), F.count_distinct("stream", "range_ms", "step_ms").alias("producers"))
-    return out.withColumn("reused_share", (F.col("dependencies") - F.col("producers")) / F.col("dependencies"))
+    return out.withColumn("reused_share", F.try_divide(F.col("dependencies") - F.col("producers"), "dependencies"))

@@ -48,7 +48,7 @@ covered AS (
 
 
 def _rate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(A.approx_rate(sub_results(spark, sf_dir), targets(spark, sf_dir), BUCKET), "sum", "segment_count", "min", "max")
+    return rounded(A.approx_rate_sums(sub_results(spark, sf_dir), targets(spark, sf_dir), BUCKET), "sum", "segment_count")
 
 
 @query(f"WITH {SEGMENTS} SELECT topic, b_start, b_end, round(sum(value / (end_ms - start_ms) * (seg_end - seg_start)), 8) AS sum FROM covered GROUP BY ALL")
@@ -63,7 +63,29 @@ def approx_segment_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {OVER} SELECT topic, b_start, b_end, round(min(value), 8) AS min, round(max(value), 8) AS max FROM pairs GROUP BY ALL")
 def approx_min_max(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rate(spark, sf_dir).select("topic", "b_start", "b_end", "min", "max")
+    return rounded(A.approx_extremes(sub_results(spark, sf_dir), targets(spark, sf_dir), BUCKET), "min", "max")
+
+
+# Results of four lengths, and targets of two, that overlap many times.
+DEEP = f"""{OBS}, sub AS (SELECT stream AS topic, ms AS start_ms, ms + (1 + event_id % 4) * {7 * HOUR} AS end_ms, value FROM obs WHERE value IS NOT NULL),
+targets AS (SELECT DISTINCT ms // {12 * HOUR} * {12 * HOUR} + event_id % 5 * {HOUR} AS b_start, ms // {12 * HOUR} * {12 * HOUR} + event_id % 5 * {HOUR} + (1 + event_id % 5 % 2 * 6) * {5 * HOUR} AS b_end FROM obs WHERE event_id % 50 < 5)"""
+
+
+@query(
+    f"""WITH {DEEP}, o AS (SELECT topic, b_start, b_end, start_ms, end_ms, value FROM sub, targets WHERE end_ms > b_start AND start_ms < b_end),
+    points AS (SELECT DISTINCT topic, b_start, b_end, unnest([b_start, greatest(start_ms, b_start), least(end_ms, b_end)]) AS t FROM o),
+    cuts AS (SELECT topic, b_start, b_end, list_sort(list(t)) AS ts FROM points WHERE t < b_end GROUP BY ALL),
+    counted AS (SELECT o.*, len(list_filter(ts, lambda t: t >= greatest(start_ms, o.b_start) AND t < least(end_ms, o.b_end))) AS segments FROM o JOIN cuts USING (topic, b_start, b_end))
+    SELECT topic, b_start, b_end, round(sum(value / (end_ms - start_ms) * (least(end_ms, b_end) - greatest(start_ms, b_start))), 5) AS sum, round(sum(value * segments), 4) AS segment_count FROM counted GROUP BY ALL"""
+)
+def approx_rate_deep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Estimates from results, a reading each, of which very many overlap at any time."""
+    rows = obs(spark, sf_dir).where("value is not null")
+    sub = rows.select(F.col("stream").alias("topic"), F.col("ms").alias("start_ms"), (F.col("ms") + (1 + F.col("event_id") % 4) * (7 * HOUR)).alias("end_ms"), "value")
+    start = F.floor(F.col("ms") / (12 * HOUR)) * (12 * HOUR) + F.col("event_id") % 5 * HOUR
+    asked = rows.where("event_id % 50 < 5").select(start.alias("b_start"), (start + (1 + F.col("event_id") % 5 % 2 * 6) * (5 * HOUR)).alias("b_end")).distinct()
+    found = A.approx_rate_sums(sub, asked, BUCKET)
+    return found.withColumns({"sum": F.round("sum", 5), "segment_count": F.round("segment_count", 4)})
 
 
 PAIR = f"""{SUB}, nb AS (

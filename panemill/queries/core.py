@@ -451,6 +451,65 @@ def recompose_incomplete_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(P.recompose(rows, SPEC, PANE), "sum", "avg")
 
 
+FINE = 600_000
+WIDE = WindowSpec(72 * HOUR, 3 * FINE, 2 * FINE)
+_NTH = f"(start_ms // {FINE})"
+FINE_GAPS = f"""{OBS}, fine AS (SELECT stream, ms // {FINE} * {FINE} AS start_ms, count(value) AS count, sum(value) AS sum, min(value) AS min, max(value) AS max FROM obs GROUP BY ALL),
+patchy AS (SELECT stream, start_ms, CASE WHEN {_NTH} % 499 = 0 THEN 0 WHEN {_NTH} % 997 = 0 THEN NULL ELSE count END AS count, CASE WHEN {_NTH} % 499 > 0 AND {_NTH} % 1009 > 0 THEN sum END AS sum,
+    CASE WHEN {_NTH} % 499 > 0 AND {_NTH} % 1013 > 0 THEN min END AS min, CASE WHEN {_NTH} % 499 > 0 THEN max END AS max, coalesce(count = 0, false) OR {_NTH} % 499 = 0 AS empty FROM fine WHERE {_NTH} % 5 <> 0)"""
+
+
+def _patchy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """States of ten minutes with gaps, of which some lack counts, sums or extremes, or are empty."""
+    n = F.floor(F.col("start_ms") / FINE)
+    rows = P.chunk_states(obs(spark, sf_dir), FINE).where(n % 5 != 0)
+    rows = rows.withColumn("count", F.when(n % 499 == 0, F.lit(0).cast("long")).when(n % 997 != 0, F.col("count"))).withColumn("sum", F.when((n % 499 > 0) & (n % 1009 > 0), F.col("sum")))
+    return rows.withColumn("min", F.when((n % 499 > 0) & (n % 1013 > 0), F.col("min"))).withColumn("max", F.when(n % 499 > 0, F.col("max")))
+
+
+def _from_patchy(columns: str, starts: str, keys: str) -> str:
+    return f"""m AS (SELECT {keys}, count(*) AS panes, CASE WHEN bool_or(count IS NULL) THEN NULL ELSE CAST(sum(count) AS BIGINT) END AS count,
+        {_WHOLE.format('sum', 'sum(sum)')} AS sum, {_WHOLE.format('min', 'min(min)')} AS min, {_WHOLE.format('max', 'max(max)')} AS max FROM {starts} GROUP BY ALL)
+    SELECT {columns}, count, round(sum, 8) AS sum, min, max, round(CASE WHEN count > 0 THEN sum / count END, 8) AS avg FROM m"""
+
+
+def _starts(r: str, s: str, o: str) -> str:
+    return f"unnest(range((start_ms - {o}) // {s} * {s} + {o} - ({r} - 1) // {s} * {s}, (start_ms - {o}) // {s} * {s} + {o} + 1, {s})) AS t(w)"
+
+
+@query(
+    f"""WITH {FINE_GAPS}, w AS (SELECT stream, w AS win_start, w + {WIDE.range_ms} AS win_end, count, sum, min, max, empty FROM patchy, {_starts(str(WIDE.range_ms), str(WIDE.step_ms), str(WIDE.origin_ms))} WHERE w + {WIDE.range_ms} > start_ms),
+    {_from_patchy('stream, win_start, win_end, panes', 'w', 'stream, win_start, win_end')}"""
+)
+def recompose_wide_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of three days over panes of ten minutes."""
+    return rounded(P.recompose(_patchy(spark, sf_dir), WIDE, FINE), "sum", "avg")
+
+
+MIXED = [("short", 30 * 60_000, 30 * 60_000, 0), ("day", 24 * HOUR, HOUR, 20 * 60_000), ("gap", HOUR, 3 * HOUR, 10 * 60_000), ("week", 168 * HOUR, 6 * HOUR, 50 * 60_000), ("odd", 70 * 60_000, 10 * 60_000, -40 * 60_000)]
+MIXED_ROWS = f"specs(id, r, s, o) AS (VALUES {', '.join(map(str, MIXED))})"
+
+
+@query(
+    f"""WITH {FINE_GAPS}, {MIXED_ROWS}, w AS (SELECT id, stream, w AS win_start, w + r AS win_end, count, sum, min, max, empty FROM patchy, specs, {_starts('r', 's', 'o')} WHERE w + r > start_ms AND w <= start_ms),
+    {_from_patchy('id, stream, win_start, win_end', 'w', 'id, stream, win_start, win_end')}"""
+)
+def derived_mixed_specs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of five specifications with origins, of thirty minutes to a week, from the same patchy states."""
+    table = spark.createDataFrame(MIXED, "id string, range_ms long, step_ms long, origin_ms long")
+    return rounded(P.derive_original(_patchy(spark, sf_dir), table, FINE), "sum", "avg")
+
+
+@query(
+    f"""WITH {FINE_GAPS}, {MIXED_ROWS} SELECT id, stream, w AS win_start, w + r AS win_end, count(value) AS count, round(avg(value), 8) AS avg
+    FROM obs, specs, {_starts('r', 's', 'o').replace('start_ms', 'ms')} WHERE w + r > ms AND w <= ms GROUP BY ALL"""
+)
+def multi_spec_origins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same specifications straight from the observations, in one pass."""
+    table = spark.createDataFrame(MIXED, "id string, range_ms long, step_ms long, origin_ms long")
+    return rounded(W.multi_spec_agg(obs(spark, sf_dir), table, ["count", "avg"]), "avg")
+
+
 KEYS = f"list_transform(range(win_start, win_end, {PANE}), lambda s: s || ':' || (s + {PANE}))"
 
 

@@ -107,7 +107,7 @@ def result_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def percentage_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _pairs(spark, sf_dir).groupBy("approach", "stream")
-    rows = rows.agg(F.avg(M.percentage_accuracy(F.col("base"), F.col("value"))).alias("accuracy"), F.avg(F.abs((F.col("value") - F.col("base")) / F.col("base")) * 100).alias("mape"))
+    rows = rows.agg(F.avg(M.percentage_accuracy(F.col("base"), F.col("value"))).alias("accuracy"), F.avg(F.abs(F.try_divide(F.col("value") - F.col("base"), "base")) * 100).alias("mape"))
     return rounded(rows, "accuracy").select("approach", "stream", "accuracy", M.grade(F.col("mape")).alias("grade"))
 
 

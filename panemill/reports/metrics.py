@@ -8,27 +8,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from panemill.functions.tables import broadcast_if_small, numbered
+from panemill.functions.tables import broadcast_if_small, numbered, with_previous
 from panemill.functions.time import WindowSpec
 
 
 def with_gap(rows: DataFrame, keys: Sequence[str], bucket_ms: int) -> DataFrame:
-    """Adds gap: milliseconds since the key's row before.
-
-    Rows are compared within time buckets, and a bucket's first row with the last time of the key's bucket before, so
-    a busy key is spread over its buckets; only one short row a bucket is ordered by key.
-    """
-    rows = rows.withColumn("bucket", F.floor(F.col("ms") / bucket_ms))
-    ends = rows.groupBy(*keys, "bucket").agg(F.max("ms").alias("end"))
-    ends = ends.select(*keys, "bucket", F.lag("end").over(W.partitionBy(*keys).orderBy("bucket")).alias("before"))
-    inside = F.lag("ms").over(W.partitionBy(*keys, "bucket").orderBy("ms", "event_id"))
-    rows = rows.withColumn("inside", inside).join(ends, [*keys, "bucket"])
-    return rows.withColumn("gap", F.col("ms") - F.coalesce("inside", "before")).drop("bucket", "inside", "before")
+    """Adds gap: milliseconds since the key's row before."""
+    rows = with_previous(rows, keys, ["ms", "event_id"], F.floor(F.col("ms") / bucket_ms))
+    return rows.withColumn("gap", F.col("ms") - F.col("previous.ms")).drop("previous")
 
 
 def inactivity(rows: DataFrame, keys: Sequence[str], multiple: float, most_ms: int) -> DataFrame:
     """Rows that follow a silence longer than the usual gap times ``multiple``, or than ``most_ms``."""
-    usual = rows.groupBy(*keys).agg(((F.max("ms") - F.min("ms")) / (F.count(F.lit(1)) - 1)).alias("usual"))  # the mean of all gaps
+    usual = rows.groupBy(*keys).agg(F.try_divide(F.max("ms") - F.min("ms"), F.count(F.lit(1)) - 1).alias("usual"))  # the mean of all gaps; null for one row
     gaps = with_gap(rows, keys, most_ms)
     return gaps.join(usual, list(keys)).where(F.col("gap") > F.least(F.col("usual") * multiple, F.lit(float(most_ms))))
 
@@ -203,7 +195,7 @@ def matrix_missing(runs: DataFrame, first: str, second: str) -> DataFrame:
 
 def first_vs_average_error(pairs: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
     """The first result's percentage error beside the mean, least and greatest of all."""
-    error = F.abs((F.col("value") - F.col("base")) / F.col("base")) * 100
+    error = F.abs(F.try_divide(F.col("value") - F.col("base"), "base")) * 100
     rows = pairs.where("base <> 0").withColumn("error", error)
     return rows.groupBy(*keys).agg(F.min_by("error", order).alias("first_error"), F.avg("error").alias("mean_error"), F.min("error").alias("least_error"), F.max("error").alias("greatest_error"))
 

@@ -6,11 +6,15 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
+
+from panemill.functions.tables import with_previous
+
+#: Samples of a key are compared within so many milliseconds, and from bucket to bucket by one row each.
+SAMPLED_MS = 3_600_000
 
 
 def publish_lag(traffic: DataFrame, keys: Sequence[str], accuracy: int | None = None) -> DataFrame:
-    """Lag of actual behind target publishing times, and how fast the replay ran.
+    """Lag of actual behind target publishing times, and how fast the replay ran (null where all was published at one time).
 
     The 95th percentile is exact and keeps a key's different lags; with an ``accuracy`` it is approximate in bounded memory.
     """
@@ -21,7 +25,7 @@ def publish_lag(traffic: DataFrame, keys: Sequence[str], accuracy: int | None =
         F.avg(lag).alias("mean_lag_ms"),
         (F.percentile(lag, F.lit(0.95)) if accuracy is None else F.percentile_approx(lag, 0.95, accuracy)).alias("p95_lag_ms"),
         F.max(lag).alias("max_lag_ms"),
-        (span("target_publish_time") / span("actual_publish_time")).alias("replay_speed"),
+        F.try_divide(span("target_publish_time"), span("actual_publish_time")).alias("replay_speed"),
     )
 
 
@@ -102,18 +106,16 @@ def process_summary(samples: DataFrame, keys: Sequence[str] = ("run", "pid")) ->
 
 
 def counter_delta(samples: DataFrame, ts: str, counter: str, keys: Sequence[str]) -> DataFrame:
-    """Growth of a counter that may start anew: the sum of its rises, and the number of falls."""
-    order = W.partitionBy(*keys).orderBy(ts)
-    delta = F.col(counter) - F.lag(counter).over(order)
-    rows = samples.withColumn("delta", delta)
+    """Growth of a counter that may start anew: the sum of its rises, and the number of falls.  Samples of one time count from the lower to the higher."""
+    rows = with_previous(samples, keys, [ts, counter], F.floor(F.col(ts) / SAMPLED_MS)).withColumn("delta", F.col(counter) - F.col(f"previous.{counter}"))
     return rows.groupBy(*keys).agg(F.sum(F.greatest("delta", F.lit(0.0))).alias("growth"), F.count_if(F.col("delta") < 0).alias("resets"))
 
 
 def counter_rate(samples: DataFrame, ts: str, counter: str, keys: Sequence[str], cores: int) -> DataFrame:
-    """Mean percent of the cores' time between samples (ts in milliseconds, counter in seconds)."""
-    order = W.partitionBy(*keys).orderBy(ts)
-    rate = (F.col(counter) - F.lag(counter).over(order)) / ((F.col(ts) - F.lag(ts).over(order)) / 1000 * cores) * 100
-    return samples.withColumn("rate", rate).where("rate >= 0").groupBy(*keys).agg(F.avg("rate").alias("mean_pct"))
+    """Mean percent of the cores' time between samples (ts in milliseconds, counter in seconds); two samples of one time have no rate."""
+    rows = with_previous(samples, keys, [ts, counter], F.floor(F.col(ts) / SAMPLED_MS))
+    rate = F.try_divide(F.col(counter) - F.col(f"previous.{counter}"), (F.col(ts) - F.col(f"previous.{ts}")) / 1000 * cores) * 100
+    return rows.withColumn("rate", rate).where("rate >= 0").groupBy(*keys).agg(F.avg("rate").alias("mean_pct"))
 
 
 def counter_rollup(artefacts: DataFrame, keys: Sequence[str], counters: str = "counters") -> DataFrame:

@@ -48,7 +48,7 @@ def stream_recompose(stream: DataFrame, spec: WindowSpec, pane_ms: int, delay_ms
     merged = states.groupBy(*keys, window).agg(F.count(F.lit(1)).alias("panes"), F.sum("count").alias("count"), F.sum("sum").alias("sum"), F.min("min").alias("min"), F.max("max").alias("max"))
     if require_complete:
         merged = merged.where(F.col("panes") == spec.range_ms // pane_ms)
-    return merged.select(*keys, F.unix_millis("window.start").alias("win_start"), F.unix_millis("window.end").alias("win_end"), "panes", "count", "sum", "min", "max", (F.col("sum") / F.col("count")).alias("avg"))
+    return merged.select(*keys, F.unix_millis("window.start").alias("win_start"), F.unix_millis("window.end").alias("win_end"), "panes", "count", "sum", "min", "max", F.try_divide("sum", "count").alias("avg"))
 
 
 def run_to_table(spark: SparkSession, rows: DataFrame, name: str) -> DataFrame:
@@ -109,13 +109,15 @@ def stop_when_quiet(query: StreamingQuery, most_ms: int, multiple: float = 3.0,
 
 
 def fan_out(stream: DataFrame, sinks: Sequence[Callable[[DataFrame, int], None]], checkpoint: str, **trigger) -> StreamingQuery:
-    """One stream into several sinks; each batch is computed once."""
+    """One stream into several sinks; each batch is computed once.  A batch may come twice after a failure, with the same number, by which sinks can replace it."""
 
     def put(batch: DataFrame, batch_id: int) -> None:
         batch.persist()
-        for sink in sinks:
-            sink(batch, batch_id)
-        batch.unpersist()
+        try:
+            for sink in sinks:
+                sink(batch, batch_id)
+        finally:
+            batch.unpersist()
 
     return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 

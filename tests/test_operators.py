@@ -36,6 +36,34 @@ def test_interval_mathematics(spark):
     assert approx.approx_rate(sub(spark, (0, 10, 1), (20, 30, 2)), target(spark, 10, 20), 7).count() == 0
 
 
+def test_sweep_over_results_that_overlap_thousands_of_times(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    start = rng.integers(0, 40_000, 20_000)
+    end, value = start + rng.integers(1, 20_000, 20_000), rng.integers(-50, 50, 20_000).astype(float)
+    rows = spark.createDataFrame(list(zip(["t"] * 20_000, start.tolist(), end.tolist(), value.tolist(), strict=True)), SUB).unionByName(spark.createDataFrame([("u", 5, 5, 1.0), ("u", 7, 9, None), ("w", 100, 110, 3.0)], SUB))
+    asked = [(lo, lo + span) for lo, span in zip(rng.integers(-5000, 60_000, 40).tolist(), rng.choice([1, 7, 64, 1000, 30_000], 40).tolist(), strict=True)] + [(95, 105), (110, 120), (90, 100), (50, 50)]
+    got = {(r["topic"], r["b_start"], r["b_end"]): (r["sum"], r["segment_count"]) for r in approx.approx_rate_sums(rows, spark.createDataFrame(asked, BOTH), 5000).collect()}
+    want, bounds = {}, np.unique(np.concatenate([start, end]))
+    for lo, hi in set(asked):
+        held = (end > lo) & (start < hi)
+        if lo < hi and held.any():
+            s, e, v = start[held], end[held], value[held]
+            cuts = np.concatenate([[lo], bounds[(bounds > lo) & (bounds < hi)]])
+            segments = np.searchsorted(cuts, np.minimum(e, hi)) - np.searchsorted(cuts, np.maximum(s, lo))
+            want["t", lo, hi] = ((v / (e - s) * (np.minimum(e, hi) - np.maximum(s, lo))).sum(), (v * segments).sum())
+    assert {k for k in got if k[0] == "t"} == want.keys()
+    assert all(got[k] == pytest.approx(w, rel=1e-9, abs=1e-6) for k, w in want.items())
+    assert got["w", 95, 105] == (pytest.approx(1.5), 3.0) and ("w", 90, 100) not in got and ("w", 110, 120) not in got and not [k for k in got if k[0] == "u"]
+
+
+def test_every_pair_without_a_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(approx, "is_small", lambda df: False)
+    a, b = spark.range(20), spark.createDataFrame([("x",), ("y",), (None,)], "k string")
+    assert approx.all_pairs(a, b).distinct().count() == 60
+
+
 def test_chunk_size():
     assert panes.chunk_size([WindowSpec(60, 30), WindowSpec(45, 15)]) == 15
     assert panes.chunk_size([]) == 1
@@ -69,6 +97,54 @@ def test_panes_of_another_origin_feed_no_window(spark):
     assert panes.chunks_to_windows(states, WindowSpec(100_000, 60_000), 60_000).count() == 0
 
 
+@settings(max_examples=10, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.integers(1, 30), st.integers(1, 4), st.integers(-5, 5), st.lists(st.tuples(st.sampled_from("ab"), st.integers(-40, 90), st.integers(0, 9), st.one_of(st.none(), st.floats(-100, 100)), st.booleans()), max_size=25))
+def test_running_aggregates_equal_copies(spark, r, s, o, rows):
+    schema = "stream string, start_ms long, end_ms long, count long, sum double, min double, max double, range_ms long, step_ms long, origin_ms long"
+    made = [(k if k == "a" else None, 50 * at, 50 * at + 50, n if n < 8 else None, v, v, None if odd else v, 50 * r, 50 * s, 50 * o) for k, at, n, v, odd in rows]
+    states = spark.createDataFrame(made, schema)
+    both = [
+        {(x["stream"], x["win_start"], x["win_end"], x["panes"], x["count"], x["min"], x["max"], x["sum"] is None): x["sum"] for x in panes._recomposed(states, 50, ["stream"], copied).collect()}
+        for copied in (True, False)
+    ]
+    assert both[0].keys() == both[1].keys()
+    assert all(v is None or both[1][k] == pytest.approx(v, abs=1e-6) for k, v in both[0].items())
+
+
+def test_wide_ranges_cost_no_copies(spark):
+    states = spark.range(3000).select(F.lit("s").alias("stream"), (F.col("id") * 1000).alias("start_ms"), (F.col("id") * 1000 + 1000).alias("end_ms"), F.lit(1).cast("long").alias("count"), F.lit(1.0).alias("sum"), F.col("id").cast("double").alias("min"), F.col("id").cast("double").alias("max"))
+    spec = WindowSpec(259_200_000, 3_600_000)  # three days over panes of a second: 259,200 panes a window
+    out = {r["win_start"]: (r["panes"], r["sum"], r["min"], r["max"]) for r in panes.recompose(states, spec, 1000).collect()}
+    assert len(out) == 72 and set(out.values()) == {(3000, 3000.0, 0.0, 2999.0)}
+
+
+def test_specifications_that_do_not_fit_are_named(spark):
+    states = spark.createDataFrame([("s", 0, 10, 1, 1.0, 1.0, 1.0)], "stream string, start_ms long, end_ms long, count long, sum double, min double, max double")
+    specs = spark.createDataFrame([("a", 20, 10, 0), ("b", 25, 10, 0), ("c", 20, 15, 0), ("d", 20, 10, 3)], "id string, range_ms long, step_ms long, origin_ms long")
+    assert panes.unfit_specs(specs, 10) == {"b": "range", "c": "step", "d": "origin"}
+    with pytest.raises(ValueError, match="'b': 'range'"):
+        panes.derive_original(states, specs, 10)
+    assert panes.derive_original(states, specs.where("id = 'a'"), 10).count() == 2
+    assert panes.derive_original(states, specs.where("id = 'z'"), 10).count() == 0
+    with pytest.raises(ValueError, match="step"):
+        panes.recompose(states, WindowSpec(20, 15), 10)
+    assert {(r["id"], r["win_start"]) for r in panes.derive_original(states, specs.where("id in ('a', 'd')").withColumn("origin_ms", F.lit(30)), 10).collect()} == {("a", -10), ("a", 0), ("d", -10), ("d", 0)}
+
+
+def test_divisions_by_nothing_are_null(spark):
+    obs = spark.createDataFrame([(1, "a", 5, 1.0), (2, "b", 5, 1.0), (3, "b", 5, 1.0), (4, "b", 1005, 1.0)], "event_id long, stream string, ms long, value double")
+    assert [r["gap"] for r in metrics.inactivity(obs, ["stream"], 1, 10_000).collect()] == [1000]
+    lag = spark.createDataFrame([("a", 1, 2), ("b", 1, 2), ("b", 3, 5)], "k string, target_publish_time long, actual_publish_time long")
+    assert {r["k"]: r["replay_speed"] for r in traffic.publish_lag(lag, ["k"]).collect()} == {"a": None, "b": pytest.approx(2 / 3)}
+    samples = spark.createDataFrame([("a", 1000, 1.0), ("a", 1000, 2.0), ("a", 7_201_000, 3.0), ("b", 5, 1.0)], "k string, t long, c double")
+    assert {r["k"]: r["mean_pct"] for r in traffic.counter_rate(samples, "t", "c", ["k"], 1).collect()} == {"a": pytest.approx(100 / 7200)}
+    assert {r["k"]: (r["growth"], r["resets"]) for r in traffic.counter_delta(samples, "t", "c", ["k"]).collect()} == {"a": (2.0, 0), "b": (0.0, 0)}
+    assert panes.weighted_merge(spark.createDataFrame([("a", 1.0, 0)], "k string, value double, count long"), ["k"]).first()["avg"] is None
+    assert reuse.reuse_density(spark.createDataFrame([], "query_id string, consumer_id string, query_text string")).first()["reused_share"] is None
+    assert {r["stream"]: r["mean_interval_ms"] for r in signature.window_stats(obs, 10_000).collect()} == {"a": None, "b": 500.0}
+    assert approx.approx_pair(spark.createDataFrame([(1.0, 0.0, 2.0, 0.0, 1.0, 0.0, 0.0)], "v1 double, d1 double, v2 double, d2 double, vo double, dov double, dt double")).first()["avg"] is None
+
+
 @settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.integers(1, 4), st.integers(1, 5), st.integers(1, 6), st.lists(st.tuples(st.integers(0, 3000), st.floats(-100, 100)), max_size=30))
 def test_panes_equal_direct_windows(spark, pane, r, s, rows):
