@@ -2,19 +2,23 @@
 
 The kernel compares two units by their common subsequences of three and four letters, which may skip letters: each skip
 costs a factor ``DECAY``.  So "i-d-i.o.t" or "idxiot" stay close to "idiot".  Units of a sentence are its words, letters spelled out
-one by one, and short neighbouring words joined where three letters across their border stand in a row in a frequent telling word of the
-training documents, so an insult that a blank splits ("id iot") is one unit again.  Units are stripped to letters and carry a mark of their start;
-long ones are cut in overlapping windows.
+one by one, neighbouring words run together (two to ``PARTS``, also across line ends, so an insult that blanks split is one unit again), and windows
+within long runs of letters.  Units are stripped to letters and carry a mark of their start.
+
+Words run together and windows are far more than words.  The sum of their subsequences of three letters comes from prefix sums over a text's letters, and
+only those that reach the least sum of a telling word with a letter put in anywhere (``Windows``) are scored in full: no hidden telling word lies below it.
 
 Labels belong to documents, but a toxic document's sentences are mostly clean.  Training is therefore by witnesses: a
 toxic document is represented by its highest-scoring unit, a clean one by a sample of its units (``NEGATIVES``) and the highest-scoring of all
-(``HARDEST``), and the machine is trained anew as witnesses and hardest negatives change.  Features are the Nyström coordinates of a unit's kernel values with
+(``HARDEST``), run-together ones too, and the machine is trained anew as witnesses and hardest negatives change.  A telling word is learnt together with what
+hides it: other letters at every inner place, a letter doubled or left out.  Features are the Nyström coordinates of a unit's kernel values with
 the landmarks.  Since the decision is linear in those values, and the kernel is an inner product over subsequences, the
 trained machine folds into one weight for each subsequence: scoring costs the same for any number of landmarks.
 
-A document's score is a logistic function, fitted on labelled documents set aside, of its highest unit.
+A document's score is a logistic function of its highest unit, fitted on labelled documents set aside, of which toxic ones count a second time with a letter put into their
+telling word.
 
-Learning uses a bounded sample of labelled documents (``SAMPLE``), of each ``UNITS`` different units at most; scoring reads every whole text.
+Learning uses a bounded sample of labelled documents (``SAMPLE``), of each ``UNITS`` different words at most; scoring reads every whole text.
 
 Cases: a null or empty text, or one without a unit of three letters, gets the score of no evidence; without both labels
 every document gets the share of toxic labels; labels that are null or of unknown documents are ignored; repeated rows are scored
@@ -41,22 +45,31 @@ from panemill.llm.common import crc_mod
 SAMPLE = 4000
 #: Units that a labelled document is learnt by at most; random and hardest units of clean documents that a round learns from at most.
 UNITS, NEGATIVES, HARDEST = 5000, 6000, 2000
-#: Length of two joined words, least and most, and the share of toxic documents from which a telling word says where words are joined.
-JOINED, BORDERING = (4, 12), 0.05
-LANDMARKS = 256
+#: Words that are run together at most; letters of such a unit, least and most; run-together units of a document that training looks at.
+PARTS, JOINED, LOOKED_AT = 4, (4, 13), 20
+#: Letters put in at each inner place of a telling word to learn from, and how many documents' weight a telling word's variants have together, as a multiple of its own.
+PUT_IN, HIDDEN = 8, 1.0
+LANDMARKS = 512
 DECAY = 0.6
 #: Letters skipped by a subsequence at most.
 SKIPS = 2
 WINDOW, STRIDE = 16, 4
-ROUNDS = 3
+ROUNDS = 4
+#: What an ordinary unit counts as a multiple of its documents.
+CLEAN = 40
+#: Share of toxic documents from which a telling word is one that may be split or run together.
+FREQUENT = 0.05
 #: Log-likelihood ratio from which a unit counts as telling: far beyond what any of a million units reaches by chance.
 SURPRISE = 14.0
 REMEMBERED = 400_000
 THRESHOLD = 0.7
-_HASHED = 1 << 18
+#: Numbers of subsequences of three letters (exact) and of four (hashed).
+_THREE, _FOUR = 1 << 18, 1 << 22
 _NOT_LETTER = re.compile(r"[\W\d_]+")
 _SPELLED = re.compile(r"(?<!\S)[^\W\d_](?:[ \t]{1,3}[^\W\d_]){2,}(?!\S)")
 NO_UNIT = -2.0
+#: What begins a unit that is cut out of a word.
+INSIDE = "\x01"
 
 
 def units_of(text: str | None) -> set[str]:
@@ -67,27 +80,9 @@ def units_of(text: str | None) -> set[str]:
     return found
 
 
-def joined_units(text: str | None, borders: frozenset[str]) -> set[str]:
-    """Short neighbouring words of a line joined, where three letters across their border are among ``borders``."""
-    least, most = JOINED
-    found = set()
-    for line in (text or "").lower().split("\n"):
-        words = line.split()
-        for a, b in zip(words, words[1:]):
-            if (a[-1] + b[:2] in borders or a[-2:] + b[0] in borders) and least <= len(a) + len(b) <= most:
-                found.add(a + b)
-    return found
-
-
-def borders_of(words: list[str]) -> frozenset[str]:
-    """Letters that stand in a row of three in the words."""
-    letters = (_NOT_LETTER.sub("", w) for w in words)
-    return frozenset(w[k : k + 3] for w in letters for k in range(len(w) - 2))
-
-
 def _windows(word: str) -> list[str]:
-    """The letters of a unit behind a start mark, in windows."""
-    letters = "^" + (word if word.isalpha() else _NOT_LETTER.sub("", word))
+    """The letters of a unit behind a start mark, in windows; a unit that begins inside a word (``INSIDE``) has no mark."""
+    letters = ("" if word[:1] == INSIDE else "^") + (word if word.isalpha() else _NOT_LETTER.sub("", word))
     if len(letters) <= WINDOW:
         return [letters]
     return [letters[at : at + WINDOW] for at in range(0, len(letters) - WINDOW + STRIDE, STRIDE)]
@@ -124,7 +119,7 @@ def features(strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
         key = codes[:, at[:, 0]]
         for place in range(1, at.shape[1]):
             key = (key << np.uint32(6)) | codes[:, at[:, place]]
-        keys.append(key if k == 0 else ((key * np.uint32(2654435761)) >> np.uint32(14)) + np.uint32(_HASHED))
+        keys.append(key if k == 0 else ((key * np.uint32(2654435761)) >> np.uint32(10)) + np.uint32(_THREE))
         weights.append(weight)
     return np.hstack(keys), np.concatenate(weights)
 
@@ -152,7 +147,7 @@ class Landmarks:
     def __init__(self, words: list[str]):
         found = [features(_windows(word)[:1]) for word in words]
         self.used = np.unique(np.concatenate([keys[0] for keys, _ in found]))
-        self.slot = np.full(2 * _HASHED, len(self.used), np.int32)  # the last row stays zero
+        self.slot = np.full(_THREE + _FOUR, len(self.used), np.int32)  # the last row stays zero
         self.slot[self.used] = np.arange(len(self.used))
         self.table = np.zeros((len(self.used) + 1, len(words)), np.float32)
         for k, (keys, weight) in enumerate(found):
@@ -174,7 +169,7 @@ class Landmarks:
 
     def folded(self, alphas: np.ndarray) -> np.ndarray:
         """One weight for each subsequence, from one for each landmark."""
-        out = np.zeros(2 * _HASHED, np.float32)
+        out = np.zeros(_THREE + _FOUR, np.float32)
         out[self.used] = self.table[:-1] @ alphas
         return out
 
@@ -213,26 +208,127 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return w
 
 
-def variants(word: str, rng: np.random.Generator) -> list[str]:
-    """Units that hide a word: with a letter put in, doubled, or left out."""
-    letters, out = _windows(word)[0][1:], []
-    for _ in range(4):
-        at = int(rng.integers(1, len(letters)))
-        out += [letters[:at] + "abcdefghijklmnopqrstuvwxyz"[rng.integers(26)] + letters[at:], letters[:at] + letters[at - 1 :]]
+_LETTERS = "abcdefghijklmnopqrstuvwxyz"
+
+
+def variants(word: str, rng: np.random.Generator, weights: np.ndarray | None = None) -> list[str]:
+    """Units that hide a word: with a letter put in at each inner place, by chance and, once there are weights, those that score lowest; doubled, or left out."""
+    letters = _windows(word)[0][1:]
+    out = [letters[:at] + _LETTERS[k] + letters[at:] for at in range(1, len(letters)) for k in rng.permutation(26)[:PUT_IN]]
+    out += [letters[:at] + letters[at - 1 :] for at in range(1, len(letters))]
+    out += [INSIDE + letters] * PUT_IN
     if len(letters) > 4:
         at = int(rng.integers(1, len(letters)))
         out.append(letters[:at] + letters[at + 1 :])
+    if weights is not None:
+        every = hidden(word)
+        out += [every[k] for k in np.argsort(unit_scores(every, weights), kind="stable")[: len(out)].tolist()]
     return out
 
 
+def hidden(word: str) -> list[str]:
+    """A word with every single letter at every inner place."""
+    letters = _windows(word)[0][1:]
+    return [letters[:at] + c + letters[at:] for at in range(1, len(letters)) for c in _LETTERS]
+
+
+_kinds: np.ndarray | None = None
+
+
+def _kind_table() -> np.ndarray:
+    """The number of each code point: 0 for what is no letter, 255 for white space."""
+    global _kinds
+    if _kinds is None:
+        points = np.arange(0x110000)
+        chars = list(map(chr, range(0x110000)))
+        letter = np.fromiter((c.isalpha() for c in chars), bool, 0x110000)
+        white = np.fromiter((c.isspace() for c in chars), bool, 0x110000)
+        latin = (points >= 97) & (points <= 122)
+        _kinds = np.where(white, 255, np.where(letter, np.where(latin, points - 96, 27 + points % 37), 0)).astype(np.uint8)
+    return _kinds
+
+
+class Windows:
+    """Finds words run together, and windows within long runs of letters, whose subsequences of three letters have at least a given sum."""
+
+    def __init__(self, weights: np.ndarray, least: float):
+        self.three, self.least = np.ascontiguousarray(weights[:_THREE]), least
+        self.norm = np.array([1.0 if n < 4 else _norm(n) for n in range(JOINED[1] + 2)])
+
+    def _sums(self, codes: np.ndarray, starts: np.ndarray, ends: np.ndarray, marked: np.ndarray) -> np.ndarray:
+        """For each window of letters the sum of its subsequences of three, with a mark at its start where it begins a word."""
+        n = len(codes)
+        c = np.concatenate([codes, np.zeros(6, np.uint32)]).astype(np.uint32)
+        w, at = self.three, lambda *k: (c[k[0] : n + k[0]] << np.uint32(12)) | (c[k[1] : n + k[1]] << np.uint32(6)) | c[k[2] : n + k[2]]
+        spans = (w[at(0, 1, 2)], DECAY * (w[at(0, 1, 3)] + w[at(0, 2, 3)]), DECAY**2 * (w[at(0, 1, 4)] + w[at(0, 2, 4)] + w[at(0, 3, 4)]))
+        total = np.zeros(len(starts))
+        for span, own in zip((3, 4, 5), spans, strict=True):
+            upto = np.concatenate([[0.0], np.cumsum(own, dtype=float)])
+            total += upto[np.maximum(ends - span + 1, starts)] - upto[starts]
+        pair = lambda i, j: w[(c[starts + i] << np.uint32(6)) | c[starts + j]]  # noqa: E731  the mark is letter 0
+        length = ends - starts
+        mark = pair(0, 1) + DECAY * np.where(length > 2, pair(0, 2) + pair(1, 2), 0) + DECAY**2 * np.where(length > 3, pair(0, 3) + pair(1, 3) + pair(2, 3), 0)
+        return np.where(marked, total + mark, total) / self.norm[length + marked]
+
+    def of(self, text: str | None) -> list[str]:
+        low = (text or "").lower()
+        points = np.frombuffer(low.encode("utf-32-le", "surrogatepass"), np.uint32)
+        kind = _kind_table()[points]
+        white = kind == 255
+        at = np.flatnonzero((kind > 0) & ~white)
+        if len(at) < JOINED[0]:
+            return []
+        word = np.cumsum(white)[at]
+        first = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
+        bounds = np.concatenate([first, [len(at)]])
+        starts, ends = [], []
+        for parts in range(2, PARTS + 1):
+            if len(bounds) > parts:
+                starts.append(bounds[:-parts])
+                ends.append(bounds[parts:])
+        long = np.flatnonzero(np.diff(bounds) > JOINED[1] - 1)
+        for lo, hi in zip(bounds[long].tolist(), bounds[long + 1].tolist(), strict=True):
+            for size in range(JOINED[0], JOINED[1] + 1):
+                inside = np.arange(lo, hi - size + 1)
+                starts.append(inside)
+                ends.append(inside + size)
+        if not starts:
+            return []
+        begins = np.zeros(len(at), bool)
+        begins[first] = True
+        starts, ends = np.concatenate(starts), np.concatenate(ends)
+        fits = (ends - starts >= JOINED[0]) & (ends - starts <= JOINED[1])
+        starts, ends = starts[fits], ends[fits]
+        found = np.flatnonzero(self._sums(kind[at], starts, ends, begins[starts]) >= self.least)
+        letters = points[at]
+        return [("" if begins[starts[k]] else INSIDE) + "".join(map(chr, letters[starts[k] : ends[k]].tolist())) for k in found.tolist()]
+
+
+def _norm(length: int) -> float:
+    """What the weights of a string's subsequences are divided by."""
+    return float(np.sqrt(sum(DECAY ** (2 * (p[-1] - p[0] - n + 1)) for n in (3, 4) for p in combinations(range(length), n) if p[-1] - p[0] - n + 1 <= SKIPS))) or 1.0
+
+
+def least_sum(weights: np.ndarray, words: list[str]) -> float:
+    """The least sum of subsequences of three letters that any of the words has, whole or with a letter put in; infinite without words."""
+    found = np.inf
+    only = np.concatenate([weights[:_THREE], np.zeros(_FOUR, np.float32)])
+    for word in words:
+        letters = _windows(word)[0][1:]
+        if JOINED[0] <= len(letters) < JOINED[1]:
+            shown = [letters, *hidden(word)]
+            found = min(found, float(unit_scores([*shown, *(INSIDE + u for u in shown)], only).min()))
+    return found - 1e-5
+
+
 def _long_enough(word: str) -> bool:
     return len(_windows(word)[0]) > 3
 
 
-def train(bags: list[tuple[int, list[str]]], joined: Callable[[frozenset[str]], list[list[str]]]) -> dict:
-    """From (label, units) of documents, in a fixed order: the folded weights, the offset, the logistic weights, the borders of joined words.
+def train(bags: list[tuple[int, list[str]]], joined: Callable[[np.ndarray, float], list[list[str]]]) -> dict:
+    """From (label, units) of documents, in a fixed order: the folded weights, the offset, the logistic weights, the least sum of windows.
 
-    ``joined`` gives the documents' joined words, in the same order, once the borders are known.
+    ``joined`` gives the documents' highest run-together units and windows, in the same order, once there are weights and a least sum.
     """
     bags = [(label, [u for u in units if _long_enough(u)]) for label, units in bags]
     share = sum(label for label, _ in bags) / len(bags) if bags else 0.0
@@ -268,26 +364,42 @@ def train(bags: list[tuple[int, list[str]]], joined: Callable[[frozenset[str]],
     both = p + n
     surprise = p * np.log(np.maximum(p, 1) * (bad + good) / (both * bad)) + n * np.log(np.maximum(n, 1) * (bad + good) / (both * good))
     telling = (odds > 1.5) & (surprise > SURPRISE)
-    borders = borders_of([words[k] for k in np.flatnonzero(telling & (p >= BORDERING * bad)).tolist()])
-    pairs = joined(borders) if borders else [[] for _ in bags]
-    usual_pairs = Counter(u for j in learnt if not bags[j][0] for u in pairs[j])
-    joints = sorted(usual_pairs)
+    # A telling word of its letters only: with marks it is the same unit, and a word that only holds another one is none.
+    names = [words[k] for k in np.flatnonzero(telling & (p >= FREQUENT * bad)).tolist()]
+    runs: list[list[str]] = [[] for _ in bags]
+    joints: list[str] = []
     for k in range(ROUNDS):
         # The witnesses of a toxic document: its telling units, or else the highest-scoring one.
         witness = Counter(chain.from_iterable(units[telling[units]].tolist() or [int(units[np.argmax(score[units])])] for units in own))
         witness = {k: c for k, c in witness.items() if p[k] * good > n[k] * bad}
         negatives.update(np.argsort(-np.where((n > 0) & (odds < 0), score, -np.inf), kind="stable")[:HARDEST].tolist())
-        blurred = [(v, min(c, 100) / 12) for k, c in sorted(witness.items()) if telling[k] for v in variants(words[k], rng)]
+        blurred = [(v, min(c, 100) * HIDDEN / len(own)) for k, c in sorted(witness.items()) if telling[k] for own in (variants(words[k], rng, folded),) for v in own]
+        if k:
+            runs = joined(folded, least_sum(folded, names))
+            usual_runs = Counter(u for j in learnt if not bags[j][0] for u in runs[j])
+            found = sorted(usual_runs)
+            hardest = np.argsort(-unit_scores(found, folded), kind="stable")[:HARDEST].tolist() if found else []
+            joints = sorted({found[k] for k in hardest} | set(joints))
         rows = sorted(set(witness) | negatives)
-        ordinary = [] if folded is None or not joints else [joints[j] for j in np.argsort(-unit_scores(joints, folded), kind="stable")[:HARDEST].tolist()]
-        x = landmarks.kernel([words[k] for k in rows] + [v for v, _ in blurred] + ordinary) @ whiten.astype(np.float32)
-        y = np.array([1.0 if k in witness else -1.0 for k in rows] + [1.0] * len(blurred) + [-1.0] * len(ordinary))
-        cost = np.array([min(witness.get(k, n[k]), 100) for k in rows] + [c for _, c in blurred] + [min(usual_pairs[u], 100) for u in ordinary])
+        x = landmarks.kernel([words[k] for k in rows] + [v for v, _ in blurred] + joints) @ whiten.astype(np.float32)
+        y = np.array([1.0 if k in witness else -1.0 for k in rows] + [1.0] * len(blurred) + [-1.0] * len(joints))
+        cost = np.array([float(witness[k]) if k in witness else CLEAN * min(n[k], 25) for k in rows] + [c for _, c in blurred] + [CLEAN * min(max(1, usual_runs[u]), 25) for u in joints])
         w = _machine(x, y, np.sqrt(cost), ridge=0.02)
         folded, offset = landmarks.folded(whiten @ w[:-1]), float(w[-1])
         score = np.maximum(unit_scores(words, folded) + offset, NO_UNIT)
-    tops = np.array([[top(unit_scores(own, folded) + offset if own else np.zeros(0))] for own in ([*bags[j][1], *pairs[j]] for j in aside)])
-    return {"share": share, "weights": folded, "offset": offset, "logistic": _logistic(tops, np.array([bags[j][0] for j in aside], float)), "borders": borders}
+    least = least_sum(folded, names)
+    runs = joined(folded, least)
+    value = lambda units: unit_scores(units, folded) + offset if units else np.zeros(0)
+    tops, labels = [], []
+    told = set(words[k] for k in np.flatnonzero(telling).tolist())
+    for j in aside:
+        tops.append([top(value([*bags[j][1], *runs[j]]))])
+        labels.append(float(bags[j][0]))
+        if bags[j][0] and (shown := sorted(told & set(bags[j][1]))):
+            disguised = [v for u in shown for v in variants(u, rng)]
+            tops.append([top(np.array([value([disguised[int(rng.integers(len(disguised)))]])[0]]))])
+            labels.append(1.0)
+    return {"share": share, "weights": folded, "offset": offset, "logistic": _logistic(np.array(tops), np.array(labels)), "least": least}
 
 
 def top(scores: np.ndarray) -> float:
@@ -319,14 +431,22 @@ def learnt_from(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str,
     rows = [(label.as_py(), [shared.setdefault(u, u) for u in units.as_py()]) for label, units in zip(found.column("label"), found.column("units"), strict=True)]
     del found, shared
 
-    def joined(borders: frozenset[str]) -> list[list[str]]:
+    def joined(weights: np.ndarray, least: float) -> list[list[str]]:
+        model = docs.sparkSession.sparkContext.broadcast((weights, least))
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            finder = Windows(*model.value)
             for batch in batches:
-                units = [some(joined_units(text, borders)) for text in batch.column(1).to_pylist()]
+                units = []
+                for text in batch.column(1):
+                    found = sorted(set(finder.of(text.as_py())))
+                    best = np.argsort(-unit_scores(found, model.value[0]), kind="stable")[:LOOKED_AT].tolist() if found else []
+                    units.append([found[k] for k in best])
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(units, pa.list_(pa.string()))], names=["key", "units"])
 
-        pairs = sample.select("key", "text").where(F.col("key").isin(keys)).mapInArrow(run, "key long, units array<string>").dropDuplicates(["key"]).collect()
-        by = {r["key"]: r["units"] for r in pairs}
+        found = sample.select("key", "text").where(F.col("key").isin(keys)).mapInArrow(run, "key long, units array<string>").dropDuplicates(["key"]).collect()
+        model.unpersist()
+        by = {r["key"]: r["units"] for r in found}
         return [by.get(key, []) for key in keys]
 
     return train(rows, joined)
@@ -337,6 +457,7 @@ class Scorer:
 
     def __init__(self, model: dict):
         self.model, self.memo = model, {}
+        self.windows = Windows(model["weights"], model["least"]) if "weights" in model else None
 
     def scores(self, texts: pa.Array) -> np.ndarray:
         model, out = self.model, []
@@ -344,7 +465,7 @@ class Scorer:
             return np.full(len(texts), model["share"])
         for at in range(0, len(texts), 500):
             own = [value.as_py() for value in texts.slice(at, 500)]
-            units = [units_of(text) | joined_units(text, model["borders"]) for text in own]
+            units = [units_of(text).union(self.windows.of(text)) for text in own]
             if len(self.memo) > REMEMBERED:
                 self.memo = {}
             if new := list(set().union(*units).difference(self.memo)):

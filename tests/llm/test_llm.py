@@ -229,9 +229,9 @@ def test_toxicity_tolerates_gaps():
     rng = random.Random(4)
     word = lambda: "".join(rng.choice(["ka", "lo", "mi", "re", "tu", "sen", "dor"]) for _ in range(rng.randint(1, 3)))
     bags = [(k % 4 == 0, sorted({word() for _ in range(60)} | ({rng.choice(["idiot", "scumbag"])} if k % 4 == 0 else set()))) for k in range(400)]
-    model = toxicity.train([(int(label), units) for label, units in bags], lambda borders: [sorted(toxicity.joined_units(" ".join(units), borders)) for _, units in bags])
+    model = toxicity.train([(int(label), units) for label, units in bags], lambda weights, least: [sorted(toxicity.Windows(weights, least).of(" ".join(units)))[:20] for _, units in bags])
     score = lambda text: float(toxicity.Scorer(model).scores(toxicity.pa.array([text]))[0])
-    for text in ("idiot", "what an i.d.i.o.t", "i d i o t", "IDIOT!", "an id-iot", "iddiot", "scumbag", "you id iot", "scum bag"):
+    for text in ("idiot", "what an i.d.i.o.t", "i d i o t", "IDIOT!", "an id-iot", "iddiot", "scumbag", "you id iot", "scum bag", "id\niot", "sc um bag", "zzzzzzzzidiotzzzzzzzz", "scu\tmb\nag"):
         assert score(f"kalo {text} mi") > 0.7, text
     for text in ("kalo mire", "", "tusendor lo", "the of", "idea", "1234 ?? --"):
         assert score(text) < 0.3, text
@@ -258,12 +258,92 @@ def test_kernel_by_brute_force():
             assert got[i, j] == pytest.approx(sum(v * y.get(k, 0) for k, v in x.items()), abs=2e-3)
 
 
-def test_joined_units():
-    borders = toxicity.borders_of(["idiot", "scum-bag!"])
-    assert {"idi", "dio", "iot", "umb", "mba"} <= borders
-    assert toxicity.joined_units("an id iot of the scum Bag, idi ot\nid\niot extraordinarilyid iot", borders) == {"idiot", "scumbag,"}
-    assert toxicity.joined_units("an id iot. So\nbe it", frozenset()) == set()
-    assert toxicity.joined_units(None, borders) == toxicity.joined_units("", borders) == set()
+def expanded(letters):
+    """Weights of a string's subsequences of three and four letters."""
+    from itertools import combinations
+
+    found, units = Counter(), []
+    for n in (3, 4):
+        for at in combinations(range(len(letters)), n):
+            if (skips := at[-1] - at[0] - n + 1) <= toxicity.SKIPS:
+                found["".join(letters[k] for k in at)] += toxicity.DECAY**skips
+                units.append(toxicity.DECAY**skips)
+    norm = sum(w * w for w in units) ** 0.5 or 1.0
+    return {k: v / norm for k, v in found.items()}
+
+
+def windows_by_hand(text):
+    """Words run together, and windows within long runs of letters: (letters, whether they begin a word)."""
+    words = [w for w in ("".join(c for c in t if c.isalpha()) for t in text.lower().split()) if w]
+    least, most = toxicity.JOINED
+    found = [("".join(words[k : k + n]), True) for n in range(2, toxicity.PARTS + 1) for k in range(len(words) - n + 1)]
+    found += [(w[k : k + n], k == 0) for w in words if len(w) >= most for n in range(least, most + 1) for k in range(len(w) - n + 1)]
+    return {x for x in found if least <= len(x[0]) <= most}
+
+
+def number_of(sub):
+    return sum((0 if c == "^" else ord(c) - 96) << (6 * (2 - k)) for k, c in enumerate(sub))
+
+
+def test_windows_equal_brute_force():
+    rng = np.random.default_rng(8)
+    weights = np.zeros(toxicity._THREE + toxicity._FOUR, np.float32)
+    weights[: toxicity._THREE] = rng.normal(size=toxicity._THREE)
+    texts = ["an id iot of the scum Bag,\nidi\tot", "id\niot 12 !! extraordinarilylongwordindeed id iot", "a b c d e f g", "", None, "one", "....", "x" * 300 + " yes no"]
+    for text in texts:
+        for least in (-0.2, 0.4):
+            value = lambda w, begins: sum(v * weights[number_of(k)] for k, v in expanded(("^" if begins else "") + w).items() if len(k) == 3)  # noqa: B023, E731
+            want = {w if begins else toxicity.INSIDE + w for w, begins in windows_by_hand(text or "") if value(w, begins) >= least}
+            assert set(toxicity.Windows(weights, least).of(text)) == want, (text, least)
+
+
+@pytest.fixture(scope="module")
+def machine(spark):
+    """The machine that the labels of sf0.1 give."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    return toxicity.learnt_from(docs, labels, "doc_id", "text", "toxic")
+
+
+def test_telling_words_with_a_letter_put_in(machine):
+    scorer = toxicity.Scorer(machine)
+    score = lambda texts: scorer.scores(toxicity.pa.array(texts))
+    words = ["idiot", "clown", "stupid", "trash", "pathetic", "worthless", "disgusting"]
+    common = ["moron", "loser"]  # of letters that stand in a row in many ordinary words
+    put_in = lambda words: [f"{w[:k]}{c}{w[k:]}" for w in words for k in range(1, len(w)) for c in "abcdefghijklmnopqrstuvwxyz"]
+    assert (score(put_in(words)) >= 0.7).mean() > 0.99
+    assert (score(put_in(common)) >= 0.7).mean() > 0.6
+    words += common
+    assert (score(words) >= 0.7).all()
+    split = [f"of the {w[:k]}{gap}{w[k:]} and" for w in words for k in range(2, len(w) - 1) for gap in (" ", "\n", " - ")]
+    split += [f"{w[:2]} {w[2:4]} {w[4:]}" for w in words] + [f"bbbbbbbbbb{w}bbbbbbbbbb" for w in words]
+    assert (score(split) >= 0.7).all()
+    assert (score(["the other one", "extra shine", "", "a clear noun of the year", None]) < 0.3).all()
+
+
+def test_document_scores_by_direct_computation(spark, sf, machine):
+    """Every unit's value from the weights of its subsequences, one at a time."""
+    weights, sums = machine["weights"], {}
+
+    def number(sub):
+        low = [(0 if c == "^" else ord(c) - 96 if "a" <= c <= "z" else 27 + ord(c) % 37) for c in sub]
+        key = 0
+        for c in low:
+            key = key << 6 | c
+        return key if len(sub) == 3 else ((key * 2654435761 % 2**32) >> 10) + toxicity._THREE
+
+    def value(letters):
+        if letters not in sums:
+            sums[letters] = sum(v * float(weights[number(k)]) for k, v in expanded(letters).items()) + machine["offset"]
+        return max(sums[letters], toxicity.NO_UNIT)
+
+    texts = [r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").where("length(text) < 400").limit(25).collect()] + ["what an i d i o t", "id xiot", "…", ""]
+    for text, got in zip(texts, toxicity.Scorer(machine).scores(toxicity.pa.array(texts)), strict=True):
+        units = {"^" + "".join(c for c in w if c.isalpha()) for w in toxicity.units_of(text)}
+        units = {u[at : at + 16] for u in units for at in (range(0, len(u) - 12, 4) if len(u) > 16 else (0,))}
+        units |= {("^" if begins else "") + w for w, begins in windows_by_hand(text)}
+        best = max((value(u) for u in units if len(u) > 3), default=toxicity.NO_UNIT)
+        a, b = machine["logistic"]
+        assert got == pytest.approx(1 / (1 + np.exp(-(min(1.0, max(toxicity.NO_UNIT, best)) * a + b))), abs=2e-3), text
 
 
 def test_toxicity_at_the_threshold(spark):
