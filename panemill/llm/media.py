@@ -3,7 +3,8 @@
 ``media_of`` stores a payload losslessly as a grey picture of 8-bit samples (portable grey map, 64 samples a row),
 content-addressed by its SHA-256.  ``sequences`` parses HTML into ordered structs, text and media references with their
 captions, positions counted over both.  ``resolve`` joins references to media rows by digest, so a sequence keeps its
-order whatever the join does.  A digest that many documents share is one media row; the reference side of the join
+order whatever the join does.  Media that aren't stored here keep their place and address; a caption belongs to the media of its own figure, and is a part
+of its own where a figure has none; tags that are never closed end with the page.  A digest that many documents share is one media row; the reference side of the join
 holds ids, positions and captions only, and a hot digest is cut in parts (``spread_join``).
 
 Cases: a null or empty text is a payload of 64 zero bytes; null HTML has an empty sequence; a reference without a
@@ -30,7 +31,9 @@ from panemill.llm.common import scratch_path, spread_join, written
 WIDTH = 64
 #: Prefix of a media reference in the src attribute.
 SCHEME = "sha256:"
-SEQUENCE = "array<struct<pos int, kind string, text string, digest string, caption string>>"
+#: A part is a text, a caption without media, or a reference: by digest if the payload is stored, else by address.
+FIELDS = ("kind", "text", "digest", "src", "caption")
+SEQUENCE = f"array<struct<pos int, {', '.join(f'{c} string' for c in FIELDS)}>>"
 _HEAD = re.compile(rb"P5\n# bytes (\d+)\n(\d+) (\d+)\n255\n")
 _BLOCK = {"p", "div", "li", "h1", "h2", "h3", "h4", "h5", "h6", "section", "article", "br", "tr", "td", "th", "pre", "blockquote", "ul", "ol", "table"}
 _SKIPPED = {"script", "style"}
@@ -64,11 +67,12 @@ class _Sequencer(HTMLParser):
         self.parts: list[dict] = []
         self.words: list[str] = []
         self.skip = 0
-        self.figure: list[int] | None = None
-        self.caption: list[str] | None = None
+        #: Open figures, innermost last: the places of their media, and the captions' words.
+        self.figures: list[tuple[list[int], list[str]]] = []
+        self.captions = 0
 
     def _put(self, **part) -> None:
-        self.parts.append({"pos": len(self.parts), "kind": None, "text": None, "digest": None, "caption": None} | part)
+        self.parts.append({"pos": len(self.parts)} | dict.fromkeys(FIELDS) | part)
 
     def flush(self) -> None:
         text = "".join(self.words).strip()
@@ -76,43 +80,58 @@ class _Sequencer(HTMLParser):
         if text:
             self._put(kind="text", text=text)
 
+    def _end_figure(self) -> None:
+        self.flush()
+        media, words = self.figures.pop()
+        caption = " ".join("".join(words).split())
+        self.captions = 0
+        if caption and not media:
+            self._put(kind="caption", text=caption)
+        for at in media if caption else ():
+            self.parts[at]["caption"] = caption
+
+    def finish(self) -> None:
+        while self.figures:
+            self._end_figure()
+        self.flush()
+
     def handle_starttag(self, tag, attrs):
         if tag in _SKIPPED:
             self.skip += 1
         elif tag == "figure":
             self.flush()
-            self.figure = []
-        elif tag == "figcaption" and self.figure is not None:
-            self.caption = []
+            self.captions = 0
+            self.figures.append(([], []))
+        elif tag == "figcaption" and self.figures:
+            self.flush()
+            self.captions += 1
+            self.figures[-1][1].append(" ")
         elif tag in ("img", "video", "audio", "source"):
             src = dict(attrs).get("src") or ""
-            if src.startswith(SCHEME):
+            if src:
                 self.flush()
-                self._put(kind=tag, digest=src.removeprefix(SCHEME), caption=dict(attrs).get("alt"))
-                if self.figure is not None:
-                    self.figure.append(len(self.parts) - 1)
-        elif tag in _BLOCK:
+                stored = src.startswith(SCHEME)
+                self._put(kind=tag, digest=src.removeprefix(SCHEME) if stored else None, src=None if stored else src, caption=dict(attrs).get("alt"))
+                if self.figures:
+                    self.figures[-1][0].append(len(self.parts) - 1)
+        elif tag in _BLOCK and not self.captions:
             self.flush()
+        elif tag in _BLOCK:
+            self.figures[-1][1].append(" ")
 
     def handle_endtag(self, tag):
         if tag in _SKIPPED:
             self.skip = max(0, self.skip - 1)
-        elif tag == "figcaption" and self.caption is not None:
-            caption = " ".join("".join(self.caption).split())
-            for at in self.figure or ():
-                self.parts[at]["caption"] = caption
-            self.caption = None
-        elif tag == "figure":
-            self.flush()
-            self.figure = self.caption = None
-        elif tag in _BLOCK:
+        elif tag == "figcaption":
+            self.captions = max(0, self.captions - 1)
+        elif tag == "figure" and self.figures:
+            self._end_figure()
+        elif tag in _BLOCK and not self.captions:
             self.flush()
 
     def handle_data(self, data):
-        if self.caption is not None:
-            self.caption.append(data)
-        elif not self.skip:
-            self.words.append(data)
+        if not self.skip:
+            (self.figures[-1][1] if self.captions and self.figures else self.words).append(data)
 
 
 def parse(page: str | None) -> list[dict]:
@@ -120,7 +139,7 @@ def parse(page: str | None) -> list[dict]:
     reader = _Sequencer()
     reader.feed(page or "")
     reader.close()
-    reader.flush()
+    reader.finish()
     return reader.parts
 
 
@@ -129,7 +148,7 @@ def sequences(pages: DataFrame, id_col: str, html_col: str = "html") -> DataFram
     kind = pages.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = pa.struct([("pos", pa.int32()), *((c, pa.string()) for c in ("kind", "text", "digest", "caption"))])
+        part = pa.struct([("pos", pa.int32()), *((c, pa.string()) for c in FIELDS)])
         for batch in batches:
             for at in range(0, len(batch), 256):
                 own = batch.slice(at, 256)
@@ -140,9 +159,9 @@ def sequences(pages: DataFrame, id_col: str, html_col: str = "html") -> DataFram
 
 
 def references(sequenced: DataFrame, id_col: str) -> DataFrame:
-    """id, pos, digest, caption: the media references of sequences, a row each."""
+    """id, pos, digest, caption, parts: the references of sequences to stored media, a row each, and how many parts the sequence has."""
     part = F.explode(F.filter("sequence", lambda p: p.digest.isNotNull())).alias("part")
-    return sequenced.select(id_col, part).select(id_col, "part.pos", "part.digest", "part.caption")
+    return sequenced.select(id_col, part, F.size("sequence").alias("parts")).select(id_col, "part.pos", "part.digest", "part.caption", "parts")
 
 
 def resolve(refs: DataFrame, media: DataFrame) -> DataFrame:
@@ -217,8 +236,8 @@ def paged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 
 def documents_as_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Stores the texts, reads them back, and resolves each document's reference: id, the columns of ``described`` but the digest, pos, caption."""
+    """Stores the texts, reads them back, and resolves each document's reference: id, the columns of ``described`` but the digest, pos, caption, parts."""
     path = scratch_path(docs.sparkSession, "media")
     media = described(store(docs, path, text_col))
     refs = written(references(sequences(paged(docs, id_col, text_col), id_col), id_col), "references")
-    return resolve(refs, media).select(id_col, *DESCRIBED[1:], "pos", "caption")
+    return resolve(refs, media).select(id_col, *DESCRIBED[1:], "pos", "caption", "parts")

@@ -740,13 +740,44 @@ def test_documents_as_sequences_keep_text_and_media(spark):
 def test_sequences_keep_order(spark):
     page = '<p>one</p><script>no()</script><figure><img src="sha256:aa" alt="x"><figcaption>a  caption</figcaption></figure>two &amp; three<img src="sha256:bb" alt="alt"><img src="http://other"><p>four'
     parts = media.parse(page)
-    assert [(p["pos"], p["kind"], p["text"] or p["digest"], p["caption"]) for p in parts] == [(0, "text", "one", None), (1, "img", "aa", "a caption"), (2, "text", "two & three", None), (3, "img", "bb", "alt"), (4, "text", "four", None)]
+    assert [(p["pos"], p["kind"], p["text"] or p["digest"], p["caption"]) for p in parts] == [(0, "text", "one", None), (1, "img", "aa", "a caption"), (2, "text", "two & three", None), (3, "img", "bb", "alt"), (4, "img", None, None), (5, "text", "four", None)]
+    assert parts[4]["src"] == "http://other"
     pages = spark.createDataFrame([(1, page), (2, None)], "id long, html string")
     refs = media.references(media.sequences(pages, "id"), "id")
     found = media.resolve(refs, spark.createDataFrame([("aa", b"bytes")], "digest string, media binary")).orderBy("pos").collect()
     assert [(r["pos"], r["media"] and bytes(r["media"])) for r in found] == [(1, b"bytes"), (3, None)]
 
 
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ('<img src="http://h/x.png" alt="cap">', [("img", "http://h/x.png", "cap")]),
+        ("<figure><figcaption>of nothing</figcaption></figure>", [("caption", "of nothing", None)]),
+        ('<figure><img src="sha256:aa"><figcaption>never <b>closed</b>', [("img", "aa", "never closed")]),
+        ('<figure><img src="sha256:aa">text<figure><img src="sha256:bb"><figcaption>in</figcaption></figure><figcaption>out</figcaption></figure>', [("img", "aa", "out"), ("text", "text", None), ("img", "bb", "in")]),
+        ('<figcaption>no figure</figcaption><p>a<figure><p>b</p><figcaption><p>c</p><p>d</p></figcaption><img src="sha256:aa" alt="e"></figure>f', [("text", "no figure", None), ("text", "a", None), ("text", "b", None), ("img", "aa", "c d"), ("text", "f", None)]),
+        ('<img><img src=""><script>x</script><p>y', [("text", "y", None)]),
+        ("<p>" + "long " * 200_000, [("text", ("long " * 200_000).strip(), None)]),
+        ("</figure></p></figcaption>z<b", [("text", "z<b", None)]),
+    ],
+)
+def test_parts_of_pages(page, want):
+    got = media.parse(page)
+    assert [(p["kind"], p["text"] or p["digest"] or p["src"], p["caption"]) for p in got] == want
+    assert [p["pos"] for p in got] == list(range(len(got)))
+
+
+def test_no_text_of_the_pages_is_lost(spark, sf):
+    import re
+    from html import unescape
+
+    for r in spark.read.parquet(f"{sf}/pages.parquet").select("html").collect():
+        plain = re.sub(r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<!doctype[^>]*>", " ", r["html"] or "")
+        want = Counter(unescape(re.sub(r"<[^>]*>", " ", plain)).split())
+        got = Counter(w for p in media.parse(r["html"]) for w in f"{p['text'] or ''} {(p['caption'] or '') if p['kind'] != 'text' else ''}".split())
+        assert not want - got or sum((want - got).values()) <= 0.01 * sum(want.values())
+
+
 # --- pipeline
 
 
