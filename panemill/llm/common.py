@@ -98,14 +98,14 @@ def spread_join(rows: DataFrame, per_key: DataFrame, on: list[str], how: str = "
     share = max(SPLIT, n // int(spark.conf.get("spark.sql.shuffle.partitions")))
     if n <= share:
         return rows.join(per_key, on, how)
-    hot = (rows.groupBy(*on).count() if counts is None else counts).where(F.col("count") > share).select(*on, F.ceil(F.col("count") / share).cast("long").alias("parts"))
+    hot = (rows.groupBy(*on).count() if counts is None else counts).where(F.col("count") > share).select(*on, F.ceil(F.col("count") / share).cast("long").alias("_parts"))
     hot = written(hot, "hot")
     if hot.isEmpty():
         return rows.join(per_key, on, how)
     hot = maybe_broadcast(hot, BROADCAST_KEYS)
-    left = rows.join(hot, on, "left").withColumn("part", F.pmod(F.monotonically_increasing_id(), F.coalesce("parts", F.lit(1))))
-    right = per_key.join(hot, on, "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1)) - 1)))
-    return left.drop("parts").join(right.drop("parts"), [*on, "part"], how).drop("part")
+    left = rows.join(hot, on, "left").withColumn("_part", F.pmod(F.monotonically_increasing_id(), F.coalesce("_parts", F.lit(1))))
+    right = per_key.join(hot, on, "left").withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("_parts", F.lit(1)) - 1)))
+    return left.drop("_parts").join(right.drop("_parts"), [*on, "_part"], how).drop("_part")
 
 
 def maybe_broadcast(df: DataFrame, most_rows: int) -> DataFrame:

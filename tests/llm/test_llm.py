@@ -778,6 +778,15 @@ def test_no_text_of_the_pages_is_lost(spark, sf):
         assert not want - got or sum((want - got).values()) <= 0.01 * sum(want.values())
 
 
+def test_split_joins_keep_columns(spark, monkeypatch):
+    from panemill.llm import common
+
+    monkeypatch.setattr(common, "SPLIT", 5)
+    rows = common.written(spark.range(100).select(F.when(F.col("id") < 80, 1).otherwise(F.col("id")).alias("k"), F.col("id").alias("parts"), F.col("id").alias("part")), "split")
+    out = common.spread_join(rows, spark.range(100).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v")), ["k"])
+    assert out.columns == ["k", "parts", "part", "v"] and sorted((r["parts"], r["v"]) for r in out.collect()) == [(k, 2 if k < 80 else 2 * k) for k in range(100)]
+
+
 # --- pipeline
 
 
