@@ -6,7 +6,7 @@ one by one, neighbouring words run together (two to ``PARTS``, also across line
 within long runs of letters.  Units are stripped to letters and carry a mark of their start.
 
 Words run together and windows are far more than words.  The sum of their subsequences of three letters comes from prefix sums over a text's letters, and
-only those that reach the least sum of a telling word with a letter put in anywhere (``Windows``) are scored in full: no hidden telling word lies below it.
+only those that reach the least sum of a telling word, whole or with a letter put in anywhere, of positive value (``Windows``) are scored in full: no such word lies below it.
 
 Labels belong to documents, but a toxic document's sentences are mostly clean.  Training is therefore by witnesses: a
 toxic document is represented by its highest-scoring unit, a clean one by a sample of its units (``NEGATIVES``) and the highest-scoring of all
@@ -232,6 +232,8 @@ def hidden(word: str) -> list[str]:
     return [letters[:at] + c + letters[at:] for at in range(1, len(letters)) for c in _LETTERS]
 
 
+#: Letters of texts that are worked on together.
+TOGETHER = 300_000
 _kinds: np.ndarray | None = None
 
 
@@ -255,53 +257,74 @@ class Windows:
         self.three, self.least = np.ascontiguousarray(weights[:_THREE]), least
         self.norm = np.array([1.0 if n < 4 else _norm(n) for n in range(JOINED[1] + 2)])
 
-    def _sums(self, codes: np.ndarray, starts: np.ndarray, ends: np.ndarray, marked: np.ndarray) -> np.ndarray:
+    def _sums(self, codes: np.ndarray, starts: np.ndarray, ends: np.ndarray, begins: np.ndarray) -> np.ndarray:
         """For each window of letters the sum of its subsequences of three, with a mark at its start where it begins a word."""
-        n = len(codes)
-        c = np.concatenate([codes, np.zeros(6, np.uint32)]).astype(np.uint32)
-        w, at = self.three, lambda *k: (c[k[0] : n + k[0]] << np.uint32(12)) | (c[k[1] : n + k[1]] << np.uint32(6)) | c[k[2] : n + k[2]]
-        spans = (w[at(0, 1, 2)], DECAY * (w[at(0, 1, 3)] + w[at(0, 2, 3)]), DECAY**2 * (w[at(0, 1, 4)] + w[at(0, 2, 4)] + w[at(0, 3, 4)]))
+        n, w = len(codes), self.three
+        c = np.concatenate([codes, np.zeros(6, np.uint8)]).astype(np.int32)
+        head, middle = c[:n] << 12, c << 6
+        by = [head | middle[k : n + k] for k in (1, 2, 3)]
+        spans = [w[by[0] | c[2 : n + 2]]]
+        spans += [DECAY ** (k - 2) * sum(w[by[j] | c[k : n + k]] for j in range(k - 1)) for k in (3, 4)]
         total = np.zeros(len(starts))
         for span, own in zip((3, 4, 5), spans, strict=True):
             upto = np.concatenate([[0.0], np.cumsum(own, dtype=float)])
             total += upto[np.maximum(ends - span + 1, starts)] - upto[starts]
-        pair = lambda i, j: w[(c[starts + i] << np.uint32(6)) | c[starts + j]]  # noqa: E731  the mark is letter 0
-        length = ends - starts
-        mark = pair(0, 1) + DECAY * np.where(length > 2, pair(0, 2) + pair(1, 2), 0) + DECAY**2 * np.where(length > 3, pair(0, 3) + pair(1, 3) + pair(2, 3), 0)
-        return np.where(marked, total + mark, total) / self.norm[length + marked]
+        # The mark is letter 0, and windows have four letters at least.
+        first = np.flatnonzero(begins)
+        pair = lambda i, j: w[middle[first + i] | c[first + j]]
+        mark = np.zeros(n)
+        mark[first] = pair(0, 1) + DECAY * (pair(0, 2) + pair(1, 2)) + DECAY**2 * (pair(0, 3) + pair(1, 3) + pair(2, 3))
+        return (total + mark[starts]) / self.norm[ends - starts + begins[starts]]
 
     def of(self, text: str | None) -> list[str]:
-        low = (text or "").lower()
-        points = np.frombuffer(low.encode("utf-32-le", "surrogatepass"), np.uint32)
+        return self.of_many([text])[0]
+
+    def of_many(self, texts: list[str | None]) -> list[list[str]]:
+        """The found units of each text; small texts are worked on together."""
+        out: list[list[str]] = [[] for _ in texts]
+        at, size = 0, 0
+        for k, text in enumerate(texts):
+            size += len(text or "")
+            if size > TOGETHER or k == len(texts) - 1:
+                self._block(texts[at : k + 1], out, at)
+                at, size = k + 1, 0
+        return out
+
+    def _block(self, texts: list[str | None], out: list[list[str]], offset: int) -> None:
+        lows = [(text or "").lower() + "\n" for text in texts]
+        points = np.frombuffer("".join(lows).encode("utf-32-le", "surrogatepass"), np.uint32)
         kind = _kind_table()[points]
         white = kind == 255
         at = np.flatnonzero((kind > 0) & ~white)
         if len(at) < JOINED[0]:
-            return []
-        word = np.cumsum(white)[at]
-        first = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
+            return
+        word = np.cumsum(white, dtype=np.int32)[at]
+        begins = np.concatenate(([True], word[1:] != word[:-1]))
+        first = np.flatnonzero(begins)
         bounds = np.concatenate([first, [len(at)]])
+        text_of = np.searchsorted(np.cumsum(list(map(len, lows))), at[first], "right")
+        least, most = JOINED
         starts, ends = [], []
         for parts in range(2, PARTS + 1):
-            if len(bounds) > parts:
-                starts.append(bounds[:-parts])
-                ends.append(bounds[parts:])
-        long = np.flatnonzero(np.diff(bounds) > JOINED[1] - 1)
-        for lo, hi in zip(bounds[long].tolist(), bounds[long + 1].tolist(), strict=True):
-            for size in range(JOINED[0], JOINED[1] + 1):
-                inside = np.arange(lo, hi - size + 1)
-                starts.append(inside)
-                ends.append(inside + size)
-        if not starts:
-            return []
-        begins = np.zeros(len(at), bool)
-        begins[first] = True
+            if len(first) >= parts:
+                lo, hi = bounds[: len(first) - parts + 1], bounds[parts:]
+                fits = (hi - lo >= least) & (hi - lo <= most) & (text_of[: len(lo)] == text_of[parts - 1 :])
+                starts.append(lo[fits])
+                ends.append(hi[fits])
+        length = np.diff(bounds)
+        stop = np.repeat(bounds[1:], length)
+        inside = np.flatnonzero(np.repeat(length >= most, length))
+        for size in range(least, most + 1):
+            own = inside[inside + size <= stop[inside]]
+            starts.append(own)
+            ends.append(own + size)
         starts, ends = np.concatenate(starts), np.concatenate(ends)
-        fits = (ends - starts >= JOINED[0]) & (ends - starts <= JOINED[1])
-        starts, ends = starts[fits], ends[fits]
-        found = np.flatnonzero(self._sums(kind[at], starts, ends, begins[starts]) >= self.least)
-        letters = points[at]
-        return [("" if begins[starts[k]] else INSIDE) + "".join(map(chr, letters[starts[k] : ends[k]].tolist())) for k in found.tolist()]
+        found = np.flatnonzero(self._sums(kind[at], starts, ends, begins) >= self.least)
+        letters = points[at].astype(np.uint32).tobytes().decode("utf-32-le", "surrogatepass")
+        owner = text_of[np.searchsorted(first, starts[found], "right") - 1] + offset
+        marks = np.where(begins[starts[found]], "", INSIDE).tolist()
+        for k, lo, hi, mark in zip(owner.tolist(), starts[found].tolist(), ends[found].tolist(), marks, strict=True):
+            out[k].append(mark + letters[lo:hi])
 
 
 def _norm(length: int) -> float:
@@ -309,15 +332,17 @@ def _norm(length: int) -> float:
     return float(np.sqrt(sum(DECAY ** (2 * (p[-1] - p[0] - n + 1)) for n in (3, 4) for p in combinations(range(length), n) if p[-1] - p[0] - n + 1 <= SKIPS))) or 1.0
 
 
-def least_sum(weights: np.ndarray, words: list[str]) -> float:
-    """The least sum of subsequences of three letters that any of the words has, whole or with a letter put in; infinite without words."""
+def least_sum(weights: np.ndarray, offset: float, words: list[str]) -> float:
+    """The least sum of subsequences of three letters of any of the words, whole or with a letter put in, that has a positive value; infinite without words."""
     found = np.inf
     only = np.concatenate([weights[:_THREE], np.zeros(_FOUR, np.float32)])
     for word in words:
         letters = _windows(word)[0][1:]
         if JOINED[0] <= len(letters) < JOINED[1]:
             shown = [letters, *hidden(word)]
-            found = min(found, float(unit_scores([*shown, *(INSIDE + u for u in shown)], only).min()))
+            shown += [INSIDE + u for u in shown]
+            telling = unit_scores(shown, weights) + offset > 0
+            found = min(found, float(unit_scores(shown, only)[telling].min(initial=np.inf)))
     return found - 1e-5
 
 
@@ -375,7 +400,7 @@ def train(bags: list[tuple[int, list[str]]], joined: Callable[[np.ndarray, float
         negatives.update(np.argsort(-np.where((n > 0) & (odds < 0), score, -np.inf), kind="stable")[:HARDEST].tolist())
         blurred = [(v, min(c, 100) * HIDDEN / len(own)) for k, c in sorted(witness.items()) if telling[k] for own in (variants(words[k], rng, folded),) for v in own]
         if k:
-            runs = joined(folded, least_sum(folded, names))
+            runs = joined(folded, least_sum(folded, offset, names))
             usual_runs = Counter(u for j in learnt if not bags[j][0] for u in runs[j])
             found = sorted(usual_runs)
             hardest = np.argsort(-unit_scores(found, folded), kind="stable")[:HARDEST].tolist() if found else []
@@ -387,7 +412,7 @@ def train(bags: list[tuple[int, list[str]]], joined: Callable[[np.ndarray, float
         w = _machine(x, y, np.sqrt(cost), ridge=0.02)
         folded, offset = landmarks.folded(whiten @ w[:-1]), float(w[-1])
         score = np.maximum(unit_scores(words, folded) + offset, NO_UNIT)
-    least = least_sum(folded, names)
+    least = least_sum(folded, offset, names)
     runs = joined(folded, least)
     value = lambda units: unit_scores(units, folded) + offset if units else np.zeros(0)
     tops, labels = [], []
@@ -438,8 +463,8 @@ def learnt_from(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str,
             finder = Windows(*model.value)
             for batch in batches:
                 units = []
-                for text in batch.column(1):
-                    found = sorted(set(finder.of(text.as_py())))
+                for found in finder.of_many(batch.column(1).to_pylist()):
+                    found = sorted(set(found))
                     best = np.argsort(-unit_scores(found, model.value[0]), kind="stable")[:LOOKED_AT].tolist() if found else []
                     units.append([found[k] for k in best])
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(units, pa.list_(pa.string()))], names=["key", "units"])
@@ -459,18 +484,26 @@ class Scorer:
         self.model, self.memo = model, {}
         self.windows = Windows(model["weights"], model["least"]) if "weights" in model else None
 
+    def _values(self, units: list[str]) -> list[float]:
+        return np.maximum(unit_scores(units, self.model["weights"]) + self.model["offset"], NO_UNIT).tolist()
+
     def scores(self, texts: pa.Array) -> np.ndarray:
         model, out = self.model, []
         if "weights" not in model:
             return np.full(len(texts), model["share"])
         for at in range(0, len(texts), 500):
             own = [value.as_py() for value in texts.slice(at, 500)]
-            units = [units_of(text).union(self.windows.of(text)) for text in own]
+            units = list(map(units_of, own))
             if len(self.memo) > REMEMBERED:
                 self.memo = {}
             if new := list(set().union(*units).difference(self.memo)):
-                self.memo.update(zip(new, np.maximum(unit_scores(new, model["weights"]) + model["offset"], NO_UNIT).tolist(), strict=True))
-            tops = np.array([top(np.fromiter(map(self.memo.__getitem__, own), float, len(own))) for own in units])
+                self.memo.update(zip(new, self._values(new), strict=True))
+            tops = [top(np.fromiter(map(self.memo.__getitem__, own), float, len(own))) for own in units]
+            # Run-together units hardly ever come again: they aren't remembered.
+            runs = self.windows.of_many(own)
+            every = list(set().union(*runs))
+            value = dict(zip(every, self._values(every), strict=True))
+            tops = np.array([max(t, top(np.array([value[u] for u in own]))) for t, own in zip(tops, runs, strict=True)])
             out.append(1 / (1 + np.exp(-np.clip(tops * model["logistic"][0] + model["logistic"][1], -30, 30))))
         return np.concatenate(out) if out else np.zeros(0)
 
