@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panemill.operators import approx as A
-from panemill.operators.relational import in_windows, overlap_join
+from panemill.operators.relational import in_windows, overlap_join, overlap_join_mixed
 from panemill.queries.registry import ANCHOR, HOUR, OBS, PANE, PANES, SUB, TARGETS, obs, query, rounded, states, sub_results, targets
 
 BUCKET = 6 * HOUR
@@ -18,6 +18,23 @@ def interval_overlap_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(overlap_join(sub_results(spark, sf_dir), targets(spark, sf_dir), BUCKET), "value").select("topic", "start_ms", "b_start", "b_end", "value")
 
 
+# Spans of sensors over all their days and over each, beside windows of hours and of weeks: lengths from nothing to a month in one table.
+SPANS = f"""{OBS}, spans AS (SELECT sensor, min(ms) AS start_ms, max(ms) + 1 AS end_ms FROM obs GROUP BY sensor UNION ALL SELECT sensor, min(ms), max(ms) + 1 FROM obs GROUP BY sensor, ms // {24 * HOUR}), {TARGETS},
+asked AS (SELECT * FROM targets UNION ALL SELECT DISTINCT b_start // {168 * HOUR} * {168 * HOUR}, b_start // {168 * HOUR} * {168 * HOUR} + {168 * HOUR} FROM targets)"""
+
+
+@query(f"WITH {SPANS} SELECT b_start, b_end, count(*) AS spans, CAST(sum(sensor) AS BIGINT) AS sensors, max(end_ms - start_ms) AS longest FROM spans, asked WHERE end_ms > b_start AND start_ms < b_end GROUP BY ALL")
+def interval_overlap_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sensors' spans of very different lengths beside windows of hours and weeks."""
+    rows, asked = obs(spark, sf_dir), targets(spark, sf_dir)
+    span = (F.min("ms").alias("start_ms"), (F.max("ms") + 1).alias("end_ms"))
+    spans = rows.groupBy("sensor").agg(*span).unionAll(rows.groupBy("sensor", F.floor(F.col("ms") / (24 * HOUR)).alias("day")).agg(*span).drop("day"))
+    week = F.floor(F.col("b_start") / (168 * HOUR)) * (168 * HOUR)
+    asked = asked.unionAll(asked.select(week.alias("b_start"), (week + 168 * HOUR).alias("b_end")).distinct())
+    found = overlap_join_mixed(spans, asked)
+    return found.groupBy("b_start", "b_end").agg(F.count(F.lit(1)).alias("spans"), F.sum("sensor").alias("sensors"), F.max(F.col("end_ms") - F.col("start_ms")).alias("longest"))
+
+
 @query(f"WITH {OBS}, {TARGETS} SELECT event_id, b_start, b_end FROM obs, targets WHERE ms >= b_start AND ms < b_end")
 def observations_in_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return in_windows(obs(spark, sf_dir), targets(spark, sf_dir), BUCKET).select("event_id", "b_start", "b_end")

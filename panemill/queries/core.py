@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from panemill.functions.tables import shared_folder
 from panemill.functions.time import WindowSpec, align_start
+from panemill.operators import pane_table as PT
 from panemill.operators import panes as P
 from panemill.operators import relational as R
 from panemill.operators import windows as W
@@ -19,7 +20,7 @@ PROPERTY, TS, VALUE = (S.PREDICATES[p] for p in ("property", "ts", "value"))
 TRIPLES = f"""{OBS}, triples AS (
     SELECT 'urn:obs:' || event_id AS s, '{PROPERTY}' AS p, 'urn:stream:' || stream AS o, 'iri' AS o_type FROM obs
     UNION ALL SELECT 'urn:obs:' || event_id, '{TS}', strftime(make_timestamp(ms * 1000), '%Y-%m-%dT%H:%M:%S.%g') || 'Z', 'dateTime' FROM obs
-    UNION ALL SELECT 'urn:obs:' || event_id, '{VALUE}', CAST(CAST(value AS DECIMAL(18, 4)) AS VARCHAR), 'double' FROM obs)"""
+    UNION ALL SELECT 'urn:obs:' || event_id, '{VALUE}', CAST(value AS VARCHAR), 'double' FROM obs)"""
 
 
 # --- A: sources, sinks, ingest
@@ -53,7 +54,7 @@ def result_message_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # The bytes of a message, its numbers as text: sums are rounded first, so both sides write the same digits.
 _JSON = """CASE form WHEN 'full' THEN '{{"window":{{"start":' || start_ms || ',"end":' || end_ms || '}},"count":' || count || ',"sum":' || sum || ',"min":' || min || ',"max":' || max || ',"avg":' || (sum / count)
-    || ',"source_stream":"' || stream || '","range":{pane},"temporally_complete":true}}' ELSE '{{"window":{{"start":' || start_ms || ',"end":' || end_ms || '}},"count":' || count || ',"sum":' || sum || '}}' END""".format(pane=PANE)
+    || ',"source_stream":"' || stream || '","range":{pane},"temporally_complete":' || (start_ms >= {origin} AND end_ms <= {mark}) || '}}' ELSE '{{"window":{{"start":' || start_ms || ',"end":' || end_ms || '}},"count":' || count || ',"sum":' || sum || '}}' END""".format(pane=PANE, origin=ANCHOR + 3 * HOUR, mark=ANCHOR + 600 * HOUR)
 
 
 @query(
@@ -61,7 +62,7 @@ _JSON = """CASE form WHEN 'full' THEN '{{"window":{{"start":' || start_ms || ',"
     SELECT stream AS topic, form, CAST(sum(bytes) AS BIGINT) AS bytes, count(*) AS messages FROM m GROUP BY ALL"""
 )
 def result_message_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, parts = states(spark, sf_dir).where("count > 0").withColumn("sum", F.round("sum", 2)), []
+    rows, parts = states(spark, sf_dir).where("count > 0").withColumn("sum", F.round("sum", 2)).withColumns({"coverage_origin": F.lit(ANCHOR + 3 * HOUR), "input_watermark": F.lit(ANCHOR + 600 * HOUR)}), []
     for form in (False, True):
         json = S.to_result_json(rows, compact=form)
         parts.append(json.select("topic", F.lit("compact" if form else "full").alias("form"), F.octet_length("payload").cast("long").alias("bytes")))
@@ -151,8 +152,8 @@ def json_log_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {TRIPLES} SELECT v.s, p.o AS property, v.o AS value FROM triples p JOIN triples v ON p.s = v.s AND p.p = '{PROPERTY}' AND v.p = '{VALUE}' WHERE p.o = 'urn:stream:click'")
 def bgp_star_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = R.star_join(S.to_triples(obs(spark, sf_dir)), {"property": PROPERTY, "value": VALUE})
-    return rows.where("property = 'urn:stream:click'").select("s", "property", "value")
+    rows = R.star_join(S.to_triples(obs(spark, sf_dir)), {"property": PROPERTY, "value": VALUE}, having={"property": "urn:stream:click"})
+    return rows.select("s", "property", "value")
 
 
 @query(f"WITH {WINS} SELECT stream, win_start, win_end, round(avg(value), 8) AS mean, round(sum(value), 8) AS total, count(value) AS n, count(*) AS n_all, min(value) AS lo, max(value) AS hi FROM wins GROUP BY ALL")
@@ -580,6 +581,37 @@ def temporally_complete_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.temporally_complete(rows)[0].select("stream", "start_ms", "end_ms", "count")
 
 
+@query(f"WITH {PANES}, m AS (SELECT *, max(end_ms) OVER () AS top, start_ms // {PANE} % 4 <> 1 AS claims FROM panes) SELECT stream, start_ms, end_ms, count FROM m WHERE claims AND NOT (start_ms >= {ANCHOR + 3 * HOUR} AND top - {5 * HOUR} >= end_ms)")
+def falsely_complete_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """States that claim to be complete although their panes weren't watched whole."""
+    rows = states(spark, sf_dir)
+    seen = rows.agg((F.max("end_ms") - 5 * HOUR).alias("input_watermark"))
+    claims = F.floor(F.col("start_ms") / PANE) % 4 != 1
+    rows = rows.join(F.broadcast(seen)).withColumn("coverage_origin", F.lit(ANCHOR + 3 * HOUR)).withColumn("claims_complete", claims)
+    return P.temporally_complete(rows)[1].select("stream", "start_ms", "end_ms", "count")
+
+
+_SAID = """CASE event_id % 8 WHEN 0 THEN '_:b' || event_id || ' <urn:p> "é\\u00e9\\U0001F600 \\"x\\" \\\\ y"@en-GB .' WHEN 1 THEN '# <urn:a> <urn:b> <urn:c> .' WHEN 2 THEN '<urn:s' || event_id || '> <urn:p> _:o . # <urn:a> <urn:b> <urn:c> .'
+    WHEN 3 THEN '<urn:s' || event_id || '><urn:p>"1e20"^^<urn:type>.' WHEN 4 THEN 'no triple ' || event_id WHEN 5 THEN '<urn:s' || event_id || '> <urn:p> "plain" . <urn:t' || event_id || '> <urn:q> "tab\\tend" .' WHEN 6 THEN '<urn:s' || event_id || '> <urn:p> "open .' ELSE '' END"""
+
+
+@query(
+    f"""WITH {OBS}, e AS (SELECT event_id, event_id % 8 AS k FROM obs)
+    SELECT '_:b' || event_id AS s, 'urn:p' AS p, 'éé😀 "x" \\ y' AS o, '@en-GB' AS o_type FROM e WHERE k = 0 UNION ALL SELECT 'urn:s' || event_id, 'urn:p', '_:o', 'blank' FROM e WHERE k = 2
+    UNION ALL SELECT 'urn:s' || event_id, 'urn:p', '1e20', 'urn:type' FROM e WHERE k = 3 UNION ALL SELECT 'urn:s' || event_id, 'urn:p', 'plain', 'string' FROM e WHERE k = 5
+    UNION ALL SELECT 'urn:t' || event_id, 'urn:q', 'tab' || chr(9) || 'end', 'string' FROM e WHERE k = 5"""
+)
+def ntriples_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blank nodes, languages, datatypes, escapes, comments and several triples a line."""
+    return S.parse_ntriples(obs(spark, sf_dir).select(F.expr(_SAID.replace("\\", "\\\\")).alias("value")))
+
+
+@query(f"WITH {OBS} SELECT event_id FROM obs WHERE event_id % 8 IN (4, 6)")
+def ntriples_rejected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines with anything but triples and comments."""
+    return S.rejected_ntriples(obs(spark, sf_dir).select("event_id", F.expr(_SAID.replace("\\", "\\\\")).alias("value"))).select("event_id")
+
+
 @query(f"WITH {PANES} SELECT stream, start_ms AS win_start, start_ms + {SPEC.range_ms} AS win_end, end_ms AS seen_to, count, round(sum / count, 8) AS avg, false AS comparable FROM panes")
 def early_partial_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = P.early_partial(states(spark, sf_dir), SPEC, PANE)
@@ -591,6 +623,29 @@ def weighted_avg_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(P.weighted_merge(states(spark, sf_dir).withColumn("value", F.col("sum") / F.col("count")), ["stream"]), "avg")
 
 
+def _grown(spark: SparkSession, sf_dir: str) -> str:
+    """A pane table made in two updates, cut inside a pane."""
+    rows, folder = obs(spark, sf_dir), shared_folder(spark, "pane_table")
+    at = F.col("ms") < ANCHOR + 301 * HOUR
+    for name, part in (("first", rows.where(at)), ("second", rows.where(~at))):
+        PT.add_panes(part, folder, name, PANE)
+    return folder
+
+
+@query(f"WITH {PANES} SELECT stream, start_ms, end_ms, count, round(sum, 8) AS sum, min, max FROM panes")
+def pane_table_in_two_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """States of a table built in two steps are those of one built at once."""
+    return rounded(PT.read_panes(spark, _grown(spark, sf_dir)), "sum")
+
+
+@query(f"WITH {REC} SELECT stream, win_start, win_end, count, round(avg, 8) AS avg FROM rec WHERE win_start >= {ANCHOR + 240 * HOUR} AND win_end <= {ANCHOR + 360 * HOUR}")
+def windows_from_pane_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of five days from the kept table, of which only those days are read."""
+    lo, hi = ANCHOR + 240 * HOUR, ANCHOR + 360 * HOUR
+    rows = P.recompose(PT.read_panes(spark, _grown(spark, sf_dir), lo_ms=lo, hi_ms=hi), SPEC, PANE)
+    return rounded(rows.where((F.col("win_start") >= lo) & (F.col("win_end") <= hi)), "avg").select("stream", "win_start", "win_end", "count", "avg")
+
+
 CONSUMERS = "consumers AS (SELECT c_custkey AS consumer_id, CASE c_custkey % 5 WHEN 0 THEN 'click' WHEN 1 THEN 'view' WHEN 2 THEN 'error' WHEN 3 THEN 'signup' ELSE 'purchase' END AS canonical_id FROM customer)"
 
 
@@ -604,6 +659,7 @@ def consumers(spark: SparkSession, sf_dir: str) -> DataFrame:
 def shared_result_fanout(spark: SparkSession, sf_dir: str) -> DataFrame:
     days = states(spark, sf_dir).withColumn("day", F.floor(F.col("start_ms") / (24 * HOUR)))
     result = rounded(P.recompose_flat(days, ["stream", "day"]), "avg").select(F.col("stream").alias("canonical_id"), "day", "avg")
+    result = PT.share(result, shared_folder(spark, "shared_result"))  # once, for all consumers
     return P.shared_result(consumers(spark, sf_dir), result).select("consumer_id", "canonical_id", "day", "avg")
 
 

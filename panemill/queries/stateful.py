@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from panemill.functions.tables import written
 from panemill.queries.registry import ANCHOR, HOUR, OBS, PANE, PANES, SPEC, SUB, TARGETS, WINS, obs, query, rounded, sliding, states, sub_results, targets
 from panemill.streaming import stateful as S
+from panemill.streaming.streams import run_ordered, stream_window_agg
 
 DELAY = HOUR
 BATCHES = 6
@@ -152,3 +153,19 @@ def stream_static_enrich(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream = S.file_stream(spark, S.arrivals(rows, "batch", BATCHES, "enrich_in"), rows.drop("batch").schema)
     static = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("sensor"), "c_nationkey", "c_mktsegment")
     return S.run_counted(S.stream_enrich(stream, static, ["sensor"], "left"), "enriched")[0].select("event_id", "sensor", "c_nationkey", "c_mktsegment")
+
+
+# Arrivals up to forty minutes late, less than the watermark's delay: no row is dropped.
+SHUFFLED = f"(ms + (event_id * 7919) % 5 * {HOUR // 6})"
+
+
+@query(
+    f"""WITH {WINS}, a AS (SELECT ms, {SHUFFLED} AS arrived FROM obs), s AS (SELECT min(arrived) AS lo, max(arrived) AS hi FROM a), b AS (SELECT ms, (arrived - lo) * {BATCHES} // (hi - lo + 1) AS batch FROM a, s),
+    t AS (SELECT batch, max(max(ms)) OVER (ORDER BY batch) - {DELAY} AS watermark FROM b GROUP BY batch)
+    SELECT stream, win_start, win_end, count, min(batch) + 1 AS emission FROM (SELECT stream, win_start, win_end, count(value) AS count FROM wins GROUP BY ALL) w JOIN t ON w.win_end <= t.watermark GROUP BY ALL"""
+)
+def stream_emission_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The batch in which each window comes out: the first after the one whose latest time, less the delay, passes the window's end."""
+    rows = _event_batches(spark, sf_dir, SHUFFLED)
+    stream = S.file_stream(spark, S.arrivals(rows, "batch", BATCHES, "ordered_in"), rows.drop("batch").schema)
+    return run_ordered(spark, stream_window_agg(stream, SPEC, ["count"], DELAY), "ordered", ["win_end", "stream"]).select("stream", "win_start", "win_end", "count", "emission")

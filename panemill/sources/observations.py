@@ -21,7 +21,15 @@ PREDICATES = {
     "value": "https://saref.etsi.org/core/hasValue",
 }
 XSD = "http://www.w3.org/2001/XMLSchema#"
-_TRIPLE = r'(<[^>]*>)\s+(<[^>]*>)\s+(<[^>]*>|"(?:[^"\\]|\\.)*"(?:\^\^<[^>]*>)?)\s*\.'
+# The terms of the N-Triples format.
+_IRI = r'<(?:[^\x00-\x20<>"{}|^`\\]|\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8})*>'
+_BLANK = r"_:[\p{L}\p{N}_](?:[\p{L}\p{N}_.\-\u00B7]*[\p{L}\p{N}_\-\u00B7])?"
+_STRING = r'"(?:[^"\\\r\n]|\\[tbnrf"\'\\]|\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8})*"'
+_TAG = r"@[A-Za-z]+(?:-[A-Za-z0-9]+)*"
+#: Subject, predicate, object and its datatype or language; or a comment, to the end of its line.
+_TRIPLE = rf"({_IRI}|{_BLANK})\s*({_IRI})\s*({_IRI}|{_BLANK}|{_STRING}(?:\s*\^\^\s*{_IRI}|{_TAG})?)\s*\."
+_PART = rf"(?:{_TRIPLE}|#[^\r\n]*)"
+ESCAPES = {"t": "\t", "b": "\b", "n": "\n", "r": "\r", "f": "\f", '"': '"', "'": "'"}
 
 
 def observations(spark: SparkSession, path: str) -> DataFrame:
@@ -39,7 +47,7 @@ def _triples(base: str) -> Column:
     parts = [
         ("property", F.concat(F.lit("urn:stream:"), F.col("stream")), "iri"),
         ("ts", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"), "dateTime"),
-        ("value", F.col("value").cast("decimal(18,4)").cast("string"), "double"),
+        ("value", F.col("value").cast("string"), "double"),
     ]
     return F.array(*(F.struct(s.alias("s"), F.lit(PREDICATES[p]).alias("p"), o.alias("o"), F.lit(kind).alias("o_type")) for p, o, kind in parts))
 
@@ -54,9 +62,40 @@ def to_lines(obs: DataFrame, base: str = "urn:obs:") -> DataFrame:
     return obs.select(F.array_join(F.transform(_triples(base), lambda t: triple_line(t.s, t.p, t.o, t.o_type)), " ").alias("value"))
 
 
+def unescaped(text: Column) -> Column:
+    """A term's text without escapes.
+
+    Escaped backslashes part the text first; within a part every backslash begins an escape, of one letter or of a code point.
+    """
+    point = lambda piece, n: F.concat(F.decode(F.unhex(F.lpad(F.substring(piece, 2, n), 8, "0")), "UTF-32"), F.substring(piece, n + 2, 1 << 30))
+
+    def piece(x: Column, k: Column) -> Column:
+        kind = F.substring(x, 1, 1)
+        letter = F.coalesce(*(F.when(kind == F.lit(c), F.lit(v)) for c, v in ESCAPES.items()))
+        made = F.when(kind == "u", point(x, 4)).when(kind == "U", point(x, 8)).otherwise(F.concat(letter, F.substring(x, 2, 1 << 30)))
+        return F.when(k == 0, x).otherwise(made)
+
+    part = lambda x: F.array_join(F.transform(F.split(x, r"\\"), piece), "")
+    return F.when(F.contains(text, F.lit("\\")), F.array_join(F.transform(F.split(text, r"\\\\"), part), "\\")).otherwise(text)
+
+
+def escaped(text: Column) -> Column:
+    """A literal's text as it is written."""
+    for plain, written in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r")):
+        text = F.replace(text, F.lit(plain), F.lit(written))
+    return text
+
+
+def _node(text: Column) -> Column:
+    return F.when(text.startswith("_:"), text).otherwise(F.concat(F.lit("<"), text, F.lit(">")))
+
+
 def triple_line(s: Column, p: Column, o: Column, o_type: Column) -> Column:
-    node = F.when(o_type == "iri", F.concat(F.lit("<"), o, F.lit(">"))).otherwise(F.concat(F.lit('"'), o, F.lit(f'"^^<{XSD}'), o_type, F.lit(">")))
-    return F.concat(F.lit("<"), s, F.lit("> <"), p, F.lit("> "), node, F.lit(" ."))
+    """A triple as text; o_type as ``parse_ntriples`` gives it."""
+    quoted = F.concat(F.lit('"'), escaped(o), F.lit('"'))
+    kind = F.when(o_type.startswith("@"), o_type).otherwise(F.concat(F.lit("^^<"), F.when(F.contains(o_type, F.lit(":")), o_type).otherwise(F.concat(F.lit(XSD), o_type)), F.lit(">")))
+    node = F.when(o_type.isin("iri", "blank"), _node(o)).otherwise(F.concat(quoted, kind))
+    return F.concat(_node(s), F.lit(" <"), p, F.lit("> "), node, F.lit(" ."))
 
 
 def to_ntriples(triples: DataFrame, one_line: bool = True) -> DataFrame:
@@ -69,22 +108,34 @@ def to_ntriples(triples: DataFrame, one_line: bool = True) -> DataFrame:
 
 
 def parse_ntriples(lines: DataFrame, col: str = "value") -> DataFrame:
-    """s, p, o, o_type of every triple of each line; what is no triple is passed over."""
-    rows = lines.select(F.explode(F.regexp_extract_all(F.col(col), F.lit(_TRIPLE), F.lit(0))).alias("triple"))
-    # A triple is known to be well formed here: its first two terms end at the first two closing brackets.
-    rows = rows.select(F.split("triple", r">\s+", 3).alias("part"))
-    last = F.col("part")[2]
-    iri = last.startswith("<")
-    literal = F.regexp_extract(last, r'^"((?:[^"\\]|\\.)*)"', 1)
-    kind = F.when(iri, "iri").otherwise(F.regexp_extract(last, r"#(\w+)>\s*\.$", 1))
+    """s, p, o, o_type of every triple of each line, in any number; comments are passed over (``rejected_ntriples`` tells what else is).
+
+    Blank nodes begin with ``_:``; o_type is iri, blank, a language with its @, the name of a datatype of XML Schema (string where none is given), or another datatype's IRI.
+    """
+    rows = lines.select(F.explode(F.regexp_extract_all(F.col(col), F.lit(_PART), F.lit(0))).alias("triple")).where(~F.col("triple").startswith("#"))
+    term = lambda k: F.regexp_extract("triple", f"^{_TRIPLE}", k)
+    rows = rows.select(term(1).alias("s"), term(2).alias("p"), term(3).alias("o"))
+    inner = lambda c: F.when(c.startswith("<"), unescaped(F.substr(c, F.lit(2), F.length(c) - 2))).otherwise(c)
+    literal = F.regexp_extract("o", f"^({_STRING})", 1)
+    text = unescaped(F.substr(literal, F.lit(2), F.length(literal) - 2))
+    kind = F.regexp_extract("o", rf"\^\^\s*<([^<>]*)>$", 1)
+    tag = F.regexp_extract("o", f'"({_TAG})$', 1)
+    named = F.when(tag != "", tag).when(kind == "", "string").when(kind.startswith(XSD), F.substring(kind, len(XSD) + 1, 1 << 30)).otherwise(unescaped(kind))
+    is_text = F.col("o").startswith('"')
     return rows.select(
-        F.substring(F.col("part")[0], 2, 1 << 30).alias("s"),
-        F.substring(F.col("part")[1], 2, 1 << 30).alias("p"),
-        F.when(iri, F.substring_index(F.substring(last, 2, 1 << 30), ">", 1)).otherwise(literal).alias("o"),
-        kind.alias("o_type"),
+        inner(F.col("s")).alias("s"),
+        inner(F.col("p")).alias("p"),
+        F.when(is_text, text).otherwise(inner(F.col("o"))).alias("o"),
+        F.when(is_text, named).when(F.col("o").startswith("<"), "iri").otherwise("blank").alias("o_type"),
     )
 
 
+def rejected_ntriples(lines: DataFrame, col: str = "value") -> DataFrame:
+    """Lines, all columns, that hold anything but triples and comments, and what that is (``rest``)."""
+    rest = F.trim(F.regexp_replace(F.col(col), _PART, " "))
+    return lines.withColumn("rest", rest).where(F.regexp_replace("rest", r"\s+", "") != "")
+
+
 def read_ntriples(spark: SparkSession, path: str) -> DataFrame:
     return parse_ntriples(spark.read.text(path))
 
@@ -122,12 +173,17 @@ def parse_result_messages(messages: DataFrame, col: str = "payload") -> tuple[Da
 
 
 def to_result_json(states: DataFrame, compact: bool = False) -> DataFrame:
-    """topic, payload: pane states as messages; the compact form drops what can be derived."""
+    """topic, payload: pane states as messages; the compact form drops what can be derived.
+
+    A state claims to be temporally complete only if it has ``coverage_origin`` and ``input_watermark``, and they enclose it.
+    """
     window = F.struct(F.col("start_ms").alias("start"), F.col("end_ms").alias("end"))
     fields = [window.alias("window"), "count", "sum"]
     if not compact:
         width = F.col("end_ms") - F.col("start_ms")
-        fields += ["min", "max", (F.col("sum") / F.col("count")).alias("avg"), F.col("stream").alias("source_stream"), width.alias("range"), F.lit(True).alias("temporally_complete")]
+        known = {"coverage_origin", "input_watermark"} <= set(states.columns)
+        whole = F.coalesce((F.col("coverage_origin") <= F.col("start_ms")) & (F.col("input_watermark") >= F.col("end_ms")), F.lit(False)) if known else F.lit(False)
+        fields += ["min", "max", F.try_divide("sum", "count").alias("avg"), F.col("stream").alias("source_stream"), width.alias("range"), whole.alias("temporally_complete")]
     return states.select(F.col("stream").alias("topic"), F.to_json(F.struct(*fields)).alias("payload"))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from panemill.functions.tables import numbered, small
 from panemill.functions.time import WindowSpec, align_start, parse_iso_ms
-from panemill.operators import approx, panes, relational, windows
+from panemill.operators import approx, pane_table, panes, relational, windows
 from panemill.plans import reuse
 from panemill.reports import metrics, signature, traffic
 from panemill.sources import logs, observations
@@ -183,7 +183,126 @@ def test_downsample_keeps_sparse_streams(spark):
 def test_ntriples_lines(spark):
     text = '<urn:a> <urn:p> "x \\" y"^^<http://www.w3.org/2001/XMLSchema#string> . <urn:a> <urn:q> <urn:b> . junk'
     rows = observations.parse_ntriples(spark.createDataFrame([(text,), (None,), ("",)], "value string")).collect()
-    assert [tuple(r) for r in rows] == [("urn:a", "urn:p", 'x \\" y', "string"), ("urn:a", "urn:q", "urn:b", "iri")]
+    assert [tuple(r) for r in rows] == [("urn:a", "urn:p", 'x " y', "string"), ("urn:a", "urn:q", "urn:b", "iri")]
+
+
+def test_ntriples_terms(spark):
+    cases = {
+        "_:b0 <urn:b> <urn:c> .": [("_:b0", "urn:b", "urn:c", "iri")],
+        '<urn:a> <urn:b> "x"@en .': [("urn:a", "urn:b", "x", "@en")],
+        "# <urn:a> <urn:b> <urn:c> .": [],
+        '  <urn:a>\t<urn:b>\t"a#b . <x>" . # "c" <d> .': [("urn:a", "urn:b", "a#b . <x>", "string")],
+        '<urn:a> <urn:b> "\\t\\n\\\\u0041\\u0041\\U0001F600\\\\" .': [("urn:a", "urn:b", "\t\n\\u0041A😀\\", "string")],
+        '<urn:a> <urn:b> "1"^^<urn:no-hash> .': [("urn:a", "urn:b", "1", "urn:no-hash")],
+        '<urn:a> <urn:b> "1"^^<http://www.w3.org/2001/XMLSchema#integer> .': [("urn:a", "urn:b", "1", "integer")],
+        "<urn:a> <urn:b> _:x.y .": [("urn:a", "urn:b", "_:x.y", "blank")],
+        '<urn:\\u00e9> <urn:b> "" .': [("urn:é", "urn:b", "", "string")],
+        '<urn:a> <urn:b> "open .': [],
+        "_:b <not an iri> <urn:c> .": [],
+        '"literal" <urn:b> <urn:c> .': [],
+        "": [],
+    }
+    lines = spark.createDataFrame([(k, line) for k, line in enumerate(cases)], "k int, value string")
+    for k, (line, want) in enumerate(cases.items()):
+        assert [tuple(r) for r in observations.parse_ntriples(lines.where(F.col("k") == k)).collect()] == want, line
+    assert sorted(r["k"] for r in observations.rejected_ntriples(lines).collect()) == [9, 10, 11]
+    odd = spark.createDataFrame([("_:s", "urn:p", 'q"\\\n\r', "@en-GB"), ("urn:s", "urn:p", "_:o", "blank"), ("urn:s", "urn:p", "1", "urn:t"), ("urn:s", "urn:p", "urn:o", "iri"), ("urn:s", "urn:p", "1.5", "double")], "s string, p string, o string, o_type string")
+    assert sorted(map(tuple, observations.parse_ntriples(observations.to_ntriples(odd, one_line=False)).collect())) == sorted(map(tuple, odd.collect()))
+
+
+def test_values_survive_as_triples(spark):
+    values = [0.00001, 1.234567, 1e20, -0.0, 123456.789, 1e-300, None]
+    obs = spark.createDataFrame([(k, "a", v) for k, v in enumerate(values)], "event_id long, stream string, value double").withColumn("ts", F.timestamp_seconds("event_id"))
+    got = {r["subject"]: r["value"] for r in observations.pivot_observations(observations.parse_ntriples(observations.to_ntriples(observations.to_triples(obs), one_line=False))).collect()}
+    assert got == {f"urn:obs:{k}": v for k, v in enumerate(values)}
+
+
+def test_states_claim_only_what_was_watched(spark):
+    rows = spark.createDataFrame([("s", 0, 10, 1, 1.0, 0, 20), ("s", 10, 20, 1, 1.0, 0, 15), ("s", 20, 30, 0, None, 25, 40)], "stream string, start_ms long, end_ms long, count long, sum double, coverage_origin long, input_watermark long").withColumns({"min": F.col("sum"), "max": F.col("sum")})
+    said = lambda df: ['"temporally_complete":true' in r["payload"] for r in observations.to_result_json(df).collect()]
+    assert said(rows) == [True, False, False] and said(rows.drop("coverage_origin")) == [False] * 3
+    good, bad = panes.temporally_complete(rows.withColumn("claims_complete", F.col("start_ms") < 20))
+    assert [r["start_ms"] for r in good.collect()] == [0] and [r["start_ms"] for r in bad.collect()] == [10]
+
+
+def test_a_star_with_a_constant(spark):
+    triples = spark.createDataFrame([("a", "p", "1"), ("a", "p", "2"), ("a", "q", "x"), ("b", "p", "2"), ("b", "q", "y"), ("c", "p", "1")], "s string, p string, o string")
+    assert sorted(map(tuple, relational.star_join(triples, {"one": "p", "two": "q"}, having={"one": "1"}).collect())) == [("a", "1", "x")]
+    assert relational.star_join(triples, {"one": "p", "two": "q"}, having={"one": "1", "two": "y"}).count() == 0
+
+
+def test_overlaps_of_seconds_and_years(spark):
+    import random
+
+    rng = random.Random(12)
+    of = lambda n: [(lo := rng.randint(-10**9, 10**9), lo + rng.choice([0, 1, 2, 3, 1000, 2**20, 2**20 + 1, 31_536_000_000])) for _ in range(n)]
+    left, right = of(60), of(60)
+    a = spark.createDataFrame([(k % 2, *x) for k, x in enumerate(left)], "k int, start_ms long, end_ms long")
+    b = spark.createDataFrame([(k % 2, *x) for k, x in enumerate(right)], "k int, b_start long, b_end long")
+    got = sorted((r["k"], r["start_ms"], r["end_ms"], r["b_start"], r["b_end"]) for r in relational.overlap_join_mixed(a, b, ["k"]).collect())
+    want = sorted((k % 2, *x, *y) for k, x in enumerate(left) for j, y in enumerate(right) if k % 2 == j % 2 and x[0] < x[1] and y[0] < y[1] and x[1] > y[0] and x[0] < y[1])
+    assert got == want and len(got) > 100
+    assert relational.overlap_join_mixed(a.limit(0), b, ["k"]).count() == 0
+
+
+def test_a_pane_table_grows_by_updates(spark, tmp_path):
+    path = str(tmp_path / "table")
+    day = 86_400_000
+    make = lambda rows: spark.createDataFrame(rows, "stream string, ms long, value double")
+    first, second = [("a", k * day // 7, float(k)) for k in range(20)], [("a", k * day // 7 + 5, 1.0) for k in range(15, 40)] + [("b", 3 * day, 2.0)]
+    pane_table.add_panes(make(first), path, "1", day // 4)
+    pane_table.add_panes(make(second), path, "2", day // 4)
+    pane_table.add_panes(make(second), path, "2", day // 4)  # repeated: replaces itself
+    whole = {(r["stream"], r["start_ms"]): (r["count"], r["sum"]) for r in panes.chunk_states(make(first + second), day // 4).collect()}
+    assert {(r["stream"], r["start_ms"]): (r["count"], r["sum"]) for r in pane_table.read_panes(spark, path).collect()} == whole
+    part = pane_table.read_panes(spark, path, lo_ms=day, hi_ms=2 * day)
+    assert {(r["stream"], r["start_ms"]): (r["count"], r["sum"]) for r in part.collect()} == {k: v for k, v in whole.items() if day <= k[1] < 2 * day}
+    plan = part._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(day" in plan
+    shared = pane_table.share(part, str(tmp_path / "shared"))
+    assert "shared" in shared._jdf.queryExecution().optimizedPlan().toString() or sorted(map(tuple, shared.collect())) == sorted(map(tuple, part.collect()))
+    assert shared.inputFiles() and all("/shared/" in f for f in shared.inputFiles())
+
+
+def test_a_stream_fills_a_pane_table(spark, tmp_path):
+    for k in range(5):
+        spark.createDataFrame([("a", k * 100 + j, 1.0) for j in range(10)], "stream string, ms long, value double").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("stream string, ms long, value double").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    pane_table.stream_to_panes(stream, str(tmp_path / "table"), str(tmp_path / "cp"), 150).awaitTermination()
+    assert {r["start_ms"]: r["count"] for r in pane_table.read_panes(spark, str(tmp_path / "table")).collect()} == {0: 20, 150: 10, 300: 20}
+
+
+def test_lost_sinks_release_their_batch(spark, tmp_path):
+    spark.range(3).write.parquet(str(tmp_path / "in"))
+
+    def broken(batch, number):
+        raise RuntimeError("lost")
+
+    before = spark.sparkContext._jsc.getPersistentRDDs().size()
+    query = streams.fan_out(spark.readStream.schema("id long").parquet(str(tmp_path / "in")), [broken], str(tmp_path / "cp"))
+    with pytest.raises(Exception, match="lost"):
+        query.awaitTermination()
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == before
+
+
+def test_an_interval_trigger_takes_files_as_they_come(spark, tmp_path):
+    import time
+
+    put = lambda lo: spark.range(lo, lo + 5).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    put(0)
+    seen: dict[int, list[int]] = {}
+    sink = lambda batch, number: seen.__setitem__(number, sorted(r["id"] for r in batch.collect()))
+    query = streams.fan_out(spark.readStream.schema("id long").parquet(str(tmp_path / "in")), [sink], str(tmp_path / "cp"), processingTime="500 milliseconds")
+    try:
+        deadline = time.monotonic() + 40
+        while time.monotonic() < deadline and len(seen) < 1:
+            time.sleep(0.1)
+        put(5)
+        while time.monotonic() < deadline and len(seen) < 2:
+            time.sleep(0.1)
+    finally:
+        query.stop()
+    assert seen == {0: [0, 1, 2, 3, 4], 1: [5, 6, 7, 8, 9]}  # a batch without rows doesn't run
 
 
 def test_lines_hold_a_subject_each(spark):
