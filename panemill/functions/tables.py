@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -18,25 +19,37 @@ BROADCAST_ROWS = 200_000
 _made: dict[str, str] = {}
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """Folder that the driver and all executors share: ``spark.checkpoint.dir``; a local session without one gets a temporary folder, a cluster an error.
+
+    The URI always names its scheme, so Spark and other readers find the same folder.
+    """
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if found:
+        path = spark._jvm.org.apache.hadoop.fs.Path(found)
+        uri = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
+        return re.sub("^file:/(?!/)", "file:///", uri)
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):  # local-cluster has executors of its own
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    app = spark.sparkContext.applicationId
+    if app not in _made:  # a local session, as in tests
+        _made[app] = tempfile.mkdtemp(prefix="panemill-")
+        atexit.register(shutil.rmtree, _made[app], True)
+    return f"file://{_made[app]}"
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder under ``spark.checkpoint.dir``; a local session without one gets a temporary folder, a cluster an error."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not top:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        app = spark.sparkContext.applicationId
-        if app not in _made:
-            _made[app] = tempfile.mkdtemp(prefix="panemill-")
-            atexit.register(shutil.rmtree, _made[app], True)
-        top = f"file://{_made[app]}"
-    return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new folder's path in the shared folder."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """The same rows from a parquet table in the shared folder."""
+    """The same rows from a parquet table in the shared folder: work on lost executors is redone from its files, not from the start."""
     path = shared_folder(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.scratch = path
+    return out
 
 
 def is_small(df: DataFrame, most: int = BROADCAST_ROWS) -> bool:

@@ -30,6 +30,13 @@ def approx_naive(sub: DataFrame, targets: DataFrame, bucket_ms: int, keys: Seque
     return rows.groupBy(*keys, *TARGET).agg(F.sum("value").alias("sum"), F.avg("value").alias("avg"), F.count(F.lit(1)).alias("count"), F.min("value").alias("min"), F.max("value").alias("max"))
 
 
+def at_all_targets(found: DataFrame, sub: DataFrame, targets: DataFrame, keys: Sequence[str] = ("topic",), missing: float | None = None) -> DataFrame:
+    """Estimates with a row for each key and target: those that no result overlaps have nulls, or a given value."""
+    grid = all_pairs(targets.select(*TARGET).distinct(), sub.select(*keys).distinct())
+    rows = grid.join(found, [*keys, *TARGET], "left")
+    return rows if missing is None else rows.fillna(missing, [c for c in found.columns if c not in (*keys, *TARGET)])
+
+
 def approx_pair(pairs: DataFrame) -> DataFrame:
     """Two neighbouring results (v1, d1, v2, d2) with an overlap (vo, dov) merged for a target of length dt."""
     weighted = F.col("v1") * F.col("d1") + F.col("v2") * F.col("d2") - F.col("vo") * F.col("dov")

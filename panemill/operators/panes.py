@@ -251,9 +251,17 @@ def coverage(states: DataFrame, spec: WindowSpec, pane_ms: int, keys: Sequence[s
 
 
 def emission_proof(states: DataFrame, spec: WindowSpec, pane_ms: int, producer: str) -> DataFrame:
-    """For each window the required, received and missing panes of each producer, as maps."""
-    found = coverage(states, spec, pane_ms, [producer])
+    """For each window and producer, a row each, the required, received, missing and duplicate panes, and whether all are there.
+
+    ``proof_maps`` puts the producers of a window in one row.
+    """
+    return coverage(states, spec, pane_ms, [producer]).withColumnRenamed("expected", "required")
+
+
+def proof_maps(proofs: DataFrame, producer: str) -> DataFrame:
+    """The proof of each window with maps by producer, for windows of few producers."""
     lists = ("received", "missing", "duplicates")
+    found = proofs.withColumnRenamed("required", "expected")
     return found.groupBy("win_start", "win_end").agg(
         F.first("expected").alias("required"),
         *(F.map_from_entries(F.collect_list(F.struct(producer, name))).alias(name) for name in lists),

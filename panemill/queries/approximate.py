@@ -52,6 +52,17 @@ for _agg in ("avg", "sum", "count", "min", "max"):
         return _naive(spark, sf_dir).select("topic", "b_start", "b_end", agg)
 
 
+@query(
+    f"""WITH {SUB}, few AS (SELECT * FROM sub WHERE start_ms // {24 * HOUR} % 3 = 0), {TARGETS}, n AS (SELECT topic, b_start, b_end, avg(value) AS avg, count(*) AS count FROM few, targets WHERE end_ms > b_start AND start_ms < b_end GROUP BY ALL)
+    SELECT topic, b_start, b_end, round(coalesce(avg, 0), 8) AS avg, coalesce(count, 0) AS count FROM (SELECT topic, b_start, b_end FROM (SELECT DISTINCT topic FROM few), targets) t LEFT JOIN n USING (topic, b_start, b_end)"""
+)
+def approx_naive_all_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Estimates of every target, 0 where no result overlaps it."""
+    few = sub_results(spark, sf_dir).where(F.floor(F.col("start_ms") / (24 * HOUR)) % 3 == 0)
+    found = A.approx_naive(few, targets(spark, sf_dir), BUCKET).select("topic", "b_start", "b_end", "avg", "count")
+    return rounded(A.at_all_targets(found, few, targets(spark, sf_dir), missing=0), "avg")
+
+
 @query(f"WITH {OVER} SELECT topic, b_start, b_end, round(sum(value * w) / sum(w), 8) AS avg FROM pairs GROUP BY ALL")
 def approx_overlap_avg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(A.approx_overlap_avg(sub_results(spark, sf_dir), targets(spark, sf_dir), BUCKET), "avg")
@@ -170,8 +181,9 @@ def message_kind_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("stream", A.message_kind(F.col("payload")).alias("kind")).agg(F.count(F.lit(1)).alias("messages"))
 
 
-@query(f"WITH {SUB}, {TARGETS}, c AS (SELECT b_start AS since FROM targets ORDER BY b_start DESC LIMIT 1 OFFSET 100) SELECT topic, start_ms, end_ms FROM sub, c WHERE end_ms >= since")
+@query(f"WITH {SUB}, {TARGETS}, c AS (SELECT min(b_start) AS since FROM (SELECT b_start FROM targets ORDER BY b_start DESC LIMIT 101)) SELECT topic, start_ms, end_ms FROM sub, c WHERE end_ms >= since")
 def buffer_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Results that the last hundred targets can still use."""
-    at = targets(spark, sf_dir).orderBy(F.desc("b_start")).offset(100).first()["b_start"]
-    return A.prune(sub_results(spark, sf_dir), at).select("topic", "start_ms", "end_ms")
+    rows = targets(spark, sf_dir)
+    first = rows.orderBy(F.desc("b_start")).limit(101).agg(F.min("b_start")).first()[0]  # all of them where there are fewer
+    return A.prune(sub_results(spark, sf_dir), first or 0).select("topic", "start_ms", "end_ms")

@@ -547,8 +547,17 @@ def window_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {COVER} SELECT win_start, win_end, count(*) AS producers, CAST(sum(received) AS BIGINT) AS received, CAST(sum(3 - received) AS BIGINT) AS missing, bool_and(received = 3) AS complete FROM c GROUP BY ALL")
 def emission_proof(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = P.emission_proof(_twice(spark, sf_dir), SPEC, PANE, "stream")
-    total = lambda c: F.aggregate(F.map_values(c), F.lit(0).cast("long"), lambda s, x: s + F.size(x))
-    return rows.select("win_start", "win_end", "producers", total("received").alias("received"), total("missing").alias("missing"), "complete")
+    total = lambda c: F.sum(F.size(c)).cast("long").alias(c)
+    return rows.groupBy("win_start", "win_end").agg(F.count(F.lit(1)).alias("producers"), total("received"), total("missing"), F.bool_and("complete").alias("complete"))
+
+
+@query(f"WITH {COVER} SELECT win_start, count(*) AS producers, CAST(sum(duplicates) AS BIGINT) AS duplicates, string_agg(stream || ':' || received, ',' ORDER BY stream) AS received FROM c GROUP BY ALL")
+def emission_proof_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same proofs with all producers of a window in one row."""
+    rows = P.proof_maps(P.emission_proof(_twice(spark, sf_dir), SPEC, PANE, "stream"), "stream")
+    sizes = F.transform(F.array_sort(F.map_keys("received")), lambda k: F.concat(k, F.lit(":"), F.size(F.element_at("received", k))))
+    twice = F.aggregate(F.map_values("duplicates"), F.lit(0).cast("long"), lambda s, x: s + F.size(x))
+    return rows.select("win_start", "producers", twice.alias("duplicates"), F.array_join(sizes, ",").alias("received"))
 
 
 @query(f"WITH {THIN} SELECT start_ms, end_ms, count(DISTINCT stream) AS producers FROM thin GROUP BY ALL HAVING count(DISTINCT stream) >= 4")
