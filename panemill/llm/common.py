@@ -2,52 +2,16 @@
 
 from __future__ import annotations
 
-import atexit
-import re
-import shutil
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A word is a run of characters other than the ASCII white space.
-WORD = r"[^\x20\x09-\x0D]+"
-
-_made: dict[str, str] = {}
+from panemill.functions.tables import shared_dir, written
+from panemill.functions.tables import shared_folder as scratch_path
 
+__all__ = ["WORD", "crc_mod", "discard", "least_hashes", "maybe_broadcast", "remove", "scratch_path", "shared_dir", "spread_join", "table", "written"]
 
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that the driver and all executors share: ``spark.checkpoint.dir``; a local session without one gets a temporary folder.
-
-    The URI always names its scheme, so Spark and other readers find the same folder.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if found:
-        path = spark._jvm.org.apache.hadoop.fs.Path(found)
-        uri = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
-        return re.sub("^file:/(?!/)", "file:///", uri)
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    app = spark.sparkContext.applicationId
-    if app not in _made:  # a local session, as in tests
-        _made[app] = tempfile.mkdtemp(prefix="panemill-")
-        atexit.register(shutil.rmtree, _made[app], True)
-    return f"file://{_made[app]}"
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The same rows from a table in the shared folder: work on lost executors is redone from its files, not from the start."""
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.scratch = path
-    return out
+#: A word is a run of characters other than the ASCII white space.
+WORD = r"[^\x20\x09-\x0D]+"
 
 
 def discard(df: DataFrame) -> None:
