@@ -167,6 +167,14 @@ class Landmarks:
                 out[own] = np.einsum("bcl,c->bl", self.table[self.slot[keys]], weight.astype(np.float32))
         return out
 
+    def gram(self) -> np.ndarray:
+        """Kernel values of the landmarks with one another, a few subsequences at a time in double precision."""
+        out = np.zeros((self.table.shape[1],) * 2)
+        for at in range(0, len(self.table), 8192):
+            own = self.table[at : at + 8192].astype(float)
+            out += own.T @ own
+        return out
+
     def folded(self, alphas: np.ndarray) -> np.ndarray:
         """One weight for each subsequence, from one for each landmark."""
         out = np.zeros(_THREE + _FOUR, np.float32)
@@ -381,7 +389,7 @@ def train(bags: list[tuple[int, list[str]]], joined: Callable[[np.ndarray, float
     rest = rng.permutation(len(words))[: LANDMARKS // 4]
     chosen = [words[k] for k in dict.fromkeys([*by.tolist(), *usual.tolist(), *rest.tolist()])]
     landmarks = Landmarks(chosen)
-    values, vectors = np.linalg.eigh(landmarks.table.T.astype(float) @ landmarks.table)
+    values, vectors = np.linalg.eigh(landmarks.gram())
     whiten = vectors / np.sqrt(np.maximum(values, 1e-3))
 
     score, folded, offset = strength, None, 0.0
