@@ -101,3 +101,35 @@ def with_previous(rows: DataFrame, keys: Sequence[str], order: Sequence[str], bu
     same = reduce(Column.__and__, (F.col(k).eqNullSafe(F.col(f"_end_{k}")) for k in (*keys, "_in")))
     rows = rows.withColumn("_inside", inside).join(ends, same)
     return rows.withColumn(name, F.coalesce("_inside", "_before")).drop("_in", "_inside", "_before", *(f"_end_{k}" for k in (*keys, "_in")))
+
+
+def same_keys(a: DataFrame, b: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
+    """A join on keys that may be null; b's key columns are dropped."""
+    own = b.withColumnsRenamed({k: f"_b_{k}" for k in keys})
+    same = reduce(Column.__and__, (F.col(k).eqNullSafe(F.col(f"_b_{k}")) for k in keys), F.lit(True))
+    return a.join(own, same, how).drop(*(f"_b_{k}" for k in keys))
+
+
+def quantiles(rows: DataFrame, keys: Sequence[str], metrics: dict[str, Column], ps: dict[str, float]) -> DataFrame:
+    """Exact quantiles by linear interpolation: keys, and a column metric_name for each metric and name of ps.
+
+    Values are counted first, and the different ones dealt to tasks by ranges: each finds the ranks of its own, so no task or buffer holds all values of a key.
+    """
+    values = F.explode(F.array(*(F.struct(F.lit(m).alias("_metric"), value.cast("double").alias("_value")) for m, value in metrics.items()))).alias("_x")
+    group = [*keys, "_metric"]
+    counts = rows.select(*keys, values).select(*keys, "_x.*").where("_value is not null").groupBy(*group, "_value").agg(F.count(F.lit(1)).alias("_n"))
+    own = written(counts.repartitionByRange(*group, "_value").withColumn("_part", F.spark_partition_id()), "quantiles")
+    sizes = own.groupBy(*group, "_part").agg(F.sum("_n").alias("_size"))
+    earlier = W.partitionBy(*group).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    sizes = sizes.select(*group, "_part", F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_above"), F.sum("_size").over(W.partitionBy(*group)).alias("_all"))
+    inside = F.sum("_n").over(W.partitionBy(*group, "_part").orderBy("_value").rowsBetween(W.unboundedPreceding, W.currentRow))
+    placed = same_keys(own.withColumn("_upto", inside), sizes, [*group, "_part"], "inner").withColumn("_upto", F.col("_upto") + F.col("_above"))
+    found = []
+    for name, p in ps.items():
+        at = F.lit(p) * (F.col("_all") - 1)
+        holds = lambda rank: (F.col("_upto") - F.col("_n") < rank) & (rank <= F.col("_upto"))
+        low, high = (F.max(F.when(holds(bound(at) + 1), F.col("_value"))) for bound in (F.floor, F.ceil))
+        rest = F.max(at - F.floor(at))
+        found.append((low + (high - low) * rest).alias(name))
+    each = placed.groupBy(*group).agg(*found)
+    return each.groupBy(*keys).agg(*(F.max(F.when(F.col("_metric") == m, F.col(name))).alias(f"{m}_{name}") for m in metrics for name in ps))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from panemill.functions.tables import broadcast_if_small, numbered, with_previous
+from panemill.functions.tables import broadcast_if_small, numbered, quantiles, same_keys, with_previous
 from panemill.functions.time import WindowSpec
 
 
@@ -135,10 +135,10 @@ def first_emitted_accuracy(baseline: DataFrame, candidate: DataFrame, keys: Sequ
 def summarize(rows: DataFrame, metrics: Sequence[str], keys: Sequence[str], std: str = "pop", accuracy: int | None = None) -> DataFrame:
     """Count, mean, spread, extremes, median and 95th percentile of each metric.
 
-    Percentiles are exact, by linear interpolation, and keep a key's different values; with an ``accuracy`` they are approximate (rank error 1 / accuracy) in
-    bounded memory.
+    Percentiles are exact, by linear interpolation, from counted values that are dealt to tasks by ranges; with an ``accuracy`` they are approximate (rank error 1 / accuracy),
+    without a further pass.
     """
-    at = (lambda m, q: F.percentile(m, F.lit(q))) if accuracy is None else (lambda m, q: F.percentile_approx(m, q, accuracy))
+    at = (lambda m, q: F.lit(None)) if accuracy is None else (lambda m, q: F.percentile_approx(m, q, accuracy))
     spread = {"pop": F.stddev_pop, "samp": F.stddev_samp}[std]
     columns = [
         column
@@ -153,7 +153,11 @@ def summarize(rows: DataFrame, metrics: Sequence[str], keys: Sequence[str], std:
             at(m, 0.95).alias(f"{m}_p95"),
         )
     ]
-    return rows.groupBy(*keys).agg(*columns)
+    out = rows.groupBy(*keys).agg(*columns)
+    if accuracy is not None:
+        return out
+    order, exact = out.columns, [f"{m}_{name}" for m in metrics for name in ("median", "p95")]
+    return same_keys(out.drop(*exact), quantiles(rows, keys, {m: F.col(m) for m in metrics}, {"median": 0.5, "p95": 0.95}), keys).select(*order)
 
 
 def rank_percentile(rows: DataFrame, metric: str, keys: Sequence[str], p: float) -> DataFrame:
@@ -218,13 +222,13 @@ def run_validity(runs: DataFrame, baseline: str, keys: Sequence[str], tol: float
 
 def relative_error_summary(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
     error = F.when(F.col("base") != 0, F.abs((F.col("value") - F.col("base")) / F.col("base")) * 100)
-    return pairs.groupBy(*keys).agg(
+    out = pairs.groupBy(*keys).agg(
         F.count(error).alias("n"),
         F.count_if(F.col("base") == F.col("value")).alias("exact"),
         F.avg(error).alias("mean_pct"),
-        F.percentile(error, F.lit(0.5)).alias("median_pct"),
         F.max(error).alias("max_pct"),
     )
+    return same_keys(out, quantiles(pairs, keys, {"median": error}, {"pct": 0.5}), keys)
 
 
 # --- series

@@ -7,7 +7,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from panemill.functions.tables import numbered, small
+from panemill.functions.tables import numbered, quantiles, small
 from panemill.functions.time import WindowSpec, align_start, parse_iso_ms
 from panemill.operators import approx, pane_table, panes, relational, windows
 from panemill.plans import reuse
@@ -504,6 +504,26 @@ def test_latest_value_of_many_buckets(spark):
     assert got == {5: (1.0, "overlap"), 50: (1.0, "latest"), 105: (2.0, "overlap"), 900: (2.0, "latest"), -50: (None, "none")}
 
 
+def test_exact_quantiles_of_hot_and_null_keys(spark):
+    import random
+
+    import numpy as np
+
+    rng = random.Random(9)
+    rows = [(None, float(rng.randint(0, 30)), rng.gauss(0, 1)) for _ in range(400)] + [("b", 5.0, None), ("c", 1.0, 2.0), ("c", 2.0, 4.0), ("d", None, None)]
+    df = spark.createDataFrame(rows, "k string, x double, y double").repartition(7)
+    got = {r["k"]: r.asDict() for r in quantiles(df, ["k"], {"x": F.col("x"), "y": F.col("y")}, {"q0": 0.0, "q5": 0.5, "q95": 0.95, "q100": 1.0}).collect()}
+    for k in (None, "b", "c"):
+        for at, name in ((1, "x"), (2, "y")):
+            own = [r[at] for r in rows if r[0] == k and r[at] is not None]
+            for suffix, p in (("q0", 0), ("q5", 0.5), ("q95", 0.95), ("q100", 1)):
+                assert got[k][f"{name}_{suffix}"] == (pytest.approx(np.quantile(own, p)) if own else None)
+    assert set(got) == {None, "b", "c"}
+    summary = {r["k"]: (r["x_n"], r["x_median"]) for r in metrics.summarize(df, ["x"], ["k"]).collect()}
+    assert summary["d"] == (0, None) and summary["c"] == (2, 1.5)
+    assert quantiles(df, [], {"x": F.col("x")}, {"q5": 0.5}).first()["x_q5"] == np.quantile([r[1] for r in rows if r[1] is not None], 0.5)
+
+
 def test_bounded_percentiles(spark):
     rows = spark.range(1001).select(F.lit("a").alias("k"), F.col("id").cast("double").alias("m"))
     row = metrics.summarize(rows, ["m"], ["k"], accuracy=10_000).first()
