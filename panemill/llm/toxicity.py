@@ -478,7 +478,7 @@ def learnt_from(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str,
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(units, pa.list_(pa.string()))], names=["key", "units"])
 
         found = sample.select("key", "text").where(F.col("key").isin(keys)).mapInArrow(run, "key long, units array<string>").dropDuplicates(["key"]).collect()
-        model.unpersist()
+        model.destroy()
         by = {r["key"]: r["units"] for r in found}
         return [by.get(key, []) for key in keys]
 
