@@ -167,6 +167,13 @@ class Landmarks:
                 out[own] = np.einsum("bcl,c->bl", self.table[self.slot[keys]], weight.astype(np.float32))
         return out
 
+    def coordinates(self, words: list[str], whiten: np.ndarray) -> np.ndarray:
+        """Nyström coordinates of units, a block of kernel values at a time."""
+        out = np.empty((len(words), whiten.shape[1]), np.float32)
+        for at in range(0, len(words), 2048):
+            out[at : at + 2048] = self.kernel(words[at : at + 2048]) @ whiten
+        return out
+
     def gram(self) -> np.ndarray:
         """Kernel values of the landmarks with one another, a few subsequences at a time in double precision."""
         out = np.zeros((self.table.shape[1],) * 2)
@@ -414,7 +421,7 @@ def train(bags: list[tuple[int, list[str]]], joined: Callable[[np.ndarray, float
             hardest = np.argsort(-unit_scores(found, folded), kind="stable")[:HARDEST].tolist() if found else []
             joints = sorted({found[k] for k in hardest} | set(joints))
         rows = sorted(set(witness) | negatives)
-        x = landmarks.kernel([words[k] for k in rows] + [v for v, _ in blurred] + joints) @ whiten.astype(np.float32)
+        x = landmarks.coordinates([words[k] for k in rows] + [v for v, _ in blurred] + joints, whiten.astype(np.float32))
         y = np.array([1.0 if k in witness else -1.0 for k in rows] + [1.0] * len(blurred) + [-1.0] * len(joints))
         cost = np.array([float(witness[k]) if k in witness else CLEAN * min(n[k], 25) for k in rows] + [c for _, c in blurred] + [CLEAN * min(max(1, usual_runs[u]), 25) for u in joints])
         w = _machine(x, y, np.sqrt(cost), ridge=0.02)
