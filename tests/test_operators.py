@@ -546,3 +546,16 @@ def test_late_arrivals_in_any_number_of_parts(spark):
         want = "on_time" if seen is None or ms >= seen else "late" if ms - ms % 20 + 40 + 10 > seen else "too_late"
         assert got[k] == want
         seen = ms if seen is None else max(seen, ms)
+
+
+def test_rounded_as_the_sql_rounds(spark):
+    """Also beyond 2^53 units of the last place."""
+    import duckdb
+
+    from panemill.queries.registry import rounded
+
+    values = [555605669 / 3, 2512022142.0 / 19, -1762147520 / 13.5, 0.123456785, 2.5e-8, -0.0, 1e305, float("inf"), None]
+    want = duckdb.execute("SELECT round(unnest(?::DOUBLE[]), 8)", [values]).fetchall()
+    rows = spark.createDataFrame([(k, x, 7) for k, x in enumerate(values)], "k int, x double, n long")
+    got = rounded(rows, "x", "n").orderBy("k").collect()
+    assert [r.x for r in got] == [x for (x,) in want] and {r.n for r in got} == {7}
