@@ -170,9 +170,13 @@ class Ranked:
 
 
 class Tiles:
-    """Counts of (row, column): dense tiles by bincount, the others as sorted keys; the sums of several blocks stay sorted."""
+    """Counts of (row, column): dense tiles by bincount, the others as sorted keys; the sums of several blocks stay sorted.
 
-    def __init__(self):
+    ``ranked`` tells that rows are ids or ranks, so there are few tiles.  Rows that are keys of pairs reach 2^36 and have no dense tiles; they are only sorted.
+    """
+
+    def __init__(self, ranked: bool = True):
+        self.ranked = ranked
         self.rows, self.columns, self.size = [], [], 0
         self.keys, self.counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
@@ -188,10 +192,12 @@ class Tiles:
             return
         row, column = np.concatenate(self.rows), np.concatenate(self.columns)
         self.rows, self.columns, self.size = [], [], 0
-        wide = (1 << BITS) // TILE
-        tile = row // TILE * wide + column // TILE
-        filled = np.flatnonzero(np.bincount(tile) >= DENSE)
         found = [(self.keys, self.counts)]
+        filled = np.zeros(0, np.int64)
+        if self.ranked:
+            wide = (1 << BITS) // TILE
+            tile = row // TILE * wide + column // TILE
+            filled = np.flatnonzero(np.bincount(tile) >= DENSE)
         for at in filled.tolist():
             own = tile == at
             top, left = at // wide * TILE, at % wide * TILE
@@ -235,7 +241,7 @@ def _counted(docs: DataFrame, lexicon, ranked, length: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words_by, pairs = lexicon.value, ranked.value if ranked else None
-        tiles, whole, texts = Tiles(), Tiles(), Counter()
+        tiles, whole, texts = Tiles(), Tiles(ranked=False), Counter()
         ids, size = [np.array([END])], 0
 
         def count() -> None:

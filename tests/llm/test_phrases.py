@@ -115,3 +115,14 @@ def test_sieve_lets_no_member_out(spark):
 
     assert phrases.passed(sieve, np.array([crc32(f"w{k}".encode()) for k in range(500)])).all()
     assert phrases.passed(sieve, np.array([crc32(f"x{k}".encode()) for k in range(5000)])).sum() < 5
+
+
+def test_keys_of_pairs_beyond_the_ranks():
+    """Rows that are whole keys of pairs, up to 2^36, are counted without an array as long as they are large."""
+    rows, columns = np.array([(1 << 36) - 1, 5, (1 << 36) - 1, 5 << 30]), np.array([7, 3, 7, (1 << 18) - 1])
+    held = phrases.Tiles(ranked=False)
+    held.add(rows, columns)
+    held.count()
+    held.add(rows[:2], columns[:2])
+    keys, counts = held.taken(True)
+    assert dict(zip(keys.tolist(), counts.tolist(), strict=True)) == {((1 << 36) - 1) << 18 | 7: 3, 5 << 18 | 3: 2, (5 << 30) << 18 | (1 << 18) - 1: 1}
