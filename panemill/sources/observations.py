@@ -22,13 +22,17 @@ PREDICATES = {
 }
 XSD = "http://www.w3.org/2001/XMLSchema#"
 # The terms of the N-Triples format.
-_IRI = r'<(?:[^\x00-\x20<>"{}|^`\\]|\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8})*>'
+_POINT = r"u[0-9A-Fa-f]{4}|U[0-9A-Fa-f]{8}"
+# Runs of plain characters and single escapes take turns and are never given back: no stack a character, however long the term is.
+_IRI = rf'<[^\x00-\x20<>"{{}}|^`\\]*+(?:\\(?:{_POINT})[^\x00-\x20<>"{{}}|^`\\]*+)*+>'
 _BLANK = r"_:[\p{L}\p{N}_](?:[\p{L}\p{N}_.\-\u00B7]*[\p{L}\p{N}_\-\u00B7])?"
-_STRING = r'"(?:[^"\\\r\n]|\\[tbnrf"\'\\]|\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8})*"'
+_STRING = rf'"[^"\\\r\n]*+(?:\\(?:[tbnrf"\'\\]|{_POINT})[^"\\\r\n]*+)*+"'
 _TAG = r"@[A-Za-z]+(?:-[A-Za-z0-9]+)*"
 #: Subject, predicate, object and its datatype or language; or a comment, to the end of its line.
 _TRIPLE = rf"({_IRI}|{_BLANK})\s*({_IRI})\s*({_IRI}|{_BLANK}|{_STRING}(?:\s*\^\^\s*{_IRI}|{_TAG})?)\s*\."
 _PART = rf"(?:{_TRIPLE}|#[^\r\n]*)"
+#: What the pattern's \s matches.
+_SPACE = " \t\n\x0b\f\r"
 ESCAPES = {"t": "\t", "b": "\b", "n": "\n", "r": "\r", "f": "\f", '"': '"', "'": "'"}
 
 
@@ -112,20 +116,28 @@ def parse_ntriples(lines: DataFrame, col: str = "value") -> DataFrame:
 
     Blank nodes begin with ``_:``; o_type is iri, blank, a language with its @, the name of a datatype of XML Schema (string where none is given), or another datatype's IRI.
     """
+    # A triple that the pattern has found is cut at its first delimiters; neither IRIs, tags nor labels of blank nodes hold any.
+    rest = lambda c, *before: F.btrim(F.substr(c, F.length(*before) + 1), F.lit(_SPACE))
+    iri = lambda c: F.concat(F.substring_index(c, ">", 1), F.lit(">"))
     rows = lines.select(F.explode(F.regexp_extract_all(F.col(col), F.lit(_PART), F.lit(0))).alias("triple")).where(~F.col("triple").startswith("#"))
-    term = lambda k: F.regexp_extract("triple", f"^{_TRIPLE}", k)
-    rows = rows.select(term(1).alias("s"), term(2).alias("p"), term(3).alias("o"))
+    rows = rows.withColumn("s", F.when(F.col("triple").startswith("<"), iri(F.col("triple"))).otherwise(F.regexp_extract("triple", r"^[^\s<]+", 0)))
+    rows = rows.select("s", rest(F.col("triple"), "s").alias("rest"))
+    rows = rows.select("s", iri(F.col("rest")).alias("p"), "rest")
+    rows = rows.select("s", "p", rest(F.col("rest"), "p").alias("o"))
+    rows = rows.select("s", "p", F.btrim(F.substr("o", F.lit(1), F.length("o") - 1), F.lit(_SPACE)).alias("o"))
+    # What stands after a literal's last quote is its language or its datatype.
+    rows = rows.select("s", "p", "o", F.when(F.col("o").startswith('"'), F.substring_index("o", '"', -1)).alias("after"))
     inner = lambda c: F.when(c.startswith("<"), unescaped(F.substr(c, F.lit(2), F.length(c) - 2))).otherwise(c)
-    literal = F.regexp_extract("o", f"^({_STRING})", 1)
-    text = unescaped(F.substr(literal, F.lit(2), F.length(literal) - 2))
-    kind = F.regexp_extract("o", rf"\^\^\s*<([^<>]*)>$", 1)
-    tag = F.regexp_extract("o", f'"({_TAG})$', 1)
-    named = F.when(tag != "", tag).when(kind == "", "string").when(kind.startswith(XSD), F.substring(kind, len(XSD) + 1, 1 << 30)).otherwise(unescaped(kind))
-    is_text = F.col("o").startswith('"')
+    text = F.substr("o", F.lit(2), F.length("o") - F.length("after") - 2)
+    kind = F.substring_index(F.substring_index("after", "<", -1), ">", 1)
+    rows = rows.select("s", "p", "o", "after", F.when(F.col("after").isNotNull(), text).alias("text"), kind.alias("kind"))
+    own = F.substring("kind", len(XSD) + 1, 1 << 30)
+    named = F.when(F.col("after").startswith("@"), F.col("after")).when(F.col("kind") == "", "string").when(F.col("kind").startswith(XSD), own).otherwise(unescaped(F.col("kind")))
+    is_text = F.col("after").isNotNull()
     return rows.select(
         inner(F.col("s")).alias("s"),
         inner(F.col("p")).alias("p"),
-        F.when(is_text, text).otherwise(inner(F.col("o"))).alias("o"),
+        F.when(is_text, unescaped(F.col("text"))).otherwise(inner(F.col("o"))).alias("o"),
         F.when(is_text, named).when(F.col("o").startswith("<"), "iri").otherwise("blank").alias("o_type"),
     )
 

@@ -559,3 +559,12 @@ def test_rounded_as_the_sql_rounds(spark):
     rows = spark.createDataFrame([(k, x, 7) for k, x in enumerate(values)], "k int, x double, n long")
     got = rounded(rows, "x", "n").orderBy("k").collect()
     assert [r.x for r in got] == [x for (x,) in want] and {r.n for r in got} == {7}
+
+
+def test_terms_of_any_length(spark):
+    """A long literal or IRI takes no stack for each of its characters; what stands after the quote is cut off rightly."""
+    long = "ab\\\\ \\\"<c>@d" * 20_000
+    rows = spark.createDataFrame([(f'<urn:{"x" * 100_000}> <urn:p> "{long}"^^ <urn:t> . _:b.c\t<urn:q>_:d.e ._:f<urn:r>"@x^^<y>"@en .',)], "value string")
+    got = [tuple(r) for r in observations.parse_ntriples(rows).collect()]
+    assert got == [("urn:" + "x" * 100_000, "urn:p", long.replace("\\\\", "\\").replace('\\"', '"'), "urn:t"), ("_:b.c", "urn:q", "_:d.e", "blank"), ("_:f", "urn:r", "@x^^<y>", "@en")]
+    assert observations.rejected_ntriples(rows).count() == 0
