@@ -219,55 +219,22 @@ def run_by_lateness(stream: DataFrame, spec: WindowSpec, delay_ms: int, name: st
 # --- differences between windows
 
 
-class Differences(StatefulProcessor):
-    """When a member comes into the windows of its key, and when it is gone again.
-
-    The state is the panes (of one step) in which the member occurred.  A member's presence can change only at two windows a pane: the first that holds it and the first that
-    no longer does; an event-time timer stands at the end of each.
-    """
-
-    def __init__(self, spec: WindowSpec, keys: Sequence[str]):
-        self.spec, self.keys = spec, tuple(keys)
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.panes = handle.getMapState("panes", T.StructType([T.StructField("start", T.LongType())]), T.StructType([T.StructField("n", T.LongType())]))
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        spec = self.spec
-        for start in {r.ms - (r.ms - spec.origin_ms) % spec.step_ms for r in rows}:
-            self.panes.updateValue((start,), (1,))
-            for end in (start + spec.step_ms, start + spec.step_ms + spec.range_ms):
-                self.handle.registerTimer(end)
-        return iter(())
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        spec = self.spec
-        win = expiredTimerInfo.getExpiryTimeInMs() - spec.range_ms
-        starts = [k[0] for k in self.panes.keys()]
-        inside = lambda lo: any(lo <= s < lo + spec.range_ms for s in starts)
-        was, now = inside(win - spec.step_ms), inside(win)
-        for s in starts:
-            if s < win:
-                self.panes.removeKey((s,))
-        if was != now:
-            yield Row(**dict(zip(self.keys, key, strict=True)), win_start=win, win_end=win + spec.range_ms, change="insert" if now else "delete")
-
-    def close(self) -> None:
-        pass
-
-
 def window_differences(stream: DataFrame, spec: WindowSpec, keys: Sequence[str], delay_ms: int) -> DataFrame:
     """Members (keys) of a stream (ts, keys) that a window has and the one before had not (insert), or the other way round (delete), as windows close.
 
-    Needs a range that is a multiple of the step.  The state is spread over all members.
+    Needs a range that is a multiple of the step.  A window and the one before differ in the first step of the earlier and the last step of the later: over both together, a
+    member comes in if its first row lies in the last step, and is gone if its last row lies in the first.  So the state is a row for each member and open window, kept by
+    Spark's own windowed aggregate, and is spread over all members.
     """
     if spec.range_ms % spec.step_ms:
         raise ValueError("the range is no multiple of the step")
-    kinds = dict(stream.dtypes)
-    rows = stream.withWatermark("ts", _ms(delay_ms)).select(*keys, "ts", F.unix_millis("ts").alias("ms"))
-    schema = ", ".join([*(f"{k} {kinds[k]}" for k in keys), "win_start long, win_end long, change string"])
-    return rows.groupBy(*keys).transformWithState(Differences(spec, keys), schema, "append", "eventTime")
+    ms = F.unix_millis("ts")
+    both = F.window("ts", _ms(spec.range_ms + spec.step_ms), _ms(spec.step_ms), _ms(spec.origin_ms % spec.step_ms))
+    spans = stream.withWatermark("ts", _ms(delay_ms)).groupBy(*keys, both).agg(F.min(ms).alias("_first"), F.max(ms).alias("_last"))
+    end = F.unix_millis("window.end")
+    start = end - spec.range_ms
+    change = F.when(F.col("_first") >= end - spec.step_ms, "insert").when(F.col("_last") < start, "delete")
+    return spans.select(*keys, start.alias("win_start"), end.alias("win_end"), change.alias("change")).where("change is not null")
 
 
 # --- early results

@@ -150,3 +150,12 @@ def test_live_estimates_are_bounded(spark):
         pairs = [(v, min(hi, 10 * v + 20) - max(lo, 10 * v)) for v in range(60) if 10 * v + 20 > lo and 10 * v < hi]
         want[lo] = (pytest.approx(sum(v * w for v, w in pairs) / sum(w for _, w in pairs)), len(pairs))
     assert len(got) >= 50 and all(want[k] == v for k, v in got.items())
+
+
+def test_differences_are_an_aggregate_of_spark(spark, capsys):
+    """No Python call for each pane and timer of a member."""
+    rows = spark.createDataFrame([("x", 5, 0), ("x", 200, 1)], "member string, sec int, batch int").withColumn("ts", F.timestamp_seconds("sec"))
+    stream = stateful.file_stream(spark, stateful.arrivals(rows, "batch", 2, "plan"), "member string, sec int, ts timestamp")
+    stateful.window_differences(stream, WindowSpec(20_000, 10_000), ["member"], 1000).explain()
+    said = capsys.readouterr().out
+    assert "StateStoreSave" in said and "TransformWithState" not in said
