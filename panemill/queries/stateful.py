@@ -41,8 +41,7 @@ def _messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _stored(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _messages(spark, sf_dir)
-    folder = S.arrivals(rows, "batch", BATCHES, "messages_in")
-    stream = S.file_stream(spark, folder, rows.drop("batch").schema)
+    stream = S.batch_stream(rows, "batch", BATCHES, "messages_in")
     return S.run_counted(S.pane_store(stream, SPEC, PANE, PRODUCERS), "pane_store")[0]
 
 
@@ -79,7 +78,7 @@ def stream_several_watermarks(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _event_batches(spark, sf_dir)
     last = obs(spark, sf_dir).agg((F.max("ms") - LAG).alias("_last"))
     slow = rows.where("stream = 'view'").join(F.broadcast(last)).where("ms < _last").drop("_last")
-    parts = [(S.file_stream(spark, S.arrivals(part, "batch", BATCHES, "source"), rows.drop("batch").schema), DELAY) for part in (rows.where("stream <> 'view'"), slow)]
+    parts = [(S.batch_stream(part, "batch", BATCHES, "source"), DELAY) for part in (rows.where("stream <> 'view'"), slow)]
     return rounded(S.run_counted(S.union_window_agg(parts, SPEC, ["count", "avg"]), "several_watermarks")[0], "avg")
 
 
@@ -88,8 +87,8 @@ def stream_without_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events that come up to three times, in one batch or in the next: each counts once."""
     rows = obs(spark, sf_dir).select("event_id", "stream", "ts", "ms", "value").withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("event_id") % 3)))
     rows = _batched(rows.withColumn("arrived", F.col("ms") + F.col("copy") % 2 * 130 * HOUR), "arrived").drop("arrived", "copy")
-    folder = S.arrivals(written(rows, "copies"), "batch", BATCHES, "copies_in")
-    made, counts = S.run_counted(S.distinct_contributions(S.file_stream(spark, folder, rows.drop("batch").schema), ["event_id"], 800 * HOUR), "distinct")
+    stream = S.batch_stream(rows, "batch", BATCHES, "copies_in")
+    made, counts = S.run_counted(S.distinct_contributions(stream, ["event_id"], 800 * HOUR), "distinct")
     if counts["kept"] != made.count():
         raise ValueError(f"observed counts don't fit the table: {counts}")
     sent = rows.groupBy("stream").agg(F.count(F.lit(1)).alias("arrived"))
@@ -107,7 +106,7 @@ LATE = f"(ms + (event_id * 7919) % 11 * {20 * HOUR})"
 def stream_late_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every event of a stream with its class: none is lost, whatever the watermark."""
     rows = _event_batches(spark, sf_dir, LATE)
-    stream = S.file_stream(spark, S.arrivals(rows, "batch", BATCHES, "late_in"), rows.drop("batch").schema)
+    stream = S.batch_stream(rows, "batch", BATCHES, "late_in")
     return S.run_by_lateness(stream, SPEC, DELAY, "lateness").select("event_id", "watermark", "class")
 
 
@@ -122,7 +121,7 @@ _SAME = "x.stream = w.stream AND x.sensor = w.sensor"
 def stream_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sensors that come into a stream's windows or leave them, as windows close."""
     rows = _event_batches(spark, sf_dir)
-    stream = S.file_stream(spark, S.arrivals(rows, "batch", BATCHES, "members_in"), rows.drop("batch").schema)
+    stream = S.batch_stream(rows, "batch", BATCHES, "members_in")
     return S.run_counted(S.window_differences(stream, SPEC, ["stream", "sensor"], DELAY), "differences")[0]
 
 
@@ -139,8 +138,8 @@ def stream_estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Overlap-weighted means of live results for live targets, both in six batches."""
     results = _batched(written(sub_results(spark, sf_dir).withColumns({"start_ts": F.timestamp_millis("start_ms"), "end_ts": F.timestamp_millis("end_ms")}), "results"), "end_ms")
     asked = _batched(targets(spark, sf_dir).select(F.timestamp_millis("b_start").alias("b_start_ts"), F.timestamp_millis("b_end").alias("b_end_ts"), "b_end"), "b_end").drop("b_end")
-    results_in = S.file_stream(spark, S.arrivals(results, "batch", BATCHES, "results_in"), results.drop("batch").schema).drop("start_ms", "end_ms")
-    asked_in = S.file_stream(spark, S.arrivals(asked, "batch", BATCHES, "targets_in"), asked.drop("batch").schema)
+    results_in = S.batch_stream(results, "batch", BATCHES, "results_in").drop("start_ms", "end_ms")
+    asked_in = S.batch_stream(asked, "batch", BATCHES, "targets_in")
     made = S.run_counted(S.stream_overlap_avg(results_in, asked_in, SPEC.range_ms, 5 * HOUR, DELAY), "estimates")[0]
     last = results.agg((F.max("end_ms") - SETTLED).alias("settled"))
     return rounded(made.join(F.broadcast(last)).where("b_end <= settled").drop("settled"), "avg")
@@ -150,7 +149,7 @@ def stream_estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_static_enrich(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A stream of six batches with static data beside each row."""
     rows = _event_batches(spark, sf_dir)
-    stream = S.file_stream(spark, S.arrivals(rows, "batch", BATCHES, "enrich_in"), rows.drop("batch").schema)
+    stream = S.batch_stream(rows, "batch", BATCHES, "enrich_in")
     static = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("sensor"), "c_nationkey", "c_mktsegment")
     return S.run_counted(S.stream_enrich(stream, static, ["sensor"], "left"), "enriched")[0].select("event_id", "sensor", "c_nationkey", "c_mktsegment")
 
@@ -167,5 +166,5 @@ SHUFFLED = f"(ms + (event_id * 7919) % 5 * {HOUR // 6})"
 def stream_emission_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The batch in which each window comes out: the first after the one whose latest time, less the delay, passes the window's end."""
     rows = _event_batches(spark, sf_dir, SHUFFLED)
-    stream = S.file_stream(spark, S.arrivals(rows, "batch", BATCHES, "ordered_in"), rows.drop("batch").schema)
+    stream = S.batch_stream(rows, "batch", BATCHES, "ordered_in")
     return run_ordered(spark, stream_window_agg(stream, SPEC, ["count"], DELAY), "ordered", ["win_end", "stream"]).select("stream", "win_start", "win_end", "count", "emission")

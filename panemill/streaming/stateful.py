@@ -21,6 +21,8 @@ from panemill.streaming.streams import _ms
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: Batches of which a query's counts are kept.
 BATCHES = 100_000
+#: Rows of a file that a batch comes in, about.
+FILE_ROWS = 250_000
 
 
 def rocksdb(spark: SparkSession) -> SparkSession:
@@ -30,14 +32,31 @@ def rocksdb(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def arrivals(rows: DataFrame, batch: str, n: int, name: str) -> str:
-    """A folder into which the rows' batches 0 to n - 1 have come one after another, a file each: what a stream of one file a trigger reads in that order."""
-    folder = f"{shared_folder(rows.sparkSession, name)}/in"
+def arrivals(rows: DataFrame, batch: str, n: int, name: str, files: int = 1) -> str:
+    """A folder into which the rows' batches 0 to n - 1 have come one after another, ``files`` files each: what a stream of so many files a trigger reads in that order."""
+    spark, folder = rows.sparkSession, f"{shared_folder(rows.sparkSession, name)}/in"
     for k in range(n):
-        rows.where(F.col(batch) == k).drop(batch).coalesce(1).write.mode("append").parquet(folder)
+        part = rows.where(F.col(batch) == k).drop(batch)
+        (part.coalesce(1) if files == 1 else part.repartition(files)).write.mode("append").parquet(folder)
+        if files > 1:  # Spark writes no file for an empty part
+            for _ in range(len(spark.read.schema(part.schema).parquet(folder).inputFiles()), (k + 1) * files):
+                spark.createDataFrame([], part.schema).coalesce(1).write.mode("append").parquet(folder)
     return folder
 
 
+def batch_stream(rows: DataFrame, batch: str, n: int, name: str, most: int = FILE_ROWS) -> DataFrame:
+    """The rows as a stream of their batches 0 to n - 1, one a trigger.
+
+    Rows are dealt to folders by batch once, and a large batch comes in as many files of about ``most`` rows: no task writes or reads a whole batch.
+    """
+    spark, path = rows.sparkSession, shared_folder(rows.sparkSession, f"{name}_dealt")
+    rows.write.partitionBy(batch).parquet(path)
+    dealt = spark.read.schema(rows.schema).parquet(path)
+    largest = dealt.groupBy(batch).count().agg(F.max("count")).first()[0] or 0
+    files = -(-largest // most) or 1
+    return file_stream(spark, arrivals(dealt, batch, n, name, files), rows.drop(batch).schema, files)
+
+
 def file_stream(spark: SparkSession, folder: str, schema: str | T.StructType, files_per_batch: int = 1) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
 

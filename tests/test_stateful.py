@@ -159,3 +159,13 @@ def test_differences_are_an_aggregate_of_spark(spark, capsys):
     stateful.window_differences(stream, WindowSpec(20_000, 10_000), ["member"], 1000).explain()
     said = capsys.readouterr().out
     assert "StateStoreSave" in said and "TransformWithState" not in said
+
+
+def test_large_batches_come_in_several_files(spark):
+    """Every trigger reads its own batch, whole, whatever the number of its files and rows; an empty batch too."""
+    rows = spark.range(1000).select(F.col("id").alias("n"), F.when(F.col("id") < 3, 0).when(F.col("id") < 700, 1).otherwise(3).alias("batch"))
+    stream = stateful.batch_stream(rows, "batch", 4, "files", most=100)
+    from panemill.streaming.streams import run_ordered
+
+    out = run_ordered(spark, stream, "in_files", ["n"]).groupBy("emission").agg(F.count("n").alias("rows"), F.min("n").alias("lo"), F.max("n").alias("hi"))
+    assert sorted(map(tuple, out.collect())) == [(0, 3, 0, 2), (1, 697, 3, 699), (3, 300, 700, 999)]
