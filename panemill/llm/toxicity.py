@@ -183,9 +183,11 @@ class Landmarks:
         return out
 
     def folded(self, alphas: np.ndarray) -> np.ndarray:
-        """One weight for each subsequence, from one for each landmark."""
+        """One weight for each subsequence, from one for each landmark; a few subsequences at a time in double precision."""
         out = np.zeros(_THREE + _FOUR, np.float32)
-        out[self.used] = self.table[:-1] @ alphas
+        for at in range(0, len(self.used), 8192):
+            own = self.used[at : at + 8192]
+            out[own] = self.table[at : at + len(own)] @ alphas
         return out
 
 
@@ -198,7 +200,7 @@ def _machine(x: np.ndarray, y: np.ndarray, cost: np.ndarray, ridge: float = 1.0)
     for _ in range(30):
         gram, target = penalty.copy(), np.zeros(width)
         for at in range(0, len(x), 2048):  # a few rows at a time, in double precision
-            own, sign = np.hstack([x[at : at + 2048], np.ones((len(x[at : at + 2048]), 1))]).astype(float), y[at : at + 2048]
+            own, sign = np.hstack([x[at : at + 2048], np.ones((len(x[at : at + 2048]), 1))]), y[at : at + 2048]
             inside = sign * (own @ w) < 1
             own, sign, weight = own[inside], sign[inside], cost[at : at + 2048][inside]
             gram += (own * weight[:, None]).T @ own
@@ -425,6 +427,7 @@ def train(bags: list[tuple[int, list[str]]], joined: Callable[[np.ndarray, float
         y = np.array([1.0 if k in witness else -1.0 for k in rows] + [1.0] * len(blurred) + [-1.0] * len(joints))
         cost = np.array([float(witness[k]) if k in witness else CLEAN * min(n[k], 25) for k in rows] + [c for _, c in blurred] + [CLEAN * min(max(1, usual_runs[u]), 25) for u in joints])
         w = _machine(x, y, np.sqrt(cost), ridge=0.02)
+        del x
         folded, offset = landmarks.folded(whiten @ w[:-1]), float(w[-1])
         score = np.maximum(unit_scores(words, folded) + offset, NO_UNIT)
     least = least_sum(folded, offset, names)

@@ -833,3 +833,23 @@ def test_pipeline_edge_cases(spark, tmp_path):
             assert sorted(((r["doc_id"], r["text"]) for r in deduped.collect()), key=str) == sorted(
                 [(0, texts[0]), (0, "another text under the same id number"), (1, None), (2, ""), (3, " "), (4, texts[4]), (5, texts[5]), (None, "no id at all but a text")], key=str
             )
+
+
+def test_folding_takes_a_part_of_the_table_at_a_time():
+    """The driver holds no copy of the landmarks' table in double precision."""
+    import tracemalloc
+
+    import numpy as np
+
+    from panemill.llm import toxicity
+
+    rng = np.random.default_rng(1)
+    landmarks = toxicity.Landmarks(["".join(chr(97 + i) for i in rng.integers(0, 26, 12)) for _ in range(400)])
+    alphas = rng.normal(size=400)
+    tracemalloc.start()
+    got = landmarks.folded(alphas)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(landmarks.used) > 16_384 and peak < got.nbytes + landmarks.table.nbytes
+    assert np.array_equal(got[landmarks.used], (landmarks.table[:-1] @ alphas).astype(np.float32)) and np.count_nonzero(got) <= len(landmarks.used)
+    print(len(landmarks.used), landmarks.table.nbytes, got.nbytes, peak)
